@@ -1,4 +1,4 @@
 """Queries over the given tables, one or more per operator."""
 
-from . import narrow  # noqa: F401
+from . import narrow, texts  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

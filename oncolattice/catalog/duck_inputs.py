@@ -80,3 +80,97 @@ table("v_evidence", values(v.STATIC_EVIDENCE, ["category", "agent", "eligible",
 table("v_canonical", values([(k, u, n) for n, (k, u) in enumerate(v.CANONICAL_URIS.items())], ["label", "uri", "ord"]))
 table("v_snomed", values(list(v.SNOMED_URIS.items()), ["label", "snomed_uri"]))
 table("v_hierarchy", values(v.class_hierarchy_rows(), ["parent", "child"]))
+
+# ---- documents -------------------------------------------------------------
+
+
+def newlines(text):
+    return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in text.split("\n"))
+
+
+_extras = "[" + ", ".join(newlines(x) for x in i.MD_EXTRAS) + "]"
+table("markdown_docs", f"""
+SELECT 'conv_' || lpad(conv_id::VARCHAR, 8, '0') || '.md' AS source_doc, 'conv_' || lpad(conv_id::VARCHAR, 8, '0') AS stem,
+ CASE WHEN conv_id % 3 = 0 THEN '# Conversation' || chr(10) || 'words that parity drops' || chr(10)
+  ELSE 'Opening words of conversation number ' || conv_id || ' that are long enough for a chunk.' || chr(10) END
+ || string_agg(chr(10) || '## ' || role || ' ' || turn || chr(10) || text || chr(10)
+  || {_extras}[((conv_id + turn) % {len(i.MD_EXTRAS)} + 1)::INT] || chr(10), '' ORDER BY turn) AS text
+FROM conversations GROUP BY conv_id""")
+table("page_rows", """
+SELECT 'Doc-' || doc_id || '.pdf' AS source_doc, unnest(t) AS text, generate_subscripts(t, 1)::BIGINT AS page_num
+FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)""")
+
+
+def ctype(text):
+    """Content type of a text in SQL."""
+    from ..operators.chunking import TYPE_PATTERNS
+    pairs = []
+    for name, pattern in TYPE_PATTERNS.items():
+        flags = "(?m)" if name == "table" else "(?i)"
+        quoted = (flags + pattern).replace("'", "''")
+        pairs.append((name, f"len(regexp_extract_all({text}, '{quoted}'))"))
+    best = "greatest(" + ", ".join(count for _, count in pairs) + ")"
+    return ("CASE WHEN " + best + " = 0 THEN 'general' "
+            + " ".join(f"WHEN {count} = {best} THEN '{name}'" for name, count in pairs) + " END")
+
+
+def window_tables(source, key, name, size=500, overlap=100):
+    """CTEs that fold the sentences of ``source(key, text)`` into windows (key, n, content)."""
+    k = ", ".join(key)
+    using = " AND ".join(f"w.{c} = s.{c}" for c in key)
+    return f"""
+{name}_s AS (SELECT {k}, list_transform(string_split(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '([.!?])\\s+([A-ZÁÉÍÓÚÑ])', '\\1' || chr(1) || '\\2', 'g'), chr(1)),
+   lambda x: list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> '')) AS sw FROM {source}),
+{name}_f AS (SELECT {k}, 0 AS i, 0 AS st, 0 AS ln, -1 AS es, -1 AS el FROM {name}_s
+ UNION ALL SELECT {', '.join('w.' + c for c in key)}, i + 1,
+  CASE WHEN c THEN st + ln - least({overlap}, ln) ELSE st END, CASE WHEN c THEN least({overlap}, ln) ELSE ln END + n,
+  CASE WHEN c THEN st ELSE -1 END, CASE WHEN c THEN ln ELSE -1 END
+ FROM (SELECT w.*, len(s.sw[i + 1]) AS n, (ln + len(s.sw[i + 1]) > {size} AND ln > 0 AND len(s.sw[i + 1]) > 0) AS c
+  FROM {name}_f w JOIN {name}_s s ON {using} WHERE i < len(s.sw)) w),
+{name}_w AS (SELECT {k}, es AS st, el AS ln FROM {name}_f WHERE es >= 0
+ UNION ALL SELECT {', '.join('w.' + c for c in key)}, w.st, w.ln FROM {name}_f w JOIN {name}_s s ON {using} WHERE w.i = len(s.sw) AND w.ln > 0),
+{name} AS (SELECT {k}, st, array_to_string(flatten(s.sw)[w.st + 1 : w.st + w.ln], ' ') AS content
+ FROM {name}_w w JOIN {name}_s s USING ({k}) WHERE len(array_to_string(flatten(s.sw)[w.st + 1 : w.st + w.ln], ' ')) >= 50)"""
+
+# ---- extraction ------------------------------------------------------------
+table("raw_extractions", f"""
+SELECT chunk_id, section, CASE WHEN e % 16 = 1 THEN '```json' || chr(10) || body || chr(10) || '```'
+ WHEN e % 16 = 2 THEN '<think>is it {{' || chr(10) || '}} so</think>' || chr(10) || body
+ WHEN e % 16 = 3 THEN left(body, len(body) - 3) WHEN e % 16 = 4 THEN '[' || body || ']' WHEN e % 16 = 14 THEN '' ELSE body END AS raw
+FROM (SELECT event_id AS e, 'c' || event_id AS chunk_id, 'S' || (event_id % 9) AS section,
+ '{{"entities":[{{' || CASE WHEN event_id % 17 = 10 THEN '' ELSE '"id":"e1",' END || '"label":"' || {pick(i.EXT_LABELS, 'event_id')} || '","type":"'
+ || {pick(i.EXT_TYPES, 'event_id')} || '"' || {pick(i.EXT_CONF, 'event_id')} || {pick(i.EXT_DEFS, 'event_id')} || {pick(i.EXT_URIS, 'event_id // 3')}
+ || '}},{{"id":"e2"' || CASE WHEN event_id % 19 = 3 THEN '' ELSE ',"label":"' || {pick(i.EXT_LABELS, 'event_id * 5 + 2')} || '"' END
+ || ',"type":"Assay","confidence":' || (50 + event_id % 50) || 'e-2' || {pick(i.EXT_DEFS, 'event_id + 1')}
+ || '}}],"relations":[{{"subject_id":"e1","predicate":"' || {pick(i.EXT_PREDICATES, 'event_id')} || '","object_id":"'
+ || CASE WHEN event_id % 13 = 11 THEN 'e9' ELSE 'e2' END || '","confidence":' || {pick(i.EXT_REL_CONF, 'event_id')} || ',"evidence":"seen"}}]}}' AS body
+ FROM events)""")
+table("ext_clean", r"""
+SELECT chunk_id, section, raw, trim(regexp_replace(regexp_replace(trim(regexp_replace(raw, '(?s)<think>.*?</think>', '', 'g'), chr(10) || ' '),
+ '^```(?:json)?\s*', ''), '\s*```$', '')) AS j FROM raw_extractions""", "raw_extractions")
+table("ext_root", "SELECT *, CASE WHEN json_valid(j) THEN CASE WHEN json_type(j::JSON) = 'OBJECT' THEN j::JSON END END AS root FROM ext_clean", "ext_clean")
+_conf = "CASE WHEN json_type({0}, '$.confidence') IS NULL THEN 1.0 WHEN json_type({0}, '$.confidence') = 'NULL' THEN NULL WHEN json_type({0}, '$.confidence') = 'BOOLEAN' THEN CASE WHEN {0}->>'confidence' = 'true' THEN 1.0 ELSE 0.0 END ELSE TRY_CAST({0}->>'confidence' AS DOUBLE) END"
+table("ext_entities", f"""
+SELECT * FROM (SELECT chunk_id, pos, x->>'id' AS id, coalesce(x->>'label', '') AS label,
+ CASE WHEN list_contains({sql_list(v.NODE_TYPES)}, x->>'type') THEN x->>'type' ELSE 'ClinicalCategory' END AS type, x->>'definition' AS definition,
+ x->>'candidate_uri' AS candidate_uri, ({_conf.format('x')})::DOUBLE AS confidence
+ FROM (SELECT chunk_id, unnest(from_json(root->'entities', '["JSON"]')) AS x, generate_subscripts(from_json(root->'entities', '["JSON"]'), 1) AS pos FROM ext_root WHERE root IS NOT NULL)
+ WHERE json_type(x, '$.id') = 'VARCHAR' AND coalesce(json_type(x, '$.definition'), 'NULL') IN ('NULL', 'VARCHAR')) WHERE confidence BETWEEN 0 AND 1""", "ext_root")
+table("ext_relations", f"""
+SELECT * FROM (SELECT chunk_id, x->>'subject_id' AS subject_id, x->>'predicate' AS predicate, x->>'object_id' AS object_id, ({_conf.format('x')})::DOUBLE AS confidence
+ FROM (SELECT chunk_id, unnest(from_json(root->'relations', '["JSON"]')) AS x FROM ext_root WHERE root IS NOT NULL))
+ WHERE list_contains({sql_list(v.PREDICATES)}, predicate) AND confidence BETWEEN 0 AND 1""", "ext_root")
+
+
+def _blocklist():
+    from ..operators.extraction import BLOCKLIST
+    return BLOCKLIST["parity"].replace("(?iU)", "(?i)")
+
+
+_open_end = "NOT EXISTS (SELECT 1 FROM {1} e WHERE e.chunk_id = r.chunk_id AND e.id = r.{0})"
+table("ext_domain_e", f"SELECT * FROM ext_entities WHERE NOT regexp_matches(label, '{_blocklist()}')", "ext_entities")
+table("ext_domain_r", "SELECT r.* FROM ext_relations r WHERE NOT (" + _open_end.format("subject_id", "ext_domain_e") + ") AND NOT ("
+      + _open_end.format("object_id", "ext_domain_e") + ")", "ext_relations", "ext_domain_e")
+table("ext_final_e", "SELECT * FROM ext_domain_e WHERE confidence >= 0.6", "ext_domain_e")
+table("ext_final_r", "SELECT r.* FROM ext_domain_r r WHERE confidence >= 0.5 AND NOT (" + _open_end.format("subject_id", "ext_final_e") + ") AND NOT ("
+      + _open_end.format("object_id", "ext_final_e") + ")", "ext_domain_r", "ext_final_e")

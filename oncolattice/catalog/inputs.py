@@ -93,3 +93,62 @@ def agent_results(spark, path):
         pick(["HIGH", "MEDIUM", "LOW", "odd", ""], F.col("query_id") + F.col("seq")).alias("confidence"),
         F.when(F.col("agent") == "validation", F.col("query_id") % 3).alias("critical_count"),
         F.concat(F.lit("text of "), F.col("agent"), F.lit(" for "), F.col("query_id").cast("string")).alias("narrative"))
+
+
+MD_EXTRAS = [
+    "",
+    "```python\nx = 1  # owl:Class\ny = 2\n```\nafter the code block",
+    "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |\ntail of the table",
+    "NODO-1:: is the staining complete and intense in more than ten percent of cells\nACCIÓN:: if yes then score 3+ and stop\nif no go on to the next node\n",
+    "```\nsame block\n```\nbetween\n```\nsame block\n```",
+    "\n## Adjacent A\n## Adjacent B\nlost under parity, IHC 2+ should be kept by the guideline only when text is kept\n",
+    "COMENTARIO-A:: short\n",
+]
+
+
+def markdown_docs(spark, path):
+    """Conversations as Markdown documents: a heading per turn, blocks by turn."""
+    lead = F.when(F.col("conv_id") % 3 == 0, "# Conversation\nwords that parity drops\n").otherwise(
+        F.concat(F.lit("Opening words of conversation number "), F.col("conv_id").cast("string"), F.lit(" that are long enough for a chunk.\n")))
+    block = F.concat(F.lit("\n## "), F.col("role"), F.lit(" "), F.col("turn").cast("string"), F.lit("\n"), F.col("text"), F.lit("\n"),
+                     pick(MD_EXTRAS, F.col("conv_id") + F.col("turn")), F.lit("\n"))
+    return (read(spark, path, "conversations").groupBy("conv_id")
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda s: s["b"]), "").alias("body"))
+            .select(F.concat(F.lit("conv_"), F.lpad(F.col("conv_id").cast("string"), 8, "0"), F.lit(".md")).alias("source_doc"),
+                    F.concat(lead, "body").alias("text")))
+
+
+def page_rows(spark, path):
+    """Documents as page texts: a page per line."""
+    return read(spark, path, "documents").select(
+        F.concat(F.lit("Doc-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_doc"),
+        F.posexplode(F.split("text", "\n")).alias("page_num", "text")).withColumn("page_num", F.col("page_num") + 1)
+
+
+EXT_LABELS = ["HER2-Low 1", "Ana García", "Python SDK", "T-DXd", "IHC 2+", "Regional node", "Kafka", "Trastuzumab Deruxtecan",
+              "Ki67", "Hospital 12 de Octubre", "Ratio > 2.0 (CEP17)", "Group 3/4", "Pipette 2"]
+EXT_TYPES = ["ClinicalCategory"] * 5 + ["Gene"] + ["IHCScore"] * 10
+EXT_CONF = [',"confidence":0.9'] * 7 + [',"confidence":null', ',"confidence":"0.9"', ',"confidence":"x"', ',"confidence":1.5',
+                                         ',"confidence":0.6', "", ',"confidence":true', ',"confidence":0', ',"confidence":0.59']
+EXT_PREDICATES = ["implies", "implies", "eligibleFor", "definedIn", "implies", "implies", "causes", "leadsTo"]
+EXT_REL_CONF = ["0.5", "0.49", "0.7", "1", "\"0.8\""]
+EXT_DEFS = [',"definition":"first"', ',"definition":"second"', "", ',"definition":null', ',"definition":5']
+EXT_URIS = ["", ',"candidate_uri":"NCIt:C99999"', ',"candidate_uri":null', ',"candidate_uri":"odd:1"']
+
+
+def raw_extractions(spark, path):
+    """Events as raw extractor answers, well-formed and not."""
+    e = F.col("event_id")
+    first = F.concat(F.when(e % 17 == 10, "").otherwise('"id":"e1",'), F.lit('"label":"'), pick(EXT_LABELS, e), F.lit('","type":"'),
+                     pick(EXT_TYPES, e), F.lit('"'), pick(EXT_CONF, e), pick(EXT_DEFS, e), pick(EXT_URIS, F.floor(e / 3)))
+    second = F.concat(F.lit('"id":"e2"'), F.when(e % 19 == 3, "").otherwise(F.concat(F.lit(',"label":"'), pick(EXT_LABELS, e * 5 + 2), F.lit('"'))),
+                      F.lit(',"type":"Assay","confidence":'), (F.lit(50) + e % 50).cast("string"), F.lit('e-2'), pick(EXT_DEFS, e + 1))
+    relation = F.concat(F.lit('"subject_id":"e1","predicate":"'), pick(EXT_PREDICATES, e), F.lit('","object_id":"'),
+                        F.when(e % 13 == 11, "e9").otherwise("e2"), F.lit('","confidence":'), pick(EXT_REL_CONF, e), F.lit(',"evidence":"seen"'))
+    body = F.concat(F.lit('{"entities":[{'), first, F.lit("},{"), second, F.lit('}],"relations":[{'), relation, F.lit("}]}"))
+    raw = (F.when(e % 16 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+           .when(e % 16 == 2, F.concat(F.lit("<think>is it {\n} so</think>\n"), body))
+           .when(e % 16 == 3, F.substring(body, F.lit(1), F.length(body) - 3))
+           .when(e % 16 == 4, F.concat(F.lit("["), body, F.lit("]"))).when(e % 16 == 14, "").otherwise(body))
+    return read(spark, path, "events").select(
+        F.concat(F.lit("c"), e.cast("string")).alias("chunk_id"), F.concat(F.lit("S"), (e % 9).cast("string")).alias("section"), raw.alias("raw"))

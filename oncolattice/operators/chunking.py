@@ -40,7 +40,7 @@ STORED_CHARS = 5000
 
 DOT_ALL_BUT_NEWLINE = "(?d)"
 # Stands for the opening bracket of a placeholder until chunk numbers are known.
-OPEN = ""
+OPEN = "\ue000"
 
 
 def content_type(text: Column) -> Column:
