@@ -174,3 +174,103 @@ table("ext_domain_r", "SELECT r.* FROM ext_relations r WHERE NOT (" + _open_end.
 table("ext_final_e", "SELECT * FROM ext_domain_e WHERE confidence >= 0.6", "ext_domain_e")
 table("ext_final_r", "SELECT r.* FROM ext_domain_r r WHERE confidence >= 0.5 AND NOT (" + _open_end.format("subject_id", "ext_final_e") + ") AND NOT ("
       + _open_end.format("object_id", "ext_final_e") + ")", "ext_domain_r", "ext_final_e")
+
+# ---- resolution ------------------------------------------------------------
+
+
+def pick_null(items, index):
+    cells = ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in items)
+    return f"([{cells}])[(({index}) % {len(items)} + 1)::INT]"
+
+
+table("to_resolve", f"""
+SELECT 'c' || (event_id // 8) AS chunk_id, event_id % 8 AS pos, 'e' || (event_id % 7) AS local_id, {pick(i.RES_LABELS, 'user_id + event_id // 3')} AS label,
+ {pick_null(i.RES_DEFS, 'event_id // 2')} AS definition, {pick_null(i.RES_URIS, 'event_id')} AS candidate_uri, (event_id * 37 % 5 + 5) / 10.0::DOUBLE AS confidence FROM events""")
+table("local_relations", f"""SELECT 'c' || (event_id // 8) AS chunk_id, 'e' || (event_id % 7) AS subject_id, {pick(['implies', 'definedIn'], 'event_id')} AS predicate,
+ 'e' || (event_id % 11) AS object_id FROM events""")
+table("v_seed_uri", values(v.seed_uri_rows(), ["uri", "seed_id"]))
+table("res_tiers", r"""
+SELECT t.*, CASE WHEN regexp_matches(candidate_uri, '^(NCIt|her2|snomed):') THEN candidate_uri END AS trusted,
+ coalesce(c1.uri, c2.uri) AS exact, CASE WHEN c1.uri IS NOT NULL THEN s1.snomed_uri ELSE s2.snomed_uri END AS exact_snomed,
+ (SELECT arg_min(uri, ord) FROM v_canonical c WHERE lower(c.label) = lower(t.label)) AS ci,
+ 'her2:' || trim(regexp_replace(trim(lower(t.label)), '[^a-z0-9_]', '_', 'g'), '_') AS fallback,
+ trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(trim(t.label), '>', 'gt'), '<', 'lt'), '(', ''), ')', ''), '%', 'pct'), '[-\s/]+', '_', 'g'), '[^a-zA-Z0-9_]', '_', 'g'), '_') AS nid,
+ regexp_replace(trim(t.label), '[-\s]+', '_', 'g') AS norm
+FROM to_resolve t LEFT JOIN v_canonical c1 ON t.label = c1.label LEFT JOIN v_canonical c2 ON regexp_replace(trim(t.label), '[-\s]+', '_', 'g') = c2.label
+ LEFT JOIN v_snomed s1 ON s1.label = c1.label LEFT JOIN v_snomed s2 ON s2.label = c2.label""", "to_resolve", "v_canonical", "v_snomed")
+table("resolved", """
+SELECT r.*, coalesce(seed_id, nid) AS id, CASE WHEN starts_with(uri_, 'NCIt:') THEN uri_ END AS ncit_uri,
+ CASE WHEN starts_with(uri_, 'snomed:') THEN uri_ WHEN trusted IS NULL AND exact IS NOT NULL THEN exact_snomed END AS snomed_uri
+FROM (SELECT *, coalesce(trusted, exact, ci, fallback) AS uri_ FROM res_tiers) r LEFT JOIN v_seed_uri s ON s.uri = r.uri_""", "res_tiers", "v_seed_uri")
+table("res_winner", """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, uri_ ORDER BY confidence DESC, pos) AS rn FROM resolved) WHERE rn = 1""", "resolved")
+
+# ---- star-schema graph -----------------------------------------------------
+table("nodes", """
+SELECT 'IHCScore' AS type, 'R' || r_regionkey AS id, r_name AS label, NULL AS ncit_uri, NULL AS snomed_uri, NULL AS source_doc FROM region
+UNION ALL SELECT 'ISHGroup', 'N' || n_nationkey, n_name, NULL, NULL, NULL FROM nation
+UNION ALL SELECT 'ClinicalCategory', 'S' || s_suppkey, s_name, NULL, NULL, 'ontology:seed' FROM supplier
+UNION ALL SELECT 'TherapeuticAgent', 'P' || p_partkey, p_name, CASE WHEN p_partkey % 3 = 0 THEN 'NCIt:C' || p_partkey END, CASE WHEN p_partkey % 5 = 0 THEN 'snomed:' || p_partkey END, 'O' || p_partkey FROM part
+UNION ALL SELECT 'Guideline', 'C' || c_custkey, c_name, NULL, NULL, NULL FROM customer
+UNION ALL SELECT 'Chunk', 'O' || o_orderkey, o_orderpriority, NULL, NULL, 'doc' || o_custkey FROM orders""")
+table("chunks", """SELECT 'O' || o_orderkey AS chunk_id, 'doc' || o_custkey AS source_doc,
+ 'Order ' || o_orderpriority || ' with status ' || o_orderstatus || ' of customer ' || o_custkey AS content,
+ CASE o_orderstatus WHEN 'F' THEN 'evidence' WHEN 'O' THEN 'guideline' ELSE 'criteria' END AS content_type FROM orders""")
+table("eligibility", """SELECT 'S' || l_suppkey AS src, CASE WHEN l_returnflag = 'R' THEN 'notEligibleFor' ELSE 'eligibleFor' END AS predicate, 'P' || l_partkey AS dst,
+ min(1 - l_discount) AS confidence, 'line ' || max(l_linenumber) AS clinical_context FROM lineitem GROUP BY 1, 2, 3""")
+table("edges", """
+SELECT src, predicate, dst, confidence, false AS is_hypothesis FROM eligibility
+UNION ALL SELECT 'P' || p_partkey, 'definedIn', 'C' || (p_partkey * 7 % 5000), p_size / 50.0::DOUBLE, false FROM part
+UNION ALL SELECT 'P' || p_partkey, 'overrides', 'P' || (p_partkey + 1), NULL, false FROM part
+UNION ALL SELECT 'C' || c_custkey, 'refinesCategory', 'N' || c_nationkey, NULL, false FROM customer
+UNION ALL SELECT 'C' || c_custkey, 'covers', 'S' || c_nationkey, NULL, false FROM customer
+UNION ALL SELECT 'N' || n_nationkey, 'refinesCategory', 'R' || n_regionkey, NULL, false FROM nation
+UNION ALL SELECT 'N' || n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'proposedEquivalence' ELSE 'proposedCorrelation' END, 'S' || n_nationkey, n_nationkey / 25.0::DOUBLE, n_nationkey % 4 = 0 FROM nation""", "eligibility")
+table("live_edges", "SELECT * FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)", "edges", "nodes")
+table("mention_pairs", "SELECT DISTINCT 'O' || l_orderkey AS chunk_id, 'P' || l_partkey AS entity_id FROM lineitem")
+_ids = "CASE score " + " ".join(f"WHEN '{s}' THEN '{n}'" for s, n in zip(["3+", "2+", "1+", "0+", "0"], ["Score3Plus", "Score2Plus", "Score1Plus", "Score0Plus", "Score0"])) + " END"
+table("specimen_edges", f"""
+SELECT * FROM (SELECT 'SP' || case_id AS src, 'hasIHCScore' AS predicate, {_ids} AS dst FROM classified
+UNION ALL SELECT 'SP' || case_id, 'hasISHGroup', CASE WHEN starts_with(ish_group, 'Group') THEN ish_group END FROM classified
+UNION ALL SELECT 'SP' || case_id, 'classifiedAs', CASE WHEN classification <> 'UNKNOWN' THEN classification END FROM classified) WHERE dst IS NOT NULL""", "classified")
+table("clinical_nodes", "SELECT type, id, label FROM v_seed_nodes UNION ALL SELECT 'Specimen', 'SP' || case_id, 'SP' || case_id FROM cases", "v_seed_nodes", "cases")
+table("clinical_edges", "SELECT src, predicate, dst, confidence, is_hypothesis FROM v_seed_edges UNION ALL SELECT src, predicate, dst, NULL, false FROM specimen_edges",
+      "v_seed_edges", "specimen_edges")
+
+# ---- decision tables and path graph ------------------------------------------
+_SC = ["Score3Plus", "Score2Plus", "Score1Plus", "Score0Plus", "Score0"]
+table("decision_nodes", f"""
+SELECT p || CASE WHEN j = 0 THEN '_ENTRY' ELSE '_N' || j END AS id, p || '_X' AS algorithm_id, p, j, 'is ' || p_name || '?' AS question,
+ CASE WHEN j = 0 THEN 'entry' WHEN j % 4 = 1 THEN NULL ELSE 'decision' END AS type,
+ CASE WHEN j > 12 THEN {pick(_SC, 'p_size')} END AS result, CASE WHEN j > 12 THEN {pick(v.CATEGORY_IDS, 'p_size')} END AS category,
+ CASE WHEN j % 2 = 0 THEN p_name END AS label, p_name, p_size FROM (SELECT *, 'A' || (p_partkey // 16) AS p, p_partkey % 16 AS j FROM part)""")
+table("emitted_edges", f"""
+SELECT algorithm_id, p || '_ENTRY' AS from_id, p || '_N1' AS to_id, 'start' AS condition, 'begin' AS label, 0 AS step FROM decision_nodes WHERE j = 0
+UNION ALL SELECT algorithm_id, p || '_N1', p || '_N2', 'YES', '', 0 FROM decision_nodes WHERE j = 1
+UNION ALL SELECT algorithm_id, p || '_N15', p || '_N1', 'again', 'back', 0 FROM decision_nodes WHERE j = 15
+UNION ALL SELECT algorithm_id, id, p || '_N1', 'start', '', 1 FROM decision_nodes WHERE j = 0
+UNION ALL SELECT algorithm_id, id, p || '_N' || (2 * j), 'YES', '', 2 FROM decision_nodes WHERE j BETWEEN 1 AND 7
+UNION ALL SELECT algorithm_id, id, CASE WHEN p_size % 3 = 0 THEN {pick(_SC, 'p_size')} ELSE {pick(v.CATEGORY_IDS, 'p_size')} END, 'YES', CASE WHEN p_size % 3 = 0 THEN p_name ELSE '' END, 2
+ FROM decision_nodes WHERE j > 7 AND p_size % 3 <> 2
+UNION ALL SELECT algorithm_id, id, p || '_N' || (2 * j + 1), 'NO', '', 3 FROM decision_nodes WHERE j BETWEEN 1 AND 7""", "decision_nodes")
+table("merged_edges", "SELECT algorithm_id, from_id, to_id, condition, arg_max(label, step) AS label FROM emitted_edges GROUP BY ALL", "emitted_edges")
+table("path_nodes", """
+SELECT 'IHCScore' AS type, 'C' || c_custkey AS id FROM customer UNION ALL SELECT 'ISHGroup', 'S' || s_suppkey FROM supplier
+UNION ALL SELECT 'DiagnosticDecision', 'N' || n_nationkey FROM nation UNION ALL SELECT 'ClinicalCategory', 'R' || r_regionkey FROM region
+UNION ALL SELECT 'Assay', 'A' || r_regionkey FROM region""")
+table("path_edges", """
+SELECT DISTINCT * FROM (SELECT 'C' || c_custkey AS src, 'implies' AS predicate, 'N' || c_nationkey AS dst FROM customer
+UNION ALL SELECT 'C' || c_custkey, 'requiresReflexTest', 'A' || (c_custkey % 5) FROM customer WHERE c_custkey % 3 = 0
+UNION ALL SELECT 'C' || c_custkey, 'requiresReflexTest', 'N' || (c_nationkey * 7 % 25) FROM customer
+UNION ALL SELECT 'A' || (s_suppkey % 5), 'resultsIn', 'S' || s_suppkey FROM supplier
+UNION ALL SELECT 'S' || s_suppkey, 'leadsTo', 'N' || s_nationkey FROM supplier WHERE s_suppkey % 4 <> 0
+UNION ALL SELECT 'N' || n_nationkey, 'leadsTo', 'N' || ((n_nationkey + 1) % 25) FROM nation
+UNION ALL SELECT 'N' || n_nationkey, 'leadsTo', 'N' || (n_nationkey - n_nationkey % 2 + (1 - n_nationkey % 2)) FROM nation
+UNION ALL SELECT 'N' || n_nationkey, 'leadsTo', 'R' || n_regionkey FROM nation WHERE n_nationkey % 3 = 0)""")
+
+
+def walk(name, starts, edges, hops):
+    """Recursive CTE of edge-distinct paths: (start, nodes, preds, node, depth)."""
+    return f"""{name} AS (SELECT id AS start, [id] AS nodes, []::VARCHAR[] AS preds, []::VARCHAR[] AS used, id AS node, 0 AS depth FROM ({starts})
+ UNION ALL SELECT w.start, list_append(w.nodes, e.dst), list_append(w.preds, e.predicate), list_append(w.used, e.key), e.dst, w.depth + 1
+ FROM {name} w JOIN ({edges}) e ON w.node = e.src WHERE w.depth < {hops} AND NOT list_contains(w.used, e.key))"""

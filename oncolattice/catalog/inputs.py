@@ -152,3 +152,196 @@ def raw_extractions(spark, path):
            .when(e % 16 == 4, F.concat(F.lit("["), body, F.lit("]"))).when(e % 16 == 14, "").otherwise(body))
     return read(spark, path, "events").select(
         F.concat(F.lit("c"), e.cast("string")).alias("chunk_id"), F.concat(F.lit("S"), (e % 9).cast("string")).alias("section"), raw.alias("raw"))
+
+
+RES_LABELS = ["HER2-Positive", "IHC 2+", "T-DXd", "ASCO-CAP-2023", "CAP  2025", "her2-low", "Immunohistochemistry", "Unknown entity XYZ123",
+              "HER2 positve", "Ratio > 2.0 (CEP17) 10%", "Rakha 2026", "ISH grup 3", "Perzutumab", "lacunarity", "In Situ Hybridization",
+              "Her2 Null", "Group 3/4 - mixed", "daisy", "DB-06", "Trastuzumab Deruxtecan-x"]
+RES_URIS = [None, None, None, "NCIt:C99999", None, "snomed:1", "odd:7", "her2:own", None]
+RES_DEFS = ["first", "second", "", None, "first | second", "second"]
+
+
+def entities_to_resolve(spark, path):
+    """Events as extracted entities, eight to a chunk."""
+    e = F.col("event_id")
+    return read(spark, path, "events").select(
+        F.concat(F.lit("c"), F.floor(e / 8).cast("string")).alias("chunk_id"), (e % 8).cast("int").alias("pos"),
+        F.concat(F.lit("e"), (e % 7).cast("string")).alias("local_id"), pick(RES_LABELS, F.col("user_id") + F.floor(e / 3)).alias("label"),
+        pick(["ClinicalCategory", "Assay", "TherapeuticAgent"], e).alias("type"), pick(RES_DEFS, F.floor(e / 2)).alias("definition"),
+        F.lit(None).cast("string").alias("source_quote"), pick(RES_URIS, e).alias("candidate_uri"),
+        ((e * 37 % 5 + 5) / 10.0).alias("confidence"))
+
+
+def local_relations(spark, path):
+    """Events as relations between answer-local ids."""
+    e = F.col("event_id")
+    return read(spark, path, "events").select(
+        F.concat(F.lit("c"), F.floor(e / 8).cast("string")).alias("chunk_id"), F.concat(F.lit("e"), (e % 7).cast("string")).alias("subject_id"),
+        pick(["implies", "definedIn"], e).alias("predicate"), F.concat(F.lit("e"), (e % 11).cast("string")).alias("object_id"),
+        (e % 10 / 10.0).alias("confidence"), F.lit(None).cast("string").alias("evidence"))
+
+
+def _id(prefix, column):
+    return F.concat(F.lit(prefix), F.col(column).cast("string"))
+
+
+def _quoted(col):
+    return F.concat(F.lit('"'), col, F.lit('"'))
+
+
+def _nodes(df, kind, node_id, label, **props):
+    from ..functions.props import props_map
+    return df.select(F.lit(kind).alias("type"), node_id.alias("id"), label.alias("label"), props_map(**props).alias("props"))
+
+
+def nodes(spark, path):
+    """Star-schema rows as typed nodes."""
+    t = lambda name: read(spark, path, name)
+    out = _nodes(t("region"), "IHCScore", _id("R", "r_regionkey"), F.col("r_name"), score=F.col("r_regionkey"))
+    more = [
+        _nodes(t("nation"), "ISHGroup", _id("N", "n_nationkey"), F.col("n_name"), group_number=F.col("n_nationkey")),
+        _nodes(t("supplier"), "ClinicalCategory", _id("S", "s_suppkey"), F.col("s_name"), source_doc=F.lit('"ontology:seed"')),
+        _nodes(t("part"), "TherapeuticAgent", _id("P", "p_partkey"), F.col("p_name"), size=F.col("p_size"), brand=_quoted(F.col("p_brand")),
+               fda_approved=(F.col("p_size") > 25), price=F.col("p_retailprice").cast("decimal(12,2)"),
+               ncit_uri=F.when(F.col("p_partkey") % 3 == 0, _quoted(_id("NCIt:C", "p_partkey"))),
+               snomed_uri=F.when(F.col("p_partkey") % 5 == 0, _quoted(_id("snomed:", "p_partkey"))),
+               source_doc=_quoted(_id("O", "p_partkey"))),
+        _nodes(t("customer"), "Guideline", _id("C", "c_custkey"), F.col("c_name"), year=2000 + F.col("c_custkey") % 26,
+               segment=_quoted(F.col("c_mktsegment"))),
+        _nodes(t("orders"), "Chunk", _id("O", "o_orderkey"), F.col("o_orderpriority"), source_doc=_quoted(_id("doc", "o_custkey"))),
+    ]
+    for part in more:
+        out = out.unionByName(part)
+    return out
+
+
+def chunks(spark, path):
+    """Orders as stored chunks."""
+    return read(spark, path, "orders").select(
+        _id("O", "o_orderkey").alias("chunk_id"), _id("doc", "o_custkey").alias("source_doc"),
+        F.concat(F.lit("Order "), F.col("o_orderpriority"), F.lit(" with status "), F.col("o_orderstatus"), F.lit(" of customer "), F.col("o_custkey").cast("string")).alias("content"),
+        F.when(F.col("o_orderstatus") == "F", "evidence").when(F.col("o_orderstatus") == "O", "guideline").otherwise("criteria").alias("content_type"))
+
+
+def _edges(df, src, predicate, dst, confidence=None, hypothesis=None, **props):
+    from ..functions.props import props_map
+    none = F.lit(None).cast("string")
+    return df.select(src.alias("src"), predicate.alias("predicate"), dst.alias("dst"), none.alias("condition"), none.alias("algorithm_id"),
+                     (F.lit(None).cast("double") if confidence is None else confidence).alias("confidence"),
+                     (F.lit(False) if hypothesis is None else hypothesis).alias("is_hypothesis"),
+                     (props_map(**props) if props else F.create_map().cast("map<string,string>")).alias("props"))
+
+
+def eligibility(spark, path):
+    """Eligibility edges, one per key."""
+    li = read(spark, path, "lineitem")
+    best = li.groupBy("l_suppkey", "l_partkey", F.when(F.col("l_returnflag") == "R", "notEligibleFor").otherwise("eligibleFor").alias("predicate")).agg(
+        F.min(1 - F.col("l_discount")).alias("confidence"), F.max("l_linenumber").alias("line"))
+    return _edges(best, _id("S", "l_suppkey"), F.col("predicate"), _id("P", "l_partkey"), F.col("confidence"),
+                  clinical_context=_quoted(_id("line ", "line")))
+
+
+def edges(spark, path):
+    """Edges of the derived graph; orders point at customers, some of them missing."""
+    t = lambda name: read(spark, path, name)
+    out = eligibility(spark, path)
+    for part in (
+        _edges(t("part"), _id("P", "p_partkey"), F.lit("definedIn"), F.concat(F.lit("C"), (F.col("p_partkey") * 7 % 5000).cast("string")), (F.col("p_size") / 50.0)),
+        _edges(t("part"), _id("P", "p_partkey"), F.lit("overrides"), F.concat(F.lit("P"), (F.col("p_partkey") + 1).cast("string"))),
+        _edges(t("customer"), _id("C", "c_custkey"), F.lit("refinesCategory"), _id("N", "c_nationkey")),
+        _edges(t("customer"), _id("C", "c_custkey"), F.lit("covers"), _id("S", "c_nationkey")),
+        _edges(t("nation"), _id("N", "n_nationkey"), F.lit("refinesCategory"), _id("R", "n_regionkey")),
+        _edges(t("nation"), _id("N", "n_nationkey"), F.when(F.col("n_nationkey") % 2 == 0, "proposedEquivalence").otherwise("proposedCorrelation"),
+               _id("S", "n_nationkey"), F.col("n_nationkey") / 25.0, F.col("n_nationkey") % 4 == 0),
+    ):
+        out = out.unionByName(part)
+    return out
+
+
+def mention_pairs(spark, path):
+    """Line items as mentions of parts in orders."""
+    return read(spark, path, "lineitem").select(_id("O", "l_orderkey").alias("chunk_id"), _id("P", "l_partkey").alias("entity_id")).distinct()
+
+
+def specimens(spark, path):
+    """Cases as specimen nodes with links to score, group and category; both tables."""
+    from ..operators.cases import SCORE_IDS, SCORES, classify
+    c = classify(cases(spark, path))
+    sp = F.concat(F.lit("SP"), F.col("case_id").cast("string"))
+    score = F.try_element_at(F.create_map(*[F.lit(x) for p in zip(SCORES, SCORE_IDS) for x in p]), F.col("score"))
+    node = c.select(F.lit("Specimen").alias("type"), sp.alias("id"), sp.alias("label"), F.create_map().cast("map<string,string>").alias("props"))
+    links = c.select(sp.alias("src"), F.explode(F.array_compact(F.array(
+        F.when(score.isNotNull(), F.struct(F.lit("hasIHCScore").alias("p"), score.alias("d"))),
+        F.when(F.col("ish_group").startswith("Group"), F.struct(F.lit("hasISHGroup").alias("p"), F.col("ish_group").alias("d"))),
+        F.when(F.col("classification") != "UNKNOWN", F.struct(F.lit("classifiedAs").alias("p"), F.col("classification").alias("d")))))).alias("l"))
+    return node, _edges(links, F.col("src"), F.col("l.p"), F.col("l.d"))
+
+
+def clinical_graph(spark, path):
+    """Seed graph together with the specimens of all cases."""
+    from ..sources import vocabulary as v
+    node, link = specimens(spark, path)
+    return v.seed_entities_df(spark).unionByName(node), v.seed_relations_df(spark).unionByName(link)
+
+
+def decision_nodes(spark, path):
+    """Parts as decision tables: sixteen nodes to an algorithm, a binary tree with leaves."""
+    from ..operators.cases import SCORE_IDS
+    from ..sources.vocabulary import CATEGORY_IDS
+    k = F.col("p_partkey")
+    j = (k % 16).cast("int")
+    prefix = F.concat(F.lit("A"), F.floor(k / 16).cast("string"))
+    node = lambda n: F.when(n == 0, F.concat(prefix, F.lit("_ENTRY"))).otherwise(F.concat(prefix, F.lit("_N"), n.cast("string")))
+    none = F.lit(None).cast("string")
+    shape = "struct<next:string,result:string,category:string,label:string,action:string,note:string,score:int>"
+
+    def branch(nxt=none, result=none, category=none, label=none, action=none):
+        return F.struct(nxt.alias("next"), result.alias("result"), category.alias("category"), label.alias("label"), action.alias("action"),
+                        none.alias("note"), F.lit(None).cast("int").alias("score")).cast(shape)
+    leaf = (F.when(F.col("p_size") % 3 == 0, branch(result=pick(SCORE_IDS, F.col("p_size")), category=F.lit("HER2_Low"), label=F.col("p_name")))
+            .when(F.col("p_size") % 3 == 1, branch(category=pick(CATEGORY_IDS, F.col("p_size")))).otherwise(branch(action=F.lit("recount"))))
+    return read(spark, path, "part").select(
+        node(j).alias("id"), F.when(j == 0, "entry").when(j % 4 == 1, F.lit(None)).otherwise("decision").alias("type"),
+        F.concat(F.lit("is "), "p_name", F.lit("?")).alias("question"), F.concat(prefix, F.lit("_X")).alias("algorithm_id"),
+        F.lit("ASCO_CAP_2023").alias("guideline_source"), F.when(j > 12, pick(SCORE_IDS, F.col("p_size"))).alias("result"),
+        F.when(j > 12, pick(CATEGORY_IDS, F.col("p_size"))).alias("category"), F.when(j % 2 == 0, F.col("p_name")).alias("label"),
+        none.alias("action"), none.alias("note"), F.when(j == 0, node(j + 1)).alias("next"), j.alias("node_order"),
+        F.when(j.between(1, 7), branch(nxt=node(j * 2))).when(j > 7, leaf).alias("if_yes"),
+        F.when(j.between(1, 7), branch(nxt=node(j * 2 + 1))).alias("if_no"))
+
+
+def explicit_edges(spark, path):
+    """Edges the tables state twice, and a way back from the last node."""
+    prefix = F.concat(F.lit("A"), F.floor(F.col("p_partkey") / 16).cast("string"))
+    at = lambda n: F.concat(prefix, F.lit(n))
+    one = lambda a, b, c, lab: F.struct(a.alias("from_id"), b.alias("to_id"), F.lit(c).alias("condition"), F.lit(lab).alias("label"))
+    j = F.col("p_partkey") % 16
+    return read(spark, path, "part").select(F.concat(prefix, F.lit("_X")).alias("algorithm_id"), F.explode(F.array_compact(F.array(
+        F.when(j == 0, one(at("_ENTRY"), at("_N1"), "start", "begin")), F.when(j == 1, one(at("_N1"), at("_N2"), "YES", "")),
+        F.when(j == 15, one(at("_N15"), at("_N1"), "again", "back"))))).alias("e")).select(
+        "algorithm_id", "e.*")
+
+
+def path_graph(spark, path):
+    """Customers as scores, suppliers as ISH groups, nations as decisions, regions as categories."""
+    t = lambda name: read(spark, path, name)
+    node = (_nodes(t("customer"), "IHCScore", _id("C", "c_custkey"), F.col("c_name"))
+            .unionByName(_nodes(t("supplier"), "ISHGroup", _id("S", "s_suppkey"), F.col("s_name")))
+            .unionByName(_nodes(t("nation"), "DiagnosticDecision", _id("N", "n_nationkey"), F.col("n_name")))
+            .unionByName(_nodes(t("region"), "ClinicalCategory", _id("R", "r_regionkey"), F.col("r_name")))
+            .unionByName(_nodes(t("region"), "Assay", _id("A", "r_regionkey"), F.col("r_name"))))
+    n, c = F.col("n_nationkey"), F.col("c_custkey")
+    lead = F.lit("leadsTo")
+    edge = _edges(t("customer"), _id("C", "c_custkey"), F.lit("implies"), _id("N", "c_nationkey"))
+    for part in (
+        _edges(t("customer").filter(c % 3 == 0), _id("C", "c_custkey"), F.lit("requiresReflexTest"),
+               F.concat(F.lit("A"), (c % 5).cast("string"))),
+        _edges(t("customer"), _id("C", "c_custkey"), F.lit("requiresReflexTest"), F.concat(F.lit("N"), (F.col("c_nationkey") * 7 % 25).cast("string"))),
+        _edges(t("supplier"), F.concat(F.lit("A"), (F.col("s_suppkey") % 5).cast("string")), F.lit("resultsIn"), _id("S", "s_suppkey")),
+        _edges(t("supplier").filter(F.col("s_suppkey") % 4 != 0), _id("S", "s_suppkey"), lead, _id("N", "s_nationkey")),
+        _edges(t("nation"), _id("N", "n_nationkey"), lead, F.concat(F.lit("N"), ((n + 1) % 25).cast("string"))),
+        _edges(t("nation"), _id("N", "n_nationkey"), lead, F.concat(F.lit("N"), (n - n % 2 + (1 - n % 2)).cast("string"))).filter(F.col("src") != F.col("dst")),
+        _edges(t("nation").filter(n % 3 == 0), _id("N", "n_nationkey"), lead, _id("R", "n_regionkey")),
+    ):
+        edge = edge.unionByName(part)
+    return node, edge.dropDuplicates(["src", "predicate", "dst"])
