@@ -274,3 +274,32 @@ def walk(name, starts, edges, hops):
     return f"""{name} AS (SELECT id AS start, [id] AS nodes, []::VARCHAR[] AS preds, []::VARCHAR[] AS used, id AS node, 0 AS depth FROM ({starts})
  UNION ALL SELECT w.start, list_append(w.nodes, e.dst), list_append(w.preds, e.predicate), list_append(w.used, e.key), e.dst, w.depth + 1
  FROM {name} w JOIN ({edges}) e ON w.node = e.src WHERE w.depth < {hops} AND NOT list_contains(w.used, e.key))"""
+
+# ---- retrieval ---------------------------------------------------------------
+table("requests", """SELECT doc_id AS request_id, ['P' || doc_id, 'P' || (doc_id * 3 + 1), 'P' || (doc_id * 5 + 2)] AS entity_ids,
+ ['CUSTOMER#' || lpad((doc_id % 700)::VARCHAR, 9, '0')] AS labels FROM documents""")
+table("label_needles", """SELECT DISTINCT needle FROM (SELECT upper(unnest(string_split(p_name, ' '))) AS needle FROM part UNION ALL SELECT right(c_name, 4) FROM customer
+ UNION ALL SELECT right(s_name, 2) FROM supplier UNION ALL SELECT '')""")
+table("label_hits", """SELECT * FROM (SELECT n.needle, m.id, m.label, m.type AS node_type, row_number() OVER (PARTITION BY n.needle ORDER BY len(m.label), m.id, m.type) AS rank
+ FROM label_needles n JOIN nodes m ON contains(lower(m.label), lower(n.needle)) WHERE m.type <> 'Chunk') WHERE rank <= 10""", "label_needles", "nodes")
+table("answer_chunks", f"""SELECT 'a' || response_id AS chunk_id, response AS content, 'src' || lpad((response_id % 97)::VARCHAR, 2, '0') AS source_doc,
+ {pick(['guideline', 'evidence', 'criteria', 'clinical_trial'], 'response_id')} AS content_type FROM responses""", "responses")
+
+
+def _keywords():
+    from ..operators.retrieval import EVIDENCE_TERMS
+    cases = ", ".join(f"CASE WHEN contains(lower(query), '{t.lower()}') THEN '{t}' END" for t in EVIDENCE_TERMS)
+    return f"(list_filter([{cases}], lambda x: x IS NOT NULL) || [left(query, 80)])[1:3]"
+
+
+table("query_keywords", f"SELECT query_id, {_keywords()} AS kws FROM queries", "queries")
+table("evidence_rows", """SELECT * FROM (SELECT q.query_id, q.kw_pos, c.chunk_id, c.source_doc, c.content_type, c.content AS context,
+ row_number() OVER (PARTITION BY q.query_id, q.kw_pos ORDER BY c.source_doc, c.chunk_id) AS rank
+ FROM (SELECT query_id, unnest(kws) AS kw, generate_subscripts(kws, 1) - 1 AS kw_pos FROM query_keywords) q JOIN answer_chunks c ON contains(lower(c.content), lower(q.kw))
+ WHERE c.content_type IN ('guideline', 'clinical_trial', 'evidence')) WHERE rank <= 10""", "query_keywords", "answer_chunks")
+table("context_rows", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY entity_id, node_type, relation NULLS FIRST, related_id NULLS FIRST, chunk_id NULLS FIRST) AS rank FROM (
+ SELECT DISTINCT a.request_id, n.id AS entity_id, n.label, n.type AS node_type, e.predicate AS relation, e.dst AS related_id, m2.label AS related_entity, e.confidence, c.chunk_id, c.content AS context, c.source_doc
+ FROM (SELECT request_id, unnest(entity_ids) AS k, false AS lab FROM requests UNION ALL SELECT request_id, lower(unnest(labels)), true FROM requests) a
+ JOIN nodes n ON (NOT a.lab AND n.id = a.k) OR (a.lab AND lower(n.label) = a.k)
+ LEFT JOIN live_edges e ON e.src = n.id LEFT JOIN nodes m2 ON m2.id = e.dst
+ LEFT JOIN mention_pairs p ON p.entity_id = n.id LEFT JOIN chunks c ON c.chunk_id = p.chunk_id)) WHERE rank <= 50""", "requests", "nodes", "live_edges", "mention_pairs", "chunks")

@@ -345,3 +345,38 @@ def path_graph(spark, path):
     ):
         edge = edge.unionByName(part)
     return node, edge.dropDuplicates(["src", "predicate", "dst"])
+
+
+def live_edges(spark, path):
+    from ..operators.graph import with_both_ends
+    return with_both_ends(edges(spark, path), nodes(spark, path))
+
+
+def requests(spark, path):
+    """Documents as retrieval requests for three parts each."""
+    k = F.col("doc_id")
+    at = lambda a, b: F.concat(F.lit("P"), (k * a + b).cast("string"))
+    return read(spark, path, "documents").select(k.alias("request_id"), F.array(at(1, 0), at(3, 1), at(5, 2)).alias("entity_ids"),
+                                                 F.array(F.concat(F.lit("CUSTOMER#"), F.lpad((k % 700).cast("string"), 9, "0"))).alias("labels"))
+
+
+def label_needles(spark, path):
+    """Words of part names and endings of customer names, in odd case."""
+    words = read(spark, path, "part").select(F.explode(F.split("p_name", " ")).alias("w")).select(F.upper("w").alias("needle"))
+    ends = read(spark, path, "customer").select(F.expr("right(c_name, 4)").alias("needle"))
+    tails = read(spark, path, "supplier").select(F.expr("right(s_name, 2)").alias("needle"))
+    return words.unionByName(ends).unionByName(tails).unionByName(read(spark, path, "region").select(F.lit("").alias("needle"))).distinct()
+
+
+def label_requests(spark, path):
+    """Parts asking for two words each."""
+    k = F.col("p_partkey")
+    return read(spark, path, "part").select(k.alias("request_id"), F.explode(F.split("p_name", " ")).alias("needle"))
+
+
+def answer_chunks(spark, path):
+    """Assistant turns as evidence chunks."""
+    return responses(spark, path).select(
+        F.concat(F.lit("a"), F.col("response_id").cast("string")).alias("chunk_id"), F.col("response").alias("content"),
+        F.concat(F.lit("src"), F.lpad((F.col("response_id") % 97).cast("string"), 2, "0")).alias("source_doc"),
+        pick(["guideline", "evidence", "criteria", "clinical_trial"], F.col("response_id")).alias("content_type"))
