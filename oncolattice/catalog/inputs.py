@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import pick
 from ..operators.cases import ish_group
+from ..session import spread
 
 CASE_SCORES = ["3+", "2+", "1+", "0+", "0", "Score2Plus", "IHC3Plus", "bad_value"]
 CASE_CATEGORIES = ["HER2_Positive", "HER2-Low", "HER2_Null", "HER2_Equivocal", "HER2-Ultralow", "HER2_Negative", "Other"]
@@ -33,6 +34,11 @@ def read(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+def read_texts(spark, path, name):
+    """Table of texts, spread over the cores when it is small."""
+    return spread(read(spark, path, name))
+
+
 def cases(spark, path):
     """Events as cases."""
     e = F.col("event_id")
@@ -120,7 +126,7 @@ def markdown_docs(spark, path):
 
 def page_rows(spark, path):
     """Documents as page texts: a page per line."""
-    return read(spark, path, "documents").select(
+    return read_texts(spark, path, "documents").select(
         F.concat(F.lit("Doc-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_doc"),
         F.posexplode(F.split("text", "\n")).alias("page_num", "text")).withColumn("page_num", F.col("page_num") + 1)
 
@@ -150,7 +156,7 @@ def raw_extractions(spark, path):
            .when(e % 16 == 2, F.concat(F.lit("<think>is it {\n} so</think>\n"), body))
            .when(e % 16 == 3, F.substring(body, F.lit(1), F.length(body) - 3))
            .when(e % 16 == 4, F.concat(F.lit("["), body, F.lit("]"))).when(e % 16 == 14, "").otherwise(body))
-    return read(spark, path, "events").select(
+    return read_texts(spark, path, "events").select(
         F.concat(F.lit("c"), e.cast("string")).alias("chunk_id"), F.concat(F.lit("S"), (e % 9).cast("string")).alias("section"), raw.alias("raw"))
 
 

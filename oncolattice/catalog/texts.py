@@ -113,14 +113,14 @@ _SENT = r"string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g')
 
 @query("CHK6", f"SELECT doc_id, unnest({_SENT}) AS sentence, generate_subscripts({_SENT}, 1) - 1 AS pos FROM documents")
 def chk6(spark, path):
-    return i.read(spark, path, "documents").select("doc_id", F.posexplode(k.sentences(F.col("text"))).alias("p", "sentence")).select(
+    return i.read_texts(spark, path, "documents").select("doc_id", F.posexplode(k.sentences(F.col("text"))).alias("p", "sentence")).select(
         "doc_id", F.col("p").cast("bigint").alias("pos"), "sentence")
 
 
 @query("CHK7", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY st) - 1 AS pos, content FROM dw", (),
        d.window_tables("documents", ("doc_id",), "dw"))
 def chk7(spark, path):
-    return i.read(spark, path, "documents").select("doc_id", F.posexplode(k.windows(F.col("text"))).alias("p", "content")).select(
+    return i.read_texts(spark, path, "documents").select("doc_id", F.posexplode(k.windows(F.col("text"))).alias("p", "content")).select(
         "doc_id", F.col("p").cast("bigint").alias("pos"), "content")
 
 
@@ -152,7 +152,7 @@ def chk10(spark, path):
 
 @query("CHK11", f"SELECT doc_id, {d.ctype('text')} AS content_type FROM documents")
 def chk11(spark, path):
-    return i.read(spark, path, "documents").select("doc_id", k.content_type(F.col("text")).alias("content_type"))
+    return i.read_texts(spark, path, "documents").select("doc_id", k.content_type(F.col("text")).alias("content_type"))
 
 
 _APPENDIX = ("conv_00000004.md", "conv_00000011.md")
@@ -172,7 +172,7 @@ def chk13(spark, path):
 
 @query("CHK14", "SELECT doc_id, substr(text, 1, 5000) AS stored FROM documents")
 def chk14(spark, path):
-    return i.read(spark, path, "documents").select("doc_id", k.stored_text(F.col("text")).alias("stored"))
+    return i.read_texts(spark, path, "documents").select("doc_id", k.stored_text(F.col("text")).alias("stored"))
 
 
 @query("GRF16", f"SELECT {d.ctype('content')} AS content_type, count(*) AS n FROM pg_chunks GROUP BY 1", ("page_rows",), _pg_chunks)

@@ -4,42 +4,69 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-LONG, SHORT = 8, 3
+GRAM = 3
+# Up to this many needles are tried on every text directly; more are joined by gram.
+DIRECT = 256
 
 
-def _gram_length(needle: Column) -> Column:
-    n = F.length(needle)
-    return F.when(n >= LONG, LONG).otherwise(F.least(n, F.lit(SHORT)))
+def _chars(text: Column) -> Column:
+    return F.array_remove(F.split(text, ""), "")
 
 
-def _grams(text: Column, n) -> Column:
+def _grams(text: Column, n: Column | int) -> Column:
     """Distinct substrings of length n."""
     width = F.lit(n) if isinstance(n, int) else n
     places = F.when(F.length(text) >= width, F.sequence(F.lit(1), F.length(text) - width + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda p: F.substring(text, p, width)))
+    chars = F.transform(F.array(_chars(text)), lambda c: F.transform(places, lambda p: F.array_join(F.slice(c, p, width), "")))
+    return F.array_distinct(F.element_at(chars, 1))
+
+
+def _inner_words(text: Column) -> Column:
+    """Words with a blank on both sides within the text."""
+    parts = F.split(text, " ")
+    return F.array_remove(F.array_distinct(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))), "")
+
+
+def _anchored(texts: DataFrame, low: DataFrame, keys_of_text: Column, keys_of_needle: Column) -> DataFrame:
+    """Pairs found by an equi-join on each needle's rarest key, then compared."""
+    wanted = low.withColumn("_key", F.explode(keys_of_needle))
+    held = texts.select("text_id", F.explode(keys_of_text).alias("_key"))
+    counts = held.join(wanted.select("_key").distinct(), "_key", "left_semi").groupBy("_key").agg(F.count("*").alias("_texts"))
+    rarest = (wanted.join(counts, "_key", "left").groupBy("needle", "_low")
+              .agg(F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("k"), F.col("_key").alias("key"))).alias("m"))
+              .filter(F.col("m.k") > 0).select("needle", "_low", F.col("m.key").alias("_key")))
+    candidates = held.join(rarest, "_key").select("text_id", "needle", "_low")
+    return candidates.join(texts.select("text_id", F.lower("text").alias("_text")), "text_id").filter(
+        F.col("_text").contains(F.col("_low"))).select("text_id", "needle")
 
 
 def contains_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """(text_id, needle) for ``texts(text_id, text)`` that contain a non-empty ``needles(needle)``, ignoring case.
 
-    A text that holds a needle holds each of its character grams, so the two meet by
-    an equi-join on the needle's rarest gram and only then are compared. Gram counts
-    are aggregated before the shuffle; texts travel once, by id.
+    A text that holds a needle of three words or more holds its inner words whole, and
+    one that holds a shorter needle holds its character grams; so texts and needles meet by
+    an equi-join on the needle's rarest word or gram and only then are compared. Counts
+    are aggregated before the shuffle, texts travel once, by id. A short list of needles
+    is tried on every text instead, without any shuffle.
     """
     low = needles.select("needle", F.lower("needle").alias("_low")).distinct().filter("_low <> ''")
-    wanted = low.select("needle", "_low", _gram_length(F.col("_low")).alias("_n")).withColumn("_gram", F.explode(_grams(F.col("_low"), F.col("_n"))))
-    lengths = [r["_n"] for r in wanted.select("_n").distinct().collect()]  # at most four values
-    if not lengths:
-        return texts.select("text_id", F.lit("").alias("needle")).limit(0)
-    held = texts.select("text_id", F.explode(F.array_distinct(F.concat(*[_grams(F.lower("text"), n) for n in lengths]))).alias("_gram"))
-    useful = held.join(wanted.select("_gram").distinct(), "_gram", "left_semi")
-    counts = useful.groupBy("_gram").agg(F.count("*").alias("_texts"))
-    rarest = (wanted.join(counts, "_gram", "left").groupBy("needle", "_low")
-              .agg(F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("k"), F.col("_gram").alias("_gram"))).alias("m"))
-              .filter(F.col("m.k") > 0).select("needle", "_low", F.col("m._gram").alias("_gram")))
-    candidates = held.join(rarest, "_gram").select("text_id", "needle", "_low")
-    return candidates.join(texts.select("text_id", F.lower("text").alias("_text")), "text_id").filter(
-        F.col("_text").contains(F.col("_low"))).select("text_id", "needle")
+    wordy = low.filter(F.size(_inner_words(F.col("_low"))) > 0)
+    other = low.filter(F.size(_inner_words(F.col("_low"))) == 0)
+    by_word = _anchored(texts, wordy, _inner_words(F.concat(F.lit(" "), F.lower("text"), F.lit(" "))), _inner_words(F.col("_low")))
+
+    few = other.limit(DIRECT + 1).collect()
+    if len(few) <= DIRECT:
+        if not few:
+            return by_word
+        listed = F.array(*[F.struct(F.lit(r["needle"]).alias("needle"), F.lit(r["_low"]).alias("low")) for r in few])
+        text = F.col("_text")
+        direct = texts.withColumn("_text", F.lower("text")).select(
+            "text_id", F.explode(F.filter(listed, lambda n: text.contains(n["low"]))).alias("_n")).select("text_id", "_n.needle")
+        return by_word.unionByName(direct)
+    lengths = F.least(F.length("_low"), F.lit(GRAM))
+    sizes = [r["n"] for r in other.select(lengths.alias("n")).distinct().collect()]  # one to three values
+    grams = F.array_distinct(F.concat(*[_grams(F.lower("text"), n) for n in sizes]))
+    return by_word.unionByName(_anchored(texts, other, grams, _grams(F.col("_low"), lengths)))
 
 
 def top_matches(texts: DataFrame, needles: DataFrame, order: list[str], k: int) -> DataFrame:

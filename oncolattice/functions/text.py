@@ -6,8 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-# White space as Unicode text sees it, including the separator controls.
-SPACE = r"[\s\x1c-\x1f]"
+# White space as Unicode text sees it, including the separator controls. Written out, so
+# that patterns and trims need no Unicode property lookups.
+BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+          "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+SPACE = r"[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 U = "(?U)"
 
 
@@ -22,12 +25,12 @@ def pick(values: Sequence, index: Column) -> Column:
 
 def strip(col: Column) -> Column:
     """Trim any white space, not only blanks."""
-    return F.regexp_replace(col, rf"{U}^{SPACE}+|{SPACE}+$", "")
+    return F.trim(col, F.lit(BLANKS))
 
 
 def words(col: Column) -> Column:
     """White-space separated words without empty ones."""
-    return F.filter(F.split(col, rf"{U}{SPACE}+"), lambda w: w != "")
+    return F.array_remove(F.split(col, SPACE + "+"), "")
 
 
 def any_term(text: Column, terms: Sequence[str]) -> Column:

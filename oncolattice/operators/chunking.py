@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.prefix import running_start
-from ..functions.text import U, lits, strip, words
+from ..functions.text import U, any_term, lits, strip, words
 from ..sources.documents import TECHNICAL_APPENDIX_DOCS
 
 # --------------------------------------------------------------------------
@@ -33,6 +33,17 @@ TYPE_PATTERNS = {
     "ontology": r"(?:owl:|rdfs:|her2:|frac:|ncit:|namespace|@prefix|subClassOf|equivalentClass)",
     "table": r"^\|.+\|$",
 }
+# A word that every hit of the type's pattern holds, in lower case
+TYPE_WORDS = {
+    "algorithm": ["nodo", "entrada:", "acción:", "→", "algorithm", "flowchart", "decision", "paso"],
+    "criteria": ["ihc", "ish", "ratio", "señales/célula", "score", "tinción", "staining"],
+    "recommendation": ["recom", "should", "must", "guideline", "se debe"],
+    "fractal_mapping": ["fractal", "lacun", "dimension", "d0", "d1", "entropía"],
+    "qa": ["calidad", "quality", "control", "validation", "qa", "proficiency", "aseguramiento"],
+    "ontology": ["owl:", "rdfs:", "her2:", "frac:", "ncit:", "namespace", "@prefix", "subclassof", "equivalentclass"],
+    "table": ["|"],
+}
+LONG_S = "ſ"  # counts as s when case is ignored, but has no lower case
 MIN_WINDOW_CHARS = 50
 MIN_ALGORITHM_CHARS = 80
 MIN_PAGE_WORDS = 60
@@ -44,12 +55,18 @@ OPEN = "\ue000"
 
 
 def content_type(text: Column) -> Column:
-    """CHK11: the type with most pattern hits; earlier types win ties, none is general."""
+    """CHK11: the type with most pattern hits; earlier types win ties, none is general.
+
+    Counting with the patterns is dear, looking for their fixed words is not: a type
+    whose words are all absent is not counted.
+    """
+    low = F.lower(text)
     scored = []
     for rank, (name, pattern) in enumerate(TYPE_PATTERNS.items()):
         flags = "(?md)" if name == "table" else "(?iU)"
-        scored.append(F.struct(F.regexp_count(text, F.lit(flags + pattern)).alias("hits"),
-                               F.lit(-rank).alias("order"), F.lit(name).alias("name")))
+        maybe = any_term(low, TYPE_WORDS[name]) | low.contains(LONG_S)
+        hits = F.when(maybe, F.regexp_count(text, F.lit(flags + pattern))).otherwise(0)
+        scored.append(F.struct(hits.alias("hits"), F.lit(-rank).alias("order"), F.lit(name).alias("name")))
     best = F.array_max(F.array(*scored))
     return F.when(best["hits"] > 0, best["name"]).otherwise("general")
 
@@ -223,9 +240,9 @@ def page_chunk_id(doc: Column, page: Column, number: Column) -> Column:
     return F.concat(F.regexp_replace(F.lower(doc), "[^a-z0-9]", "_"), F.format_string("_p%04d_c%04d", page, number))
 
 
-def page_pieces(text: Column, size: int = 500, overlap: int = 100) -> Column:
+def page_pieces(text: Column, short: Column, size: int = 500, overlap: int = 100) -> Column:
     """CHK9: a page under 60 words whole, a longer one in windows."""
-    return F.when(F.size(words(text)) < MIN_PAGE_WORDS, F.array(strip(text))).otherwise(windows(text, size, overlap))
+    return F.when(short, F.array(strip(text))).otherwise(windows(text, size, overlap))
 
 
 def chunk_pages(pages: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
@@ -235,9 +252,8 @@ def chunk_pages(pages: DataFrame, size: int = 500, overlap: int = 100) -> DataFr
     for the running numbers, in stretches of pages, so that one huge document does not
     end up in one task.
     """
-    cut = pages.filter(strip(F.col("text")) != "").select(
-        "source_doc", "page_num", (F.size(words(F.col("text"))) < MIN_PAGE_WORDS).alias("_short"),
-        page_pieces(F.col("text"), size, overlap).alias("_pieces"))
+    cut = pages.filter(strip(F.col("text")) != "").withColumn("_short", F.size(words(F.col("text"))) < MIN_PAGE_WORDS).select(
+        "source_doc", "page_num", "_short", page_pieces(F.col("text"), F.col("_short"), size, overlap).alias("_pieces"))
     starts = running_start(cut.select("source_doc", "page_num", F.size("_pieces").alias("_k")),
                            "source_doc", "page_num", "_k", "_first").drop("_k")
     rows = cut.join(starts, ["source_doc", "page_num"]).select(

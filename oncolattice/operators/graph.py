@@ -18,26 +18,29 @@ from .chunking import stored_text
 
 NODE_KEY = ["type", "id"]
 EDGE_KEY = ["src", "predicate", "dst", "condition", "algorithm_id"]
-_OWN = "\0"  # marks columns while they travel with the properties
 
 
 def _fold(rows: DataFrame, key: list[str], columns: dict[str, str], keep_non_empty: bool) -> DataFrame:
     """Last write per key and property; a null property value removes it.
 
     ``rows`` holds key, columns, props and ``_seq`` (-1 for what was there before).
+    Columns fold in one aggregate; only rows that have properties are exploded, and
+    those are folded per property before they meet per key.
     """
-    own = [F.when(F.col(c).isNotNull(), F.struct(F.lit(_OWN + c).alias("key"), F.col(c).cast("string").alias("value"))) for c in columns]
-    mark = F.struct(F.lit(_OWN).alias("key"), F.lit("").alias("value"))
-    entries = F.concat(F.coalesce(F.map_entries("props"), F.array().cast("array<struct<key:string,value:string>>")),
-                       F.array_compact(F.array(mark, *own)))
-    long = rows.select(*key, "_seq", F.explode(entries).alias("_e")).select(*key, "_seq", "_e.key", "_e.value")
+    def last(value, seq):
+        return F.max_by(value, F.struct(seq, value))
+    own = rows.groupBy(*key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("_seq", c))).alias(c) for c in columns])
+    long = rows.select(*key, "_seq", F.explode("props").alias("key", "value"))
     if keep_non_empty:
-        long = long.filter((F.col("_seq") < 0) | (F.col("key") == _OWN) | ~F.coalesce("value", F.lit("")).isin("", '""'))
-    last = long.groupBy(*key, "key").agg(F.max_by("value", F.struct("_seq", "value")).alias("value"))
-    pairs = F.when(~F.col("key").startswith(_OWN) & F.col("value").isNotNull(), F.struct("key", "value"))
-    return last.groupBy(*key).agg(
-        *[F.max(F.when(F.col("key") == _OWN + c, F.col("value"))).cast(t).alias(c) for c, t in columns.items()],
-        F.map_from_entries(F.array_sort(F.collect_list(pairs))).alias("props"))
+        long = long.filter((F.col("_seq") < 0) | ~F.coalesce("value", F.lit("")).isin("", '""'))
+    kept = long.groupBy(*key, "key").agg(last(F.col("value"), F.col("_seq")).alias("value")).filter("value is not null")
+    props = kept.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("props"))
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return own.alias("a").join(props.alias("b"), same, "left").select(
+        *[F.col(f"a.{c}").alias(c) for c in key], *[F.col(f"a.{c}").cast(t).alias(c) for c, t in columns.items()],
+        F.coalesce("b.props", F.create_map().cast("map<string,string>")).alias("props"))
 
 
 def upsert_nodes(existing: DataFrame, incoming: DataFrame, policy: str = "overwrite") -> DataFrame:

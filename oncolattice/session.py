@@ -35,6 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan with fewer partitions than cores before costly row-wise work.
+
+    For a plain scan only. A large input has more splits than cores and stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise reliably and drop lineage (used between rounds of a bounded loop)."""
     context = df.sparkSession.sparkContext
