@@ -13,7 +13,7 @@ TECHNICAL_APPENDIX_DOCS = ["apendice_frameworks_graphrag.md", "apendice_langchai
 
 def read_markdown(spark: SparkSession, folder: str, exclude=(), priority=tuple(PRIORITY_DOCS)) -> DataFrame:
     """SRC1: one row per Markdown file with its place in the reading order."""
-    files = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    files = (spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
              .select(F.col("_metadata.file_name").alias("source_doc"), F.col("value").alias("text")))
     return reading_order(files, exclude, priority)
 
