@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import pick
+from ..functions.text import pick, unnest
 from ..operators.cases import ish_group
 from ..session import spread
 
@@ -94,7 +94,7 @@ def agent_results(spark, path):
     """Results of the agents that each query is routed to by keyword."""
     from ..operators.routing import keyword_route
     q = queries(spark, path)
-    return q.select("query_id", "thread_id", F.posexplode(keyword_route(F.col("query"), F.col("has_case"))).alias("seq", "agent")).select(
+    return unnest(q, ["query_id", "thread_id"], keyword_route(F.col("query"), F.col("has_case")), "agent", "seq").select(
         "query_id", "thread_id", "seq", "agent",
         pick(["HIGH", "MEDIUM", "LOW", "odd", ""], F.col("query_id") + F.col("seq")).alias("confidence"),
         F.when(F.col("agent") == "validation", F.col("query_id") % 3).alias("critical_count"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import unnest
 from ..operators import cases as c, grounding as g, routing as r
 from ..sources import vocabulary as v
 from . import duck_inputs as _d, inputs as i
@@ -85,7 +86,7 @@ table("d0_issues", """SELECT case_id, 'FRACTAL_D0_RANGE' AS rule_id, 'HIGH' AS s
 
 
 def _issue_rows(df, issues):
-    return df.select("case_id", F.explode(issues).alias("i")).select("case_id", "i.rule_id", "i.severity", "i.description")
+    return unnest(df, ["case_id"], issues, "i").select("case_id", "i.rule_id", "i.severity", "i.description")
 
 
 @query("CAS5", "SELECT * FROM rule_issues", ("rule_issues",))

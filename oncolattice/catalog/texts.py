@@ -81,7 +81,7 @@ def _md(spark, path):
 
 
 def _segments(spark, path):
-    return i.markdown_docs(spark, path).select("source_doc", F.posexplode(k.sections(F.col("text"))).alias("n", "p")).select(
+    return k.unnest(i.markdown_docs(spark, path), ["source_doc"], k.sections(F.col("text")), "p", "n").select(
         "source_doc", "n", "p.section", "p.text")
 
 
@@ -97,8 +97,7 @@ def chk2(spark, path):
 
 def _block(pattern, keep=0):
     def run(spark, path):
-        found = F.explode(k.blocks(F.col("text"), pattern)).alias("block")
-        out = _segments(spark, path).select("source_doc", "section", found)
+        out = k.unnest(_segments(spark, path), ["source_doc", "section"], k.blocks(F.col("text"), pattern), "block").drop("_pos")
         return out.filter(F.length(k.strip(F.col("block"))) >= keep) if keep else out
     return run
 
@@ -113,14 +112,14 @@ _SENT = r"string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g')
 
 @query("CHK6", f"SELECT doc_id, unnest({_SENT}) AS sentence, generate_subscripts({_SENT}, 1) - 1 AS pos FROM documents")
 def chk6(spark, path):
-    return i.read_texts(spark, path, "documents").select("doc_id", F.posexplode(k.sentences(F.col("text"))).alias("p", "sentence")).select(
+    return k.unnest(i.read_texts(spark, path, "documents"), ["doc_id"], k.sentences(F.col("text")), "sentence", "p").select(
         "doc_id", F.col("p").cast("bigint").alias("pos"), "sentence")
 
 
 @query("CHK7", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY st) - 1 AS pos, content FROM dw", (),
        d.window_tables("documents", ("doc_id",), "dw"))
 def chk7(spark, path):
-    return i.read_texts(spark, path, "documents").select("doc_id", F.posexplode(k.windows(F.col("text"))).alias("p", "content")).select(
+    return k.unnest(i.read_texts(spark, path, "documents"), ["doc_id"], k.windows(F.col("text")), "content", "p").select(
         "doc_id", F.col("p").cast("bigint").alias("pos"), "content")
 
 

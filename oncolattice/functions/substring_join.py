@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .text import unnest
+
 GRAM = 3
 # Up to this many needles are tried on every text directly; more are joined by gram.
 DIRECT = 256
@@ -30,7 +32,7 @@ def _inner_words(text: Column) -> Column:
 def _anchored(texts: DataFrame, low: DataFrame, keys_of_text: Column, keys_of_needle: Column) -> DataFrame:
     """Pairs found by an equi-join on each needle's rarest key, then compared."""
     wanted = low.withColumn("_key", F.explode(keys_of_needle))
-    held = texts.select("text_id", F.explode(keys_of_text).alias("_key"))
+    held = unnest(texts, ["text_id"], keys_of_text, "_key").drop("_pos")
     counts = held.join(wanted.select("_key").distinct(), "_key", "left_semi").groupBy("_key").agg(F.count("*").alias("_texts"))
     rarest = (wanted.join(counts, "_key", "left").groupBy("needle", "_low")
               .agg(F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("k"), F.col("_key").alias("key"))).alias("m"))
@@ -60,8 +62,8 @@ def contains_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
             return by_word
         listed = F.array(*[F.struct(F.lit(r["needle"]).alias("needle"), F.lit(r["_low"]).alias("low")) for r in few])
         text = F.col("_text")
-        direct = texts.withColumn("_text", F.lower("text")).select(
-            "text_id", F.explode(F.filter(listed, lambda n: text.contains(n["low"]))).alias("_n")).select("text_id", "_n.needle")
+        direct = unnest(texts.withColumn("_text", F.lower("text")), ["text_id"], F.filter(listed, lambda n: text.contains(n["low"])), "_n").select(
+            "text_id", "_n.needle")
         return by_word.unionByName(direct)
     lengths = F.least(F.length("_low"), F.lit(GRAM))
     sizes = [r["n"] for r in other.select(lengths.alias("n")).distinct().collect()]  # one to three values

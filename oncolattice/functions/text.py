@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # White space as Unicode text sees it, including the separator controls. Written out, so
 # that patterns and trims need no Unicode property lookups.
@@ -53,3 +53,12 @@ def default_empty(col: Column) -> Column:
 
 def empty_to_null(col: Column) -> Column:
     return F.when(col != "", col)
+
+
+def unnest(df: DataFrame, keep: list, array: Column, item: str, pos: str = "_pos") -> DataFrame:
+    """One row per element of a costly array, with its position.
+
+    An outer generate with a filter after it: for an inner one the optimizer adds a size
+    check below, and that would compute the array a second time.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, item)).filter(F.col(pos).isNotNull())

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.prefix import running_start
-from ..functions.text import U, any_term, lits, strip, words
+from ..functions.text import U, any_term, lits, strip, unnest, words
 from ..sources.documents import TECHNICAL_APPENDIX_DOCS
 
 # --------------------------------------------------------------------------
@@ -211,7 +211,7 @@ def chunk_markdown(docs: DataFrame, size: int = 500, overlap: int = 100, keep_te
     starts = F.aggregate(counts, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
     with_start = F.zip_with("_parts", F.slice(starts, F.lit(1), F.size("_parts")), lambda p, s: F.transform(
         p["chunks"], lambda c: F.struct(p["section"].alias("section"), s.alias("start"), c["kind"].alias("kind"), c["content"].alias("content"))))
-    rows = staged.select("source_doc", "_stem", F.posexplode(F.flatten(with_start)).alias("_n", "_c"))
+    rows = unnest(staged, ["source_doc", "_stem"], F.flatten(with_start), "_c", "_n")
 
     mark = OPEN + r"(CODE_BLOCK|TABLE|ALGO_BLOCK)_([^" + OPEN + r"]*?)_c(\d{4,})\]"
     content = F.col("_c.content")
@@ -256,8 +256,7 @@ def chunk_pages(pages: DataFrame, size: int = 500, overlap: int = 100) -> DataFr
         "source_doc", "page_num", "_short", page_pieces(F.col("text"), F.col("_short"), size, overlap).alias("_pieces"))
     starts = running_start(cut.select("source_doc", "page_num", F.size("_pieces").alias("_k")),
                            "source_doc", "page_num", "_k", "_first").drop("_k")
-    rows = cut.join(starts, ["source_doc", "page_num"]).select(
-        "source_doc", "page_num", "_short", "_first", F.posexplode("_pieces").alias("_n", "content"))
+    rows = unnest(cut.join(starts, ["source_doc", "page_num"]), ["source_doc", "page_num", "_short", "_first"], F.col("_pieces"), "content", "_n")
     number = (F.col("_first") + F.col("_n")).cast("int")
     stem = F.regexp_replace("source_doc", r"(?<=.)\.[^.]+$", "")
     return rows.select(

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import strip
+from ..functions.text import strip, unnest
 from ..sources.vocabulary import CANONICAL_URIS, NODE_TYPES, PREDICATES
 
 # --------------------------------------------------------------------------
@@ -207,10 +207,10 @@ def totals(extractions: DataFrame) -> DataFrame:
 
 def entity_rows(extractions: DataFrame) -> DataFrame:
     """One row per entity with its place in the answer."""
-    return extractions.select("chunk_id", "section", F.posexplode("entities").alias("pos", "e")).select(
+    return unnest(extractions, ["chunk_id", "section"], F.col("entities"), "e", "pos").select(
         "chunk_id", "section", "pos", F.col("e.id").alias("local_id"), "e.label", "e.type", "e.definition", "e.source_quote",
         "e.candidate_uri", "e.confidence")
 
 
 def relation_rows(extractions: DataFrame) -> DataFrame:
-    return extractions.select("chunk_id", F.posexplode("relations").alias("pos", "r")).select("chunk_id", "pos", "r.*")
+    return unnest(extractions, ["chunk_id"], F.col("relations"), "r", "pos").select("chunk_id", "pos", "r.*")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.props import prop
 from ..functions.substring_join import top_matches
-from ..functions.text import default_empty, found_terms, lits
+from ..functions.text import default_empty, found_terms, lits, unnest
 from .cases import ARROW, SCORE_IDS, SCORES
 from .grounding import KNOWN_ENTITIES
 
@@ -82,7 +82,7 @@ def evidence(queries: DataFrame, chunks: DataFrame, types=tuple(EVIDENCE_TYPES),
     The best chunks are found once per distinct keyword and then handed to the
     queries that ask for it, so a term that a third of all queries use costs one lookup.
     """
-    asked = queries.select("query_id", F.posexplode(keywords(F.col("query"))).alias("kw_pos", "needle"))
+    asked = unnest(queries, ["query_id"], keywords(F.col("query")), "needle", "kw_pos")
     texts = chunks.filter(F.col("content_type").isin(list(types))).select(
         F.col("chunk_id").alias("text_id"), F.col("content").alias("text"), "source_doc", "content_type")
     hits = top_matches(texts, asked.select("needle"), ["source_doc"], top)

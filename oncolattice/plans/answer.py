@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.text import unnest
 from ..operators import cases as c, retrieval as t, routing as r
 from ..operators.cases import ARROW
 
@@ -27,7 +28,7 @@ def answer(queries: DataFrame, cases: DataFrame, nodes: DataFrame, edges: DataFr
     ``queries(query_id, query, has_case, router_raw, ran, iteration, case_id)``; a query
     without a case has a null case_id.
     """
-    planned = r.next_step(r.route(queries)).select("query_id", "query", "case_id", F.posexplode("planned_agents").alias("seq", "agent"))
+    planned = unnest(r.next_step(r.route(queries)), ["query_id", "query", "case_id"], F.col("planned_agents"), "agent", "seq")
 
     def of(agent):
         return planned.filter(F.col("agent") == agent).select("query_id", "query", "case_id", "seq", "agent")
