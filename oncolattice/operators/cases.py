@@ -121,12 +121,12 @@ def workup_table(decision_nodes: DataFrame) -> DataFrame:
 def group_workup(cases: DataFrame, decision_nodes: DataFrame) -> DataFrame:
     """CAS4: outcome of the group 2-4 workup given the concurrent IHC score.
 
-    The table has nine rows, so it is broadcast; other groups drop out.
+    The table has nine rows, so Spark broadcasts it; other groups drop out.
     """
     score = normal_score(F.col("ihc_score"))
     keyed = cases.withColumn("group", ish_group(F.col("ish_ratio"), F.col("signals_per_cell"))).withColumn(
         "ihc_class", F.when(score.isin("3+", "2+"), score).when(score.isNotNull(), "low"))
-    return keyed.join(F.broadcast(workup_table(decision_nodes)), ["group", "ihc_class"])
+    return keyed.join(workup_table(decision_nodes), ["group", "ihc_class"])
 
 
 def _issue(rule: str, severity: str, text: Column, kind: str) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.prefix import running_start
 from ..functions.text import U, any_term, lits, strip, unnest, words
+from ..session import cut
 from ..sources.documents import TECHNICAL_APPENDIX_DOCS
 
 # --------------------------------------------------------------------------
@@ -248,15 +249,16 @@ def page_pieces(text: Column, short: Column, size: int = 500, overlap: int = 100
 def chunk_pages(pages: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
     """CHK9 and CHK10 over (source_doc, page_num, text); numbers run through the document.
 
-    Page texts are cut where they are; only page numbers and counts are shuffled
-    for the running numbers, in stretches of pages, so that one huge document does not
-    end up in one task.
+    Page texts are cut where they are, once, and checkpointed, because counting and
+    writing both need the pieces. Only page numbers and counts are shuffled for the
+    running numbers, in stretches of pages, so that one huge document does not end
+    up in one task.
     """
-    cut = pages.filter(strip(F.col("text")) != "").withColumn("_short", F.size(words(F.col("text"))) < MIN_PAGE_WORDS).select(
-        "source_doc", "page_num", "_short", page_pieces(F.col("text"), F.col("_short"), size, overlap).alias("_pieces"))
-    starts = running_start(cut.select("source_doc", "page_num", F.size("_pieces").alias("_k")),
+    pieces = cut(pages.filter(strip(F.col("text")) != "").withColumn("_short", F.size(words(F.col("text"))) < MIN_PAGE_WORDS).select(
+        "source_doc", "page_num", "_short", page_pieces(F.col("text"), F.col("_short"), size, overlap).alias("_pieces")))
+    starts = running_start(pieces.select("source_doc", "page_num", F.size("_pieces").alias("_k")),
                            "source_doc", "page_num", "_k", "_first").drop("_k")
-    rows = unnest(cut.join(starts, ["source_doc", "page_num"]), ["source_doc", "page_num", "_short", "_first"], F.col("_pieces"), "content", "_n")
+    rows = unnest(pieces.join(starts, ["source_doc", "page_num"]), ["source_doc", "page_num", "_short", "_first"], F.col("_pieces"), "content", "_n")
     number = (F.col("_first") + F.col("_n")).cast("int")
     stem = F.regexp_replace("source_doc", r"(?<=.)\.[^.]+$", "")
     return rows.select(

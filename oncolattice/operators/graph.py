@@ -194,7 +194,7 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, limit: int, kind: str | No
     picked = nodes.filter(F.col("type") == kind) if kind else nodes.filter(F.col("type") != "Chunk")
     page = picked.orderBy("id", "type").limit(limit).select(F.col("id").alias("src"), "type", "label")
     ends = nodes.filter(F.col("type") != "Chunk").select(F.col("id").alias("dst"), F.col("label").alias("dst_label"))
-    out = edges.select("src", "predicate", "dst").join(F.broadcast(page.select("src").distinct()), "src", "left_semi").join(ends, "dst")
+    out = edges.select("src", "predicate", "dst").join(page.select("src").distinct(), "src", "left_semi").join(ends, "dst")
     return page.join(out, "src", "left").select("src", "type", "label", "predicate", "dst", "dst_label")
 
 

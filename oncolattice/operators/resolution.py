@@ -1,8 +1,10 @@
 """Labels to canonical URIs and stable node ids.
 
-Exact tiers are broadcast joins against the curated dictionary (tens of rows);
-the fuzzy tier is an Arrow UDF over the labels still open. Neither shuffles the
-entities, so a label that holds a third of all rows costs nothing extra.
+Exact tiers are joins against the curated dictionary (tens of rows), which Spark
+broadcasts because it is a local relation of known size; the fuzzy tier is an Arrow UDF
+over the labels still open. Neither shuffles the entities, so a label that holds a third
+of all rows costs nothing extra. A larger dictionary passed in is joined without a hint:
+broadcast when it measures small, split on skewed labels when not.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ def exact_match(entities: DataFrame, dictionary: DataFrame, snomed: DataFrame) -
     terms = known.join(snomed.select(F.col("label").alias("_label"), "snomed_uri"), "_label", "left")
 
     def side(suffix):
-        return F.broadcast(terms.select(*[F.col(c).alias(c + suffix) for c in terms.columns]))
+        return terms.select(*[F.col(c).alias(c + suffix) for c in terms.columns])
     return (
         entities.join(side("1"), F.col("label") == F.col("_label1"), "left")
         .join(side("2"), normalize_label(F.col("label")) == F.col("_label2"), "left")
@@ -66,7 +68,7 @@ def exact_match(entities: DataFrame, dictionary: DataFrame, snomed: DataFrame) -
 def case_insensitive(entities: DataFrame, dictionary: DataFrame) -> DataFrame:
     """RES4: adds ci_uri, the first dictionary entry equal but for case."""
     low = dictionary.groupBy(F.lower("label").alias("_low")).agg(F.min_by("uri", "ord").alias("ci_uri"))
-    return entities.join(F.broadcast(low), F.lower("label") == F.col("_low"), "left").drop("_low")
+    return entities.join(low, F.lower("label") == F.col("_low"), "left").drop("_low")
 
 
 def fuzzy_match(entities: DataFrame, open_label: Column, dictionary: list[tuple[str, str]] | DataFrame) -> DataFrame:
@@ -82,7 +84,7 @@ def fuzzy_match(entities: DataFrame, open_label: Column, dictionary: list[tuple[
     spark = entities.sparkSession
     rows = v.local_df(spark, [("_match", v._STR), ("fuzzy_uri", v._STR)], list(dictionary))
     best = closest_label(open_label, normalize_label(open_label), [label for label, _ in dictionary], CUTOFF)
-    return entities.withColumn("_best", best).join(F.broadcast(rows), F.col("_best") == F.col("_match"), "left").drop("_best", "_match")
+    return entities.withColumn("_best", best).join(rows, F.col("_best") == F.col("_match"), "left").drop("_best", "_match")
 
 
 def levenshtein_match(labels: DataFrame, dictionary: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
@@ -110,8 +112,8 @@ def resolve(entities: DataFrame, fuzzy: str = "sequence", dictionary: DataFrame
     """RES1-RES8 over entity rows: adds resolved_uri, ncit_uri, snomed_uri and id.
 
     Order of trust: supplied URI, exact, fuzzy, equal but for case, local. ``fuzzy`` is
-    ``sequence``, ``levenshtein`` or ``off``. Dictionaries passed in must be small
-    enough to broadcast; the defaults are the curated ones.
+    ``sequence``, ``levenshtein`` or ``off``. The default dictionaries are the curated
+    ones; others may be of any size with ``levenshtein`` or ``off``.
     """
     spark = entities.sparkSession
     words = dictionary if dictionary is not None else v.canonical_df(spark)
@@ -131,7 +133,7 @@ def resolve(entities: DataFrame, fuzzy: str = "sequence", dictionary: DataFrame
         .withColumn("ncit_uri", F.when(F.col("resolved_uri").startswith("NCIt:"), F.col("resolved_uri")))
         .withColumn("snomed_uri", F.when(F.col("resolved_uri").startswith("snomed:"), F.col("resolved_uri"))
                     .when(F.col("_trusted").isNull() & F.col("exact_uri").isNotNull(), F.col("exact_snomed")))
-        .join(F.broadcast(seeds.withColumnRenamed("uri", "resolved_uri")), "resolved_uri", "left")
+        .join(seeds.withColumnRenamed("uri", "resolved_uri"), "resolved_uri", "left")
         .withColumn("id", F.coalesce("seed_id", node_id(F.col("label"))))
         .drop("_trusted", "exact_uri", "exact_snomed", "fuzzy_uri", "ci_uri", "seed_id")
     )

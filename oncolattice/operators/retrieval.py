@@ -129,13 +129,13 @@ def guideline_topics(needles: DataFrame, nodes: DataFrame, edges: DataFrame, top
 def static_evidence(requests: DataFrame, evidence_dim: DataFrame, guidelines: DataFrame) -> DataFrame:
     """RET10: eligible and not eligible agents and guidelines per requested category; unknown ones are not found.
 
-    Both sides hold a handful of rows per category and are broadcast.
+    The evidence side holds a row per category; no hint is set, Spark measures it.
     """
     def agents(flag):
         return F.array_join(F.array_sort(F.collect_list(F.when(F.col("eligible") == flag, F.col("agent")))), ", ")
     dim = evidence_dim.groupBy("category").agg(agents(True).alias("eligible_agents"), agents(False).alias("not_eligible_agents"))
-    dim = guidelines.join(F.broadcast(dim), "category").withColumnRenamed("category", "_norm")
-    return requests.withColumn("_norm", F.replace("category", F.lit("-"), F.lit("_"))).join(F.broadcast(dim), "_norm", "left").withColumn(
+    dim = guidelines.join(dim, "category").withColumnRenamed("category", "_norm")
+    return requests.withColumn("_norm", F.replace("category", F.lit("-"), F.lit("_"))).join(dim, "_norm", "left").withColumn(
         "found", F.col("guidelines").isNotNull()).drop("_norm")
 
 
@@ -257,4 +257,4 @@ def eligibility_matrix(classified: DataFrame, evidence_dim: DataFrame, agents: l
     cell = F.array_join(F.array_sort(F.collect_set(F.when(F.col("eligible"), "eligible").otherwise("not eligible"))), " / ")
     per = classified.groupBy(F.col("classification").alias("category")).agg(F.count("*").alias("cases"))
     wide = evidence_dim.groupBy("category").pivot("agent", agents).agg(cell)
-    return per.join(F.broadcast(wide), "category", "left")
+    return per.join(wide, "category", "left")
