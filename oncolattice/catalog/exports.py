@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking as k, rdf, rules, vectors as vec
 from ..plans import answer as ans, build as bld
-from ..session import shared_dir
+from ..session import shared_dir, spread
 from ..sources import sinks, vocabulary as v
 from ..streaming import ingest as stream, threads
 from . import duck_inputs as d, graphs, inputs as i
@@ -216,7 +216,7 @@ def str1(spark, path):
     store = sinks.GraphStore(spark, root)
 
     def pages(docs):
-        return k.chunk_pages(docs.select(F.concat(F.lit("Doc-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_doc"),
+        return k.chunk_pages(spread(docs).select(F.concat(F.lit("Doc-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_doc"),
                                          F.posexplode(F.split("text", "\n")).alias("page_num", "text")).withColumn("page_num", F.col("page_num") + 1))
     for turn in (1, 2):
         docs = stream.parquet_stream(spark, path, "documents.parquet", f"{path}/documents.parquet")
