@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.prefix import running_start
 from ..functions.text import U, any_term, lits, strip, unnest, words
 from ..session import cut
-from ..sources.documents import TECHNICAL_APPENDIX_DOCS
 
 # --------------------------------------------------------------------------
 # Patterns and limits
@@ -167,12 +166,13 @@ def _numbered(kinds, contents):
 
 
 def chunk_markdown(docs: DataFrame, size: int = 500, overlap: int = 100, keep_text: bool = False,
-                   appendix=tuple(TECHNICAL_APPENDIX_DOCS)) -> DataFrame:
+                   appendix=()) -> DataFrame:
     """CHK1-CHK8, CHK11, CHK12: chunks of Markdown documents (source_doc, text).
 
     Per section: fenced code, tables, decision text, then windows over what is
     left, where each block leaves a placeholder with its chunk id. Numbers run
     through the document. A block found twice keeps two chunks and one placeholder.
+    Every chunk of a document named in ``appendix`` is of type technical_appendix.
     """
     stem = F.regexp_replace("source_doc", r"(?<=.)\.[^.]+$", "")
     first = lambda found, b: (F.array_position(found, b) - 1).cast("int")

@@ -6,21 +6,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import lits, strip
 
-# Files read first, files left out
-PRIORITY_DOCS = ["annex_guidelines.md", "annex_ontology.md", "her2_kg_pipeline_guide.md"]
-TECHNICAL_APPENDIX_DOCS = ["apendice_frameworks_graphrag.md", "apendice_langchain_langgraph.md"]
 
+def read_markdown(spark: SparkSession, folder: str, exclude=(), priority=()) -> DataFrame:
+    """SRC1: one row per Markdown file with its place in the reading order.
 
-def read_markdown(spark: SparkSession, folder: str, exclude=(), priority=tuple(PRIORITY_DOCS)) -> DataFrame:
-    """SRC1: one row per Markdown file with its place in the reading order."""
+    ``priority`` names the files to read first, in order; ``exclude`` those to leave out.
+    """
     files = (spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
              .select(F.col("_metadata.file_name").alias("source_doc"), F.col("value").alias("text")))
     return reading_order(files, exclude, priority)
 
 
-def reading_order(docs: DataFrame, exclude=(), priority=tuple(PRIORITY_DOCS)) -> DataFrame:
+def reading_order(docs: DataFrame, exclude=(), priority=()) -> DataFrame:
     """Drop excluded documents; sort by (priority_rank, source_doc) to get the reading order."""
-    rank = F.array_position(lits(list(priority)), F.col("source_doc"))
+    rank = F.array_position(lits(list(priority)), F.col("source_doc")) if priority else F.lit(0)
     return docs.filter(~F.col("source_doc").isin(list(exclude))).withColumn(
         "priority_rank", F.when(rank > 0, rank - 1).otherwise(len(priority)).cast("bigint"))
 

@@ -93,12 +93,12 @@ def test_pages_number_through_document(spark):
 
 
 def test_markdown_folder(spark, tmp_path):
-    for name in ("b.md", "a.md", "annex_ontology.md", "skip.md", "x.txt"):
+    for name in ("b.md", "a.md", "z_first.md", "skip.md", "x.txt"):
         (tmp_path / name).write_text("# t\nwords")
-    rows = documents.read_markdown(spark, str(tmp_path), exclude=["skip.md"]).orderBy("priority_rank", "source_doc").collect()
-    assert [r["source_doc"] for r in rows] == ["annex_ontology.md", "a.md", "b.md"]
+    rows = documents.read_markdown(spark, str(tmp_path), exclude=["skip.md"], priority=["none.md", "z_first.md"]).orderBy("priority_rank", "source_doc").collect()
+    assert [r["source_doc"] for r in rows] == ["z_first.md", "a.md", "b.md"]
     found = documents.manifest(spark, str(tmp_path), {"markdown": "*.md", "text": "*.txt"}, ["skip.md"]).collect()
-    assert {(r["name"], r["format"]) for r in found} == {("a.md", "markdown"), ("b.md", "markdown"), ("annex_ontology.md", "markdown"), ("x.txt", "text")}
+    assert {(r["name"], r["format"]) for r in found} == {("a.md", "markdown"), ("b.md", "markdown"), ("z_first.md", "markdown"), ("x.txt", "text")}
 
 
 def parsed(spark, raw):
