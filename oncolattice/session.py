@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,12 +25,17 @@ def get_session(app: str = "oncolattice", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
+    """Folder every executor can reach: spark.checkpoint.dir, or the one given to setCheckpointDir.
 
-    A local folder is made only where nothing is set, that is in local tests.
+    On a cluster one of them must be set. In local mode, as in tests, a folder is made where none is.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not path and named.isDefined():
+        path = named.get()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="oncolattice-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
