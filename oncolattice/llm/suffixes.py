@@ -228,6 +228,9 @@ def _edges(requests: DataFrame, docs: DataFrame, told: bool, length: int) -> Dat
         doc, t, place = (table.column(c).to_numpy() for c in ("doc", "t", "place"))
         order = np.lexsort((place, t, doc))
         doc, t, place = doc[order], t[order], place[order]
+        once = np.ones(len(order), bool)  # rows that repeat a document bring its stretches twice
+        once[1:] = (doc[1:] != doc[:-1]) | (t[1:] != t[:-1]) | (place[1:] != place[:-1])
+        order, doc, t, place = order[once], doc[once], t[once], place[once]
         texts = table.column("context").to_pylist()
         which, offset = repeated_windows([texts[i] for i in order], (place >> 12) & 4095, place & 4095, length)
         start = (place[which] >> 24) - offset
