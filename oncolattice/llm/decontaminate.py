@@ -18,6 +18,7 @@ from .arrays import ALNUM, LOWER, chunks, text_bytes, word_hashes, words, writte
 SEGMENT = 1 << 20      # bytes of text in a segment
 ITEM_BYTES = 4 << 20   # text of benchmark items looked up in one pass; more items go in further passes
 VOCABULARY = 4_000_000  # so many test terms (8 bytes each) may be sent out to thin the index; with more it holds all terms
+CANDIDATES = 200_000   # places of windows that are looked at together
 SCHEMA = "segment long, segment_docs array<long>, n_words array<int>, terms array<long>, sizes array<int>, docs binary, positions binary"
 
 
@@ -88,7 +89,8 @@ class _Segment:
 
     def __init__(self, terms, sizes, docs, positions):
         self.terms = terms
-        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.sizes = sizes.astype(np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         self.docs, self.positions = docs.astype(np.int64), positions.astype(np.int64)
         self.span = int(self.positions.max(initial=0)) + 2
         self.n_docs = int(self.docs.max(initial=0)) + 1
@@ -144,6 +146,7 @@ def _lookup(index: DataFrame, items: list, width: int, slop: int) -> DataFrame:
 
     def run(batches):
         item, grams, length, order = shared.value
+        reach = width + slop
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, n_words, terms, sizes = (batch.column(c)[row].values for c in range(1, 5))
@@ -151,34 +154,39 @@ def _lookup(index: DataFrame, items: list, width: int, slop: int) -> DataFrame:
                 line = np.arange(len(item))
                 first = segment.ranks(grams[line, order[:, 0]]) if len(item) else line
                 here = np.flatnonzero(first >= 0)
-                which, doc, pos = segment.postings(first[here])
-                window = here[which]
-                start = pos - order[window, 0]
-                exact = start >= 0
-                together = np.ones(len(window), bool)
-                reach = width + slop
-                for j in range(1, width):
-                    offset = order[window, j]
-                    rest = np.flatnonzero((j < length[window]) & (exact | together))
-                    if not len(rest):
-                        continue
-                    other = segment.ranks(grams[window[rest], offset[rest]])
-                    goal = start[rest] + offset[rest]
-                    exact[rest] &= segment.near(other, doc[rest], goal, goal) & (goal >= 0)
-                    together[rest] &= segment.near(other, doc[rest], np.maximum(pos[rest] - reach, 0), pos[rest] + reach)
                 n = n_words.to_numpy()
                 base = np.concatenate([[0], np.cumsum(n)])
                 cover = np.zeros(base[-1] + 1, np.int32)
-                at = base[doc[exact]] + start[exact]
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + length[window[exact]], -1)
+                hits, closes = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+                before = np.concatenate([[0], np.cumsum(segment.sizes[first[here]])])
+                begin = 0
+                while begin < len(here):  # so many candidates at once
+                    end = max(begin + 1, int(np.searchsorted(before, before[begin] + CANDIDATES, "right")) - 1)
+                    own = here[begin:end]
+                    begin = end
+                    which, doc, pos = segment.postings(first[own])
+                    window = own[which]
+                    start = pos - order[window, 0]
+                    exact, together = start >= 0, np.ones(len(window), bool)
+                    for j in range(1, width):
+                        rest = np.flatnonzero((j < length[window]) & (exact | together))
+                        offset = order[window[rest], j]
+                        other = segment.ranks(grams[window[rest], offset])
+                        goal = start[rest] + offset
+                        exact[rest] &= segment.near(other, doc[rest], goal, goal) & (goal >= 0)
+                        together[rest] &= segment.near(other, doc[rest], np.maximum(pos[rest] - reach, 0), pos[rest] + reach)
+                    at = base[doc[exact]] + start[exact]
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + length[window[exact]], -1)
+                    hits.append(np.unique(np.stack([doc[exact], item[window[exact]]], 1), axis=0))
+                    closes.append(np.unique(np.stack([doc[together], item[window[together]]], 1), axis=0))
                 on = np.cumsum(cover[:-1]) > 0
                 hit = np.concatenate([[0], np.cumsum(on)])
                 named = [[] for _ in n]
-                for d, i in np.unique(np.stack([doc[exact], item[window[exact]]], 1), axis=0).tolist():
+                for d, i in np.concatenate(hits).tolist():
                     named[d] += [names[i]] if names[i] is not None else []
                 close = [[] for _ in n]
-                for d, i in np.unique(np.stack([doc[together], item[window[together]]], 1), axis=0).tolist():
+                for d, i in np.concatenate(closes).tolist():
                     close[d] += [names[i]] if names[i] is not None else []
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([batch.column(0)[row].as_py()] * len(n), pa.int64()), pa.array(np.arange(len(n))), ids.cast(pa.int64()), n_words.cast(pa.int64()), pa.array(hit[base[1:]] - hit[base[:-1]], pa.int64()),
