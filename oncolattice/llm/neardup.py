@@ -122,6 +122,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _unshared(sets: DataFrame) -> DataFrame:
+    """set_id and how many of its shingles are in no other of the given sets; sets without such are left out."""
+    def run(batches):
+        for batch in batches:
+            raw = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in raw])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(raw) if raw else np.zeros(0, np.int64))], ["set_id", "shingle"])
+
+    owners = sets.select("set_id", "shingles").mapInArrow(run, "set_id long, shingle long").groupBy("shingle").agg(F.count("*").alias("sets"), F.min("set_id").alias("set_id"))
+    return owners.where("sets = 1").groupBy("set_id").agg(F.count("*").alias("unshared"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, miss: float = MISS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate component of every document: doc_id, n_shingles, component_id, kept.
@@ -134,9 +146,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     null if there is none. Other columns are ignored. An empty table gives an empty result.
 
     Two rounds find all links between components: first every member of a bucket is compared with the
-    bucket's smallest member; then, in buckets still holding several components, members outside the
-    smallest member's component are compared with members of other components. Only pairs inside one
-    component, which change nothing, are left out.
+    bucket's center; then, in buckets still holding several components, members outside the center's
+    component are compared with members of other components. Left out are pairs inside one component, which
+    change nothing, and pairs that cannot be similar enough given how many shingles of each are in no other
+    set of such buckets. A large group of loosely similar texts so makes few pairs.
     """
     n_halves = halves_for(percent / 100, rows, miss)
     made = written(sketches(docs, k, n_halves, rows, id_col, text_col))
@@ -145,8 +158,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     keys = F.array(*[F.xxhash64(F.col("halves")[i], F.col("halves")[j], F.lit(t))
                      for t, (i, j) in enumerate(combinations(range(n_halves), 2))])
     tables = nodes.select("set_id", "n", F.explode(keys).alias("key"))
-    center = tables.groupBy("key").agg(F.min("set_id").alias("c"), F.count("*").alias("size")).where("size > 1")
-    hits = written(tables.join(center, "key").select("key", "set_id", "n", "c", "size"))
+    shared = tables.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    hits = written(tables.join(shared, "key").select("key", "set_id", "n", "size"))
+    # a bucket's center is the member that keeps most company over all tables: it links most of the others
+    company = hits.groupBy("set_id").agg(F.sum("size").alias("company"))
+    center = hits.join(company, "set_id").groupBy("key").agg(F.max(F.struct("company", "set_id")).alias("c")).select("key", F.col("c.set_id").alias("c"))
+    hits = written(hits.join(center, "key").select("key", "set_id", "n", "c", "size"))
 
     wanted = hits.select("set_id").distinct()
     first_ids = made.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id")).join(wanted, "set_id", "left_semi")
@@ -166,10 +183,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     owner = found.select(F.col("id").alias("c"), F.col("component").alias("cg"))
     group = (hits.where("size > 2").join(member, "set_id", "left").join(owner, "c", "left")
              .select("key", "set_id", "n", "c", F.coalesce("g", "set_id").alias("g"), F.coalesce("cg", "c").alias("cg")))
-    outside = group.where("g != cg")
-    other = outside.select("key").distinct().join(group, "key").where("set_id != c").select(
-        "key", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("g").alias("h"), (F.col("g") != F.col("cg")).alias("out"))
-    rest = (outside.join(other, "key").where(f"g != h and (not out or set_id < b) and {near}")
+    mixed = written(group.join(group.where("g != cg").select("key").distinct(), "key", "left_semi"))
+    lonely = _unshared(sets.join(mixed.select("set_id").distinct(), "set_id", "left_semi"))
+    # at most `most` shingles of a set are in any other set here, which bounds the similarity of every pair
+    able = (mixed.join(lonely, "set_id", "left").withColumn("most", F.col("n") - F.coalesce("unshared", F.lit(0)))
+            .where(f"100 * most >= {percent} * n").select("key", "set_id", "n", "c", "g", "cg", "most"))
+    outside = able.where("g != cg").select("key", "set_id", "n", "g", "most")
+    other = able.where("set_id != c").select("key", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("g").alias("h"), (F.col("g") != F.col("cg")).alias("out"),
+                                             F.col("most").alias("most_b"))
+    enough = f"100 * least(most, most_b) >= {percent} * (n + m - least(most, most_b))"
+    rest = (outside.join(other, "key").where(f"g != h and (not out or set_id < b) and {near} and {enough}")
             .select(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")).distinct())
     more = written(_confirmed(rest, sets, percent))
     if more.take(1):
