@@ -134,6 +134,14 @@ def _unshared(sets: DataFrame) -> DataFrame:
     return owners.where("sets = 1").groupBy("set_id").agg(F.count("*").alias("unshared"))
 
 
+def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds the components g of set_id and cg of c; a set without links is its own."""
+    member = found.select(F.col("id").alias("set_id"), F.col("component").alias("g"))
+    owner = found.select(F.col("id").alias("c"), F.col("component").alias("cg"))
+    return (rows.join(member, "set_id", "left").join(owner, "c", "left")
+            .withColumn("g", F.coalesce("g", "set_id")).withColumn("cg", F.coalesce("cg", "c")))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, miss: float = MISS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate component of every document: doc_id, n_shingles, component_id, kept.
@@ -145,11 +153,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     repeat a doc_id are each returned; a null doc_id takes part and gets the smallest id of its component,
     null if there is none. Other columns are ignored. An empty table gives an empty result.
 
-    Two rounds find all links between components: first every member of a bucket is compared with the
-    bucket's center; then, in buckets still holding several components, members outside the center's
-    component are compared with members of other components. Left out are pairs inside one component, which
-    change nothing, and pairs that cannot be similar enough given how many shingles of each are in no other
-    set of such buckets. A large group of loosely similar texts so makes few pairs.
+    Three rounds find all links between components. First every member of a bucket is compared with the
+    bucket's center. In buckets still holding several components it is then compared with another center, the one
+    with the fewest shingles of its own, and last, members outside that center's component are compared
+    with members of other components. Left out are pairs inside one component, which change nothing, and
+    pairs that cannot be similar enough given how many shingles of each are in no other set of such
+    buckets. A large group of loosely similar texts so makes few pairs.
     """
     n_halves = halves_for(percent / 100, rows, miss)
     made = written(sketches(docs, k, n_halves, rows, id_col, text_col))
@@ -179,19 +188,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     links = written(_confirmed(star.select(F.col("c").alias("a"), F.col("set_id").alias("b")), sets, percent))
     found = written(components(links))
 
-    member = found.select(F.col("id").alias("set_id"), F.col("component").alias("g"))
-    owner = found.select(F.col("id").alias("c"), F.col("component").alias("cg"))
-    group = (hits.where("size > 2").join(member, "set_id", "left").join(owner, "c", "left")
-             .select("key", "set_id", "n", "c", F.coalesce("g", "set_id").alias("g"), F.coalesce("cg", "c").alias("cg")))
-    mixed = written(group.join(group.where("g != cg").select("key").distinct(), "key", "left_semi"))
+    mixed = _labelled(hits.where("size > 2"), found)
+    mixed = written(mixed.join(mixed.where("g != cg").select("key").distinct(), "key", "left_semi").select("key", "set_id", "n"))
     lonely = _unshared(sets.join(mixed.select("set_id").distinct(), "set_id", "left_semi"))
     # at most `most` shingles of a set are in any other set here, which bounds the similarity of every pair
     able = (mixed.join(lonely, "set_id", "left").withColumn("most", F.col("n") - F.coalesce("unshared", F.lit(0)))
-            .where(f"100 * most >= {percent} * n").select("key", "set_id", "n", "c", "g", "cg", "most"))
-    outside = able.where("g != cg").select("key", "set_id", "n", "g", "most")
-    other = able.where("set_id != c").select("key", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("g").alias("h"), (F.col("g") != F.col("cg")).alias("out"),
-                                             F.col("most").alias("most_b"))
+            .where(f"100 * most >= {percent} * n").select("key", "set_id", "n", "most"))
     enough = f"100 * least(most, most_b) >= {percent} * (n + m - least(most, most_b))"
+    # now the center is the member with the fewest shingles of its own: a common origin, if it is there
+    center = able.groupBy("key").agg(F.max(F.struct((F.col("most") - F.col("n")).alias("shared"), "set_id", "n", "most")).alias("x")).select(
+        "key", F.col("x.set_id").alias("c"), F.col("x.n").alias("m"), F.col("x.most").alias("most_b"))
+    able = written(able.join(center, "key"))
+    star = able.where(f"set_id != c and {near} and {enough}").select(F.least("set_id", "c").alias("a"), F.greatest("set_id", "c").alias("b")).distinct()
+    more = written(_confirmed(star, sets, percent))
+    if more.take(1):
+        links = links.union(more)
+        found = written(components(links))
+
+    group = _labelled(able.select("key", "set_id", "n", "most", "c"), found)
+    outside = group.where("g != cg").select("key", "set_id", "n", "g", "most")
+    other = group.where("set_id != c").select("key", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("g").alias("h"), (F.col("g") != F.col("cg")).alias("out"),
+                                              F.col("most").alias("most_b"))
     rest = (outside.join(other, "key").where(f"g != h and (not out or set_id < b) and {near} and {enough}")
             .select(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")).distinct())
     more = written(_confirmed(rest, sets, percent))
