@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .arrays import written
 
-SAMPLE = 2000  # documents on which cost and selectivity of the rules are estimated
+SAMPLE = 1000  # documents on which cost and selectivity of the rules are estimated, the first that come
+SAMPLE_CHARS = 100_000  # longer texts stay out of the sample, which passes the driver
 SPACE = r"[ \t\n\x0B\f\r]+"
 
 #: Further rules: name -> SQL over the columns of `features` that is true for a document to reject.
@@ -100,7 +101,11 @@ def quality(docs: DataFrame, rules: dict[str, str] | None = None, base: str = BA
     rules = RULES if rules is None else rules
     counted = features(docs, text_col)
     judged = counted.select("*", F.coalesce(F.expr(base), F.lit(False)).alias("base_failed"))
-    order = cascade_order(features(docs.limit(sample_rows), text_col).select("text", "words", "lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    text = F.col(text_col).cast("string")
+    # take() reads as few partitions as it needs; a limit inside a plan would cut and shuffle every partition
+    taken = docs.select(text.alias("text")).where(F.length("text") <= SAMPLE_CHARS).take(sample_rows) if len(rules) > 1 else []
+    sample = docs.sparkSession.createDataFrame([(t.text,) for t in taken], "text string")
+    order = cascade_order(features(sample).select("text", "words", "lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
                           .where(f"not ({base})"), rules) if len(rules) > 1 else list(rules)
     case = F.when(F.col("base_failed"), F.lit("base"))
     for name in order:
