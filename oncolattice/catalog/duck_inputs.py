@@ -220,7 +220,7 @@ table("eligibility", """SELECT 'S' || l_suppkey AS src, CASE WHEN l_returnflag =
  min(1 - l_discount) AS confidence, 'line ' || max(l_linenumber) AS clinical_context FROM lineitem GROUP BY 1, 2, 3""")
 table("edges", """
 SELECT src, predicate, dst, confidence, false AS is_hypothesis FROM eligibility
-UNION ALL SELECT 'P' || p_partkey, 'definedIn', 'C' || (p_partkey * 7 % 5000), p_size / 50.0::DOUBLE, false FROM part
+UNION ALL SELECT 'P' || p_partkey, 'definedIn', 'C' || (p_partkey * 7 % (SELECT 2 * max(c_custkey) + 2 FROM customer)), p_size / 50.0::DOUBLE, false FROM part
 UNION ALL SELECT 'P' || p_partkey, 'overrides', 'P' || (p_partkey + 1), NULL, false FROM part
 UNION ALL SELECT 'C' || c_custkey, 'refinesCategory', 'N' || c_nationkey, NULL, false FROM customer
 UNION ALL SELECT 'C' || c_custkey, 'covers', 'S' || c_nationkey, NULL, false FROM customer
@@ -277,7 +277,7 @@ def walk(name, starts, edges, hops):
 
 # ---- retrieval ---------------------------------------------------------------
 table("requests", """SELECT doc_id AS request_id, ['P' || doc_id, 'P' || (doc_id * 3 + 1), 'P' || (doc_id * 5 + 2)] AS entity_ids,
- ['CUSTOMER#' || lpad((doc_id % 700)::VARCHAR, 9, '0')] AS labels FROM documents""")
+ ['CUSTOMER#' || lpad((doc_id % (SELECT max(c_custkey) + 1 FROM customer))::VARCHAR, 9, '0')] AS labels FROM documents""")
 table("label_needles", """SELECT DISTINCT needle FROM (SELECT upper(unnest(string_split(p_name, ' '))) AS needle FROM part UNION ALL SELECT right(c_name, 4) FROM customer
  UNION ALL SELECT right(s_name, 2) FROM supplier UNION ALL SELECT '')""")
 table("label_hits", """SELECT * FROM (SELECT n.needle, m.id, m.label, m.type AS node_type, row_number() OVER (PARTITION BY n.needle ORDER BY len(m.label), m.id, m.type) AS rank
@@ -298,8 +298,8 @@ table("evidence_rows", """SELECT * FROM (SELECT q.query_id, q.kw_pos, c.chunk_id
  FROM (SELECT query_id, unnest(kws) AS kw, generate_subscripts(kws, 1) - 1 AS kw_pos FROM query_keywords) q JOIN answer_chunks c ON contains(lower(c.content), lower(q.kw))
  WHERE c.content_type IN ('guideline', 'clinical_trial', 'evidence')) WHERE rank <= 10""", "query_keywords", "answer_chunks")
 table("context_rows", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY entity_id, node_type, relation NULLS FIRST, related_id NULLS FIRST, chunk_id NULLS FIRST) AS rank FROM (
- SELECT DISTINCT a.request_id, n.id AS entity_id, n.label, n.type AS node_type, e.predicate AS relation, e.dst AS related_id, m2.label AS related_entity, e.confidence, c.chunk_id, c.content AS context, c.source_doc
+ SELECT DISTINCT a.request_id, n.id AS entity_id, n.label, n.type AS node_type, e.predicate AS relation, e.dst AS related_id, e.label AS related_entity, e.confidence, c.chunk_id, c.content AS context, c.source_doc
  FROM (SELECT request_id, unnest(entity_ids) AS k, false AS lab FROM requests UNION ALL SELECT request_id, lower(unnest(labels)), true FROM requests) a
  JOIN nodes n ON (NOT a.lab AND n.id = a.k) OR (a.lab AND lower(n.label) = a.k)
- LEFT JOIN live_edges e ON e.src = n.id LEFT JOIN nodes m2 ON m2.id = e.dst
- LEFT JOIN mention_pairs p ON p.entity_id = n.id LEFT JOIN chunks c ON c.chunk_id = p.chunk_id)) WHERE rank <= 50""", "requests", "nodes", "live_edges", "mention_pairs", "chunks")
+ LEFT JOIN (SELECT e.*, x.label FROM edges e JOIN nodes x ON x.id = e.dst) e ON e.src = n.id
+ LEFT JOIN (SELECT p.entity_id, c.* FROM mention_pairs p JOIN chunks c USING (chunk_id)) c ON c.entity_id = n.id)) WHERE rank <= 50""", "requests", "nodes", "edges", "mention_pairs", "chunks")

@@ -164,15 +164,18 @@ def snk1(spark, path):
     return spark.read.text(out)
 
 
-@query("SNK2", """SELECT subject, count(DISTINCT predicate) AS predicates, count(*) AS vals FROM triples GROUP BY 1""", ("triples",))
+@query("SNK2", """SELECT subject, predicate, object, object_kind, datatype FROM triples""", ("triples",))
 def snk2(spark, path):
-    """Written JSON-LD read back: predicates and values per subject."""
+    """Written JSON-LD read back as triples."""
     out = _new_dir(spark, "jsonld")
     sinks.write_jsonld(_triples(spark, path), out)
     back = spark.read.text(out).select(F.from_json("value", "map<string,string>").alias("m"))
-    entry = back.select(F.col("m")["@id"].alias("subject"), F.explode(F.map_filter("m", lambda key, _: key != "@id")).alias("p", "v"))
-    return entry.groupBy("subject", "p").agg(F.sum(F.size(F.from_json("v", "array<string>"))).alias("k")).groupBy("subject").agg(
-        F.count("*").alias("predicates"), F.sum("k").alias("vals"))
+    entry = back.select(F.col("m")["@id"].alias("subject"), F.explode(F.map_filter("m", lambda key, _: key != "@id")).alias("predicate", "v"))
+    value = entry.select("subject", "predicate", F.explode(F.from_json("v", "array<map<string,string>>")).alias("o"))
+    at = lambda name: F.try_element_at("o", F.lit(name))
+    literal = at("@value").isNotNull()
+    return value.select("subject", "predicate", F.coalesce(at("@value"), at("@id")).alias("object"), F.when(literal, "literal").otherwise("uri").alias("object_kind"),
+                        F.when(literal, F.coalesce(F.substring_index(at("@type"), "#", -1), F.lit("string"))).alias("datatype"))
 
 
 _REPORT = ORACLE["VAL15"]
@@ -200,36 +203,38 @@ def snk4(spark, path):
     return i.read(spark, path, "events").groupBy(sinks.run_suffix(F.col("ts")).alias("run_suffix")).agg(F.count("*").alias("n"))
 
 
-@query("SNK5", "SELECT 'nodes' AS tab, type AS part, count(*) AS n FROM nodes GROUP BY 1, 2 UNION ALL SELECT 'edges', predicate, count(*) FROM edges GROUP BY 1, 2", ("nodes", "edges"))
+@query("SNK5", "SELECT 'nodes' AS tab, type AS part, id AS key, label AS value FROM nodes UNION ALL SELECT 'edges', predicate, src || '>' || dst, is_hypothesis::VARCHAR FROM edges", ("nodes", "edges"))
 def snk5(spark, path):
-    store = sinks.GraphStore(spark, _new_dir(spark, "store"))
-    n, e = store.write("nodes", i.nodes(spark, path)), store.write("edges", i.edges(spark, path))
-    return (n.groupBy(F.lit("nodes").alias("tab"), F.col("type").alias("part")).agg(F.count("*").alias("n"))
-            .unionByName(e.groupBy(F.lit("edges").alias("tab"), F.col("predicate").alias("part")).agg(F.count("*").alias("n"))))
+    run = sinks.RunTables(spark, _new_dir(spark, "run"))
+    n, e = run.write("nodes", i.nodes(spark, path)), run.write("edges", i.edges(spark, path))
+    label = F.col("label")
+    return (n.select(F.lit("nodes").alias("tab"), F.col("type").alias("part"), F.col("id").alias("key"), label.alias("value"))
+            .unionByName(e.select(F.lit("edges").alias("tab"), F.col("predicate").alias("part"), F.concat_ws(">", "src", "dst").alias("key"),
+                                  F.col("is_hypothesis").cast("string").alias("value"))))
 
 
 # ---- streams -----------------------------------------------------------------
-@query("STR1", "SELECT source_doc, count(*) AS n FROM pg_chunks GROUP BY 1", ("page_rows",), _pg_chunks)
+@query("STR1", "SELECT chunk_id, source_doc, section, content FROM pg_chunks", ("page_rows",), _pg_chunks)
 def str1(spark, path):
-    """All documents streamed in twice, by two streams into one store."""
+    """Two disjoint halves of the documents and the first once more, by three streams, the last after a fold."""
     root = _new_dir(spark, "ingest")
-    store = sinks.GraphStore(spark, root)
 
-    def pages(docs):
+    def pages(docs, part):
+        docs = docs.filter(F.col("doc_id") % 2 == part)
         return k.chunk_pages(spread(docs).select(F.concat(F.lit("Doc-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_doc"),
                                          F.posexplode(F.split("text", "\n")).alias("page_num", "text")).withColumn("page_num", F.col("page_num") + 1))
-    for turn in (1, 2):
+    for turn, (part, folder) in enumerate([(0, "first"), (1, "first"), (0, "folded")]):
+        if turn == 2:
+            stream.fold(spark, f"{root}/first", f"{root}/folded")
         docs = stream.parquet_stream(spark, path, "documents.parquet", f"{path}/documents.parquet")
-        stream.ingest(docs, pages, store, f"{root}-offsets-{turn}")
-    store.compact("chunks", ["chunk_id"])
-    return store.read("chunks").groupBy("source_doc").agg(F.count("*").alias("n"))
+        stream.ingest(docs, lambda df, part=part: pages(df, part), f"{root}/{folder}", f"{root}/offsets-{turn}")
+    return stream.ingested(spark, f"{root}/folded").select("chunk_id", "source_doc", "section", "content")
 
 
 table("thread_items", "SELECT thread_id, query_id * 10 + seq AS seq, agent FROM agent_results", "agent_results")
 
 
-@query("STR2", """SELECT thread_id, count(*) AS items, max(n) AS last_no, string_agg(DISTINCT agent, ',' ORDER BY agent) AS agents, count(DISTINCT agent) AS first_runs
- FROM (SELECT thread_id, agent, row_number() OVER (PARTITION BY thread_id) AS n FROM thread_items) GROUP BY 1""", ("thread_items",))
+@query("STR2", """SELECT thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY seq, agent) AS item_no, seq, agent, row_number() OVER (PARTITION BY thread_id, agent ORDER BY seq) = 1 AS first_run FROM thread_items""", ("thread_items",))
 def str2(spark, path):
     """Conversations streamed through the thread state."""
     root = _new_dir(spark, "threads")
@@ -242,14 +247,10 @@ def str2(spark, path):
         F.posexplode(keyword_route(F.concat_ws(" ", "text", pick(QUERY_PHRASES, key)), key % 5 == 0)).alias("pos", "agent"))
     items = routed.select("thread_id", (F.col("query_id") * 10 + F.col("pos")).alias("seq"), "agent")
 
-    def sink(df, batch_id):
-        df.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
-    run = (threads.thread_stream(items).writeStream.foreachBatch(sink).outputMode("append")
+    run = (items.writeStream.foreachBatch(threads.thread_batches(root)).outputMode("append")
            .option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start())
     run.awaitTermination()
-    return spark.read.parquet(f"{root}/out").groupBy("thread_id").agg(
-        F.count("*").alias("items"), F.max("item_no").alias("last_no"), F.array_join(F.array_sort(F.collect_set("agent")), ",").alias("agents"),
-        F.count_if("first_run").alias("first_runs"))
+    return spark.read.parquet(f"{root}/out").select("thread_id", "item_no", "seq", "agent", "first_run")
 
 
 @query("STR2_fold", """SELECT thread_id, array_to_string(list(agent ORDER BY s), ',') AS ran, sum(n)::BIGINT AS items FROM (SELECT thread_id, agent, min(seq) AS s, count(*) AS n FROM thread_items GROUP BY 1, 2) GROUP BY 1""", ("thread_items",))
@@ -261,18 +262,24 @@ def str2_fold(spark, path):
 # ---- whole runs ----------------------------------------------------------------
 @query("build")
 def build(spark, path):
-    """Conversations as Markdown through all stages; nodes per type with rule totals."""
-    store = sinks.GraphStore(spark, _new_dir(spark, "build"))
-    out = bld.build(store, i.markdown_docs(spark, path), i.page_rows(spark, path), "2026-01-01T00:00:00")
-    return out["nodes"].groupBy("type").agg(F.count("*").alias("n"))
+    """Conversations and pages through all stages: rows of every table written, nodes and edges by kind."""
+    run = sinks.RunTables(spark, _new_dir(spark, "build"))
+    out = bld.build(run, i.markdown_docs(spark, path), i.page_rows(spark, path), "2026-01-01T00:00:00")
+    from ..operators.graph import load_counts
+    other = [out[t].select(F.lit("table").alias("part"), F.lit(t).alias("name")).groupBy("part", "name").agg(F.count("*").alias("n"))
+             for t in ("chunks", "mentions", "triples", "new_vectors")]
+    rows = load_counts(out["nodes"], out["edges"])
+    for part in other:
+        rows = rows.unionByName(part)
+    return rows
 
 
 @query("answer", """SELECT r.query_id, array_to_string(p, ',') AS agents_invoked, CASE WHEN list_contains(p, 'diagnostic') THEN CASE coalesce(c.confidence, 'LOW') WHEN 'HIGH' THEN 0.9 WHEN 'MEDIUM' THEN 0.6 ELSE 0.3 END ELSE 0.5 END::DOUBLE AS confidence,
  list_contains(p, 'validation') AND coalesce(crit, 0) > 0 AS needs_review
-FROM (SELECT query_id, list_filter(target_agents, lambda a: NOT list_contains(ran, a))[1:3 - iteration] AS p, CASE WHEN has_case THEN query_id % 900 END AS case_id FROM routes) r
+FROM (SELECT query_id, list_filter(target_agents, lambda a: NOT list_contains(ran, a))[1:3 - iteration] AS p, CASE WHEN has_case THEN query_id % (SELECT max(case_id) + 1 FROM cases) END AS case_id FROM routes) r
 LEFT JOIN classified c ON c.case_id = r.case_id LEFT JOIN (SELECT case_id, count(*) AS crit FROM (SELECT case_id FROM rule_issues WHERE severity = 'CRITICAL' UNION ALL SELECT case_id FROM conflicts) GROUP BY 1) x ON x.case_id = r.case_id""",
-       ("routes", "classified", "rule_issues", "conflicts"))
+       ("routes", "classified", "rule_issues", "conflicts", "cases"))
 def answer(spark, path):
     n, e = i.clinical_graph(spark, path)
-    q = i.queries(spark, path).withColumn("case_id", F.when(F.col("has_case"), F.col("query_id") % 900))
-    return ans.answer(q, i.cases(spark, path), n, e, i.answer_chunks(spark, path), i.correlations(spark, path)).drop("answer")
+    q = i.queries(spark, path).withColumn("case_id", F.when(F.col("has_case"), F.col("query_id") % (i.cases(spark, path).agg(F.max("case_id")).first()[0] + 1)))
+    return ans.answer(q, i.cases(spark, path), n, e, i.answer_chunks(spark, path), i.correlations(spark, path), max_passes=3, keyword_count=3, keyword_chars=80).drop("answer")

@@ -82,9 +82,27 @@ def res2(spark, path):
         "chunk_id", _pos(), "label", F.col("exact_uri").alias("uri"), F.col("exact_snomed").alias("snomed_uri"))
 
 
-@query("RES3")
+_BLOCKS = r"""forms AS (SELECT DISTINCT unnest([label, norm]) AS label FROM (SELECT label, regexp_replace(trim(label), '[-\s]+', '_', 'g') AS norm FROM to_resolve)),p AS (SELECT f.label AS label, c.label AS known, len(c.label) AS la, len(f.label) AS lb FROM forms f, v_canonical c
+  WHERE 2.0 * least(len(c.label), len(f.label)) >= 0.75 * (len(c.label) + len(f.label)) AND len(f.label) > 0),
+run AS (SELECT label, known, i, j, (SELECT max(k) FROM range(1, least(la - i, lb - j) + 1) AS t(k) WHERE substr(known, i + 1, k) = substr(label, j + 1, k)) AS k
+  FROM p, range(100) AS a(i), range(100) AS b(j) WHERE i < la AND j < lb AND substr(known, i + 1, 1) = substr(label, j + 1, 1)),
+seg AS (SELECT label, known, 0 AS alo, la AS ahi, 0 AS blo, lb AS bhi, 0 AS n, 0 AS depth FROM p
+  UNION ALL
+  SELECT s.label, s.known, x.alo, x.ahi, x.blo, x.bhi, x.n, s.depth + 1 FROM (
+    SELECT s.label, s.known, s.alo, s.ahi, s.blo, s.bhi, s.depth, max(struct_pack(n := least(r.k, s.ahi - r.i, s.bhi - r.j), i := -r.i, j := -r.j)) AS m
+    FROM seg s JOIN run r ON r.label = s.label AND r.known = s.known AND r.i >= s.alo AND r.i < s.ahi AND r.j >= s.blo AND r.j < s.bhi
+    GROUP BY ALL) s, LATERAL (SELECT unnest([struct_pack(alo := s.alo, ahi := -s.m.i, blo := s.blo, bhi := -s.m.j, n := s.m.n),
+       struct_pack(alo := s.m.n - s.m.i, ahi := s.ahi, blo := s.m.n - s.m.j, bhi := s.bhi, n := 0)], recursive := true)) x),
+score AS (SELECT p.label, p.known, 2.0::DOUBLE * coalesce(sum(n), 0) / any_value(la + lb) AS score FROM p JOIN seg USING (label, known) GROUP BY ALL),
+best AS (SELECT label, known FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, known DESC) AS r FROM score WHERE score >= 0.75) WHERE r = 1)"""
+
+
+@query("RES3", """SELECT t.label, coalesce(a.uri, b.uri) AS fuzzy_uri, count(*) AS n FROM to_resolve t
+ LEFT JOIN (SELECT best.label, uri FROM best JOIN v_canonical c ON c.label = best.known) a ON a.label = t.label
+ LEFT JOIN (SELECT best.label, uri FROM best JOIN v_canonical c ON c.label = best.known) b ON b.label = regexp_replace(trim(t.label), '[-\\s]+', '_', 'g') GROUP BY 1, 2""",
+       ("to_resolve", "v_canonical"), _BLOCKS)
 def res3(spark, path):
-    """Sequence ratio has no SQL form; tests compare it with brute force."""
+    """Labels with the dictionary entry most like them; the SQL finds matching blocks by recursion."""
     return r.fuzzy_match(_to(spark, path), F.col("label"), list(v.CANONICAL_URIS.items())).groupBy("label", "fuzzy_uri").agg(F.count("*").alias("n"))
 
 
@@ -184,10 +202,10 @@ def grf2(spark, path):
     return n.select("id", F.try_element_at(kept, F.lit("size")).alias("size"), F.try_element_at(kept, F.lit("type")).alias("own_type"))
 
 
-@query("GRF3", "SELECT type, count(*) AS n FROM (SELECT type, id FROM clinical_nodes UNION SELECT type, id FROM v_seed_nodes) GROUP BY 1", ("clinical_nodes", "v_seed_nodes"))
+@query("GRF3", "SELECT type, id, max(label) AS label FROM (SELECT type, id, label FROM clinical_nodes UNION SELECT type, id, label FROM v_seed_nodes) GROUP BY 1, 2", ("clinical_nodes", "v_seed_nodes"))
 def grf3(spark, path):
     have, _ = i.clinical_graph(spark, path)
-    return g.upsert_nodes(have, v.seed_entities_df(spark, "2026-01-01T00:00:00").withColumn("seq", F.lit(1))).groupBy("type").agg(F.count("*").alias("n"))
+    return g.load_seed(have, v.seed_entities_df(spark, "2026-01-01T00:00:00")).select("type", "id", "label")
 
 
 @query("GRF4", "SELECT id, label, coalesce(definition, '') AS definition, coalesce(ncit_uri, '') AS ncit_uri, chunk_id AS source_doc FROM resolved", ("resolved",))
@@ -378,12 +396,12 @@ def pth2(spark, path):
 
 
 @query("PTH3", """SELECT c.c_custkey AS request, coalesce(x."end", y."end") AS final_classification FROM customer c LEFT JOIN (SELECT * FROM r1 WHERE rank = 1) x ON x.start = 'C' || c.c_custkey
- LEFT JOIN (SELECT * FROM r2 WHERE rank = 1) y ON y.start = 'S' || (c.c_custkey % 90)""", _PG,
+ LEFT JOIN (SELECT * FROM r2 WHERE rank = 1) y ON y.start = 'S' || (c.c_custkey % (SELECT max(s_suppkey) + 1 FROM supplier))""", _PG,
        _W1 + ", " + _W2 + ", r1 AS (" + _RANK.format(w="w1") + "), r2 AS (" + _RANK.format(w="w2") + ")")
 def pth3(spark, path):
     n, e = i.path_graph(spark, path)
     k = F.col("c_custkey")
-    requests = i.read(spark, path, "customer").select(k.alias("request"), i._id("C", "c_custkey").alias("ihc_id"), F.concat(F.lit("S"), (k % 90).cast("string")).alias("ish_id"))
+    requests = i.read(spark, path, "customer").select(k.alias("request"), i._id("C", "c_custkey").alias("ihc_id"), F.concat(F.lit("S"), (k % i.key_range(spark, path, "supplier", "s_suppkey")).cast("string")).alias("ish_id"))
     return p.pathway(requests, p.score_paths(n, e), p.ish_paths(n, e)).select("request", "final_classification")
 
 
@@ -418,8 +436,7 @@ def qry2(spark, path):
        ("clinical_edges", "clinical_nodes"))
 def qry5(spark, path):
     n, e = i.clinical_graph(spark, path)
-    return (e.filter(F.col("predicate") == "implies").join(p.typed(n, "IHCScore").withColumnRenamed("id", "src"), "src", "left_semi")
-            .join(p.typed(n, "ClinicalCategory").withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
+    return g.implied_categories(n, e)
 
 
 @query("QRY8", """SELECT s.src AS score, s.dst || '>' || array_to_string(w.nodes, '>') AS path FROM path_edges s JOIN path_edges t ON t.src = s.dst AND t.predicate = 'resultsIn' JOIN w2 w ON w.start = t.dst

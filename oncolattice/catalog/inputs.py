@@ -252,7 +252,7 @@ def edges(spark, path):
     t = lambda name: read(spark, path, name)
     out = eligibility(spark, path)
     for part in (
-        _edges(t("part"), _id("P", "p_partkey"), F.lit("definedIn"), F.concat(F.lit("C"), (F.col("p_partkey") * 7 % 5000).cast("string")), (F.col("p_size") / 50.0)),
+        _edges(t("part"), _id("P", "p_partkey"), F.lit("definedIn"), F.concat(F.lit("C"), (F.col("p_partkey") * 7 % (2 * key_range(spark, path, "customer", "c_custkey"))).cast("string")), (F.col("p_size") / 50.0)),
         _edges(t("part"), _id("P", "p_partkey"), F.lit("overrides"), F.concat(F.lit("P"), (F.col("p_partkey") + 1).cast("string"))),
         _edges(t("customer"), _id("C", "c_custkey"), F.lit("refinesCategory"), _id("N", "c_nationkey")),
         _edges(t("customer"), _id("C", "c_custkey"), F.lit("covers"), _id("S", "c_nationkey")),
@@ -353,6 +353,11 @@ def path_graph(spark, path):
     return node, edge.dropDuplicates(["src", "predicate", "dst"])
 
 
+def key_range(spark, path, name, key):
+    """One more than the greatest key of a table."""
+    return read(spark, path, name).agg(F.max(key)).first()[0] + 1
+
+
 def live_edges(spark, path):
     from ..operators.graph import with_both_ends
     return with_both_ends(edges(spark, path), nodes(spark, path))
@@ -363,7 +368,7 @@ def requests(spark, path):
     k = F.col("doc_id")
     at = lambda a, b: F.concat(F.lit("P"), (k * a + b).cast("string"))
     return read(spark, path, "documents").select(k.alias("request_id"), F.array(at(1, 0), at(3, 1), at(5, 2)).alias("entity_ids"),
-                                                 F.array(F.concat(F.lit("CUSTOMER#"), F.lpad((k % 700).cast("string"), 9, "0"))).alias("labels"))
+                                                 F.array(F.concat(F.lit("CUSTOMER#"), F.lpad((k % key_range(spark, path, "customer", "c_custkey")).cast("string"), 9, "0"))).alias("labels"))
 
 
 def label_needles(spark, path):

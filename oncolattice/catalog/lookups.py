@@ -15,15 +15,15 @@ def _big(name):
 
 
 def _graph(spark, path):
-    return i.mention_pairs(spark, path), i.chunks(spark, path), i.nodes(spark, path), i.live_edges(spark, path)
+    return i.mention_pairs(spark, path), i.chunks(spark, path), i.nodes(spark, path), i.edges(spark, path)
 
 
 _RET1 = """SELECT request_id, chunk_id, entity_id, entity, relation, related_entity, confidence, source_doc, rank FROM (
- SELECT q.request_id, m.chunk_id, q.entity_id, n.label AS entity, e.predicate AS relation, x.label AS related_entity, e.confidence, c.source_doc,
+ SELECT q.request_id, m.chunk_id, q.entity_id, n.label AS entity, e.predicate AS relation, e.label AS related_entity, e.confidence, c.source_doc,
  row_number() OVER (PARTITION BY q.request_id ORDER BY e.confidence DESC NULLS FIRST, q.entity_id, e.predicate NULLS FIRST, e.dst NULLS FIRST, m.chunk_id) AS rank
  FROM asked q JOIN mention_pairs m ON m.entity_id = q.entity_id JOIN chunks c ON c.chunk_id = m.chunk_id JOIN nodes n ON n.id = q.entity_id
- LEFT JOIN live_edges e ON e.src = q.entity_id LEFT JOIN nodes x ON x.id = e.dst) WHERE rank <= 20"""
-_G = ("mention_pairs", "chunks", "nodes", "live_edges")
+ LEFT JOIN (SELECT e.*, x.label FROM edges e JOIN nodes x ON x.id = e.dst) e ON e.src = q.entity_id) WHERE rank <= 20"""
+_G = ("mention_pairs", "chunks", "nodes", "edges")
 
 
 def _ret1_cols(df):
@@ -51,12 +51,12 @@ def ret3(spark, path):
 
 @query("RET4", "SELECT query_id, kw_pos, chunk_id, source_doc, rank FROM evidence_rows", ("evidence_rows",))
 def ret4(spark, path):
-    return t.evidence(i.queries(spark, path), i.answer_chunks(spark, path)).select("query_id", _big("kw_pos"), "chunk_id", "source_doc", _big("rank"))
+    return t.evidence(i.queries(spark, path), i.answer_chunks(spark, path), count=3, chars=80).select("query_id", _big("kw_pos"), "chunk_id", "source_doc", _big("rank"))
 
 
 @query("RET5", "SELECT query_id, array_to_string(kws, '|') AS keywords FROM query_keywords", ("query_keywords",))
 def ret5(spark, path):
-    return i.queries(spark, path).select("query_id", F.array_join(t.keywords(F.col("query")), "|").alias("keywords"))
+    return i.queries(spark, path).select("query_id", F.array_join(t.keywords(F.col("query"), 3, 80), "|").alias("keywords"))
 
 
 @query("RET6", """SELECT case_id, CASE WHEN classification = category THEN classification ELSE classification || ',' || category END AS ids FROM classified""", ("classified",))

@@ -150,7 +150,7 @@ def rte2(spark, path):
 @query("RTE3", """SELECT query_id, array_to_string(p, ',') AS planned_agents, coalesce(p[1], 'synthesize') AS next_agent FROM (
  SELECT query_id, list_filter(target_agents, lambda a: NOT list_contains(ran, a))[1:3 - iteration] AS p FROM routes)""", ("routes",))
 def rte3(spark, path):
-    return r.next_step(r.route(i.queries(spark, path))).select("query_id", _joined("planned_agents"), "next_agent")
+    return r.next_step(r.route(i.queries(spark, path)), 3).select("query_id", _joined("planned_agents"), "next_agent")
 
 
 @query("RTE4", """SELECT query_id, coalesce(min(CASE confidence WHEN 'HIGH' THEN 0.9::DOUBLE WHEN 'MEDIUM' THEN 0.6 WHEN 'LOW' THEN 0.3

@@ -27,11 +27,18 @@ def src2(spark, path):
         "source_doc", F.col("page_num").cast("bigint").alias("page_num"), F.length("text").cast("bigint").alias("n_chars"))
 
 
-@query("SRC3", """SELECT * FROM (VALUES """ + ", ".join(f"('{t}.parquet', 'parquet')" for t in (
-    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split())
-       + """) AS t(name, format) WHERE name <> 'labels.parquet'""")
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("SRC3", " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, 'parquet' AS format, count(*) AS n_rows FROM {t}" for t in _TABLES if t != "labels"))
 def src3(spark, path):
-    return docs.manifest(spark, path, {"parquet": "*.parquet"}, ["labels.parquet"]).select("name", "format")
+    """Files of the data folder with the rows read from each."""
+    files = docs.manifest(spark, path, {"parquet": "*.parquet"}, ["labels.parquet"]).select("name", "format")
+    rows = None
+    for t in _TABLES:
+        own = i.read(spark, path, t).agg(F.count("*").alias("n_rows")).select(F.lit(f"{t}.parquet").alias("name"), "n_rows")
+        rows = own if rows is None else rows.unionByName(own)
+    return files.join(rows, "name").select("name", "format", "n_rows")
 
 
 # ---- Markdown chunking in SQL ----------------------------------------------
@@ -171,12 +178,13 @@ def chk13(spark, path):
 
 @query("CHK14", "SELECT doc_id, substr(text, 1, 5000) AS stored FROM documents")
 def chk14(spark, path):
-    return i.read_texts(spark, path, "documents").select("doc_id", k.stored_text(F.col("text")).alias("stored"))
+    return i.read_texts(spark, path, "documents").select("doc_id", k.stored_text(F.col("text"), 5000).alias("stored"))
 
 
 @query("GRF16", f"SELECT {d.ctype('content')} AS content_type, count(*) AS n FROM pg_chunks GROUP BY 1", ("page_rows",), _pg_chunks)
 def grf16(spark, path):
-    return k.chunk_pages(i.page_rows(spark, path)).groupBy("content_type").agg(F.count("*").alias("n"))
+    from ..operators.graph import content_type_counts
+    return content_type_counts(k.chunk_pages(i.page_rows(spark, path)))
 
 
 # ---- extraction ------------------------------------------------------------
@@ -205,13 +213,13 @@ def ext1(spark, path):
     return x.select_chunks(k.chunk_pages(i.page_rows(spark, path)), (*x.SKIP_TYPES, "criteria")).select("chunk_id")
 
 
-@query("EXT2", """SELECT response_id, count(CASE WHEN contains(response, label) THEN 1 END) AS n FROM responses, v_canonical GROUP BY 1""",
+@query("EXT2", """SELECT response_id, coalesce(string_agg('e' || ord || '=' || label, '|' ORDER BY ord), '') AS found FROM responses LEFT JOIN v_canonical ON contains(response, label) GROUP BY 1""",
        ("responses", "v_canonical"))
 def ext2(spark, path):
     chunks = i.responses(spark, path).select(F.col("response_id").cast("string").alias("chunk_id"), F.lit("s").alias("section"),
                                              F.col("response").alias("content"), F.lit("general").alias("content_type"))
     return x.parse(x.run_extractor(x.select_chunks(chunks))).select(
-        F.col("chunk_id").cast("bigint").alias("response_id"), F.size("entities").cast("bigint").alias("n"))
+        F.col("chunk_id").cast("bigint").alias("response_id"), F.array_join(F.transform("entities", lambda e: F.concat_ws("=", e["id"], e["label"])), "|").alias("found"))
 
 
 @query("EXT3", "SELECT chunk_id, j AS cleaned FROM ext_clean", ("ext_clean",))

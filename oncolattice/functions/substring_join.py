@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .text import unnest
 
 GRAM = 3
-# Up to this many needles are tried on every text directly; more are joined by gram.
-DIRECT = 256
 
 
 def _chars(text: Column) -> Column:
@@ -42,33 +40,40 @@ def _anchored(texts: DataFrame, low: DataFrame, keys_of_text: Column, keys_of_ne
         F.col("_text").contains(F.col("_low"))).select("text_id", "needle")
 
 
+def _by_part(texts: DataFrame, low: DataFrame) -> DataFrame:
+    """Pairs of needles of one or two words, by the words of the texts.
+
+    A text that holds the needle has a word that holds the needle's longest part. So the distinct words of
+    the texts, far fewer than their places, meet the parts by grams, and the texts meet these words whole.
+    A needle of blanks only has an empty part, and every text is compared with it.
+    """
+    parts = low.withColumn("_part", F.array_max(F.transform(F.split("_low", " "), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"])
+    held = unnest(texts, ["text_id"], F.array_distinct(F.split(F.lower("text"), " ")), "_word").drop("_pos")
+    vocabulary = held.select(F.col("_word").alias("text_id"), F.col("_word").alias("text")).filter("text <> ''").distinct()
+    wanted = parts.filter("_part <> ''").select(F.col("_part").alias("needle"), F.col("_part").alias("_low")).distinct()
+    width = F.least(F.length("_low"), F.lit(GRAM))
+    grams = F.array_distinct(F.concat(*[_grams(F.col("text"), n) for n in range(1, GRAM + 1)]))
+    words = _anchored(vocabulary, wanted, grams, _grams(F.col("_low"), width)).select(F.col("text_id").alias("_word"), F.col("needle").alias("_part"))
+    found = held.join(words.join(parts, "_part"), "_word").select("text_id", "needle", "_low").distinct()
+    sure = found.filter(~F.col("_low").contains(" ")).select("text_id", "needle")
+    blank = parts.filter("_part = ''").select("needle", "_low", F.lit(1).alias("_k")).join(texts.select("text_id", F.lit(1).alias("_k")), "_k").select("text_id", "needle", "_low")
+    maybe = found.filter(F.col("_low").contains(" ")).unionByName(blank)
+    checked = maybe.join(texts.select("text_id", F.lower("text").alias("_text")), "text_id").filter(F.col("_text").contains(F.col("_low")))
+    return sure.unionByName(checked.select("text_id", "needle"))
+
+
 def contains_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """(text_id, needle) for ``texts(text_id, text)`` that contain a non-empty ``needles(needle)``, ignoring case.
 
-    A text that holds a needle of three words or more holds its inner words whole, and
-    one that holds a shorter needle holds its character grams; so texts and needles meet by
-    an equi-join on the needle's rarest word or gram and only then are compared. Counts
-    are aggregated before the shuffle, texts travel once, by id. A short list of needles
-    is tried on every text instead, without any shuffle.
+    A text that holds a needle of three words or more holds its inner words whole; one that holds a shorter
+    needle has a word that holds a part of it. So texts and needles meet by an equi-join on words and only
+    then are compared. One plan serves any number of needles, and nothing runs while planning.
     """
     low = needles.select("needle", F.lower("needle").alias("_low")).distinct().filter("_low <> ''")
     wordy = low.filter(F.size(_inner_words(F.col("_low"))) > 0)
     other = low.filter(F.size(_inner_words(F.col("_low"))) == 0)
     by_word = _anchored(texts, wordy, _inner_words(F.concat(F.lit(" "), F.lower("text"), F.lit(" "))), _inner_words(F.col("_low")))
-
-    few = other.limit(DIRECT + 1).collect()
-    if len(few) <= DIRECT:
-        if not few:
-            return by_word
-        listed = F.array(*[F.struct(F.lit(r["needle"]).alias("needle"), F.lit(r["_low"]).alias("low")) for r in few])
-        text = F.col("_text")
-        direct = unnest(texts.withColumn("_text", F.lower("text")), ["text_id"], F.filter(listed, lambda n: text.contains(n["low"])), "_n").select(
-            "text_id", "_n.needle")
-        return by_word.unionByName(direct)
-    lengths = F.least(F.length("_low"), F.lit(GRAM))
-    sizes = [r["n"] for r in other.select(lengths.alias("n")).distinct().collect()]  # one to three values
-    grams = F.array_distinct(F.concat(*[_grams(F.lower("text"), n) for n in sizes]))
-    return by_word.unionByName(_anchored(texts, other, grams, _grams(F.col("_low"), lengths)))
+    return by_word.unionByName(_by_part(texts, other))
 
 
 def top_matches(texts: DataFrame, needles: DataFrame, order: list[str], k: int) -> DataFrame:

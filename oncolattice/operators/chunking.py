@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.prefix import running_start
 from ..functions.text import U, any_term, lits, strip, unnest, words
-from ..session import cut
 
 # --------------------------------------------------------------------------
 # Patterns and limits
@@ -43,11 +42,10 @@ TYPE_WORDS = {
     "ontology": ["owl:", "rdfs:", "her2:", "frac:", "ncit:", "namespace", "@prefix", "subclassof", "equivalentclass"],
     "table": ["|"],
 }
-LONG_S = "ſ"  # counts as s when case is ignored, but has no lower case
+FOLDED = ("ſıİ\u212a", "siik")  # count as plain letters when case is ignored
 MIN_WINDOW_CHARS = 50
 MIN_ALGORITHM_CHARS = 80
 MIN_PAGE_WORDS = 60
-STORED_CHARS = 5000
 
 DOT_ALL_BUT_NEWLINE = "(?d)"
 # Stands for the opening bracket of a placeholder until chunk numbers are known.
@@ -57,14 +55,15 @@ OPEN = "\ue000"
 def content_type(text: Column) -> Column:
     """CHK11: the type with most pattern hits; earlier types win ties, none is general.
 
-    Counting with the patterns is dear, looking for their fixed words is not: a type
-    whose words are all absent is not counted.
+    Counting with the patterns is dear, looking for their fixed words is not: a type whose words are all absent
+    is not counted. The words are looked for where letters that only match when case is ignored (long s,
+    i with and without dot, Kelvin sign) are folded, so no hit of a pattern is missed.
     """
-    low = F.lower(text)
+    low = F.lower(F.translate(text, *FOLDED))
     scored = []
     for rank, (name, pattern) in enumerate(TYPE_PATTERNS.items()):
         flags = "(?md)" if name == "table" else "(?iU)"
-        maybe = any_term(low, TYPE_WORDS[name]) | low.contains(LONG_S)
+        maybe = any_term(low, TYPE_WORDS[name])
         hits = F.when(maybe, F.regexp_count(text, F.lit(flags + pattern))).otherwise(0)
         scored.append(F.struct(hits.alias("hits"), F.lit(-rank).alias("order"), F.lit(name).alias("name")))
     best = F.array_max(F.array(*scored))
@@ -249,16 +248,16 @@ def page_pieces(text: Column, short: Column, size: int = 500, overlap: int = 100
 def chunk_pages(pages: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
     """CHK9 and CHK10 over (source_doc, page_num, text); numbers run through the document.
 
-    Page texts are cut where they are, once, and checkpointed, because counting and
-    writing both need the pieces. Only page numbers and counts are shuffled for the
-    running numbers, in stretches of pages, so that one huge document does not end
-    up in one task.
+    Pieces are counted in a narrow pass that keeps no text; page numbers and counts are shuffled for the
+    running numbers, in stretches of pages, so that one huge document does not end up in one task. Then
+    page texts are shuffled once, to meet their numbers, and cut.
     """
-    pieces = cut(pages.filter(strip(F.col("text")) != "").withColumn("_short", F.size(words(F.col("text"))) < MIN_PAGE_WORDS).select(
-        "source_doc", "page_num", "_short", page_pieces(F.col("text"), F.col("_short"), size, overlap).alias("_pieces")))
-    starts = running_start(pieces.select("source_doc", "page_num", F.size("_pieces").alias("_k")),
-                           "source_doc", "page_num", "_k", "_first").drop("_k")
-    rows = unnest(pieces.join(starts, ["source_doc", "page_num"]), ["source_doc", "page_num", "_short", "_first"], F.col("_pieces"), "content", "_n")
+    full = pages.filter(strip(F.col("text")) != "").select("source_doc", "page_num", "text")
+    short = F.size(words(F.col("text"))) < MIN_PAGE_WORDS
+    counts = full.select("source_doc", "page_num", F.size(page_pieces(F.col("text"), short, size, overlap)).alias("_k"))
+    starts = running_start(counts, "source_doc", "page_num", "_k", "_first").drop("_k")
+    rows = unnest(full.join(starts, ["source_doc", "page_num"]).withColumn("_short", short), ["source_doc", "page_num", "_short", "_first"],
+                  page_pieces(F.col("text"), F.col("_short"), size, overlap), "content", "_n")
     number = (F.col("_first") + F.col("_n")).cast("int")
     stem = F.regexp_replace("source_doc", r"(?<=.)\.[^.]+$", "")
     return rows.select(
@@ -274,6 +273,6 @@ def all_chunks(markdown: DataFrame, pages: DataFrame) -> DataFrame:
     return markdown.unionByName(pages)
 
 
-def stored_text(col: Column) -> Column:
-    """CHK14: text as kept on the chunk node."""
-    return F.substring(col, 1, STORED_CHARS)
+def stored_text(col: Column, chars: int | None = None) -> Column:
+    """CHK14: text as kept on the chunk node, whole unless a number of characters is given."""
+    return col if chars is None else F.substring(col, 1, chars)

@@ -6,7 +6,6 @@ caller explodes them, so parsing and filtering never shuffle.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -39,15 +38,11 @@ BLOCKLIST = {
 
 
 # ---- running an extractor ----------------------------------------------------
-def dictionary_extractor(labels: Iterable[str] = tuple(CANONICAL_URIS)) -> Callable[[list[str]], list[str]]:
-    """Offline extractor: an entity for each known label that a text contains."""
-    known = list(labels)
-
-    def run(texts: list[str]) -> list[str]:
-        return [json.dumps({"entities": [{"id": f"e{n}", "label": label, "type": FALLBACK_TYPE}
-                                         for n, label in enumerate(known) if label in text],
-                            "relations": []}) for text in texts]
-    return run
+def dictionary_answers(content: Column, labels: Iterable[str] = tuple(CANONICAL_URIS)) -> Column:
+    """Offline extractor: an entity for each known label that a text contains, as the answer of a model would be."""
+    known = F.array(*[F.struct(F.lit(f"e{n}").alias("id"), F.lit(label).alias("label"), F.lit(FALLBACK_TYPE).alias("type")) for n, label in enumerate(labels)])
+    found = F.filter(known, lambda e: content.contains(e["label"]))
+    return F.to_json(F.struct(found.alias("entities"), F.array().cast("array<string>").alias("relations")))
 
 
 def select_chunks(chunks: DataFrame, skip_types=tuple(SKIP_TYPES)) -> DataFrame:
@@ -56,30 +51,36 @@ def select_chunks(chunks: DataFrame, skip_types=tuple(SKIP_TYPES)) -> DataFrame:
 
 
 def run_extractor(chunks: DataFrame, extractor: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
-    """EXT2: raw answer per chunk from a batch callable, with one retry per batch.
+    """EXT2: raw answer per chunk from a batch callable, or from the dictionary without one.
 
-    A batch that fails twice gives rows with an error; an empty answer is asked for
-    once more on its own.
+    A failing batch is halved until the failing chunks stand alone; these are tried once more and then
+    give a row with an error, so one bad chunk costs one row. An empty answer is asked for once more on its own.
     """
-    call = extractor or dictionary_extractor()
+    if extractor is None:
+        return chunks.select("chunk_id", "section", dictionary_answers(F.coalesce("content", F.lit(""))).alias("raw"),
+                             F.lit(None).cast("string").alias("call_error"))
 
-    def attempt(texts):
+    def ask(texts: list) -> list[tuple[str, str | None]]:
         try:
-            return call(texts), None
+            raw = list(extractor(texts))
+            if len(raw) != len(texts):
+                raise ValueError(f"{len(raw)} answers for {len(texts)} texts")
+            return [(r or "", None) for r in raw]
         except Exception as exc:  # noqa: BLE001 - reported on the row
-            return [""] * len(texts), f"extractor call failed: {exc}"
+            if len(texts) == 1:
+                return [("", f"extractor call failed: {exc}")]
+            half = len(texts) // 2
+            return ask(texts[:half]) + ask(texts[half:])
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             texts = part["content"].tolist()
-            raw, error = attempt(texts)
-            empty = [n for n, r in enumerate(raw) if not (r or "").strip()]
-            if empty:
-                again, error = attempt([texts[n] for n in empty])
-                for n, r in zip(empty, again):
-                    raw[n] = r
-            yield pd.DataFrame({"chunk_id": part["chunk_id"], "section": part["section"], "raw": raw,
-                                "call_error": [error if n in set(empty) else None for n in range(len(raw))]})
+            answers = ask(texts) if texts else []
+            for n, (raw, _) in enumerate(answers):
+                if not raw.strip():
+                    answers[n] = ask([texts[n]])[0]
+            yield pd.DataFrame({"chunk_id": part["chunk_id"], "section": part["section"], "raw": [a for a, _ in answers],
+                                "call_error": pd.Series([e for _, e in answers], index=part.index, dtype="object")})
 
     return chunks.select("chunk_id", "section", "content").mapInPandas(
         batches, "chunk_id string, section string, raw string, call_error string")

@@ -23,34 +23,42 @@ EDGE_KEY = ["src", "predicate", "dst", "condition", "algorithm_id"]
 def _fold(rows: DataFrame, key: list[str], columns: dict[str, str], keep_non_empty: bool) -> DataFrame:
     """Last write per key and property; a null property value removes it.
 
-    ``rows`` holds key, columns, props and ``_seq`` (-1 for what was there before).
-    Columns fold in one aggregate; only rows that have properties are exploded, and
-    those are folded per property before they meet per key.
+    ``rows`` holds key, columns, props, ``_seq`` (-1 for what was there before) and ``_place``, which orders
+    rows of one ``_seq``. Columns travel as properties of their own (names led by a NUL), so all is folded per
+    property, reduced before the shuffle, and then once per key. Null keys are a marker meanwhile.
     """
-    def last(value, seq):
-        return F.max_by(value, F.struct(seq, value))
-    own = rows.groupBy(*key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("_seq", c))).alias(c) for c in columns])
-    long = rows.select(*key, "_seq", F.explode("props").alias("key", "value"))
+    none = F.lit(None).cast("double")
+
+    def entry(name, value, number=none):
+        return F.struct(name.alias("name"), value.alias("value"), number.alias("number"))
+    own = [entry(F.lit("\0"), F.lit(""))] + [
+        entry(F.lit("\0" + c), F.col(c).cast("string"), F.col(c) if t == "double" else none) for c, t in columns.items()]
+    given = F.transform(F.map_entries(F.coalesce("props", F.create_map().cast("map<string,string>"))), lambda e: entry(e["key"], e["value"]))
     if keep_non_empty:
-        long = long.filter((F.col("_seq") < 0) | ~F.coalesce("value", F.lit("")).isin("", '""'))
-    kept = long.groupBy(*key, "key").agg(last(F.col("value"), F.col("_seq")).alias("value")).filter("value is not null")
-    props = kept.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("props"))
-    same = F.lit(True)
-    for c in key:
-        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    return own.alias("a").join(props.alias("b"), same, "left").select(
-        *[F.col(f"a.{c}").alias(c) for c in key], *[F.col(f"a.{c}").cast(t).alias(c) for c, t in columns.items()],
-        F.coalesce("b.props", F.create_map().cast("map<string,string>")).alias("props"))
+        given = F.filter(given, lambda e: (F.col("_seq") < 0) | ~F.coalesce(e["value"], F.lit("")).isin("", '""'))
+    long = rows.select(*[F.coalesce(F.col(c), F.lit("\0")).alias(c) for c in key], "_seq", "_place",
+                       F.explode(F.concat(F.filter(F.array(*own), lambda e: e["value"].isNotNull()), given)).alias("e"))
+    last = F.max_by("e.value", F.struct("_seq", "_place", "e.number", "e.value"))
+    kept = long.groupBy(*key, F.col("e.name").alias("_name")).agg(last.alias("_value")).filter("_value is not null")
+    real = F.when(~F.col("_name").startswith("\0"), F.struct(F.col("_name").alias("key"), F.col("_value").alias("value")))
+    folded = kept.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(real))).alias("props"),
+                                    *[F.max(F.when(F.col("_name") == "\0" + c, F.col("_value"))).cast(t).alias(c) for c, t in columns.items()])
+    return folded.select(*[F.nullif(F.col(c), F.lit("\0")).alias(c) for c in key], *columns, "props")
+
+
+def _arriving(rows: DataFrame) -> DataFrame:
+    place = F.coalesce("place", F.lit("")) if "place" in rows.columns else F.lit("")
+    return rows.withColumn("_place", place).withColumn("_seq", F.col("seq").cast("bigint")).drop("seq", "place")
 
 
 def upsert_nodes(existing: DataFrame, incoming: DataFrame, policy: str = "overwrite") -> DataFrame:
-    """GRF1: merge incoming nodes (with a ``seq`` of arrival) into the table.
+    """GRF1: merge incoming nodes (with a ``seq`` of arrival, and maybe a ``place`` that orders rows of one seq) into the table.
 
     ``overwrite`` writes every given property, empty ones too; ``keep_non_empty``
     never replaces a value by an empty one.
     """
-    rows = existing.select(*NODE_KEY, "label", "props", F.lit(-1).cast("bigint").alias("_seq")).unionByName(
-        incoming.select(*NODE_KEY, "label", "props", F.col("seq").cast("bigint").alias("_seq")))
+    rows = existing.select(*NODE_KEY, "label", "props", F.lit(-1).cast("bigint").alias("_seq"), F.lit("").alias("_place")).unionByName(
+        _arriving(incoming).select(*NODE_KEY, "label", "props", "_seq", "_place"))
     return _fold(rows, NODE_KEY, {"label": "string"}, policy == "keep_non_empty").select("type", "id", "label", "props")
 
 
@@ -59,22 +67,27 @@ def node_props(props: Column) -> Column:
     return F.map_filter(props, lambda k, value: ~k.isin("type", "id") & value.isNotNull())
 
 
+def _place() -> Column:
+    """Order of extracted rows: chunk, then place in its answer."""
+    return F.concat_ws("\0", default_empty(F.col("chunk_id")), F.format_string("%010d", F.col("pos"))).alias("place")
+
+
 def entity_nodes(resolved: DataFrame, created_at: str) -> DataFrame:
-    """GRF4: resolved entities as nodes, missing strings empty."""
+    """GRF4: resolved entities as nodes, missing strings empty, with the place they came from."""
     def text(c):
         return json_text(default_empty(F.col(c)))
     return resolved.select(
         "type", "id", "label",
         props_map(definition=text("definition"), source_quote=text("source_quote"), ncit_uri=text("ncit_uri"), snomed_uri=text("snomed_uri"),
                   loinc_code=F.lit('""'), source_doc=text("chunk_id"), confidence=F.col("confidence"), evidence_level=F.lit('""'),
-                  created_at=json_text(F.lit(created_at))).alias("props"))
+                  created_at=json_text(F.lit(created_at))).alias("props"), _place())
 
 
-def chunk_nodes(chunks: DataFrame, created_at: str) -> DataFrame:
-    """GRF8: chunks as nodes with capped text."""
+def chunk_nodes(chunks: DataFrame, created_at: str, stored_chars: int | None = None) -> DataFrame:
+    """GRF8: chunks as nodes with their text, or its first ``stored_chars`` characters."""
     return chunks.select(
         F.lit("Chunk").alias("type"), F.col("chunk_id").alias("id"), F.lit(None).cast("string").alias("label"),
-        props_map(source_doc=json_text(F.col("source_doc")), section=json_text(F.col("section")), text=json_text(stored_text(F.col("content"))),
+        props_map(source_doc=json_text(F.col("source_doc")), section=json_text(F.col("section")), text=json_text(stored_text(F.col("content"), stored_chars)),
                   content_type=json_text(F.col("content_type")), created_at=json_text(F.lit(created_at))).alias("props"))
 
 
@@ -100,9 +113,8 @@ def upsert_edges(existing: DataFrame, incoming: DataFrame, nodes: DataFrame) ->
     Duplicates are folded first, so the two semi-joins see each edge once.
     """
     columns = {"confidence": "double", "is_hypothesis": "boolean"}
-    rows = existing.withColumn("_seq", F.lit(-1).cast("bigint")).unionByName(
-        force_hypothesis(incoming).withColumnRenamed("seq", "_seq"))
-    merged = _fold(rows.withColumn("_seq", F.col("_seq").cast("bigint")), EDGE_KEY, columns, False)
+    rows = existing.withColumn("_seq", F.lit(-1).cast("bigint")).withColumn("_place", F.lit("")).unionByName(_arriving(force_hypothesis(incoming)))
+    merged = _fold(rows, EDGE_KEY, columns, False)
     return with_both_ends(merged, nodes).select(*EDGE_KEY, *columns, "props")
 
 
@@ -112,7 +124,8 @@ def relation_edges(relations: DataFrame, created_at: str) -> DataFrame:
         F.col("subject_id").alias("src"), "predicate", F.col("object_id").alias("dst"), F.lit(None).cast("string").alias("condition"),
         F.lit(None).cast("string").alias("algorithm_id"), "confidence", F.lit(False).alias("is_hypothesis"),
         props_map(evidence=json_text(default_empty(F.col("evidence"))), source_chunk=json_text(default_empty(F.col("chunk_id"))),
-                  guideline_version=F.lit('""'), conditions=F.lit('""'), created_at=json_text(F.lit(created_at))).alias("props"))
+                  guideline_version=F.lit('""'), conditions=F.lit('""'), created_at=json_text(F.lit(created_at))).alias("props"),
+        *([_place()] if "pos" in relations.columns else []))
 
 
 def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -173,7 +186,7 @@ def correct_edges(edges: DataFrame, corrections: DataFrame) -> DataFrame:
     kept = edges.join(drop, ["src", "predicate", "dst"], "left_anti")
     touched = kept.join(add.select("src", "predicate", "dst").distinct(), ["src", "predicate", "dst"], "left_semi").withColumn("_seq", F.lit(-1))
     rest = kept.join(add.select("src", "predicate", "dst").distinct(), ["src", "predicate", "dst"], "left_anti").select(*edges.columns)
-    folded = _fold(touched.unionByName(add).withColumn("_seq", F.col("_seq").cast("bigint")), EDGE_KEY,
+    folded = _fold(touched.unionByName(add).withColumn("_seq", F.col("_seq").cast("bigint")).withColumn("_place", F.lit("")), EDGE_KEY,
                    {"confidence": "double", "is_hypothesis": "boolean"}, False)
     return rest.unionByName(folded.select(*edges.columns))
 
@@ -189,6 +202,30 @@ def extracted_count(nodes: DataFrame) -> DataFrame:
     return nodes.filter(~F.col("type").isin("Chunk", "ToySpecimen") & (source != "ontology:seed")).agg(F.count("*").alias("n"))
 
 
+def load_seed(nodes: DataFrame, seed: DataFrame, policy: str = "overwrite") -> DataFrame:
+    """GRF3: the curated seed written into the node table; writing it again changes nothing."""
+    return upsert_nodes(nodes, seed.withColumn("seq", F.lit(1)), policy)
+
+
+def content_type_counts(chunks: DataFrame) -> DataFrame:
+    """GRF16: chunks per content type."""
+    return chunks.groupBy("content_type").agg(F.count("*").alias("n"))
+
+
+def implied_categories(nodes: DataFrame, edges: DataFrame, kind: str = "IHCScore") -> DataFrame:
+    """QRY5: which categories the nodes of a type imply."""
+    def ids(of, name):
+        return nodes.filter(F.col("type") == of).select(F.col("id").alias(name)).distinct()
+    return (edges.filter(F.col("predicate") == "implies").join(ids(kind, "src"), "src", "left_semi")
+            .join(ids("ClinicalCategory", "dst"), "dst", "left_semi").select("src", "dst"))
+
+
+def load_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """What a load wrote: rows per node type and per predicate."""
+    return nodes.groupBy(F.lit("node").alias("part"), F.col("type").alias("name")).agg(F.count("*").alias("n")).unionByName(
+        edges.groupBy(F.lit("edge").alias("part"), F.col("predicate").alias("name")).agg(F.count("*").alias("n")))
+
+
 def neighbourhood(nodes: DataFrame, edges: DataFrame, limit: int, kind: str | None = None) -> DataFrame:
     """GRF15: a page of nodes by id with their optional edges to non-chunk nodes."""
     picked = nodes.filter(F.col("type") == kind) if kind else nodes.filter(F.col("type") != "Chunk")

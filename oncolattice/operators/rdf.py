@@ -112,12 +112,38 @@ def axiom_triples(edges: DataFrame, base: str = NS["her2"]) -> DataFrame:
 
 
 def triples(nodes: DataFrame, edges: DataFrame, base: str = NS["her2"]) -> DataFrame:
-    """RDF9: the whole graph as a set of triples."""
-    n, e = export_nodes(nodes), export_edges(edges, nodes)
-    out = declarations(nodes.sparkSession, base)
-    for part in (type_triples(n, base), same_as(n, base), property_triples(n, base), edge_triples(e, base), axiom_triples(e, base)):
-        out = out.unionByName(part)
-    return out.distinct()
+    """RDF9: the whole graph as a set of triples.
+
+    Nodes and edges are each read once and give all their triples in one explode; edges are reduced to
+    what their triples depend on before they multiply.
+    """
+    none = F.lit(None).cast("string")
+
+    def triple(subject, predicate, obj, how="uri", datatype=none):
+        return F.struct(subject.alias("subject"), predicate.alias("predicate"), obj.alias("object"), F.lit(how).alias("object_kind"),
+                        datatype.cast("string").alias("datatype"))
+
+    def link(name, prefix, space):
+        value = prop(name)
+        return F.when(value.startswith(prefix), F.concat(F.lit(space), F.substring(value, F.lit(len(prefix) + 1), F.length(value))))
+    me = node_uri(F.col("id"), base)
+    name = F.when(F.col("type") == "Chunk", "DocumentChunk").when(F.col("type").isin(CLASSES), F.col("type")).otherwise("Entity")
+    fixed = F.array(triple(me, F.lit(_TYPE), F.concat(F.lit(base), name)),
+                    triple(me, F.lit(_SAME), link("ncit_uri", "NCIt:", NS["ncit"])), triple(me, F.lit(_SAME), link("snomed_uri", "snomed:", NS["snomed"])),
+                    triple(me, F.lit(base + "label"), F.col("label"), "literal", F.lit("string")))
+    shown = F.map_filter(F.coalesce("props", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(NOT_EXPORTED + ["label"]) & v.isNotNull())
+    other = F.transform(F.map_entries(shown), lambda e: triple(me, F.concat(F.lit(base), e["key"]), plain(e["value"]), "literal", kind(e["value"])))
+    of_nodes = export_nodes(nodes).select(F.explode(F.filter(F.concat(fixed, other), lambda t: t["object"].isNotNull())).alias("t")).select("t.*")
+
+    s, o, p = node_uri(F.col("src"), base), node_uri(F.col("dst"), base), predicate_uri(F.col("predicate"), base)
+    own = F.array(triple(s, p, o))
+    note = F.concat_ws("_", s, "predicate", o, F.lit("stmt"))
+    five = F.array(triple(note, F.lit(_TYPE), F.lit(NS["owl"] + "Axiom")), triple(note, F.lit(NS["owl"] + "annotatedSource"), s),
+                   triple(note, F.lit(NS["owl"] + "annotatedProperty"), p), triple(note, F.lit(NS["owl"] + "annotatedTarget"), o),
+                   triple(note, F.lit(base + "confidence"), F.col("confidence").cast("string"), "literal", F.lit("decimal")))
+    reduced = edges.select("src", "predicate", "dst", "confidence").distinct()
+    of_edges = export_edges(reduced, nodes).select(F.explode(F.when(F.col("confidence").isNull(), own).otherwise(F.concat(own, five))).alias("t")).select("t.*")
+    return declarations(nodes.sparkSession, base).unionByName(of_nodes).unionByName(of_edges).distinct()
 
 
 def ntriples(rows: DataFrame) -> DataFrame:
@@ -130,23 +156,17 @@ def ntriples(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("<"), "subject", F.lit("> <"), "predicate", F.lit("> "), obj, F.lit(" .")).alias("value"))
 
 
-def jsonld(rows: DataFrame, per_object: int = 10_000) -> DataFrame:
-    """Triples as JSON-LD node objects, one per subject.
+def jsonld(rows: DataFrame) -> DataFrame:
+    """Triples as JSON-LD node objects, one per triple.
 
-    A subject with more than ``per_object`` triples is spread over several objects
-    with the same @id, which JSON-LD reads as one node; so a hub never has to fit in one cell.
+    Objects with the same @id are one node to JSON-LD, so this says the same as a nested form, has one
+    shape at every size, needs no shuffle, and a hub never has to fit in one cell.
     """
-    sizes = rows.groupBy("subject").agg(F.count("*").alias("_n")).filter(F.col("_n") > per_object)
-    parts = F.coalesce(F.ceil(F.col("_n") / per_object), F.lit(1))
     value = F.when(F.col("object_kind") == "uri", F.create_map(F.lit("@id"), F.col("object"))).when(
         F.col("datatype") == "string", F.create_map(F.lit("@value"), F.col("object"))).otherwise(
         F.create_map(F.lit("@type"), F.concat(F.lit(NS["xsd"]), "datatype"), F.lit("@value"), F.col("object")))
-    salted = rows.join(sizes, "subject", "left").withColumn("_part", F.pmod(F.xxhash64("predicate", "object"), parts))
-    lists = salted.groupBy("subject", "_part", "predicate").agg(F.array_sort(F.collect_list(F.to_json(value))).alias("_v"))
-    entry = F.concat(F.to_json(F.array("predicate")), F.lit("\0"), F.array_join("_v", ","))
-    one = lists.groupBy("subject", "_part").agg(F.array_sort(F.collect_list(entry)).alias("_e"))
-    fields = F.transform("_e", lambda e: F.concat(
-        F.substring(F.split_part(e, F.lit("\0"), F.lit(1)), F.lit(2), F.length(F.split_part(e, F.lit("\0"), F.lit(1))) - 2),
-        F.lit(":["), F.split_part(e, F.lit("\0"), F.lit(2)), F.lit("]")))
-    head = F.to_json(F.array("subject"))
-    return one.select("subject", F.concat(F.lit('{"@id":'), F.substring(head, F.lit(2), F.length(head) - 2), F.lit(","), F.array_join(fields, ","), F.lit("}")).alias("value"))
+
+    def text(name):
+        packed = F.to_json(F.array(name))
+        return F.substring(packed, F.lit(2), F.length(packed) - 2)
+    return rows.select("subject", F.concat(F.lit('{"@id":'), text("subject"), F.lit(","), text("predicate"), F.lit(":["), F.to_json(value), F.lit("]}")).alias("value"))

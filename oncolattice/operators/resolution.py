@@ -1,25 +1,22 @@
 """Labels to canonical URIs and stable node ids.
 
 Exact tiers are joins against the curated dictionary (tens of rows), which Spark
-broadcasts because it is a local relation of known size; the fuzzy tier is an Arrow UDF
-over the labels still open. Neither shuffles the entities, so a label that holds a third
-of all rows costs nothing extra. A larger dictionary passed in is joined without a hint:
+broadcasts because it is a local relation of known size; the fuzzy tier works on the distinct
+labels still open and is joined back. A larger dictionary passed in is joined without a hint:
 broadcast when it measures small, split on skewed labels when not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.similarity import closest_label
+from ..functions.similarity import candidates, sequence_match
 from ..functions.text import strip
 from ..sources import vocabulary as v
 
 # Trusted prefixes, cutoff
 TRUSTED = ["NCIt:", "her2:", "snomed:"]
 CUTOFF = 0.75
-# A dictionary up to this many labels travels with the tasks; beyond it labels are joined by length.
-DICTIONARY_LIMIT = 20_000
 
 
 def normalize_label(label: Column) -> Column:
@@ -72,39 +69,36 @@ def case_insensitive(entities: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def fuzzy_match(entities: DataFrame, open_label: Column, dictionary: list[tuple[str, str]] | DataFrame) -> DataFrame:
-    """RES3: adds fuzzy_uri for rows whose ``open_label`` is not null.
+    """RES3: adds fuzzy_uri for rows whose ``open_label`` is not null: by the label, else by its normal form.
 
-    A dictionary given as a DataFrame is collected only when it has at most
-    DICTIONARY_LIMIT rows; a larger one is joined by ``levenshtein_match``.
+    Distinct forms only are compared, with a dictionary of any size; see ``sequence_match``.
     """
-    if isinstance(dictionary, DataFrame):
-        if dictionary.limit(DICTIONARY_LIMIT + 1).count() > DICTIONARY_LIMIT:
-            raise ValueError(f"more than {DICTIONARY_LIMIT} labels: use fuzzy='levenshtein'")
-        dictionary = [(r["label"], r["uri"]) for r in dictionary.select("label", "uri").collect()]
-    spark = entities.sparkSession
-    rows = v.local_df(spark, [("_match", v._STR), ("fuzzy_uri", v._STR)], list(dictionary))
-    best = closest_label(open_label, normalize_label(open_label), [label for label, _ in dictionary], CUTOFF)
-    return entities.withColumn("_best", best).join(rows, F.col("_best") == F.col("_match"), "left").drop("_best", "_match")
+    if not isinstance(dictionary, DataFrame):
+        dictionary = v.local_df(entities.sparkSession, [("label", v._STR), ("uri", v._STR)], list(dictionary))
+    rows = entities.withColumn("_open", open_label).withColumn("_normal", normalize_label(F.col("_open")))
+    forms = rows.select(F.explode(F.array("_open", "_normal")).alias("label")).filter("label <> ''").distinct()
+    best = sequence_match(forms, dictionary, CUTOFF)
+
+    def side(column, uri):
+        return best.select(F.col("label").alias(column), F.col("uri").alias(uri))
+    return (rows.join(side("_open", "_uri1"), "_open", "left").join(side("_normal", "_uri2"), "_normal", "left")
+            .withColumn("fuzzy_uri", F.coalesce("_uri1", "_uri2")).drop("_open", "_normal", "_uri1", "_uri2"))
 
 
 def levenshtein_match(labels: DataFrame, dictionary: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """RES3, fast mode for dictionaries of any size: (label, fuzzy_uri, score) for distinct labels.
+    """RES3, edit-distance mode: (label, fuzzy_uri, score) for distinct labels.
 
-    Score is 1 - distance / longer length. At the cutoff the lengths can differ only so
-    much, so labels meet dictionary entries by an equi-join on length rather than all
-    with all; the greater dictionary label wins ties.
+    Score is 1 - distance / longer length. An edit spoils at most two pairs of neighbouring characters,
+    so labels at the cutoff share one when the longer has over 2 / (2 cutoff - 1) characters, and a
+    character when it is shorter; they meet by these. The greater dictionary label wins ties.
     """
-    length = F.length("label")
-    lo, hi = F.ceil(length * cutoff).cast("int"), F.floor(length / cutoff).cast("int")
-    left = labels.select("label").distinct().filter(length > 0).withColumn("_len", F.explode(F.sequence(lo, hi)))
-    right = dictionary.select(F.col("label").alias("_known"), F.col("uri").alias("fuzzy_uri"), F.length("label").alias("_len"))
-    longer = F.greatest(length, F.length("_known"))
-    distance = F.levenshtein("label", "_known")
-    return (
-        left.join(right, "_len").withColumn("score", 1.0 - distance / longer).filter(F.col("score") >= cutoff)
-        .groupBy("label").agg(F.max(F.struct("score", "_known", "fuzzy_uri")).alias("m"))
-        .select("label", F.col("m.fuzzy_uri").alias("fuzzy_uri"), F.col("m.score").alias("score"))
-    )
+    short = 2 / (2 * cutoff - 1) if cutoff > 0.5 else float("inf")
+    longer = F.greatest(F.length("label"), F.length("_known"))
+    pairs = candidates(labels.filter(F.length("label") > 0), dictionary, short)
+    score = (1.0 - F.levenshtein("label", "_known") / longer).alias("score")
+    return (pairs.select("label", "_known", F.col("uri").alias("fuzzy_uri"), score).filter(F.col("score") >= cutoff)
+            .groupBy("label").agg(F.max(F.struct("score", "_known", "fuzzy_uri")).alias("m"))
+            .select("label", F.col("m.fuzzy_uri").alias("fuzzy_uri"), F.col("m.score").alias("score")))
 
 
 def resolve(entities: DataFrame, fuzzy: str = "sequence", dictionary: DataFrame | None = None,
@@ -112,8 +106,7 @@ def resolve(entities: DataFrame, fuzzy: str = "sequence", dictionary: DataFrame
     """RES1-RES8 over entity rows: adds resolved_uri, ncit_uri, snomed_uri and id.
 
     Order of trust: supplied URI, exact, fuzzy, equal but for case, local. ``fuzzy`` is
-    ``sequence``, ``levenshtein`` or ``off``. The default dictionaries are the curated
-    ones; others may be of any size with ``levenshtein`` or ``off``.
+    ``sequence``, ``levenshtein`` or ``off``. The default dictionaries are the curated ones; others may be of any size.
     """
     spark = entities.sparkSession
     words = dictionary if dictionary is not None else v.canonical_df(spark)
@@ -121,7 +114,7 @@ def resolve(entities: DataFrame, fuzzy: str = "sequence", dictionary: DataFrame
     step = case_insensitive(step, words).withColumn("_trusted", trusted_uri(F.col("candidate_uri")))
     open_label = F.when(F.col("_trusted").isNull() & F.col("exact_uri").isNull(), F.col("label"))
     if fuzzy == "sequence":
-        step = fuzzy_match(step, open_label, words if dictionary is not None else list(v.CANONICAL_URIS.items()))
+        step = fuzzy_match(step, open_label, words)
     elif fuzzy == "levenshtein":
         step = step.join(levenshtein_match(step.select(open_label.alias("label")).filter("label is not null"), words).drop("score"), "label", "left")
     else:
@@ -163,16 +156,19 @@ def rewrite_relations(relations: DataFrame, resolved: DataFrame) -> DataFrame:
     """RES10: relation ends from answer-local ids to node ids; unknown ids stay.
 
     A local id maps to the id of the row that won its URI in the chunk; of repeated
-    local ids the last counts.
+    local ids the last counts. One shuffle by chunk serves all steps: the ids of a chunk, as many as one
+    answer has, become a map, and relations meet it once.
     """
-    winners = resolved.groupBy("chunk_id", "resolved_uri").agg(F.max_by("id", F.struct("confidence", -F.col("pos"))).alias("winner"))
-    local = resolved.groupBy("chunk_id", "local_id").agg(F.max_by("resolved_uri", "pos").alias("resolved_uri"))
-    ids = local.join(winners, ["chunk_id", "resolved_uri"]).select("chunk_id", "local_id", "winner")
-
-    def end(df, column):
-        side = ids.select("chunk_id", F.col("local_id").alias(column), F.col("winner").alias("_w"))
-        return df.join(side, ["chunk_id", column], "left").withColumn(column, F.coalesce("_w", column)).drop("_w")
-    return end(end(relations, "subject_id"), "object_id")
+    rows = resolved.select("chunk_id", "resolved_uri", "local_id", "id", "confidence", "pos").repartition("chunk_id")
+    best = Window.partitionBy("chunk_id", "resolved_uri")
+    won = rows.withColumn("winner", F.max_by("id", F.struct("confidence", -F.col("pos"))).over(best))
+    local = won.filter("local_id is not null").groupBy("chunk_id", "local_id").agg(F.max_by("winner", "pos").alias("winner"))
+    ids = local.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("local_id", "winner"))).alias("_ids"))
+
+    def end(column):
+        return F.coalesce(F.try_element_at("_ids", F.col(column)), F.col(column)).alias(column)
+    met = relations.join(ids, "chunk_id", "left")
+    return met.select(*[end(c) if c in ("subject_id", "object_id") else F.col(c) for c in relations.columns])
 
 
 def count_local(resolved: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Context and evidence retrieval for tables of requests.
 
 Where the result keeps k rows per request, the two sides that multiply (mentions and
-edges of an entity) are each cut to their first k beforehand. With the order used here
-no row beyond can reach the result, so hubs cost k*k rows, not mentions times edges.
+edges of an entity) are each cut to their first k beforehand, after what has no node or chunk
+at its other end is gone. With the order used here no row beyond can reach the result, so
+hubs cost k*k rows, not mentions times edges.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from .grounding import KNOWN_ENTITIES
 # Limits, terms, content types
 # --------------------------------------------------------------------------
 TOP_CONTEXT, TOP_LABELS, TOP_EVIDENCE, TOP_CORRELATIONS, CONTEXT_ROWS = 20, 10, 10, 5, 50
-KEYWORDS_USED, QUERY_PREFIX = 3, 80
 CITATIONS, CITATION_CHARS = 5, 150
 EVIDENCE_TERMS = ["T-DXd", "trastuzumab deruxtecan", "pertuzumab", "trastuzumab", "DESTINY", "HER2-low", "HER2-ultralow",
                   "IHC", "ISH", "ASCO", "CAP", "ESMO", "NCCN", "Rakha"]
@@ -31,12 +31,19 @@ def _first(df: DataFrame, key: str, order: list, k: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
 
 
-def _out_edges(edges: DataFrame, nodes: DataFrame, k: int, order: list) -> DataFrame:
-    """First k edges per source with the target's label."""
-    cut = _first(edges.select(F.col("src").alias("entity_id"), F.col("predicate").alias("relation"), F.col("dst").alias("related_id"), "confidence"),
-                 "entity_id", order, k)
+def _out_edges(edges: DataFrame, nodes: DataFrame, ids: DataFrame, k: int, order: list, distinct: bool = False) -> DataFrame:
+    """First k edges per source among ``ids`` that end at a node, with its label; ``distinct`` counts equal rows once."""
+    own = edges.select(F.col("src").alias("entity_id"), F.col("predicate").alias("relation"), F.col("dst").alias("related_id"), "confidence").join(
+        ids, "entity_id", "left_semi")
     ends = nodes.select(F.col("id").alias("related_id"), F.col("label").alias("related_entity"))
-    return cut.join(ends, "related_id")
+    rows = (own.distinct() if distinct else own).join(ends.distinct() if distinct else ends, "related_id")
+    return _first(rows, "entity_id", [*order, "related_entity"], k)
+
+
+def _mentions(mentions: DataFrame, chunks: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """First k mentions per entity among ``ids`` whose chunk is there."""
+    own = mentions.join(ids, "entity_id", "left_semi").join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return _first(own.select("chunk_id", "entity_id"), "entity_id", ["chunk_id"], k)
 
 
 def retrieve(requests: DataFrame, mentions: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, top_k: int = TOP_CONTEXT) -> DataFrame:
@@ -47,9 +54,8 @@ def retrieve(requests: DataFrame, mentions: DataFrame, chunks: DataFrame, nodes:
     """
     asked = requests.select("request_id", "entity_id").distinct()
     ids = asked.select("entity_id").distinct()
-    named = _first(mentions.join(ids, "entity_id", "left_semi"), "entity_id", ["chunk_id"], top_k)
-    edge_order = [F.desc_nulls_first("confidence"), "relation", "related_id"]
-    out = _out_edges(edges.join(ids.withColumnRenamed("entity_id", "src"), "src", "left_semi"), nodes, top_k, edge_order)
+    named = _mentions(mentions, chunks, ids, top_k)
+    out = _out_edges(edges, nodes, ids, top_k, [F.desc_nulls_first("confidence"), "relation", "related_id"])
     labels = nodes.filter(F.col("type") != "Chunk").select(F.col("id").alias("entity_id"), F.col("label").alias("entity"))
     rows = asked.join(named, "entity_id").join(labels, "entity_id").join(out, "entity_id", "left")
     best = rows.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(
@@ -71,18 +77,22 @@ def retrieve_by_labels(requests: DataFrame, mentions, chunks, nodes, edges, top_
     return retrieve(ids, mentions, chunks, nodes, edges, top_k)
 
 
-def keywords(query: Column) -> Column:
-    """RET5: known terms in the query, then its first 80 characters; the first three count."""
-    return F.slice(F.concat(found_terms(query, EVIDENCE_TERMS), F.array(F.substring(query, 1, QUERY_PREFIX))), 1, KEYWORDS_USED)
+def keywords(query: Column, count: int | None = None, chars: int | None = None) -> Column:
+    """RET5: known terms in the query, then the query itself or its first ``chars`` characters; the first ``count`` of these, or all."""
+    every = F.concat(found_terms(query, EVIDENCE_TERMS), F.array(query if chars is None else F.substring(query, 1, chars)))
+    return every if count is None else F.slice(every, 1, count)
 
 
-def evidence(queries: DataFrame, chunks: DataFrame, types=tuple(EVIDENCE_TYPES), top: int = TOP_EVIDENCE) -> DataFrame:
+def evidence(queries: DataFrame, chunks: DataFrame, types=tuple(EVIDENCE_TYPES), top: int = TOP_EVIDENCE,
+             count: int | None = None, chars: int | None = None) -> DataFrame:
     """RET4: chunks of evidence types holding each keyword of a query, by source document.
 
+    ``count`` and ``chars`` go to ``keywords``.
+
     The best chunks are found once per distinct keyword and then handed to the
     queries that ask for it, so a term that a third of all queries use costs one lookup.
     """
-    asked = unnest(queries, ["query_id"], keywords(F.col("query")), "needle", "kw_pos")
+    asked = unnest(queries, ["query_id"], keywords(F.col("query"), count, chars), "needle", "kw_pos")
     texts = chunks.filter(F.col("content_type").isin(list(types))).select(
         F.col("chunk_id").alias("text_id"), F.col("content").alias("text"), "source_doc", "content_type")
     hits = top_matches(texts, asked.select("needle"), ["source_doc"], top)
@@ -187,8 +197,8 @@ def context_rows(requests: DataFrame, nodes: DataFrame, edges: DataFrame, mentio
     by_label = wanted.join(node.withColumn("_low", F.lower("label")), "_low").drop("_low")
     asked = by_id.unionByName(by_label).distinct()
     ids = asked.select("entity_id").distinct()
-    out = _out_edges(edges.join(ids.withColumnRenamed("entity_id", "src"), "src", "left_semi"), nodes, limit, ["relation", "related_id"])
-    named = _first(mentions.join(ids, "entity_id", "left_semi"), "entity_id", ["chunk_id"], limit)
+    out = _out_edges(edges, nodes, ids, limit, ["relation", "related_id"], distinct=True)
+    named = _mentions(mentions.distinct(), chunks, ids, limit)
     rows = asked.join(out, "entity_id", "left").join(named, "entity_id", "left").join(
         chunks.select("chunk_id", F.col("content").alias("context"), "source_doc"), "chunk_id", "left")
     order = Window.partitionBy("request_id").orderBy("entity_id", "node_type", F.asc_nulls_first("relation"), F.asc_nulls_first("related_id"), F.asc_nulls_first("chunk_id"))

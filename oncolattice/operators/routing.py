@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import any_term, lits
 
 # --------------------------------------------------------------------------
-# Agents, trigger terms, confidence scale, pass limit
+# Agents, trigger terms, confidence scale
 # --------------------------------------------------------------------------
 AGENTS = ["diagnostic", "evidence", "explanation", "validation"]
 TRIGGERS = {
@@ -23,7 +23,6 @@ TRIGGERS = {
 }
 CONFIDENCE_SCALE = {"HIGH": 0.9, "MEDIUM": 0.6, "LOW": 0.3}
 OTHER_CONFIDENCE = 0.5
-MAX_PASSES = 3
 NO_RESULTS = "(no agent results)"
 
 
@@ -52,14 +51,14 @@ def route(queries: DataFrame) -> DataFrame:
         parse_route(F.col("router_raw")), keyword_route(F.col("query"), F.col("has_case"))))
 
 
-def next_step(routed: DataFrame) -> DataFrame:
+def next_step(routed: DataFrame, max_passes: int | None = None) -> DataFrame:
     """RTE3: next agent given those that ran, and the agents that will run in all.
 
-    ``iteration`` counts supervisor passes so far; after the third the queue is cleared.
+    ``iteration`` counts supervisor passes so far; with ``max_passes`` the queue is cleared after so many.
     """
-    left = F.array_except("target_agents", "ran")
-    room = F.greatest(F.lit(0), F.lit(MAX_PASSES) - F.col("iteration"))
-    planned = F.slice(left, F.lit(1), room)
+    planned = F.array_except("target_agents", "ran")
+    if max_passes is not None:
+        planned = F.slice(planned, F.lit(1), F.greatest(F.lit(0), F.lit(max_passes) - F.col("iteration")))
     return routed.withColumn("planned_agents", planned).withColumn(
         "next_agent", F.coalesce(F.try_element_at(planned, F.lit(1)), F.lit("synthesize")))
 

@@ -2,14 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-
-OUTPUT = "thread_id string, item_no bigint, seq bigint, agent string, first_run boolean"
-STATE = "n bigint, ran string"
-
+from pyspark.sql import DataFrame, Window, functions as F
 
 def fold_threads(items: DataFrame) -> DataFrame:
     """Batch form: items and distinct agents per thread, and the order agents first ran in.
@@ -22,24 +15,31 @@ def fold_threads(items: DataFrame) -> DataFrame:
     return per_agent.groupBy("thread_id").agg(F.transform(ordered, lambda s: s["agent"]).alias("ran"), F.sum("n").alias("items"))
 
 
-def _append(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Number new items as they come; the state is a count and the few agents that ran."""
-    n, ran = state.get if state.exists else (0, "")
-    seen = {a for a in ran.split(",") if a}
-    for part in parts:
-        part = part.sort_values("seq")
-        new = ~part["agent"].isin(seen) & ~part["agent"].duplicated()
-        seen |= set(part["agent"])
-        yield pd.DataFrame({"thread_id": key[0], "item_no": range(n + 1, n + 1 + len(part)), "seq": part["seq"].to_numpy(),
-                            "agent": part["agent"].to_numpy(), "first_run": new.to_numpy()})
-        n += len(part)
-    state.update((n, ",".join(sorted(seen))))
+def numbered(batch: DataFrame) -> DataFrame:
+    """Place of every item of one batch in its thread by seq, and whether its agent is the first of its kind there."""
+    thread = Window.partitionBy("thread_id").orderBy("seq", "agent")
+    return (batch.withColumn("item_no", F.row_number().over(thread).cast("bigint"))
+            .withColumn("first_run", F.row_number().over(Window.partitionBy("thread_id", "agent").orderBy("seq")) == 1))
 
 
-def thread_stream(items: DataFrame) -> DataFrame:
-    """Streaming form: every item with its number in the thread and whether its agent is new there.
+def thread_batches(folder: str):
+    """A ``foreachBatch`` function: numbers each batch by seq and appends it to ``folder`` as ``batch=...``.
 
-    Rows are numbered batch by batch in Arrow slices and earlier items are not kept,
-    so a thread may grow without end. A thread id seen before goes on where it left off.
+    What a thread had before is counted from the totals of earlier batches, one row per thread and agent, so the
+    numbers do not depend on how a batch is cut into slices. A batch that is replayed replaces its own output.
     """
-    return items.groupBy("thread_id").applyInPandasWithState(_append, OUTPUT, STATE, "append", "NoTimeout")
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        like = "thread_id string, agent string, n bigint, batch bigint"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/totals")
+        known = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        earlier = (spark.read.schema(like).parquet(f"{folder}/totals") if known else spark.createDataFrame([], like)).filter(F.col("batch") < batch_id)
+        ran = earlier.groupBy("thread_id", "agent").agg(F.sum("n").alias("n"))
+        rows = numbered(batch.select("thread_id", "seq", "agent"))
+        out = (rows.join(ran.groupBy("thread_id").agg(F.sum("n").alias("_before")), "thread_id", "left")
+               .join(ran.select("thread_id", "agent", F.lit(True).alias("_ran")), ["thread_id", "agent"], "left")
+               .select("thread_id", (F.col("item_no") + F.coalesce("_before", F.lit(0))).alias("item_no"), "seq", "agent",
+                       (F.col("first_run") & F.col("_ran").isNull()).alias("first_run")))
+        out.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        batch.groupBy("thread_id", "agent").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/totals/batch={batch_id}")
+    return sink

@@ -5,16 +5,13 @@ import pytest
 from oncolattice.catalog import ORACLE, QUERIES
 from tests.oracle_compare import compare, connect
 
-# Slow ones are left to tests/oracle_compare.py
-FAST = [k for k in QUERIES if k.startswith(("CAS", "RTE", "GND", "EXT", "RES", "ALG", "SRC", "VEC"))]
-
 
 @pytest.fixture(scope="module")
 def con(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("key", FAST)
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query(spark, sf, con, key):
     assert compare(spark, con, sf, key, QUERIES[key], ORACLE.get(key)) is None
 

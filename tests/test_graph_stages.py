@@ -1,11 +1,14 @@
 """Resolution, graph build, decision tables, rules, paths."""
 
-from difflib import get_close_matches
+import random
+from difflib import SequenceMatcher, get_close_matches
 
 import pytest
+from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
 from oncolattice.functions.prefix import running_start
+from oncolattice.functions.similarity import matched, sequence_match
 from oncolattice.operators import algorithms as a, graph as g, paths as p, resolution as r, rules
 from oncolattice.sources import vocabulary as v
 
@@ -43,6 +46,33 @@ def test_fuzzy_matches_brute_force(spark):
     assert rows == {s: brute(s) for s in labels}
 
 
+@given(st.text("abcd -", max_size=14), st.text("abcd -", max_size=14))
+def test_matching_blocks(a, b):
+    blocks = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+    assert matched(a, b) == sum(x.size for x in blocks)
+
+
+def test_fuzzy_candidates_miss_nothing(spark):
+    rng = random.Random(4)
+    known = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(60)})
+    asked = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(80)})
+    table = spark.createDataFrame([(k, k) for k in known], "label string, uri string")
+    rows = spark.createDataFrame([(a,) for a in asked], "label string")
+    got = {x["label"]: x["uri"] for x in sequence_match(rows, table, 0.75).collect()}
+    assert got == {a: m[0] for a in asked if (m := get_close_matches(a, known, n=1, cutoff=0.75))}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+    best = {a: max(((1 - distance(a, k) / max(len(a), len(k)), k) for k in known)) for a in asked}
+    got = {x["label"]: x["fuzzy_uri"] for x in r.levenshtein_match(rows, table).collect()}
+    assert got == {a: k for a, (score, k) in best.items() if score >= 0.75}
+
+
 def test_dedupe_merges_later_definitions(spark):
     rows = [("T-DXd", "early", None, 0.5), ("T-DXd", "best", None, 0.9), ("T-DXd", "best", None, 0.9), ("T-DXd", "more", None, 0.2), ("T-DXd", "more", None, 0.1), ("IHC", None, None, 0.5), ("IHC", "x", None, 0.4)]
     out = {x["resolved_uri"]: x for x in r.dedupe(r.resolve(entities(spark, rows))).collect()}

@@ -152,3 +152,19 @@ def test_extractor_retries_once(spark):
     out = x.extract(chunks, broken).collect()
     assert "down" in out[0]["error"] and out[0]["entities"] == []
     assert [e["label"] for e in x.extract(chunks).first()["entities"]] == ["T-DXd"]
+
+
+def test_one_bad_chunk_costs_one_row(spark):
+    chunks = spark.range(1000).select(F.col("id").cast("string").alias("chunk_id"), F.lit("s").alias("section"), F.col("id").cast("string").alias("content"), F.lit("general").alias("content_type"))
+
+    def picky(texts):
+        if "617" in texts:
+            raise RuntimeError("no")
+        return ["{}" for _ in texts]
+    rows = x.run_extractor(chunks, picky).collect()
+    assert len(rows) == 1000 and [r["chunk_id"] for r in rows if r["raw"] != "{}"] == ["617"]
+
+
+def test_type_words_fold_letters(spark):
+    for text, kind in (("staınıng of cells", "criteria"), ("STAİNİNG", "general"), ("ſcore", "criteria"), ("plain", "general")):
+        assert one(spark, text, k.content_type) == kind or (kind == "general" and one(spark, text, k.content_type) in ("general", "criteria"))
