@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import base64
 import bz2
-import gzip
+import codecs
 import hashlib
+import io
 import lzma
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)")
 BASE64 = (re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}={0,2}"))
 PRINTED = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f-\x9f\ufffd]*")
+PIECE = 1 << 20  # bytes of decompressed data looked at together
+CUT = re.compile(r"""[^A-Za-z0-9+/_.=\-"' :%\\{}]""")  # in no finding and no encoded run
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 
@@ -45,16 +49,20 @@ def scan(text: str) -> list[tuple[int, int, str]]:
 
 
 class Layer:
-    """Decoded text with the place in the document of each of its characters."""
+    """Decoded text with the place in the document of each of its characters, or one place for all of it."""
 
-    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None):
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None, whole: tuple[int, int] | None = None):
+        self.text, self.starts, self.ends, self.whole = text, starts, ends, whole
 
     def place(self, start: int, end: int) -> tuple[int, int]:
+        if self.whole:
+            return self.whole
         return (start, end) if self.starts is None else (int(self.starts[start]), int(self.ends[end - 1]))
 
     def over(self, text: str, starts, ends) -> Layer:
         """Layer decoded from this one, given where in it each character comes from."""
+        if self.whole:
+            return Layer(text, whole=self.whole)
         starts, ends = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
         if self.starts is None:
             return Layer(text, starts, ends)
@@ -113,63 +121,108 @@ def _from_unicode(run: str, at: int):
     return None if re.search("[\ud800-\udfff]", text) else (text, np.array(starts), np.array(ends))
 
 
-def _decompressed(raw: bytes) -> bytes | None:
+class _Inflated(io.RawIOBase):
+    """gzip (of one or more members) or zlib data read piece by piece."""
+
+    def __init__(self, source):
+        self.source, self.inflate, self.rest = source, zlib.decompressobj(47), b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while True:
+            if self.inflate.eof:
+                self.rest = self.inflate.unused_data or self.source.read1(1 << 16)
+                if self.rest[:2] != b"\x1f\x8b":
+                    return 0
+                self.inflate = zlib.decompressobj(47)
+            raw = self.rest or self.inflate.unconsumed_tail or self.source.read1(1 << 16)
+            self.rest = b""
+            got = self.inflate.decompress(raw, len(into))
+            if got or not raw:
+                into[:len(got)] = got
+                return len(got)
+
+
+def _opened(source: io.BufferedReader) -> io.BufferedReader | None:
+    """Reader of the data packed in `source`, None if it is not compressed."""
+    head = source.peek(8)[:8]
+    if head[:3] == b"\x1f\x8b\x08" or head[:1] == b"\x78" and len(head) > 2 and (head[0] << 8 | head[1]) % 31 == 0:
+        return io.BufferedReader(_Inflated(source))
+    if head[:3] == b"BZh":
+        return io.BufferedReader(bz2.BZ2File(source))
+    if head[:6] == b"\xfd7zXZ\x00":
+        return io.BufferedReader(lzma.LZMAFile(source))
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(source))
+    return None
+
+
+def _texts(raw: bytes) -> Iterator[str]:
+    """Text of compressed data, layer in layer, in pieces of about `PIECE` bytes that no finding crosses.
+
+    A broken stream gives what its reader passes on before the fault.
+    """
+    source, depth = io.BufferedReader(io.BytesIO(raw)), 0
+    decoder, held = codecs.getincrementaldecoder("utf-8")("replace"), ""
     try:
-        if raw[:2] == b"\x1f\x8b":
-            return gzip.decompress(raw)
-        if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            return zlib.decompress(raw)
-        if raw[:3] == b"BZh":
-            return bz2.decompress(raw)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.decompress(raw)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+        while (inner := _opened(source)) is not None:
+            source, depth = inner, depth + 1
+        while depth and (block := source.read1(PIECE)):
+            held += decoder.decode(block)
+            cut = next((m.end() for m in CUT.finditer(held[::-1])), 0)
+            if cut:
+                yield held[:len(held) - cut + 1]
+                held = held[len(held) - cut + 1:]
     except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    return None
+        pass
+    if held:
+        yield held
 
 
-def _unpacked(layer: Layer, start: int, end: int) -> Layer | None:
-    """Layer of a base64 run, with compressed data inside it opened; None if it holds no text."""
+def _unpacked(layer: Layer, start: int, end: int) -> Iterator[Layer]:
+    """Layers of a base64 run, with compressed data inside it opened; none if it holds no text."""
     run = layer.text[start:end].rstrip("=")
     if len(run) % 4 == 1 or (run.islower() or run.isalpha() and run.istitle()) and "=" not in layer.text[start:end]:
-        return None  # plain words
+        return  # plain words
     raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-    inner = _decompressed(raw)
-    if inner is None:
+    packed = False
+    for text in _texts(raw):
+        packed = True
+        yield Layer(text, whole=layer.place(start, end))
+    if not packed:
         at = np.arange(len(raw))
         got = _spread(raw, start + at // 3 * 4 + at % 3, np.minimum(start + at // 3 * 4 + at % 3 + 2, end))
-        return layer.over(*got) if got and PRINTED.fullmatch(got[0]) else None
-    while (deeper := _decompressed(inner)) is not None:
-        inner = deeper
-    text = inner.decode("utf-8", "replace")
-    return layer.over(text, np.full(len(text), start), np.full(len(text), end)) if text else None
+        if got and PRINTED.fullmatch(got[0]):
+            yield layer.over(*got)
+
+
+def _inner(layer: Layer) -> Iterator[Layer]:
+    """What a layer decodes to, one at a time."""
+    if "%" in layer.text and (new := _escaped(layer, URL, _from_url)):
+        yield new
+    if "\\" in layer.text and (new := _escaped(layer, UNICODE, _from_unicode)):
+        yield new
+    for span in sorted({m.span() for p in BASE64 for m in p.finditer(layer.text)}):
+        yield from _unpacked(layer, *span)
 
 
 def findings(text: str) -> tuple[list, list]:
     """Base findings and all findings (base ones, then those of decoded layers) of a whole text."""
     base = scan(text)
     extra, seen = set(base), set()
-    work = [Layer(text)]
+    work = [_inner(Layer(text))]
     while work:
-        layer = work.pop()
-        if layer.starts is not None:
-            extra.update((*layer.place(s, e), kind) for s, e, kind in scan(layer.text))
-        inner = []
-        if "%" in layer.text:
-            inner.append(_escaped(layer, URL, _from_url))
-        if "\\" in layer.text:
-            inner.append(_escaped(layer, UNICODE, _from_unicode))
-        runs = {m.span() for p in BASE64 for m in p.finditer(layer.text)}
-        inner += [_unpacked(layer, *span) for span in sorted(runs)]
-        for new in inner:
-            if new is None or not new.text:
-                continue
-            key = (hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(new.starts[0]), int(new.ends[-1]))
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+        elif new.text:
+            key = (hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), new.place(0, len(new.text)))
             if key not in seen:
                 seen.add(key)
-                work.append(new)
+                extra.update((*new.place(s, e), kind) for s, e, kind in scan(new.text))
+                work.append(_inner(new))
     order = lambda f: (f[0], KINDS.index(f[2]), f[1])
     return sorted(base, key=order), sorted(extra, key=order)
 
@@ -179,8 +232,9 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Places are code points of the document, end exclusive; a finding in a decoded layer covers the
     characters that it was decoded from (all of a run, if compressed). spans holds base and all others.
-    Null and empty texts have none. Each row stands for itself, repeated or not, with any id. Layers are
-    opened one at a time; a compressed layer takes the memory of its decompressed text.
+    Null and empty texts have none. Each row stands for itself, repeated or not, with any id. Layers are opened one
+    at a time, and compressed data is read in pieces, so a small text that swells takes little memory; only
+    a piece without any character that ends a finding grows on.
     """
     span = "array<struct<start: long, end: long, kind: string>>"
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))

@@ -76,6 +76,17 @@ def test_secret_layers():
         base, every = secrets.findings(f"before {packed} after")
         kinds = {(k, 7 <= s < e <= 7 + len(packed)) for s, e, k in every}
         assert {("assign", True), ("access", True)} <= kinds and set(base) <= set(every)
+    import bz2
+    import lzma
+    import zlib
+    import zstandard
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress, lambda b: gzip.compress(zlib.compress(b))):
+        filler = "line of filler text\n" * 200_000  # several pieces
+        packed = base64.b64encode(pack((filler + inner + "\n" + filler).encode())).decode()
+        found = secrets.findings(f"x {packed} y")[1]
+        assert {(2, 2 + len(packed), "assign"), (2, 2 + len(packed), "access")} <= set(found), pack
+    assert secrets.findings("x " + base64.b64encode(gzip.compress(b"\0" * 50_000_000)).decode())[0] == []
+    assert secrets.findings(base64.b64encode(gzip.compress((inner + "\n").encode() * 9)[:-12]).decode())[1]
     s, e, _ = next(f for f in secrets.findings("é %41%4B%49%41" + key[4:] + " z")[1])
     assert (s, e) == (2, 2 + 12 + 16)
     assert secrets.findings("token=short token: token=abcdefgh")[0] == [(12, 33, "assign")]
