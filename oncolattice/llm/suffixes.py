@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .arrays import CHUNK, chunks, mix, number_hash, piece_hash, prefix_hash, text_bytes, written
 
 BLOCK = 4096            # stretches sorted together, unless one minimizer has more
-BROADCAST = 2_000_000   # so many 24-byte requests may be broadcast; more are joined by a shuffle
+BROADCAST = 500_000     # so many 32-byte requests may be broadcast; more are joined by a shuffle
 LAST = 2**63 - 1
 
 
