@@ -19,6 +19,7 @@ from .arrays import BASE, LOWER, SPACED, chunks, mix, number_hash, reduce_rows,
 from .components import components
 
 ROWS = 2            # minhashes in a half
+RARE = 16           # a shingle of at most so many sets of mixed buckets is rare; its owners are paired by it
 MISS = 1e-5         # accepted chance that no table joins two documents of just the threshold
 BROADCAST = 200_000  # so many 8-byte ids may be broadcast; more are joined by a shuffle
 
@@ -122,16 +123,17 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _unshared(sets: DataFrame) -> DataFrame:
-    """set_id and how many of its shingles are in no other of the given sets; sets without such are left out."""
+def _rare(sets: DataFrame, most: int) -> DataFrame:
+    """(shingle, set_id, owners) for the shingles that at most `most` of the given sets have."""
     def run(batches):
         for batch in batches:
             raw = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
             ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in raw])
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(raw) if raw else np.zeros(0, np.int64))], ["set_id", "shingle"])
 
-    owners = sets.select("set_id", "shingles").mapInArrow(run, "set_id long, shingle long").groupBy("shingle").agg(F.count("*").alias("sets"), F.min("set_id").alias("set_id"))
-    return owners.where("sets = 1").groupBy("set_id").agg(F.count("*").alias("unshared"))
+    rows = sets.select("set_id", "shingles").mapInArrow(run, "set_id long, shingle long")
+    owners = rows.groupBy("shingle").agg(F.count("*").alias("owners")).where(F.col("owners") <= most)
+    return rows.join(owners, "shingle")
 
 
 def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -157,8 +159,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     bucket's center. In buckets still holding several components it is then compared with another center, the one
     with the fewest shingles of its own, and last, members outside that center's component are compared
     with members of other components. Left out are pairs inside one component, which change nothing, and
-    pairs that cannot be similar enough given how many shingles of each are in no other set of such
-    buckets. A large group of loosely similar texts so makes few pairs.
+    pairs that cannot be similar enough: sets of such buckets that share a rare shingle meet by it, and
+    the others can only share the shingles that are not rare. A large group of loosely similar texts so makes few pairs.
     """
     n_halves = halves_for(percent / 100, rows, miss)
     made = written(sketches(docs, k, n_halves, rows, id_col, text_col))
@@ -190,10 +192,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
 
     mixed = _labelled(hits.where("size > 2"), found)
     mixed = written(mixed.join(mixed.where("g != cg").select("key").distinct(), "key", "left_semi").select("key", "set_id", "n"))
-    lonely = _unshared(sets.join(mixed.select("set_id").distinct(), "set_id", "left_semi"))
-    # at most `most` shingles of a set are in any other set here, which bounds the similarity of every pair
-    able = (mixed.join(lonely, "set_id", "left").withColumn("most", F.col("n") - F.coalesce("unshared", F.lit(0)))
-            .where(f"100 * most >= {percent} * n").select("key", "set_id", "n", "most"))
+    rare = _rare(sets.join(mixed.select("set_id").distinct(), "set_id", "left_semi"), RARE)
+    own = written(rare.groupBy("set_id").agg(F.count_if(F.col("owners") == 1).alias("unshared"), F.count("*").alias("rare")))
+    # `most` shingles of a set are in another set here, `wide` in more than RARE sets; these bound the similarity of
+    # every pair, and of every pair that has no rare shingle in common
+    able = (mixed.join(own, "set_id", "left").withColumn("most", F.col("n") - F.coalesce("unshared", F.lit(0)))
+            .withColumn("wide", F.col("n") - F.coalesce("rare", F.lit(0)))
+            .where(f"100 * most >= {percent} * n").select("key", "set_id", "n", "most", "wide"))
     enough = f"100 * least(most, most_b) >= {percent} * (n + m - least(most, most_b))"
     # now the center is the member with the fewest shingles of its own: a common origin, if it is there
     center = able.groupBy("key").agg(F.max(F.struct((F.col("most") - F.col("n")).alias("shared"), "set_id", "n", "most")).alias("x")).select(
@@ -205,12 +210,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
         links = links.union(more)
         found = written(components(links))
 
-    group = _labelled(able.select("key", "set_id", "n", "most", "c"), found)
-    outside = group.where("g != cg").select("key", "set_id", "n", "g", "most")
-    other = group.where("set_id != c").select("key", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("g").alias("h"), (F.col("g") != F.col("cg")).alias("out"),
-                                              F.col("most").alias("most_b"))
-    rest = (outside.join(other, "key").where(f"g != h and (not out or set_id < b) and {near} and {enough}")
-            .select(F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")).distinct())
+    group = _labelled(able.select("key", "set_id", "n", "most", "wide", "c"), found)
+    broad = group.where(f"100 * wide >= {percent} * n")
+    outside = broad.where("g != cg").select("key", "set_id", "n", "g", "wide")
+    other = broad.where("set_id != c").select("key", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("g").alias("h"), (F.col("g") != F.col("cg")).alias("out"),
+                                              F.col("wide").alias("wide_b"))
+    enough_wide = enough.replace("most", "wide")
+    pair = [F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")]
+    by_bucket = outside.join(other, "key").where(f"g != h and (not out or set_id < b) and {near} and {enough_wide}").select(*pair)
+    nodes_here = group.select("set_id", "n", "most", "g").distinct()
+    left = rare.where("owners > 1").select("shingle", "set_id").join(nodes_here, "set_id")
+    right = left.select("shingle", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("most").alias("most_b"), F.col("g").alias("h"))
+    by_shingle = left.join(right, "shingle").where(f"set_id < b and g != h and {near} and {enough}").select(*pair)
+    rest = by_bucket.union(by_shingle).distinct()
     more = written(_confirmed(rest, sets, percent))
     if more.take(1):
         found = written(components(links.union(more)))
