@@ -3,48 +3,151 @@
 from __future__ import annotations
 
 import heapq
-import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import mix, number_hash, text_bytes
+from .arrays import chunks, mix, number_hash, piece_hash, prefix_hash, text_bytes
 from .vocabulary import MARK, MODEL, Vocabulary, chunked, load, marked
 
 VARIANTS = 4          # ways of segmenting a chunk that take turns within a seed
-REMEMBERED = 400_000  # segmentations that a worker keeps; only speed depends on it
+REMEMBERED = 1_000_000  # segmentations that a worker keeps; only speed depends on it
+GROUP = 2 << 20       # bytes of texts encoded together
+SHORT = 40            # characters up to which chunks advance together; longer ones go one by one
 MASK = (1 << 64) - 1
+LAST = np.iinfo(np.int64).max
 
 
 class Encoder:
     """Merges by an agenda: the best-scoring, then leftmost pair first. A candidate merge taken from the agenda
-    is skipped when a hash of (seed, variant, chunk, place) falls under the dropout, so the same key always
-    gives the same pieces. Characters without a piece are written in bytes."""
+    is skipped when a hash of (seed, variant, chunk; place) falls under the dropout: a keyed hash of the chunk gives
+    the multiplier and offset that hash the place. So the same key always gives the same pieces. Characters
+    without a piece are written in bytes."""
 
     def __init__(self, vocabulary: Vocabulary, seed: int = 0, dropout: float = 0.1, variants: int = VARIANTS):
-        self.pieces, self.bytes_at = vocabulary.pieces, vocabulary.bytes_at
+        self.ids = {piece: i for piece, (i, _) in vocabulary.pieces.items()}
+        self.cost = {piece: -score for piece, (_, score) in vocabulary.pieces.items()}
+        self.bytes_at, self.cuts = vocabulary.bytes_at, vocabulary.cuts
         self.limit = int(dropout * 2**32)
         self.seed, self.variants = number_hash(seed), variants if self.limit else 1
         self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
         self.held = 0
+        # symbols are numbers: a piece's id, or beyond them a character that is no piece but in one
+        symbols = self.ids | {c: len(vocabulary.raw) + ord(c) for p in self.ids for c in p if c not in self.ids}
+        singles = sorted((ord(" ") if c == MARK else ord(c), i) for c, i in symbols.items() if len(c) == 1)
+        self.codes, self.numbers = (np.array(x, np.int64) for x in zip(*singles))
+        ranks = {c: r for r, c in enumerate(sorted(set(self.cost.values())))}
+        merges = sorted((symbols[p[:k]] << 21 | symbols[p[k:]], ranks[self.cost[p]], i) for p, i in self.ids.items()
+                        for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols)
+        self.pairs, self.ranks, self.merged = (np.array(x, np.int64) for x in zip(*merges)) if merges else [np.zeros(0, np.int64)] * 3
+
+    def keys(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, variant: int) -> tuple[np.ndarray, np.ndarray]:
+        """Multiplier and offset of each chunk from its keyed hash."""
+        base = piece_hash(prefix_hash(codes), starts, ends)
+        a = mix(base ^ np.uint64(self.seed ^ number_hash(variant + 1)))
+        return a | np.uint64(1), mix(a + (ends - starts).astype(np.uint64))
+
+    def learn(self, chunks: list[str], variant: int) -> list[bytes]:
+        """Ids of many chunks: all agendas advance together, each by its next merge."""
+        out: list = [None] * len(chunks)
+        lengths = np.array([len(c) for c in chunks])
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        at = np.cumsum(lengths) - lengths
+        where = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        plain = np.logical_and.reduceat(self.codes[where] == codes, at) & (lengths <= SHORT)
+        for i in np.flatnonzero(~plain):
+            out[i] = self.chunk(chunks[i], variant)
+        a, b = self.keys(codes, at, at + lengths, variant)
+        chosen = np.repeat(plain, lengths)
+        sym, seg = self.numbers[where][chosen], np.repeat(np.arange(len(chunks)), lengths)[chosen]
+        place = (np.arange(len(codes)) - np.repeat(at, lengths))[chosen]
+        stop = place + 1
+        done_sym, done_seg = [], []
+
+        def found(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rank and table row of the pairs that begin at i."""
+            j = np.minimum(i + 1, len(sym) - 1)
+            key = sym[i] << 21 | sym[j]
+            row = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            good = (self.pairs[row] == key) & (seg[i] == seg[j]) & (j > i)
+            return np.where(good, self.ranks[row], LAST), row
+
+        rank, row = found(np.arange(len(sym))) if len(sym) else (place, place)
+        while len(sym):
+            first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
+            size = np.diff(np.append(first, len(seg)))
+            least = np.minimum.reduceat(rank, first)
+            over = np.repeat(least == LAST, size)
+            if over.all() or over.mean() > 0.3:  # put finished chunks aside
+                done_sym.append(sym[over])
+                done_seg.append(seg[over])
+                sym, seg, place, stop, rank, row = (x[~over] for x in (sym, seg, place, stop, rank, row))
+                continue
+            i = np.flatnonzero((rank == np.repeat(least, size)) & ~over)
+            i = i[np.concatenate([[True], seg[i[1:]] != seg[i[:-1]]])]  # the leftmost of each chunk
+            if self.limit:
+                hashed = a[seg[i]] * ((place[i] * 65537 + place[i + 1]) * 65537 + stop[i + 1]).astype(np.uint64) + b[seg[i]]
+                skip = (hashed >> np.uint64(32)) < np.uint64(self.limit)
+                rank[i[skip]] = LAST
+                i = i[~skip]
+                if not len(i):
+                    continue
+            sym[i] = self.merged[row[i]]
+            stop[i] = stop[i + 1]
+            keep = np.ones(len(sym), bool)
+            keep[i + 1] = False
+            sym, seg, place, stop, rank, row = (x[keep] for x in (sym, seg, place, stop, rank, row))
+            i = i - np.arange(len(i))
+            near = np.concatenate([i, i[i > 0] - 1])
+            rank[near], row[near] = found(near)
+        sym, seg = np.concatenate(done_sym or [place]), np.concatenate(done_seg or [place])
+        order = np.argsort(seg, kind="stable")
+        ids, ends = sym[order].astype(np.int32), np.searchsorted(seg[order], np.flatnonzero(plain), "right").tolist()
+        start = 0
+        for i, end in zip(np.flatnonzero(plain).tolist(), ends):
+            out[i] = ids[start:end].tobytes()
+            start = end
+        return out
 
     def chunk(self, chunk: str, variant: int) -> bytes:
-        pieces, limit = self.pieces, self.limit
+        """Ids of one chunk, of any length and with any characters."""
         text, marks = marked(chunk)
-        key = (self.seed ^ (variant * 0x9E3779B97F4A7C15) ^ (zlib.crc32(text.encode("utf-8", "surrogatepass")) << 17)) & MASK
-        n = len(text)
-        own = [c != MARK or i < marks for i, c in enumerate(text)]  # a mark of the text itself is no space
-        end = list(range(1, n + 1))       # of the symbol starting here; 0 once it is merged into another
-        before = list(range(-1, n - 1))   # start of the symbol to the left
+        codes = np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), np.uint32)
+        a, b = (int(x[0]) for x in self.keys(codes, np.array([0]), np.array([len(codes)]), variant))
+        out: list[str] = []
+        at = 0
+        while at < len(text):  # a mark of the text itself is no space: it is written in bytes and merges with nothing
+            stop = text.find(MARK, max(at, marks))
+            stop = len(text) if stop < 0 else stop
+            if stop > at:
+                out += self.merge(text[at:stop], at, a, b)
+            if stop < len(text):
+                out.append("")
+            at = stop + 1
+        ids, known = array("i"), self.ids
+        for piece in out:
+            got = known.get(piece)
+            if got is not None:
+                ids.append(got)
+            else:
+                ids.extend([self.bytes_at + x for x in (piece or MARK).encode("utf-8", "surrogatepass")])
+        return ids.tobytes()
+
+    def merge(self, text: str, at: int, a: int, b: int) -> list[str]:
+        """Symbols left of a text, whose place in its chunk is `at`."""
+        cost, limit, n = self.cost.get, self.limit, len(text)
+        end = list(range(1, n + 1))      # of the symbol starting here; 0 once it is merged into another
+        before = list(range(-1, n - 1))  # start of the symbol to the left
         agenda: list = []
 
         def offer(left: int, right: int) -> None:
-            if left >= 0 and right < n and own[left] and own[right]:
-                got = pieces.get(text[left:end[right]])
+            if left >= 0 and right < n:
+                got = cost(text[left:end[right]])
                 if got is not None:
-                    heapq.heappush(agenda, (-got[1], left, right, end[right]))
+                    heapq.heappush(agenda, (got, left, right, end[right]))
 
         for i in range(n - 1):
             offer(i, i + 1)
@@ -52,45 +155,49 @@ class Encoder:
             _, left, right, stop = heapq.heappop(agenda)
             if not end[left] or end[left] != right or end[right] != stop:
                 continue
-            if limit:
-                h = (key + left * 0xD6E8FEB86659FD93 + right * 0xA0761D6478BD642F + stop * 0xE7037ED1A0B428DB) & MASK
-                h = ((h ^ (h >> 32)) * 0x9FB21C651E98DF25) & MASK
-                if ((h ^ (h >> 28)) * 0xD6E8FEB86659FD93 & MASK) >> 32 < limit:
-                    continue
+            if limit and (a * (((left + at) * 65537 + right + at) * 65537 + stop + at) + b & MASK) >> 32 < limit:
+                continue
             end[left], end[right] = stop, 0
             if stop < n:
                 before[stop] = left
             offer(before[left], left)
             offer(left, stop)
-        ids, i = [], 0
+        out, i = [], 0
         while i < n:
-            got = pieces.get(text[i:end[i]]) if own[i] else None
-            if got is not None:
-                ids.append(got[0])
-            else:
-                ids += [self.bytes_at + b for b in text[i:end[i]].encode("utf-8", "surrogatepass")]
+            out.append(text[i:end[i]])
             i = end[i]
-        return np.array(ids, np.int32).tobytes()
+        return out
+
+    def texts(self, texts: list, salts: list) -> list[bytes]:
+        """Ids of whole texts as 32-bit numbers; a salt (say, the document's id) sets which variants take turns."""
+        outs, missing = [], [{} for _ in range(self.variants)]
+        for text, salt in zip(texts, salts):
+            chunks = chunked(text, self.cuts) if text else ()
+            if self.variants > 1 and chunks:
+                turns = (mix(np.arange(len(chunks), dtype=np.uint64) + np.uint64(number_hash(salt ^ self.seed))) % np.uint64(self.variants)).tolist()
+                own = [self.known[t].get(c) for c, t in zip(chunks, turns)]
+            else:
+                turns, own = [0] * len(chunks), list(map(self.known[0].get, chunks))
+            gaps = [i for i, x in enumerate(own) if x is None]
+            for i in gaps:
+                missing[turns[i]].setdefault(chunks[i], None)
+            outs.append((own, [(i, turns[i], chunks[i]) for i in gaps]))
+        new = sum(map(len, missing))
+        if self.held + new > REMEMBERED:
+            for known in self.known:
+                known.clear()
+            self.held = 0
+        self.held += new
+        for variant, chunks in enumerate(missing):
+            chunks.update(zip(chunks, self.learn(list(chunks), variant) if chunks else ()))
+            self.known[variant].update(chunks)
+        for own, gaps in outs:
+            for i, turn, chunk in gaps:
+                own[i] = missing[turn][chunk]
+        return [b"".join(own) for own, _ in outs]
 
     def text(self, text: str | None, salt: int = 0) -> bytes:
-        """Ids of a whole text as 32-bit numbers; `salt` (say, the document's id) sets which variants take turns."""
-        chunks = chunked(text) if text else ()
-        if self.variants > 1 and chunks:
-            turns = (mix(np.arange(len(chunks), dtype=np.uint64) + np.uint64(number_hash(salt ^ self.seed))) % np.uint64(self.variants)).tolist()
-        else:
-            turns = [0] * len(chunks)
-        known, out = self.known, []
-        for chunk, turn in zip(chunks, turns):
-            got = known[turn].get(chunk)
-            if got is None:
-                if self.held >= REMEMBERED:
-                    for k in known:
-                        k.clear()
-                    self.held = 0
-                got = known[turn][chunk] = self.chunk(chunk, turn)
-                self.held += 1
-            out.append(got)
-        return b"".join(out)
+        return self.texts([text], [salt])[0]
 
 
 class Decoder:
@@ -121,7 +228,10 @@ def encode(docs: DataFrame, model: str = MODEL, seed: int = 0, dropout: float =
         encoder, decoder = Encoder(shared.value, seed, dropout, variants), Decoder(shared.value)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            made = [encoder.text(t, i or 0) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            made = []
+            for first, last in chunks(offsets, GROUP):
+                rows = slice(first, last)
+                made += encoder.texts(batch.column(1)[rows].to_pylist(), [i or 0 for i in batch.column(0)[rows].to_pylist()])
             n = np.array([len(m) // 4 for m in made], np.int32)
             whole = [decoder.raw(np.frombuffer(m, np.int32)) == data[a:b].tobytes() for m, a, b in zip(made, offsets[:-1], offsets[1:])]
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(made), np.int32)))

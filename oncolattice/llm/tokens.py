@@ -28,39 +28,55 @@ class Counter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = vocabulary.least - PENALTY
-        self.single = {p for p in vocabulary.pieces if len(p) == 1}
+        self.cuts = vocabulary.cuts
         self.known: dict[str, tuple[int, float]] = {}
 
     def chunk(self, chunk: str) -> tuple[int, float]:
         text, marks = marked(chunk)
-        n = len(text)
-        best, count = [None] * (n + 1), [0] * (n + 1)
-        best[0], count[0] = 0.0, 0
-        by_end = [()] * n
-        for end, match in self.automaton.iter(text):
-            by_end[end] += (match,)
-        for end in range(n):
-            to, score, pieces, found = end + 1, None, 0, False
-            for length, own in by_end[end]:
-                start = to - length
-                if start < marks and to > marks and marks != 0 and MARK in text[marks:to]:
-                    continue
-                if MARK in text[max(start, marks):to]:  # a mark of the text itself is no space
-                    continue
-                found = found or length == 1
-                if best[start] is not None and (score is None or best[start] + own > score):
-                    score, pieces = best[start] + own, count[start] + 1
-            if not found and best[end] is not None:
-                own = best[end] + self.unknown
-                if score is None or own > score:
-                    score, pieces = own, count[end] + len(text[end].encode("utf-8", "surrogatepass"))
-            best[to], count[to] = score, pieces
+        n, count, best, last, unknown = len(text), [0], [0.0], 0, self.unknown
+        odd = MARK in text[marks:]  # a mark of the text itself is no space: no piece covers it
+
+        def lone(end: int) -> None:
+            """The character at `end` as unknown, where nothing else ends there."""
+            best.append(best[end] + unknown)
+            count.append(count[end] + len(text[end].encode("utf-8", "surrogatepass")))
+
+        score, pieces, single = None, 0, False
+        for end, (length, own) in self.automaton.iter(text):
+            if end != last:  # matches come by their ends
+                if score is not None:
+                    self.close(text, last, score, pieces, single, best, count)
+                    last += 1
+                while last < end:
+                    lone(last)
+                    last += 1
+                score, single = None, False
+            start = end + 1 - length
+            if odd and (MARK in text[max(start, marks):end + 1]):
+                continue
+            single = single or length == 1
+            value = best[start] + own
+            if score is None or value > score:
+                score, pieces = value, count[start] + 1
+        if score is not None:
+            self.close(text, last, score, pieces, single, best, count)
+            last += 1
+        while last < n:
+            lone(last)
+            last += 1
         return count[n], best[n]
 
+    def close(self, text, end, score, pieces, single, best, count) -> None:
+        """Settle the end: a character without a piece of its own may also be unknown, if that scores more."""
+        if not single and best[end] + self.unknown > score:
+            score, pieces = best[end] + self.unknown, count[end] + len(text[end].encode("utf-8", "surrogatepass"))
+        best.append(score)
+        count.append(pieces)
+
     def text(self, text: str | None) -> tuple[int, float]:
         """Pieces of a whole text and their score; none for null and the empty text."""
         known, n, total = self.known, 0, 0.0
-        for chunk in chunked(text) if text else ():
+        for chunk in chunked(text, self.cuts) if text else ():
             got = known.get(chunk)
             if got is None:
                 if len(known) >= REMEMBERED:
@@ -75,8 +91,9 @@ def token_counts(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", te
     """Tokens of every whole text: doc_id, n_tokens, score (of the best segmentation).
 
     Spaces become marks with one put before the text, and nothing else is normalised. Null and empty texts have 0
-    tokens. No piece holds a mark after another character, so each run of spaces with its word is segmented
-    by itself and remembered; the sums are those of the whole text. Each row stands for itself.
+    tokens. Texts are cut where no piece of the vocabulary can cross (before spaces, between letters and most
+    signs), so each stretch is segmented by itself and remembered; the sums are those of the whole text. Each row
+    stands for itself.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
 

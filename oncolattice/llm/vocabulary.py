@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
+import string
 from dataclasses import dataclass, field
 
 MARK = "▁"
-CHUNK = re.compile(r" +[^ ]*")  # spaces and the word after them
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -17,11 +17,18 @@ class Vocabulary:
     raw: list[bytes]            # what each id stands for, spaces for marks
     bytes_at: int
     least: float = field(init=False)
+    cuts: re.Pattern = field(init=False)
 
     def __post_init__(self):
         self.least = min(score for _, score in self.pieces.values())
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("a piece holds a mark after other characters; texts can't be cut at spaces")
+        # a text may be cut between a letter and what follows a letter in no piece, and around a character in no piece
+        after = {y for p in self.pieces for x, y in zip(p, p[1:]) if x.isalpha()}
+        signs = "".join(re.escape(c) for c in string.punctuation + string.digits if c not in after)
+        line = "" if any("\n" in p for p in self.pieces) else "\\n"
+        stops = f"{signs}{line}"
+        self.cuts = re.compile((rf" *[^\W\d_]+(?=[{stops}])|" if stops else "") + rf" +[^ {line}]*|[^ {line}]+" + (r"|\n" if line else ""))
 
 
 def load(path: str = MODEL) -> Vocabulary:
@@ -43,9 +50,9 @@ def load(path: str = MODEL) -> Vocabulary:
     return Vocabulary(pieces, raw, bytes_at)
 
 
-def chunked(text: str) -> list[str]:
-    """Stretches that no piece crosses: each is a run of spaces and a word; a space is put before the text."""
-    return CHUNK.findall(" " + text) if text else []
+def chunked(text: str, cuts: re.Pattern) -> list[str]:
+    """Stretches that no piece crosses, in order; a space is put before the text. Spaces are only at their start."""
+    return cuts.findall(" " + text) if text else []
 
 
 def marked(chunk: str) -> tuple[str, int]:
