@@ -34,7 +34,7 @@ def private(docs, threshold=0.8, support=3, reach=8):
             value = kind + (text[s:e].lower() if kind == "email" else re.sub("[^0-9.+]", "", text[s:e]))
             around = [w for w in words if w[1] <= s][-reach:] + [w for w in words if w[0] >= e][:reach]
             own.setdefault(value, set()).update(w for w in around if not any(w[0] < y and x < w[1] for _, x, y in base))
-        n_e.update(own)
+        n_e.update(own.keys())
         n_et.update({(v, w) for v, ws in own.items() for *_, w in ws})
         found.append(base)
         near.append(own)
