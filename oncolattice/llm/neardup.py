@@ -166,15 +166,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     made = written(sketches(docs, k, n_halves, rows, id_col, text_col))
     nodes = made.where("n_shingles > 0").groupBy("set_id").agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"))
-    keys = F.array(*[F.xxhash64(F.col("halves")[i], F.col("halves")[j], F.lit(t))
-                     for t, (i, j) in enumerate(combinations(range(n_halves), 2))])
-    tables = nodes.select("set_id", "n", F.explode(keys).alias("key"))
+    keys = F.array(*[F.struct(F.xxhash64(F.col("halves")[i], F.col("halves")[j], F.lit(64 * i + j)).alias("key"), F.lit(64 * i + j).alias("table"))
+                     for i, j in combinations(range(n_halves), 2)])
+    tables = nodes.select("set_id", "n", F.inline(keys))
     shared = tables.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    hits = written(tables.join(shared, "key").select("key", "set_id", "n", "size"))
+    hits = written(tables.join(shared, "key").select("key", "table", "set_id", "n", "size"))
     # a bucket's center is the member that keeps most company over all tables: it links most of the others
     company = hits.groupBy("set_id").agg(F.sum("size").alias("company"))
     center = hits.join(company, "set_id").groupBy("key").agg(F.max(F.struct("company", "set_id")).alias("c")).select("key", F.col("c.set_id").alias("c"))
-    hits = written(hits.join(center, "key").select("key", "set_id", "n", "c", "size"))
+    hits = written(hits.join(center, "key").select("key", "table", "set_id", "n", "c", "size"))
 
     wanted = hits.select("set_id").distinct()
     first_ids = made.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id")).join(wanted, "set_id", "left_semi")
@@ -191,14 +191,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     found = written(components(links))
 
     mixed = _labelled(hits.where("size > 2"), found)
-    mixed = written(mixed.join(mixed.where("g != cg").select("key").distinct(), "key", "left_semi").select("key", "set_id", "n"))
+    mixed = written(mixed.join(mixed.where("g != cg").select("key").distinct(), "key", "left_semi").select("key", "table", "set_id", "n"))
     rare = _rare(sets.join(mixed.select("set_id").distinct(), "set_id", "left_semi"), RARE)
     own = written(rare.groupBy("set_id").agg(F.count_if(F.col("owners") == 1).alias("unshared"), F.count("*").alias("rare")))
     # `most` shingles of a set are in another set here, `wide` in more than RARE sets; these bound the similarity of
     # every pair, and of every pair that has no rare shingle in common
     able = (mixed.join(own, "set_id", "left").withColumn("most", F.col("n") - F.coalesce("unshared", F.lit(0)))
             .withColumn("wide", F.col("n") - F.coalesce("rare", F.lit(0)))
-            .where(f"100 * most >= {percent} * n").select("key", "set_id", "n", "most", "wide"))
+            .where(f"100 * most >= {percent} * n").select("key", "table", "set_id", "n", "most", "wide"))
     enough = f"100 * least(most, most_b) >= {percent} * (n + m - least(most, most_b))"
     # now the center is the member with the fewest shingles of its own: a common origin, if it is there
     center = able.groupBy("key").agg(F.max(F.struct((F.col("most") - F.col("n")).alias("shared"), "set_id", "n", "most")).alias("x")).select(
@@ -210,14 +210,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
         links = links.union(more)
         found = written(components(links))
 
-    group = _labelled(able.select("key", "set_id", "n", "most", "wide", "c"), found)
+    group = _labelled(able.select("key", "table", "set_id", "n", "most", "wide", "c"), found)
     broad = group.where(f"100 * wide >= {percent} * n")
-    outside = broad.where("g != cg").select("key", "set_id", "n", "g", "wide")
+    broad = broad.join(broad.where("g != cg").select("key").distinct(), "key", "left_semi")
+    halves = nodes.select("set_id", "halves").join(broad.select("set_id").distinct(), "set_id", "left_semi")
+    broad = broad.join(halves, "set_id")
+    outside = broad.where("g != cg").select("key", "table", "set_id", "n", "g", "wide", "halves")
     other = broad.where("set_id != c").select("key", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("g").alias("h"), (F.col("g") != F.col("cg")).alias("out"),
-                                              F.col("wide").alias("wide_b"))
+                                              F.col("wide").alias("wide_b"), F.col("halves").alias("halves_b"))
+    # a pair meets in many tables and is taken in the first, that of its first two equal halves
+    once = f"slice(filter(sequence(0, {n_halves - 1}), i -> halves[i] = halves_b[i]), 1, 2) = array(cast(table div 64 as int), table % 64)"
     enough_wide = enough.replace("most", "wide")
     pair = [F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")]
-    by_bucket = outside.join(other, "key").where(f"g != h and (not out or set_id < b) and {near} and {enough_wide}").select(*pair)
+    by_bucket = outside.join(other, "key").where(f"g != h and (not out or set_id < b) and {near} and {enough_wide} and {once}").select(*pair)
     nodes_here = group.select("set_id", "n", "most", "g").distinct()
     left = rare.where("owners > 1").select("shingle", "set_id").join(nodes_here, "set_id")
     right = left.select("shingle", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("most").alias("most_b"), F.col("g").alias("h"))
