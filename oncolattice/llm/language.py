@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, chunks, reduce_rows, text_bytes
+from .arrays import LOWER, chunks, reduce_rows, text_bytes, written
 
 BUCKETS = 1 << 16
 PENALTY = 3.0   # log-likelihood that each further language must gain, in units of log(words)
@@ -57,14 +57,11 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tu
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(own[used])], ["lang", "bucket", "n"])
 
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    table = known.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).persist()
-    try:
-        size = table.count()
-        if size > MODEL_ROWS:
-            raise ValueError(f"{size} counts are more than a model may have")
-        rows = table.toPandas()
-    finally:
-        table.unpersist()
+    table = written(known.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    size = table.count()
+    if size > MODEL_ROWS:
+        raise ValueError(f"{size} counts are more than a model may have")
+    rows = table.toPandas()
     langs = sorted(set(rows["lang"]))
     counts = np.full((len(langs), BUCKETS), 0.5)
     if langs:
@@ -137,10 +134,7 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, penalty: float
                     continue
                 ll = np.stack([reduce_rows(np.add, np.where(inside, own[bucket], np.float32(0)), word_at, 0) for own in logs], 1) if len(starts) else np.zeros((0, len(langs)), np.float32)
                 parts.append(_mixtures(ll, row_at, penalty))
-                none = np.flatnonzero(np.diff(row_at) == 0)
-                parts[-1][none] = 0
-                for i in none if len(none) < last - first else range(last - first):
-                    parts[-1][i] = 0
+                parts[-1][np.diff(row_at) == 0] = 0
                 # bytes from 128 on may be no letters: look at texts that have no a-z
                 ascii_letters = np.add.reduceat(np.append(((data[offsets[first]:offsets[last]] | 32) - 97) < 26, 0).astype(np.int64), np.minimum(at[:-1], at[-1])) if len(data) else np.zeros(last - first, np.int64)
                 for i in np.flatnonzero((ascii_letters == 0) | (np.diff(at) == 0)):
