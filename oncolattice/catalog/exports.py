@@ -26,20 +26,30 @@ def _vectors(spark, path):
     return i.read(spark, path, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-@query("VEC1", "SELECT id, 64::BIGINT AS dim, 1.0::DOUBLE AS norm FROM (SELECT DISTINCT id FROM nodes WHERE type <> 'Chunk' AND label IS NOT NULL) WHERE id NOT IN (SELECT 'P' || p_partkey FROM part WHERE p_size > 25)", ("nodes",))
+def _embedded(texts):
+    """SQL for the nonzero entries of hashed embeddings, in ten-thousandths."""
+    return f"""SELECT id, string_agg(slot || ':' || round(v / norm * 10000)::BIGINT, ' ' ORDER BY slot) AS entries FROM (
+ SELECT id, slot, v, sqrt(sum(v * v) OVER (PARTITION BY id)) AS norm FROM (
+  SELECT id, code % 64 AS slot, sum(CASE WHEN code >= 2147483648 THEN 1.0 ELSE -1.0 END)::DOUBLE AS v FROM (
+   SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS code FROM (SELECT id, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM ({texts})) WHERE w <> '') GROUP BY 1, 2) WHERE v <> 0) GROUP BY 1"""
+
+
+def _entries(done):
+    at = F.transform("embedding", lambda x, k: F.when(x != 0, F.concat_ws(":", k.cast("string"), F.round(x.cast("double") * 10000).cast("bigint").cast("string"))))
+    return done.select("id", F.array_join(F.array_compact(at), " ").alias("entries"))
+
+
+@query("VEC1", _embedded("SELECT id, min(label) || ': ' AS text FROM nodes WHERE type <> 'Chunk' AND label IS NOT NULL AND id NOT IN (SELECT 'P' || p_partkey FROM part WHERE p_size > 25) GROUP BY 1"), ("nodes",))
 def vec1(spark, path):
     n = i.nodes(spark, path)
     stored = n.filter(F.try_element_at("props", F.lit("fda_approved")) == "true").select("id")
-    done = vec.embed_missing(vec.entity_texts(n), stored)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return done.select("id", F.size("embedding").cast("bigint").alias("dim"), F.round(norm, 4).alias("norm"))
+    return _entries(vec.embed_missing(vec.entity_texts(n), stored))
 
 
-@query("VEC2", "SELECT chunk_id AS id, 64::BIGINT AS dim FROM chunks", ("chunks",))
+@query("VEC2", _embedded("SELECT chunk_id AS id, content AS text FROM chunks"), ("chunks",))
 def vec2(spark, path):
     ch = i.chunks(spark, path)
-    done = vec.embed_missing(vec.chunk_texts(ch), ch.select(F.col("chunk_id").alias("id")).limit(0))
-    return done.select("id", F.size("embedding").cast("bigint").alias("dim"))
+    return _entries(vec.embed_missing(vec.chunk_texts(ch), ch.select(F.col("chunk_id").alias("id")).limit(0)))
 
 
 @query("VEC3", "SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN embedding[64] ELSE embedding[1] END::DOUBLE AS first_value FROM embeddings")

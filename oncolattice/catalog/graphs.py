@@ -477,7 +477,7 @@ _RULE_SQL = " UNION ALL ".join(f"SELECT '{rule}' AS rule_id, '{level}' AS severi
 
 def _one_rule(rule):
     def run(spark, path):
-        return rules.run(*_both(spark, path)).filter(F.col("rule_id") == rule).select("rule_id", "severity", "valid")
+        return rules.run(*_both(spark, path), only=[rule]).select("rule_id", "severity", "valid")
     return run
 
 

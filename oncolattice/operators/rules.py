@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.vocabulary import CATEGORY_IDS, ISH_GROUP_IDS
@@ -39,12 +41,13 @@ def _any(condition):
     return F.coalesce(F.bool_or(condition), F.lit(False))
 
 
-def facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row with the truth value of every rule.
+def facts(nodes: DataFrame, edges: DataFrame, only: Iterable[str] | None = None) -> DataFrame:
+    """One row with the truth value of every rule, or of those in ``only``.
 
     Nodes and edges are each reduced by one conditional aggregate; only the orphan
-    and the two typed checks need a join, after filters.
+    and the two typed checks need a join, after filters, and are left out where their rule is not asked for.
     """
+    asked = {rule for rule, *_ in RULES} if only is None else set(only)
     def node(kind, node_id):
         return _any((F.col("type") == kind) & (F.col("id") == node_id))
 
@@ -70,27 +73,29 @@ def facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
              .agg((F.count("*") == 0).alias("Fractal_marked_as_hypothesis")))
     therapy = (edges.filter((F.col("src") == "HER2_Equivocal") & (F.col("predicate") == "eligibleFor"))
                .join(of("TherapeuticAgent", "dst"), "dst", "left_semi").agg((F.count("*") == 0).alias("Equivocal_has_no_direct_therapy")))
-    linked = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    orphans = (nodes.filter(F.col("type").isin(_WATCHED)).select("id").join(linked, "id", "left_anti")
+    watched = nodes.filter(F.col("type").isin(_WATCHED)).select("id").distinct()
+    linked = edges.select(F.explode(F.array("src", "dst")).alias("id")).join(watched, "id", "left_semi").distinct()
+    orphans = (watched.join(linked, "id", "left_anti")
                .agg((F.count("*") == 0).alias("No_orphan_entities")))
 
     row = node_row.withColumn("_k", F.lit(1))
-    for other in (edge_row, loose, therapy, orphans):  # one row each
+    apart = {"Fractal_marked_as_hypothesis": loose, "Equivocal_has_no_direct_therapy": therapy, "No_orphan_entities": orphans}
+    for other in [edge_row] + [part for rule, part in apart.items() if rule in asked]:  # one row each
         row = row.join(other.withColumn("_k", F.lit(1)), "_k")
     at = lambda k, i: F.col(f"`{k}.{i}`")
     links = [(F.col("_" + rule) & at(sk, s) & at(tk, t)).alias(rule) for rule, sk, s, _, tk, t in _LINKS]
     return row.select(
-        *links, (F.col("_reflex") & at("IHCScore", "Score2Plus")).alias("IHC2Plus_requires_ISH"),
+        *[rule for rule in apart if rule in asked], *links, (F.col("_reflex") & at("IHCScore", "Score2Plus")).alias("IHC2Plus_requires_ISH"),
         (at("ClinicalCategory", "HER2_Positive") & at("ClinicalCategory", "HER2_Negative") & ~F.col("_refines")).alias("Positive_disjoint_Negative"),
-        "Fractal_marked_as_hypothesis", F.col("_categories").alias("All_5_categories_present"), F.col("_groups").alias("All_5_ISH_groups_present"),
-        "Equivocal_has_no_direct_therapy", "No_orphan_entities")
+        F.col("_categories").alias("All_5_categories_present"), F.col("_groups").alias("All_5_ISH_groups_present"))
 
 
-def run(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """VAL1-VAL14: (rule_id, severity, source, valid, message), a row per rule."""
+def run(nodes: DataFrame, edges: DataFrame, only: Iterable[str] | None = None) -> DataFrame:
+    """VAL1-VAL14: (rule_id, severity, source, valid, message), a row per rule, or per rule in ``only``."""
+    asked = [r for r in RULES if only is None or r[0] in set(only)]
     rows = F.array(*[F.struct(F.lit(rule).alias("rule_id"), F.lit(level).alias("severity"), F.lit(source).alias("source"),
-                              F.coalesce(F.col(rule), F.lit(False)).alias("valid"), F.lit(text).alias("_text")) for rule, level, source, text in RULES])
-    return facts(nodes, edges).select(F.explode(rows).alias("r")).select("r.*").withColumn(
+                              F.coalesce(F.col(rule), F.lit(False)).alias("valid"), F.lit(text).alias("_text")) for rule, level, source, text in asked])
+    return facts(nodes, edges, only).select(F.explode(rows).alias("r")).select("r.*").withColumn(
         "message", F.when(F.col("valid"), F.concat(F.lit("holds: "), "_text")).otherwise(F.concat("severity", F.lit(": violated: "), "_text"))).drop("_text")
 
 
