@@ -21,7 +21,7 @@ from .components import components
 ROWS = 2            # minhashes in a half
 RARE = 16           # a shingle of at most so many sets of mixed buckets is rare; its owners are paired by it
 MISS = 1e-5         # accepted chance that no table joins two documents of just the threshold
-BROADCAST = 200_000  # so many 8-byte ids may be broadcast; more are joined by a shuffle
+BROADCAST = 200_000  # so many ids (8 bytes) or pairs (16 bytes) may be broadcast; more are joined by a shuffle
 
 
 def halves_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -118,9 +118,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
+    pairs = written(pairs.select("a", "b").distinct())
+    few = pairs.count() <= BROADCAST
     left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    if few:  # only the sets that are needed are shuffled, and once
+        right = right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+    met = left.join(F.broadcast(pairs) if few else pairs, "a")
+    return met.join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _rare(sets: DataFrame, most: int) -> DataFrame:
@@ -182,7 +187,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     if first_ids.count() <= BROADCAST:
         first_ids = F.broadcast(first_ids)
     some = docs.join(first_ids, docs[id_col].cast("long").eqNullSafe(first_ids["first_id"]), "left_semi")
-    sets = written(_full_sets(some, k, id_col, text_col).join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]))
+    sets = written(_full_sets(some, k, id_col, text_col))
+    if sets.groupBy("set_id").count().where("count > 1").take(1):  # only where several rows have one id
+        sets = written(sets.dropDuplicates(["set_id"]))
 
     near = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     sizes = hits.select(F.col("set_id").alias("c"), F.col("n").alias("m")).distinct()
