@@ -14,7 +14,7 @@ from .arrays import chunks, mix, number_hash, piece_hash, prefix_hash, text_byte
 from .vocabulary import MARK, MODEL, Vocabulary, chunked, load, marked
 
 VARIANTS = 4          # ways of segmenting a chunk that take turns within a seed
-REMEMBERED = 1_000_000  # segmentations that a worker keeps; only speed depends on it
+REMEMBERED = 600_000   # segmentations that a worker keeps; only speed depends on it
 GROUP = 2 << 20       # bytes of texts encoded together
 SHORT = 40            # characters up to which chunks advance together; longer ones go one by one
 MASK = (1 << 64) - 1
