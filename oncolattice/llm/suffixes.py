@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import CHUNK, chunks, mix, number_hash, piece_hash, prefix_hash, text_bytes, written
+from .arrays import chunks, mix, number_hash, piece_hash, prefix_hash, text_bytes, written
 
 BLOCK = 4096            # stretches sorted together, unless one minimizer has more
-BROADCAST = 500_000     # so many 32-byte requests may be broadcast; more are joined by a shuffle
+BROADCAST = 2_000_000   # so many 32-byte requests may be broadcast; more are joined by a shuffle
+STEP = 1 << 18           # bytes of text hashed at once
 LAST = 2**63 - 1
 
 
@@ -64,10 +65,10 @@ def _marks(docs: DataFrame, length: int, grain: int, told: bool) -> DataFrame:
             ids, tells = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             data, offsets = text_bytes(batch.column(2))
             parts = []
-            for first, last in chunks(offsets):
+            for first, last in chunks(offsets, STEP):
                 # a long text goes in overlapping pieces; windows stay whole, stretches may be cut
-                whole = offsets[last] - offsets[first] <= 4 * CHUNK or last - first > 1
-                step = max(1, offsets[last] - offsets[first]) if whole else CHUNK
+                whole = offsets[last] - offsets[first] <= 4 * STEP or last - first > 1
+                step = max(1, offsets[last] - offsets[first]) if whole else STEP
                 for begin in range(offsets[first], max(offsets[last], offsets[first] + 1), step):
                     end = offsets[last] if whole else min(begin + step + length - 1, offsets[last])
                     at = offsets[first:last + 1] - begin if whole else np.array([0, end - begin])
