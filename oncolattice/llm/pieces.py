@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import math
+import zlib
 from array import array
 
 import numpy as np
@@ -10,31 +12,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import chunks, mix, number_hash, piece_hash, prefix_hash, text_bytes
+from .arrays import chunks, mix, number_hash, text_bytes
 from .vocabulary import MARK, MODEL, Vocabulary, chunked, load, marked
 
-VARIANTS = 4          # ways of segmenting a chunk that take turns within a seed
-REMEMBERED = 600_000   # segmentations that a worker keeps; only speed depends on it
+REMEMBERED = 500_000   # segmentations that a worker keeps; only speed depends on it
+BLOCK = 1 << 18       # chunks whose segmentations are looked up together
 GROUP = 2 << 20       # bytes of texts encoded together
 SHORT = 40            # characters up to which chunks advance together; longer ones go one by one
-MASK = (1 << 64) - 1
 LAST = np.iinfo(np.int64).max
 
 
 class Encoder:
-    """Merges by an agenda: the best-scoring, then leftmost pair first. A candidate merge taken from the agenda
-    is skipped when a hash of (seed, variant, chunk; place) falls under the dropout: a keyed hash of the chunk gives
-    the multiplier and offset that hash the place. So the same key always gives the same pieces. Characters
-    without a piece are written in bytes."""
+    """Merges by an agenda: the best-scoring, then leftmost pair first. Every candidate merge taken from the agenda is
+    skipped with the chance `dropout`, drawn anew for each occurrence of a chunk: a keyed hash of (seed, document, place of
+    the chunk in it) gives the gaps between the skipped candidates. So the same key always gives the same pieces, and no
+    number of segmentations is fixed. What one set of skips makes of a chunk is remembered: a node is a chunk with its first
+    skips, known with its ids and the number of candidates that it takes; a skip below that number leads to a further node.
+    Characters without a piece are written in bytes."""
 
-    def __init__(self, vocabulary: Vocabulary, seed: int = 0, dropout: float = 0.1, variants: int = VARIANTS):
+    def __init__(self, vocabulary: Vocabulary, seed: int = 0, dropout: float = 0.1):
         self.ids = {piece: i for piece, (i, _) in vocabulary.pieces.items()}
         self.cost = {piece: -score for piece, (_, score) in vocabulary.pieces.items()}
         self.bytes_at, self.cuts = vocabulary.bytes_at, vocabulary.cuts
-        self.limit = int(dropout * 2**32)
-        self.seed, self.variants = number_hash(seed), variants if self.limit else 1
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.held = 0
+        self.seed, self.dropout = number_hash(seed), dropout
+        self.rate = math.log1p(-dropout) if dropout < 1 else -math.inf
+        self.forget()
         # symbols are numbers: a piece's id, or beyond them a character that is no piece but in one
         symbols = self.ids | {c: len(vocabulary.raw) + ord(c) for p in self.ids for c in p if c not in self.ids}
         singles = sorted((ord(" ") if c == MARK else ord(c), i) for c, i in symbols.items() if len(c) == 1)
@@ -44,27 +46,39 @@ class Encoder:
                         for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols)
         self.pairs, self.ranks, self.merged = (np.array(x, np.int64) for x in zip(*merges)) if merges else [np.zeros(0, np.int64)] * 3
 
-    def keys(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, variant: int) -> tuple[np.ndarray, np.ndarray]:
-        """Multiplier and offset of each chunk from its keyed hash."""
-        base = piece_hash(prefix_hash(codes), starts, ends)
-        a = mix(base ^ np.uint64(self.seed ^ number_hash(variant + 1)))
-        return a | np.uint64(1), mix(a + (ends - starts).astype(np.uint64))
+    def forget(self) -> None:
+        self.roots: dict[str, int] = {}     # node of a chunk without skips
+        self.further: dict[int, int] = {}   # node << 7 | next skipped candidate -> node
+        self.made: list[bytes] = []         # ids of each node
+        self.taken = array("B")             # candidates of each node, below 3 * SHORT
 
-    def learn(self, chunks: list[str], variant: int) -> list[bytes]:
-        """Ids of many chunks: all agendas advance together, each by its next merge."""
+    def gaps(self, keys: np.ndarray, depth) -> np.ndarray:
+        """Candidates between one skipped candidate and the next (number `depth`) of each key."""
+        hashed = mix(keys ^ mix(np.atleast_1d(np.asarray(depth, np.uint64))))
+        chance = ((hashed >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
+        return np.minimum(np.log(chance) / self.rate, 2.0**40).astype(np.int64)
+
+    def skips(self, key: int, n: int) -> list[int]:
+        """The skipped ones among n candidates."""
+        gaps = self.gaps(np.full(n, key, np.uint64), np.arange(1, n + 1)) if self.dropout else np.zeros(0, np.int64)
+        at = np.cumsum(gaps + 1) - 1
+        return at[at < n].tolist()
+
+    def learn(self, chunks: list[str], skips: np.ndarray) -> tuple[list[bytes], list[int]]:
+        """Ids of many chunks, given the skipped candidates of each (a row of `skips`), and how many candidates were taken:
+        all agendas advance together, each by its next merge."""
         out: list = [None] * len(chunks)
+        taken, passed = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        skips = np.pad(skips, ((0, 0), (0, 1)), constant_values=LAST)
         lengths = np.array([len(c) for c in chunks])
         codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         at = np.cumsum(lengths) - lengths
         where = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         plain = np.logical_and.reduceat(self.codes[where] == codes, at) & (lengths <= SHORT)
         for i in np.flatnonzero(~plain):
-            out[i] = self.chunk(chunks[i], variant)
-        a, b = self.keys(codes, at, at + lengths, variant)
+            out[i], taken[i] = self.chunk(chunks[i], skips[i].tolist())
         chosen = np.repeat(plain, lengths)
         sym, seg = self.numbers[where][chosen], np.repeat(np.arange(len(chunks)), lengths)[chosen]
-        place = (np.arange(len(codes)) - np.repeat(at, lengths))[chosen]
-        stop = place + 1
         done_sym, done_seg = [], []
 
         def found(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +89,7 @@ class Encoder:
             good = (self.pairs[row] == key) & (seg[i] == seg[j]) & (j > i)
             return np.where(good, self.ranks[row], LAST), row
 
-        rank, row = found(np.arange(len(sym))) if len(sym) else (place, place)
+        rank, row = found(np.arange(len(sym))) if len(sym) else (sym, sym)
         while len(sym):
             first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
             size = np.diff(np.append(first, len(seg)))
@@ -84,46 +98,47 @@ class Encoder:
             if over.all() or over.mean() > 0.3:  # put finished chunks aside
                 done_sym.append(sym[over])
                 done_seg.append(seg[over])
-                sym, seg, place, stop, rank, row = (x[~over] for x in (sym, seg, place, stop, rank, row))
+                sym, seg, rank, row = (x[~over] for x in (sym, seg, rank, row))
                 continue
             i = np.flatnonzero((rank == np.repeat(least, size)) & ~over)
             i = i[np.concatenate([[True], seg[i[1:]] != seg[i[:-1]]])]  # the leftmost of each chunk
-            if self.limit:
-                hashed = a[seg[i]] * ((place[i] * 65537 + place[i + 1]) * 65537 + stop[i + 1]).astype(np.uint64) + b[seg[i]]
-                skip = (hashed >> np.uint64(32)) < np.uint64(self.limit)
+            own = seg[i]
+            skip = skips[own, passed[own]] == taken[own]
+            taken[own] += 1
+            if skip.any():
+                passed[own[skip]] += 1
                 rank[i[skip]] = LAST
                 i = i[~skip]
                 if not len(i):
                     continue
             sym[i] = self.merged[row[i]]
-            stop[i] = stop[i + 1]
             keep = np.ones(len(sym), bool)
             keep[i + 1] = False
-            sym, seg, place, stop, rank, row = (x[keep] for x in (sym, seg, place, stop, rank, row))
+            sym, seg, rank, row = (x[keep] for x in (sym, seg, rank, row))
             i = i - np.arange(len(i))
             near = np.concatenate([i, i[i > 0] - 1])
             rank[near], row[near] = found(near)
-        sym, seg = np.concatenate(done_sym or [place]), np.concatenate(done_seg or [place])
+        sym, seg = np.concatenate(done_sym or [sym]), np.concatenate(done_seg or [seg])
         order = np.argsort(seg, kind="stable")
         ids, ends = sym[order].astype(np.int32), np.searchsorted(seg[order], np.flatnonzero(plain), "right").tolist()
         start = 0
         for i, end in zip(np.flatnonzero(plain).tolist(), ends):
             out[i] = ids[start:end].tobytes()
             start = end
-        return out
+        return out, taken.tolist()
 
-    def chunk(self, chunk: str, variant: int) -> bytes:
-        """Ids of one chunk, of any length and with any characters."""
+    def chunk(self, chunk: str, skips: list[int]) -> tuple[bytes, int]:
+        """Ids of one chunk, of any length and with any characters, and the number of candidates taken."""
         text, marks = marked(chunk)
-        codes = np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), np.uint32)
-        a, b = (int(x[0]) for x in self.keys(codes, np.array([0]), np.array([len(codes)]), variant))
+        skips, taken = set(skips), 0
         out: list[str] = []
         at = 0
         while at < len(text):  # a mark of the text itself is no space: it is written in bytes and merges with nothing
             stop = text.find(MARK, max(at, marks))
             stop = len(text) if stop < 0 else stop
             if stop > at:
-                out += self.merge(text[at:stop], at, a, b)
+                pieces, taken = self.merge(text[at:stop], skips, taken)
+                out += pieces
             if stop < len(text):
                 out.append("")
             at = stop + 1
@@ -134,11 +149,11 @@ class Encoder:
                 ids.append(got)
             else:
                 ids.extend([self.bytes_at + x for x in (piece or MARK).encode("utf-8", "surrogatepass")])
-        return ids.tobytes()
+        return ids.tobytes(), taken
 
-    def merge(self, text: str, at: int, a: int, b: int) -> list[str]:
-        """Symbols left of a text, whose place in its chunk is `at`."""
-        cost, limit, n = self.cost.get, self.limit, len(text)
+    def merge(self, text: str, skips: set[int], taken: int) -> tuple[list[str], int]:
+        """Symbols left of a text, when `taken` candidates of its chunk came before, and the candidates taken after it."""
+        cost, n = self.cost.get, len(text)
         end = list(range(1, n + 1))      # of the symbol starting here; 0 once it is merged into another
         before = list(range(-1, n - 1))  # start of the symbol to the left
         agenda: list = []
@@ -155,7 +170,8 @@ class Encoder:
             _, left, right, stop = heapq.heappop(agenda)
             if not end[left] or end[left] != right or end[right] != stop:
                 continue
-            if limit and (a * (((left + at) * 65537 + right + at) * 65537 + stop + at) + b & MASK) >> 32 < limit:
+            taken += 1
+            if taken - 1 in skips:
                 continue
             end[left], end[right] = stop, 0
             if stop < n:
@@ -166,35 +182,68 @@ class Encoder:
         while i < n:
             out.append(text[i:end[i]])
             i = end[i]
-        return out
+        return out, taken
 
-    def texts(self, texts: list, salts: list) -> list[bytes]:
-        """Ids of whole texts as 32-bit numbers; a salt (say, the document's id) sets which variants take turns."""
-        outs, missing = [], [{} for _ in range(self.variants)]
-        for text, salt in zip(texts, salts):
-            chunks = chunked(text, self.cuts) if text else ()
-            if self.variants > 1 and chunks:
-                turns = (mix(np.arange(len(chunks), dtype=np.uint64) + np.uint64(number_hash(salt ^ self.seed))) % np.uint64(self.variants)).tolist()
-                own = [self.known[t].get(c) for c, t in zip(chunks, turns)]
-            else:
-                turns, own = [0] * len(chunks), list(map(self.known[0].get, chunks))
-            gaps = [i for i, x in enumerate(own) if x is None]
+    def add(self, chunks: list[str], skips: np.ndarray) -> list[int]:
+        """New nodes."""
+        first = len(self.made)
+        for at in range(0, len(chunks), BLOCK >> 3):
+            made, taken = self.learn(chunks[at:at + (BLOCK >> 3)], skips[at:at + (BLOCK >> 3)])
+            self.made += made
+            # without dropout nothing is looked up by it
+            self.taken.extend(taken if self.dropout else [0] * len(taken))
+        return list(range(first, len(self.made)))
+
+    def block(self, chunks: list[str], keys: np.ndarray) -> list[bytes]:
+        """Ids of chunks with the keys of their occurrences."""
+        if len(self.made) > REMEMBERED:
+            self.forget()
+        node = list(map(self.roots.get, chunks))
+        alone = {}
+        if None in node:
+            gaps = [i for i, x in enumerate(node) if x is None]
+            long = [i for i in gaps if self.dropout and len(chunks[i]) > SHORT]
+            for i in long:  # n characters offer less than 3 * n candidates
+                alone[i] = self.chunk(chunks[i], self.skips(int(keys[i]), 3 * len(chunks[i])))[0]
+            new = list(dict.fromkeys(chunks[i] for i in gaps if i not in alone))
+            self.roots.update(zip(new, self.add(new, np.zeros((len(new), 0), np.int64)) if new else ()))
             for i in gaps:
-                missing[turns[i]].setdefault(chunks[i], None)
-            outs.append((own, [(i, turns[i], chunks[i]) for i in gaps]))
-        new = sum(map(len, missing))
-        if self.held + new > REMEMBERED:
-            for known in self.known:
-                known.clear()
-            self.held = 0
-        self.held += new
-        for variant, chunks in enumerate(missing):
-            chunks.update(zip(chunks, self.learn(list(chunks), variant) if chunks else ()))
-            self.known[variant].update(chunks)
-        for own, gaps in outs:
-            for i, turn, chunk in gaps:
-                own[i] = missing[turn][chunk]
-        return [b"".join(own) for own, _ in outs]
+                node[i] = -1 if i in alone else self.roots[chunks[i]]
+        if self.dropout:
+            node = np.array(node, np.int64)
+            taken = np.append(np.array(self.taken, np.int64), 0)  # the last for those that stand alone
+            at, depth = self.gaps(keys, 1), 1
+            go = np.flatnonzero(at < taken[node])
+            while len(go):
+                way = (node[go] << 7 | at[go]).tolist()
+                got = list(map(self.further.get, way))
+                if None in got:
+                    new = {w: i for w, x, i in zip(way, got, go.tolist()) if x is None}
+                    rows = np.array(list(new.values()))
+                    skips = np.cumsum(np.stack([self.gaps(keys[rows], d) + 1 for d in range(1, depth + 1)], 1), 1) - 1
+                    self.further.update(zip(new, self.add([chunks[i] for i in rows.tolist()], skips)))
+                    got = list(map(self.further.get, way))
+                    taken = np.append(np.array(self.taken, np.int64), 0)
+                node[go] = got
+                depth += 1
+                at[go] += self.gaps(keys[go], depth) + 1
+                go = go[at[go] < taken[node[go]]]
+            node = node.tolist()
+        made = self.made
+        return [made[x] if x >= 0 else alone[i] for i, x in enumerate(node)] if alone else [made[x] for x in node]
+
+    def texts(self, texts: list, salts: list) -> list[bytes]:
+        """Ids of whole texts as 32-bit numbers; a salt (say, the document's id) and the text set what is skipped in it."""
+        cut = [chunked(text, self.cuts) if text else [] for text in texts]
+        n = np.array([len(c) for c in cut], np.int64)
+        ends = np.cumsum(n)
+        flat = [c for own in cut for c in own]
+        own = np.array([number_hash(salt ^ self.seed ^ number_hash(zlib.crc32((text or "").encode("utf-8", "surrogatepass")))) for text, salt in zip(texts, salts)], np.uint64)
+        keys = mix(np.repeat(own, n) + (np.arange(len(flat)) - np.repeat(ends - n, n)).astype(np.uint64)) if flat else np.zeros(0, np.uint64)
+        out = []
+        for at in range(0, len(flat), BLOCK):
+            out += self.block(flat[at:at + BLOCK], keys[at:at + BLOCK])
+        return [b"".join(out[end - k:end]) for end, k in zip(ends.tolist(), n.tolist())]
 
     def text(self, text: str | None, salt: int = 0) -> bytes:
         return self.texts([text], [salt])[0]
@@ -213,19 +262,20 @@ class Decoder:
         return self.flat[where].tobytes()[1:]
 
 
-def encode(docs: DataFrame, model: str = MODEL, seed: int = 0, dropout: float = 0.1, variants: int = VARIANTS,
+def encode(docs: DataFrame, model: str = MODEL, seed: int = 0, dropout: float = 0.1,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every whole text: doc_id, ids, n_pieces, lossless (decoding gives the text's bytes again).
 
     With dropout 0 these are the model's own pieces; with more, each candidate merge is skipped with that
-    chance, settled by a hash, so that a seed always gives the same result and another one different pieces.
-    Null and empty texts have no pieces. Each row stands for itself; a null id counts as 0 for the turns.
+    chance in each occurrence of a word, settled by a hash of seed, id, text and place, so that a seed always gives the
+    same result and another one different pieces. Null and empty texts have no pieces. Each row stands for itself;
+    equal rows have equal pieces; a null id counts as 0 in the hash.
     Other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
 
     def run(batches):
-        encoder, decoder = Encoder(shared.value, seed, dropout, variants), Decoder(shared.value)
+        encoder, decoder = Encoder(shared.value, seed, dropout), Decoder(shared.value)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             made = []
