@@ -31,7 +31,13 @@ URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)")
 BASE64 = (re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}={0,2}"))
-PRINTED = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f-\x9f\ufffd]*")
+WRAPPED = (re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/]+)+={0,2}"),
+           re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9_-]+)+={0,2}"))
+LINE = re.compile(r"[^\s=]+")
+BYTE = re.compile(r"""%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\([abfnrtv0\\'"])""")
+CONTROL = {c: ord(v) for c, v in zip("abfnrtv0\\'\"", "\a\b\f\n\r\t\v\0\\'\"")}
+PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+UTF16 = (re.compile(rb"(?:[^\x00]\x00){6,}"), re.compile(rb"(?:\x00[^\x00]){6,}"))
 PIECE = 1 << 20  # bytes of decompressed data looked at together
 CUT = re.compile(r"""[^A-Za-z0-9+/_.=\-"' :%\\{}]""")  # in no finding and no encoded run
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
@@ -70,14 +76,16 @@ class Layer:
 
 
 def _spread(raw: bytes, byte_starts, byte_ends):
-    """UTF-8 text of the bytes with start and end per character, or None."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    first = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-    last = np.append(first[1:], len(raw)) - 1
-    return text, np.asarray(byte_starts)[first], np.asarray(byte_ends)[last]
+    """UTF-8 text of the bytes with start and end per character; a byte that is no part of it stands as U+FFFD."""
+    text = raw.decode("utf-8", "surrogateescape")
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    stray = (codes >= 0xDC80) & (codes < 0xDD00)
+    size = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    size[stray] = 1
+    last = np.cumsum(size) - 1
+    if stray.any():
+        text = np.where(stray, np.uint32(0xFFFD), codes).astype(np.uint32).tobytes().decode("utf-32-le")
+    return text, np.asarray(byte_starts)[last - size + 1], np.asarray(byte_ends)[last]
 
 
 def _escaped(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
@@ -159,12 +167,14 @@ def _opened(source: io.BufferedReader) -> io.BufferedReader | None:
     return None
 
 
-def _texts(raw: bytes) -> Iterator[str]:
-    """Text of compressed data, layer in layer, in pieces of about `PIECE` bytes that no finding crosses.
+def _texts(raw: bytes, at: int = 0) -> Iterator[str]:
+    """Text of compressed data that begins at a place, layer in layer, in pieces of about `PIECE` bytes that no finding crosses.
 
     A broken stream gives what its reader passes on before the fault.
     """
-    source, depth = io.BufferedReader(io.BytesIO(raw)), 0
+    source = io.BytesIO(raw)
+    source.seek(at)
+    source, depth = io.BufferedReader(source), 0
     decoder, held = codecs.getincrementaldecoder("utf-8")("replace"), ""
     try:
         while (inner := _opened(source)) is not None:
@@ -181,21 +191,73 @@ def _texts(raw: bytes) -> Iterator[str]:
         yield held
 
 
-def _unpacked(layer: Layer, start: int, end: int) -> Iterator[Layer]:
-    """Layers of a base64 run, with compressed data inside it opened; none if it holds no text."""
-    run = layer.text[start:end].rstrip("=")
-    if len(run) % 4 == 1 or (run.islower() or run.isalpha() and run.istitle()) and "=" not in layer.text[start:end]:
+def _from_bytes(layer: Layer, raw: bytes, starts: np.ndarray, ends: np.ndarray, stop: int) -> Iterator[Layer]:
+    """Layers of bytes decoded from the given places, of a run up to `stop`: compressed data, and UTF-16 text of ASCII characters."""
+    for m in PACKED.finditer(raw):
+        for text in _texts(raw, m.start()):
+            yield Layer(text, whole=layer.place(int(starts[m.start()]), stop))
+    for k, pattern in enumerate(UTF16):
+        for m in pattern.finditer(raw):
+            own = slice(m.start() + k, m.end(), 2)
+            yield layer.over(raw[own].decode("latin-1"), starts[m.start():m.end():2], ends[m.start() + 1:m.end():2])
+
+
+def _unpacked(layer: Layer, places: np.ndarray, stop: int) -> Iterator[Layer]:
+    """Layers of the base64 characters at the given places, of a run up to `stop` (with signs of its end)."""
+    first, last = int(places[0]), int(places[-1]) + 1
+    run = layer.text[first:last] if last - first == len(places) else "".join(map(layer.text.__getitem__, places.tolist()))
+    if (run.islower() or run.isalpha() and run.istitle()) and stop == last:
         return  # plain words
+    run = run[:-1] if len(run) % 4 == 1 else run
     raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-    packed = False
-    for text in _texts(raw):
-        packed = True
-        yield Layer(text, whole=layer.place(start, end))
-    if not packed:
-        at = np.arange(len(raw))
-        got = _spread(raw, start + at // 3 * 4 + at % 3, np.minimum(start + at // 3 * 4 + at % 3 + 2, end))
-        if got and PRINTED.fullmatch(got[0]):
-            yield layer.over(*got)
+    at = np.arange(len(raw))
+    at = at // 3 * 4 + at % 3
+    starts, ends = places[at], places[at + 1] + 1
+    ends[-1] = last
+    yield from _from_bytes(layer, raw, starts, ends, stop)
+    yield layer.over(*_spread(raw, starts, ends))
+
+
+def _wrapped(layer: Layer) -> Iterator[tuple[np.ndarray, int]]:
+    """Places and end of base64 runs that go over line breaks: all lines, all but the first (which may be a word before
+    the data), and stretches of lines of one length with the shorter line after them."""
+    for pattern in WRAPPED:
+        for m in pattern.finditer(layer.text):
+            lines = [x.span() for x in LINE.finditer(layer.text, m.start(), m.end())]
+            groups, begin = {(0, len(lines)), (1, len(lines))}, 0
+            for k in range(1, len(lines) + 1):
+                size = lines[begin][1] - lines[begin][0]
+                if k == len(lines) or lines[k - 1][1] - lines[k - 1][0] < size or lines[k][1] - lines[k][0] > size:
+                    groups.add((begin, k))
+                    begin = k
+            for first, last in sorted(groups):
+                if last - first > 1:
+                    yield np.concatenate([np.arange(*x) for x in lines[first:last]]), m.end() if last == len(lines) else lines[last - 1][1]
+
+
+def _byte_runs(layer: Layer, pattern: str, sign: str) -> Iterator[Layer]:
+    """Compressed data and UTF-16 text in runs (of `pattern`) of characters and escaped bytes."""
+    for m in re.finditer(pattern, layer.text):
+        if sign not in m[0]:
+            continue
+        raw, starts, at = bytearray(), [], 0
+        for x in BYTE.finditer(m[0]):
+            if (sign == "%") != (x[1] is not None):
+                continue
+            raw += m[0][at:x.start()].encode()
+            starts += range(at, x.start())
+            raw.append(CONTROL[x[3]] if x[3] else int(x[1] or x[2], 16))
+            starts.append(x.start())
+            at = x.end()
+        raw += m[0][at:].encode()
+        starts = np.array([*starts, *range(at, len(m[0])), len(m[0])]) + m.start()
+        for each in {bytes(raw), bytes(raw if sign != "%" else _spaces(m[0], raw, starts - m.start()))}:
+            yield from _from_bytes(layer, each, starts[:-1], starts[1:], m.end())
+
+
+def _spaces(run: str, raw: bytearray, starts: np.ndarray) -> bytes:
+    """The bytes with spaces for the plus signs that are not escaped, as in forms."""
+    return bytes(0x20 if b == 0x2B and run[i] == "+" else b for b, i in zip(raw, starts.tolist()))
 
 
 def _inner(layer: Layer) -> Iterator[Layer]:
@@ -204,8 +266,16 @@ def _inner(layer: Layer) -> Iterator[Layer]:
         yield new
     if "\\" in layer.text and (new := _escaped(layer, UNICODE, _from_unicode)):
         yield new
-    for span in sorted({m.span() for p in BASE64 for m in p.finditer(layer.text)}):
-        yield from _unpacked(layer, *span)
+    if "%" in layer.text:
+        yield from _byte_runs(layer, r"[\x21-\x7e]+", "%")
+    if "\\x" in layer.text:
+        yield from _byte_runs(layer, r"[\x20-\x7e]+", "\\x")
+    for start, end in sorted({m.span() for p in BASE64 for m in p.finditer(layer.text)}):
+        bare = len(layer.text[start:end].rstrip("="))
+        yield from _unpacked(layer, np.arange(start, start + bare), end)
+    if "\n" in layer.text:
+        for places, stop in _wrapped(layer):
+            yield from _unpacked(layer, places, stop)
 
 
 def findings(text: str) -> tuple[list, list]:
