@@ -128,15 +128,28 @@ def _ranges(on: np.ndarray) -> list:
     return ((edge[::2] << 32) | edge[1::2]).tolist()
 
 
+def _counts(index: DataFrame, used: np.ndarray) -> DataFrame:
+    """How often each of the `used` terms (sorted) occurs in all documents; terms that occur nowhere have no row."""
+    shared = index.sparkSession.sparkContext.broadcast(used)
+
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            terms, sizes = (batch.column(c).flatten().to_numpy() for c in (0, 1))
+            at = np.minimum(np.searchsorted(known, terms.view(np.uint64)), len(known) - 1)
+            same = known[at] == terms.view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(terms[same]), pa.array(sizes[same].astype(np.int64))], ["term", "n"])
+
+    return index.select("terms", "sizes").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def _lookup(index: DataFrame, items: list, width: int, slop: int) -> DataFrame:
     """Hits of one block of items: doc row of the segment with hit ranges and items."""
     session = index.sparkSession
     item, grams, length = _windows([t for _, t in items], width)
     names = [i for i, _ in items]
     used = np.unique(grams[np.arange(width) < length[:, None]]) if len(grams) else np.zeros(0, np.uint64)
-    # how often the test terms occur in all documents; at most as many rows as the block has words
-    counts = index.select(F.explode(F.arrays_zip("terms", "sizes")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.sizes").alias("n"))
-    have = {np.int64(r.term).astype(np.uint64).item(): r.n for r in counts.where(F.col("term").isNotNull()).toLocalIterator()} if len(used) else {}
+    have = {np.int64(r.term).astype(np.uint64).item(): r.n for r in _counts(index, used).toLocalIterator()} if len(used) else {}
     frequency = np.array([have.get(t, 0) for t in used.tolist()], np.int64)
     rank = np.searchsorted(used, grams) if len(used) else grams.astype(np.int64)
     weight = np.where(np.arange(width) < length[:, None], frequency[np.minimum(rank, max(len(used) - 1, 0))] if len(used) else 0, np.iinfo(np.int64).max)
