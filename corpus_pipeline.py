@@ -1,8 +1,7 @@
 """From raw documents to pieces for training: quality, near-duplicates, contamination, personal data, encoding.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns them with the
-columns of documents; the last returns the pieces. Rows with a null doc_id are judged like the others, but near-duplicate
-removal, which names documents by id, leaves them in.
+columns of documents; the last returns the pieces. Rows are judged each for itself, with a null or repeated doc_id too.
 """
 
 from __future__ import annotations
@@ -28,9 +27,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate group (five-word shingles, similarity 0.8)."""
-    found = neardup.near_duplicates(docs, k=5, percent=80)
-    return _without(docs, found.where("not kept"), "doc_id").select(*docs.columns)
+    """One row of each near-duplicate group (five-word shingles, similarity 0.8): that of smallest doc_id, a null last.
+
+    Rows are named by a number of their own, written once; of rows that share the smallest id, the one with the least hash stays.
+    """
+    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = neardup.near_duplicates(keyed, k=5, percent=80, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "__row")
+    placed = written(found.join(keyed.select("__row", place.alias("place")), "__row"))
+    first = placed.groupBy("component_id").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return _without(keyed, placed.join(first, "component_id").where("place.__row != first.__row"), "__row").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
