@@ -78,4 +78,34 @@ c AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM s GROUP B
 SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, kept_sha256
 FROM d LEFT JOIN c USING (doc_id) JOIN kept USING (doc_id)"""
 
-ORACLE = {"op3_quality_rules": OP3, "op6_benchmark_decontamination": OP6, "op7_minhash_near_dedup": OP7, "op10_suffix_array_dedup": OP10}
+def _assigned(k: int) -> str:
+    """Nearest entry of codebook b{k} for every part: distance and index in one number, so that ties go to the lower index."""
+    return f"""
+a{k} AS MATERIALIZED (SELECT vec_id, label, part, x, best // 1000 AS err, CAST(best % 1000 AS INT) AS entry FROM (
+    SELECT p.vec_id, p.label, p.part, p.x, min(list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.c[i]) * (p.x[i] - b.c[i])))::BIGINT * 1000 + b.entry) AS best
+    FROM parts p JOIN b{k} b USING (part) GROUP BY ALL))"""
+
+
+def _replaced(k: int) -> str:
+    """Codebook b{k + 1}: floored means of the parts of an entry; unused entries stay."""
+    return f"""
+b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN (
+    SELECT part, entry, list(mean ORDER BY i) AS c FROM (
+        SELECT part, entry, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS mean 
+        FROM (SELECT part, entry, x, unnest(range(1, len(x) + 1)) AS i FROM a{k}) GROUP BY part, entry, i)
+    GROUP BY part, entry) m ON m.part = b.part AND m.entry = b.entry)"""
+
+
+OP12 = f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS x FROM kept, range(16) AS t(part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM parts
+    WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)),
+{_assigned(0)}, {_replaced(0)}, {_assigned(1)}, {_replaced(1)}, {_assigned(2)},
+rows_of AS (SELECT vec_id, label, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(err)::BIGINT AS error FROM a2 GROUP BY vec_id, label),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM rows_of, books"""
+
+ORACLE = {"op3_quality_rules": OP3, "op6_benchmark_decontamination": OP6, "op7_minhash_near_dedup": OP7, "op10_suffix_array_dedup": OP10,
+          "op12_vector_codes": OP12}

@@ -1,11 +1,14 @@
-"""Registered queries of the ten operators, thin over their modules, and SQL that checks them."""
+"""Registered queries of the operators, thin over their modules, and SQL that checks them."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import checks, decontaminate, html, language, neardup, pieces, pii, quality, secrets, suffixes, tokens
+from . import checks, codes, decontaminate, html, language, neardup, pieces, pii, quality, runs, secrets, simhash, suffixes, tokens
+from .arrays import written
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +74,47 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    books = codes.learn(vectors)
+    coded = codes.with_group_error(written(codes.encode(vectors, books, ["vec_id", "label"])), "label")
+    code = F.lower(F.array_join(F.transform("entries", lambda e: F.lpad(F.hex(e), 2, "0")), ""))
+    listed = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.lit(listed).alias("codebooks_sha256"))
+
+
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """Text of a tenth of the documents, by crc32 of the id: words from a place on repeat the p words that start there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        n = F.size(w).cast("long")
+        a = g % F.greatest(n, F.lit(1))
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        again = F.flatten(F.array_repeat(F.slice(w, (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a.cast("int")), F.slice(again, F.lit(1), (n - a).cast("int"))), " ")
+
+    words = F.array(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    return docs.select("doc_id", F.when(h % 10 == 0, F.transform(words, repeated)[0]).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(_with_repeats(_read(spark, sf_dir, "documents")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = found.withColumn("best", runs.strongest(F.col("runs")))
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                       F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                       F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_token_counts, op3_quality_rules, op4_pii, op5_html_extraction, op6_benchmark_decontamination,
-                                   op7_minhash_near_dedup, op8_language_id, op9_sentencepiece, op10_suffix_array_dedup)}
+                                   op7_minhash_near_dedup, op8_language_id, op9_sentencepiece, op10_suffix_array_dedup,
+                                   op11_simhash_near_dedup, op12_vector_codes, op13_periodic_runs)}
 
 ORACLE = checks.ORACLE
