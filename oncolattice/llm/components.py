@@ -29,12 +29,11 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def _forest(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-    """A link from each node to the smallest of its group within these links."""
+    """The smallest node of its group within these links for every node, itself included."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     label = np.arange(len(nodes))
     unite(label, at[:len(u)], at[len(u):])
-    far = np.flatnonzero(label != np.arange(len(nodes)))
-    return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], ["u", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["u", "v"])
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
@@ -69,9 +68,8 @@ def components(links: DataFrame, block: int = BLOCK) -> DataFrame:
     while True:
         tasks = -(-n // block)
         if tasks <= 1:
-            edges = written(_contracted(edges.coalesce(1)))
-            break
-        edges = written(_contracted(edges.coalesce(tasks)).distinct())
+            return written(_contracted(edges.coalesce(1)).toDF("id", "component"))
+        edges = written(_contracted(edges.coalesce(tasks)).where("u != v").distinct())
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = written(both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
@@ -82,7 +80,6 @@ def components(links: DataFrame, block: int = BLOCK) -> DataFrame:
         edges = written(small.where("u != v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            break
+            roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
         n, before = now[0], now
-    roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)

@@ -123,7 +123,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
     if few:  # only the sets that are needed are shuffled, and once
-        right = right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+        right = right.join(F.broadcast(pairs.select("b")), "b", "left_semi")
     met = left.join(F.broadcast(pairs) if few else pairs, "a")
     return met.join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -169,8 +169,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     """
     n_halves = halves_for(percent / 100, rows, miss)
     made = written(sketches(docs, k, n_halves, rows, id_col, text_col))
-    nodes = made.where("n_shingles > 0").groupBy("set_id").agg(
-        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"))
+    nodes = written(made.where("n_shingles > 0").groupBy("set_id").agg(
+        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves")))
     keys = F.array(*[F.struct(F.xxhash64(F.col("halves")[i], F.col("halves")[j], F.lit(64 * i + j)).alias("key"), F.lit(64 * i + j).alias("table"))
                      for i, j in combinations(range(n_halves), 2)])
     tables = nodes.select("set_id", "n", F.inline(keys))
@@ -178,12 +178,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     hits = written(tables.join(shared, "key").select("key", "table", "set_id", "n", "size"))
     # a bucket's center is the member that keeps most company over all tables: it links most of the others
     company = hits.groupBy("set_id").agg(F.sum("size").alias("company"))
-    center = hits.join(company, "set_id").groupBy("key").agg(F.max(F.struct("company", "set_id")).alias("c")).select("key", F.col("c.set_id").alias("c"))
-    hits = written(hits.join(center, "key").select("key", "table", "set_id", "n", "c", "size"))
+    center = hits.join(company, "set_id").groupBy("key").agg(F.max(F.struct("company", "set_id", "n")).alias("c")).select(
+        "key", F.col("c.set_id").alias("c"), F.col("c.n").alias("m"))
+    hits = written(hits.join(center, "key").select("key", "table", "set_id", "n", "c", "m", "size"))
 
-    wanted = hits.select("set_id").distinct()
-    first_ids = made.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id")).join(wanted, "set_id", "left_semi")
-    first_ids = written(first_ids.select("first_id"))
+    first_ids = written(nodes.join(hits.select("set_id"), "set_id", "left_semi").select("first_id"))
     if first_ids.count() <= BROADCAST:
         first_ids = F.broadcast(first_ids)
     some = docs.join(first_ids, docs[id_col].cast("long").eqNullSafe(first_ids["first_id"]), "left_semi")
@@ -192,10 +191,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
         sets = written(sets.dropDuplicates(["set_id"]))
 
     near = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    sizes = hits.select(F.col("set_id").alias("c"), F.col("n").alias("m")).distinct()
-    star = hits.where("set_id != c").select("set_id", "n", "c").distinct().join(sizes, "c").where(near)
-    links = written(_confirmed(star.select(F.col("c").alias("a"), F.col("set_id").alias("b")), sets, percent))
-    found = written(components(links))
+    star = hits.where(f"set_id != c and {near}").select(F.col("c").alias("a"), F.col("set_id").alias("b"))
+    links = written(_confirmed(star, sets, percent))
+    found = components(links)
 
     mixed = _labelled(hits.where("size > 2"), found)
     mixed = written(mixed.join(mixed.where("g != cg").select("key").distinct(), "key", "left_semi").select("key", "table", "set_id", "n"))
@@ -211,33 +209,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     center = able.groupBy("key").agg(F.max(F.struct((F.col("most") - F.col("n")).alias("shared"), "set_id", "n", "most")).alias("x")).select(
         "key", F.col("x.set_id").alias("c"), F.col("x.n").alias("m"), F.col("x.most").alias("most_b"))
     able = written(able.join(center, "key"))
-    star = able.where(f"set_id != c and {near} and {enough}").select(F.least("set_id", "c").alias("a"), F.greatest("set_id", "c").alias("b")).distinct()
+    star = able.where(f"set_id != c and {near} and {enough}").select(F.least("set_id", "c").alias("a"), F.greatest("set_id", "c").alias("b"))
     more = written(_confirmed(star, sets, percent))
     if more.take(1):
         links = links.union(more)
-        found = written(components(links))
+        found = components(links)
 
     group = _labelled(able.select("key", "table", "set_id", "n", "most", "wide", "c"), found)
-    broad = group.where(f"100 * wide >= {percent} * n")
-    broad = broad.join(broad.where("g != cg").select("key").distinct(), "key", "left_semi")
-    halves = nodes.select("set_id", "halves").join(broad.select("set_id").distinct(), "set_id", "left_semi")
-    broad = broad.join(halves, "set_id")
-    outside = broad.where("g != cg").select("key", "table", "set_id", "n", "g", "wide", "halves")
-    other = broad.where("set_id != c").select("key", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("g").alias("h"), (F.col("g") != F.col("cg")).alias("out"),
-                                              F.col("wide").alias("wide_b"), F.col("halves").alias("halves_b"))
-    # a pair meets in many tables and is taken in the first, that of its first two equal halves
-    once = f"slice(filter(sequence(0, {n_halves - 1}), i -> halves[i] = halves_b[i]), 1, 2) = array(cast(table div 64 as int), table % 64)"
-    enough_wide = enough.replace("most", "wide")
+    group = written(group.join(group.where("g != cg").select("key").distinct(), "key", "left_semi"))  # buckets that still hold several components
     pair = [F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")]
-    by_bucket = outside.join(other, "key").where(f"g != h and (not out or set_id < b) and {near} and {enough_wide} and {once}").select(*pair)
-    nodes_here = group.select("set_id", "n", "most", "g").distinct()
-    left = rare.where("owners > 1").select("shingle", "set_id").join(nodes_here, "set_id")
+    left = group.select("set_id", "n", "most", "g").distinct().join(rare.where("owners > 1").select("shingle", "set_id"), "set_id")
+    left = written(left.select("shingle", "set_id", "n", "most", "g")) if group.take(1) else left.limit(0)
     right = left.select("shingle", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("most").alias("most_b"), F.col("g").alias("h"))
-    by_shingle = left.join(right, "shingle").where(f"set_id < b and g != h and {near} and {enough}").select(*pair)
-    rest = by_bucket.union(by_shingle).distinct()
+    rest = left.join(right, "shingle").where(f"set_id < b and g != h and {near} and {enough}").select(*pair)
+    broad = group.where(f"100 * wide >= {percent} * n")
+    if broad.where("g != cg").take(1):
+        halves = nodes.select("set_id", "halves").join(broad.select("set_id"), "set_id", "left_semi")
+        broad = broad.join(broad.where("g != cg").select("key").distinct(), "key", "left_semi").join(halves, "set_id")
+        outside = broad.where("g != cg").select("key", "table", "set_id", "n", "g", "wide", "halves")
+        other = broad.where("set_id != c").select("key", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("g").alias("h"),
+                                                  (F.col("g") != F.col("cg")).alias("out"), F.col("wide").alias("wide_b"), F.col("halves").alias("halves_b"))
+        # a pair meets in many tables and is taken in the first, that of its first two equal halves
+        once = f"slice(filter(sequence(0, {n_halves - 1}), i -> halves[i] = halves_b[i]), 1, 2) = array(cast(table div 64 as int), table % 64)"
+        met = outside.join(other, "key").where(f"g != h and (not out or set_id < b) and {near} and {enough.replace('most', 'wide')} and {once}")
+        rest = rest.union(met.select(*pair))
     more = written(_confirmed(rest, sets, percent))
     if more.take(1):
-        found = written(components(links.union(more)))
+        found = components(links.union(more))
 
     labelled = (made.select("doc_id", "n_shingles", "set_id")
                 .join(found.select(F.col("id").alias("set_id"), "component"), "set_id", "left")
