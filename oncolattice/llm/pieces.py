@@ -6,6 +6,7 @@ import heapq
 import math
 import zlib
 from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +14,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks, mix, number_hash, text_bytes
-from .vocabulary import MARK, MODEL, Vocabulary, chunked, load, marked
+from .vocabulary import MARK, MODEL, Vocabulary, load, marked
 
-REMEMBERED = 500_000   # segmentations that a worker keeps; only speed depends on it
+REMEMBERED = 900_000   # segmentations that a worker keeps; only speed depends on it
 BLOCK = 1 << 18       # chunks whose segmentations are looked up together
 GROUP = 2 << 20       # bytes of texts encoded together
 SHORT = 40            # characters up to which chunks advance together; longer ones go one by one
-LAST = np.iinfo(np.int64).max
+LAST = np.iinfo(np.int32).max
+WIDTHS = (8, 14, SHORT)  # chunks that advance together have at most so many characters
+
+_letters = np.zeros(0, bool)
+
+
+def letters() -> np.ndarray:
+    """Which code points are letters for the cutting pattern: word characters but digits and underscores."""
+    global _letters
+    if not len(_letters):
+        _letters = np.fromiter((c.isalnum() and not c.isdecimal() for c in map(chr, range(0x110000))), bool, 0x110000)
+    return _letters
+
+
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: np.dtype):
+        self.n, self.values = 0, np.empty(1 << 10, kind)
+
+    def extend(self, more) -> None:
+        end = self.n + len(more)
+        if end > len(self.values):
+            self.values = np.concatenate([self.values[:self.n], np.empty(max(end, 3 * self.n // 2) - self.n, self.values.dtype)])
+        self.values[self.n:end] = more
+        self.n = end
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.values[at]
 
 
 class Encoder:
@@ -44,13 +73,24 @@ class Encoder:
         ranks = {c: r for r, c in enumerate(sorted(set(self.cost.values())))}
         merges = sorted((symbols[p[:k]] << 21 | symbols[p[k:]], ranks[self.cost[p]], i) for p, i in self.ids.items()
                         for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols)
-        self.pairs, self.ranks, self.merged = (np.array(x, np.int64) for x in zip(*merges)) if merges else [np.zeros(0, np.int64)] * 3
+        self.pairs, self.ranks, self.merged = (np.array(x, np.int64) for x in zip(*merges)) if merges else [np.full(1, -1, np.int64)] * 3
+        # open addressing: a slot has the row of a pair, or -1
+        self.bits = max(4, 2 + len(merges).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        for row, (pair, *_) in enumerate(merges):
+            slot = (pair * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - self.bits
+            while self.slots[slot] >= 0:
+                slot = (slot + 1) & ((1 << self.bits) - 1)
+            self.slots[slot] = row
+        self.lines = vocabulary.lines
+        self.stops = np.zeros(0x110000, bool)
+        self.stops[[ord(c) for c in vocabulary.stops]] = True
 
     def forget(self) -> None:
         self.roots: dict[str, int] = {}     # node of a chunk without skips
         self.further: dict[int, int] = {}   # node << 7 | next skipped candidate -> node
-        self.made: list[bytes] = []         # ids of each node
-        self.taken = array("B")             # candidates of each node, below 3 * SHORT
+        # of each node: its candidates (below 3 * SHORT), how many ids it has, and where they are among all ids
+        self.taken, self.size, self.at, self.flat = (_Grown(np.dtype(x)) for x in (np.uint8, np.int32, np.int64, np.int32))
 
     def gaps(self, keys: np.ndarray, depth) -> np.ndarray:
         """Candidates between one skipped candidate and the next (number `depth`) of each key."""
@@ -68,7 +108,7 @@ class Encoder:
         """Ids of many chunks, given the skipped candidates of each (a row of `skips`), and how many candidates were taken:
         all agendas advance together, each by its next merge."""
         out: list = [None] * len(chunks)
-        taken, passed = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        taken = np.zeros(len(chunks), np.int64)
         skips = np.pad(skips, ((0, 0), (0, 1)), constant_values=LAST)
         lengths = np.array([len(c) for c in chunks])
         codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -77,56 +117,71 @@ class Encoder:
         plain = np.logical_and.reduceat(self.codes[where] == codes, at) & (lengths <= SHORT)
         for i in np.flatnonzero(~plain):
             out[i], taken[i] = self.chunk(chunks[i], skips[i].tolist())
-        chosen = np.repeat(plain, lengths)
-        sym, seg = self.numbers[where][chosen], np.repeat(np.arange(len(chunks)), lengths)[chosen]
-        done_sym, done_seg = [], []
-
-        def found(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Rank and table row of the pairs that begin at i."""
-            j = np.minimum(i + 1, len(sym) - 1)
-            key = sym[i] << 21 | sym[j]
-            row = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            good = (self.pairs[row] == key) & (seg[i] == seg[j]) & (j > i)
-            return np.where(good, self.ranks[row], LAST), row
-
-        rank, row = found(np.arange(len(sym))) if len(sym) else (sym, sym)
-        while len(sym):
-            first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-            size = np.diff(np.append(first, len(seg)))
-            least = np.minimum.reduceat(rank, first)
-            over = np.repeat(least == LAST, size)
-            if over.all() or over.mean() > 0.3:  # put finished chunks aside
-                done_sym.append(sym[over])
-                done_seg.append(seg[over])
-                sym, seg, rank, row = (x[~over] for x in (sym, seg, rank, row))
-                continue
-            i = np.flatnonzero((rank == np.repeat(least, size)) & ~over)
-            i = i[np.concatenate([[True], seg[i[1:]] != seg[i[:-1]]])]  # the leftmost of each chunk
-            own = seg[i]
-            skip = skips[own, passed[own]] == taken[own]
-            taken[own] += 1
-            if skip.any():
-                passed[own[skip]] += 1
-                rank[i[skip]] = LAST
-                i = i[~skip]
-                if not len(i):
-                    continue
-            sym[i] = self.merged[row[i]]
-            keep = np.ones(len(sym), bool)
-            keep[i + 1] = False
-            sym, seg, rank, row = (x[keep] for x in (sym, seg, rank, row))
-            i = i - np.arange(len(i))
-            near = np.concatenate([i, i[i > 0] - 1])
-            rank[near], row[near] = found(near)
-        sym, seg = np.concatenate(done_sym or [sym]), np.concatenate(done_seg or [seg])
-        order = np.argsort(seg, kind="stable")
-        ids, ends = sym[order].astype(np.int32), np.searchsorted(seg[order], np.flatnonzero(plain), "right").tolist()
-        start = 0
-        for i, end in zip(np.flatnonzero(plain).tolist(), ends):
-            out[i] = ids[start:end].tobytes()
-            start = end
+        symbols, least = self.numbers[where], 0
+        for width in WIDTHS:
+            some = np.flatnonzero(plain & (lengths > least) & (lengths <= width))
+            if len(some):
+                inside = np.arange(width) < lengths[some][:, None]
+                table = np.full(inside.shape, -1, np.int64)
+                table[inside] = symbols[(at[some][:, None] + np.arange(width))[inside]]
+                ids, ends, taken[some] = self.advance(table, inside, skips[some])
+                raw = ids.astype(np.int32).tobytes()
+                start = 0
+                for i, end in zip(some.tolist(), (4 * ends).tolist()):
+                    out[i] = raw[start:end]
+                    start = end
+            least = width
         return out, taken.tolist()
 
+    def found(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and table row of pairs of symbols; a right one below zero makes no pair."""
+        key = left << 21 | right
+        slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        row = self.slots[slot]
+        todo = np.flatnonzero((row >= 0) & (self.pairs[row] != key))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+            row[todo] = self.slots[slot[todo]]
+            todo = todo[(row[todo] >= 0) & (self.pairs[row[todo]] != key[todo])]
+        return np.where((row >= 0) & (right >= 0), self.ranks[row], LAST), row
+
+    def advance(self, sym: np.ndarray, inside: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols left of each row, all together, where each row's end, and the candidates taken; symbols of a row are linked left and right."""
+        n, width = sym.shape
+        taken, passed = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        place = np.arange(n * width).reshape(n, width)
+        after = np.where(np.pad(inside[:, 1:], ((0, 0), (0, 1))), place + 1, -1).ravel()
+        before = np.where(np.arange(width) > 0, place - 1, -1).ravel()
+        rank, row = np.full(n * width, LAST, np.int32), np.zeros(n * width, np.int64)
+        sym = sym.ravel()
+        first = np.flatnonzero(after >= 0)
+        rank[first], row[first] = self.found(sym[first], sym[first + 1])
+        table, live = rank.reshape(n, width), np.arange(n)
+        while len(live):
+            here = table[live]
+            best = here.argmin(1)  # the leftmost of equal ones
+            open_ = here[np.arange(len(live)), best] < LAST
+            live = live[open_]
+            at = live * width + best[open_]
+            skip = skips[live, passed[live]] == taken[live]
+            taken[live] += 1
+            if skip.any():
+                passed[live[skip]] += 1
+                rank[at[skip]] = LAST
+                at = at[~skip]
+            gone = after[at]
+            sym[at] = self.merged[row[at]]
+            sym[gone], rank[gone] = -1, LAST
+            then = after[gone]
+            after[at] = then
+            before[then[then >= 0]] = at[then >= 0]
+            back = before[at]
+            back, onto = back[back >= 0], at[back >= 0]
+            i = np.concatenate([at, back])
+            rank[i], row[i] = self.found(sym[i], np.concatenate([np.where(then >= 0, sym[then], -1), sym[onto]]))
+        left = (sym >= 0).reshape(n, width)
+        return sym[left.ravel()], np.cumsum(left.sum(1)), taken
+
     def chunk(self, chunk: str, skips: list[int]) -> tuple[bytes, int]:
         """Ids of one chunk, of any length and with any characters, and the number of candidates taken."""
         text, marks = marked(chunk)
@@ -184,66 +239,94 @@ class Encoder:
             i = end[i]
         return out, taken
 
-    def add(self, chunks: list[str], skips: np.ndarray) -> list[int]:
-        """New nodes."""
-        first = len(self.made)
+    def store(self, made: list[bytes], taken) -> np.ndarray:
+        """New nodes with these ids."""
+        first, size = self.size.n, np.fromiter(map(len, made), np.int64, len(made)) // 4
+        self.at.extend(self.flat.n + np.cumsum(size) - size)
+        self.size.extend(size)
+        self.taken.extend(taken)
+        self.flat.extend(np.frombuffer(b"".join(made), np.int32))
+        return np.arange(first, self.size.n)
+
+    def add(self, chunks: list[str], skips: np.ndarray) -> np.ndarray:
+        """New nodes of chunks with the skipped candidates of each."""
+        nodes = []
         for at in range(0, len(chunks), BLOCK >> 3):
             made, taken = self.learn(chunks[at:at + (BLOCK >> 3)], skips[at:at + (BLOCK >> 3)])
-            self.made += made
             # without dropout nothing is looked up by it
-            self.taken.extend(taken if self.dropout else [0] * len(taken))
-        return list(range(first, len(self.made)))
+            nodes.append(self.store(made, taken if self.dropout else np.zeros(len(taken))))
+        return np.concatenate(nodes)
 
-    def block(self, chunks: list[str], keys: np.ndarray) -> list[bytes]:
-        """Ids of chunks with the keys of their occurrences."""
-        if len(self.made) > REMEMBERED:
+    def block(self, chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks with the keys of their occurrences, and how many each has."""
+        if self.size.n > REMEMBERED:
             self.forget()
-        node = list(map(self.roots.get, chunks))
-        alone = {}
-        if None in node:
-            gaps = [i for i, x in enumerate(node) if x is None]
-            long = [i for i in gaps if self.dropout and len(chunks[i]) > SHORT]
-            for i in long:  # n characters offer less than 3 * n candidates
-                alone[i] = self.chunk(chunks[i], self.skips(int(keys[i]), 3 * len(chunks[i])))[0]
-            new = list(dict.fromkeys(chunks[i] for i in gaps if i not in alone))
-            self.roots.update(zip(new, self.add(new, np.zeros((len(new), 0), np.int64)) if new else ()))
-            for i in gaps:
-                node[i] = -1 if i in alone else self.roots[chunks[i]]
+        node = np.array(list(map(self.roots.get, chunks, repeat(-1))), np.int64)
+        gaps = np.flatnonzero(node < 0)
+        if len(gaps):
+            some = [chunks[i] for i in gaps.tolist()]
+            if self.dropout and any(len(c) > SHORT for c in some):  # these are not looked up; n characters offer less than 3 * n candidates
+                short = np.array([len(c) <= SHORT for c in some])
+                long = gaps[~short]
+                node[long] = self.store([self.chunk(chunks[i], self.skips(int(keys[i]), 3 * len(chunks[i])))[0] for i in long.tolist()], np.zeros(len(long)))
+                gaps, some = gaps[short], [c for c in some if len(c) <= SHORT]
+            new = list(dict.fromkeys(some))
+            if new:
+                self.roots.update(zip(new, self.add(new, np.zeros((len(new), 0), np.int64)).tolist()))
+                node[gaps] = list(map(self.roots.get, some))
         if self.dropout:
-            node = np.array(node, np.int64)
-            taken = np.append(np.array(self.taken, np.int64), 0)  # the last for those that stand alone
             at, depth = self.gaps(keys, 1), 1
-            go = np.flatnonzero(at < taken[node])
+            go = np.flatnonzero(at < self.taken[node])
             while len(go):
-                way = (node[go] << 7 | at[go]).tolist()
-                got = list(map(self.further.get, way))
-                if None in got:
-                    new = {w: i for w, x, i in zip(way, got, go.tolist()) if x is None}
-                    rows = np.array(list(new.values()))
+                way = node[go] << 7 | at[go]
+                got = np.array(list(map(self.further.get, way.tolist(), repeat(-1))), np.int64)
+                miss = np.flatnonzero(got < 0)
+                if len(miss):
+                    new, one = np.unique(way[miss], return_index=True)
+                    rows = go[miss[one]]
                     skips = np.cumsum(np.stack([self.gaps(keys[rows], d) + 1 for d in range(1, depth + 1)], 1), 1) - 1
-                    self.further.update(zip(new, self.add([chunks[i] for i in rows.tolist()], skips)))
-                    got = list(map(self.further.get, way))
-                    taken = np.append(np.array(self.taken, np.int64), 0)
+                    made = self.add([chunks[i] for i in rows.tolist()], skips)
+                    self.further.update(zip(new.tolist(), made.tolist()))
+                    got[miss] = made[np.searchsorted(new, way[miss])]
                 node[go] = got
                 depth += 1
                 at[go] += self.gaps(keys[go], depth) + 1
-                go = go[at[go] < taken[node[go]]]
-            node = node.tolist()
-        made = self.made
-        return [made[x] if x >= 0 else alone[i] for i, x in enumerate(node)] if alone else [made[x] for x in node]
+                go = go[at[go] < self.taken[node[go]]]
+        size = self.size[node].astype(np.int64)
+        ends = np.cumsum(size)
+        return self.flat[np.arange(size.sum()) + np.repeat(self.at[node] - (ends - size), size)], size
+
+    def cut(self, texts: list) -> tuple[list[str], np.ndarray]:
+        """Chunks of all texts in order, as `chunked` has them, and how many each text has."""
+        whole = "".join([" " + text for text in texts if text])
+        if not whole:
+            return [], np.zeros(len(texts), np.int64)
+        sizes = np.array([len(text) + 1 if text else 0 for text in texts])
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        space, line = codes == 32, (codes == 10) if self.lines else np.zeros(len(codes), bool)
+        letter = letters()[codes]
+        first = np.ones(len(codes), bool)
+        first[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+        # a word's first letters end where one of the stops follows them
+        last = np.maximum.accumulate(np.where(letter, 0, np.arange(len(codes))))[:-1]
+        first[1:] |= self.stops[codes[1:]] & letter[:-1] & (space | line)[last]
+        first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        at = np.flatnonzero(first)
+        n = np.diff(np.searchsorted(at, np.concatenate([[0], np.cumsum(sizes)])))
+        at = at.tolist()
+        return [whole[a:b] for a, b in zip(at, at[1:] + [len(whole)])], n
 
     def texts(self, texts: list, salts: list) -> list[bytes]:
         """Ids of whole texts as 32-bit numbers; a salt (say, the document's id) and the text set what is skipped in it."""
-        cut = [chunked(text, self.cuts) if text else [] for text in texts]
-        n = np.array([len(c) for c in cut], np.int64)
+        flat, n = self.cut(texts)
         ends = np.cumsum(n)
-        flat = [c for own in cut for c in own]
         own = np.array([number_hash(salt ^ self.seed ^ number_hash(zlib.crc32((text or "").encode("utf-8", "surrogatepass")))) for text, salt in zip(texts, salts)], np.uint64)
         keys = mix(np.repeat(own, n) + (np.arange(len(flat)) - np.repeat(ends - n, n)).astype(np.uint64)) if flat else np.zeros(0, np.uint64)
-        out = []
-        for at in range(0, len(flat), BLOCK):
-            out += self.block(flat[at:at + BLOCK], keys[at:at + BLOCK])
-        return [b"".join(out[end - k:end]) for end, k in zip(ends.tolist(), n.tolist())]
+        if not flat:
+            return [b""] * len(texts)
+        ids, sizes = (np.concatenate(x) for x in zip(*[self.block(flat[at:at + BLOCK], keys[at:at + BLOCK]) for at in range(0, len(flat), BLOCK)]))
+        at = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends])].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(at, at[1:])]
 
     def text(self, text: str | None, salt: int = 0) -> bytes:
         return self.texts([text], [salt])[0]
@@ -262,6 +345,17 @@ class Decoder:
         return self.flat[where].tobytes()[1:]
 
 
+_kept: dict[tuple, Encoder] = {}
+
+
+def _encoder(vocabulary: Vocabulary, *key) -> Encoder:
+    """The encoder of this worker, with what it remembers from earlier tasks; one at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Encoder(vocabulary, *key[1:])
+    return _kept[key]
+
+
 def encode(docs: DataFrame, model: str = MODEL, seed: int = 0, dropout: float = 0.1,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every whole text: doc_id, ids, n_pieces, lossless (decoding gives the text's bytes again).
@@ -275,7 +369,7 @@ def encode(docs: DataFrame, model: str = MODEL, seed: int = 0, dropout: float =
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
 
     def run(batches):
-        encoder, decoder = Encoder(shared.value, seed, dropout), Decoder(shared.value)
+        encoder, decoder = _encoder(shared.value, model, seed, dropout), Decoder(shared.value)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             made = []

@@ -18,6 +18,8 @@ class Vocabulary:
     bytes_at: int
     least: float = field(init=False)
     cuts: re.Pattern = field(init=False)
+    stops: str = field(init=False)   # a text may be cut between a word's first letters and one of these
+    lines: bool = field(init=False)  # a line end stands alone
 
     def __post_init__(self):
         self.least = min(score for _, score in self.pieces.values())
@@ -25,8 +27,9 @@ class Vocabulary:
             raise ValueError("a piece holds a mark after other characters; texts can't be cut at spaces")
         # a text may be cut between a letter and what follows a letter in no piece, and around a character in no piece
         after = {y for p in self.pieces for x, y in zip(p, p[1:]) if x.isalpha()}
-        signs = "".join(re.escape(c) for c in string.punctuation + string.digits if c not in after)
-        line = "" if any("\n" in p for p in self.pieces) else "\\n"
+        self.stops = "".join(c for c in string.punctuation + string.digits if c not in after)
+        self.lines = not any("\n" in p for p in self.pieces)
+        signs, line = "".join(map(re.escape, self.stops)), "\\n" if self.lines else ""
         stops = f"{signs}{line}"
         self.cuts = re.compile((rf" *[^\W\d_]+(?=[{stops}])|" if stops else "") + rf" +[^ {line}]*|[^ {line}]+" + (r"|\n" if line else ""))
 
