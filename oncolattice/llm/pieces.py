@@ -257,8 +257,14 @@ class Encoder:
             nodes.append(self.store(made, taken if self.dropout else np.zeros(len(taken))))
         return np.concatenate(nodes)
 
-    def block(self, chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of chunks with the keys of their occurrences, and how many each has."""
+    def block(self, chunks: list[str], keys: np.ndarray) -> list[bytes]:
+        """Ids of each chunk, given the keys of their occurrences."""
+        ids, sizes = self.segment(chunks, keys)
+        ends = np.cumsum(sizes)
+        return [ids[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+
+    def segment(self, chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks in one array, and how many each has."""
         if self.size.n > REMEMBERED:
             self.forget()
         node = np.array(list(map(self.roots.get, chunks, repeat(-1))), np.int64)
@@ -324,7 +330,7 @@ class Encoder:
         keys = mix(np.repeat(own, n) + (np.arange(len(flat)) - np.repeat(ends - n, n)).astype(np.uint64)) if flat else np.zeros(0, np.uint64)
         if not flat:
             return [b""] * len(texts)
-        ids, sizes = (np.concatenate(x) for x in zip(*[self.block(flat[at:at + BLOCK], keys[at:at + BLOCK]) for at in range(0, len(flat), BLOCK)]))
+        ids, sizes = (np.concatenate(x) for x in zip(*[self.segment(flat[at:at + BLOCK], keys[at:at + BLOCK]) for at in range(0, len(flat), BLOCK)]))
         at = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends])].tolist()
         return [ids[a:b].tobytes() for a, b in zip(at, at[1:])]
 
