@@ -10,7 +10,7 @@ from ..operators import chunking as k, rdf, rules, vectors as vec
 from ..plans import answer as ans, build as bld
 from ..session import shared_dir, spread
 from ..sources import sinks, vocabulary as v
-from ..streaming import ingest as stream, threads
+from ..streaming import graph as kept, ingest as stream, threads
 from . import duck_inputs as d, graphs, inputs as i
 from .registry import ORACLE, query, table, values
 from .texts import _pg_chunks
@@ -73,6 +73,14 @@ def vec4(spark, path):
     return vec.top_k(e, centres, 5).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("VEC4_approx")
+def vec4_approx(spark, path):
+    """Nearest vectors to every vector whose id is divisible by 20, by buckets; tests measure recall against the exact form."""
+    e = _vectors(spark, path)
+    asked = e.filter(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), "embedding")
+    return vec.approx_top_k(e, asked, 5).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("VEC5", "SELECT vec_id AS id, len(embedding) - vec_id % 3 AS dim FROM embeddings WHERE vec_id % 3 <> 0")
 def vec5(spark, path):
     e = _vectors(spark, path).withColumn("embedding", F.slice("embedding", F.lit(1), F.size("embedding") - (F.col("id") % 3).cast("int")))
@@ -241,6 +249,31 @@ def str1(spark, path):
     return stream.ingested(spark, f"{root}/folded").select("chunk_id", "source_doc", "section", "content")
 
 
+@query("STR1_graph", """SELECT src, predicate, dst, confidence FROM (SELECT 'S' || l_suppkey AS src, CASE WHEN l_returnflag = 'R' THEN 'notEligibleFor' ELSE 'eligibleFor' END AS predicate,
+ 'P' || l_partkey AS dst, arg_max(1 - l_discount, (l_orderkey % 3) * 1000000000000000 + (l_orderkey * 100 + l_linenumber) * 1000 + round(l_discount * 100)::BIGINT) AS confidence FROM lineitem GROUP BY 1, 2, 3)""")
+def str1_graph(spark, path):
+    """Line items as edges in three arrivals, the last taken in twice as after a failure; their ends arrive in the second."""
+    root = _new_dir(spark, "graph")
+    tables = kept.GraphTables(spark, f"{root}/tables", 8)
+    agents = i.read(spark, path, "part").select(F.lit("TherapeuticAgent").alias("type"), i._id("P", "p_partkey").alias("id"), F.col("p_name").alias("label"))
+    sources = i.read(spark, path, "supplier").select(F.lit("Guideline").alias("type"), i._id("S", "s_suppkey").alias("id"), F.col("s_name").alias("label"))
+    ends = agents.unionByName(sources).withColumn("props", F.create_map().cast("map<string,string>"))
+    no_mentions = spark.createDataFrame([], kept.MENTIONS)
+
+    def changes(batch, turn):
+        mine = batch.filter(F.col("l_orderkey") % 3 == turn)
+        place = (F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 1000 + F.round(F.col("l_discount") * 100).cast("bigint")
+        edges = mine.select(i._id("S", "l_suppkey").alias("src"), F.when(F.col("l_returnflag") == "R", "notEligibleFor").otherwise("eligibleFor").alias("predicate"),
+                            i._id("P", "l_partkey").alias("dst"), F.lit(None).cast("string").alias("condition"), F.lit(None).cast("string").alias("algorithm_id"),
+                            (1 - F.col("l_discount")).alias("confidence"), F.lit(False).alias("is_hypothesis"), F.create_map().cast("map<string,string>").alias("props"),
+                            F.lpad(place.cast("string"), 20, "0").alias("place"))
+        return ends if turn == 1 else ends.limit(0), edges, no_mentions
+    for k_, turn in enumerate([0, 1, 2, 2]):
+        arrived = stream.parquet_stream(spark, path, "lineitem.parquet", f"{path}/lineitem.parquet")
+        kept.follow(arrived, lambda df, _, turn=turn: changes(df, turn), tables, f"{root}/offsets-{k_}")
+    return tables.edges().select("src", "predicate", "dst", "confidence")
+
+
 table("thread_items", "SELECT thread_id, query_id * 10 + seq AS seq, agent FROM agent_results", "agent_results")
 
 
@@ -256,11 +289,8 @@ def str2(spark, path):
         F.concat(F.lit("T"), F.col("conv_id").cast("string")).alias("thread_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("query_id"),
         F.posexplode(keyword_route(F.concat_ws(" ", "text", pick(QUERY_PHRASES, key)), key % 5 == 0)).alias("pos", "agent"))
     items = routed.select("thread_id", (F.col("query_id") * 10 + F.col("pos")).alias("seq"), "agent")
-
-    run = (items.writeStream.foreachBatch(threads.thread_batches(root)).outputMode("append")
-           .option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start())
-    run.awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("thread_id", "item_no", "seq", "agent", "first_run")
+    threads.run_threads(items, f"{root}/out", f"{root}/offsets")
+    return spark.read.schema(threads.ITEMS).parquet(f"{root}/out").select("thread_id", "item_no", "seq", "agent", "first_run")
 
 
 @query("STR2_fold", """SELECT thread_id, array_to_string(list(agent ORDER BY s), ',') AS ran, sum(n)::BIGINT AS items FROM (SELECT thread_id, agent, min(seq) AS s, count(*) AS n FROM thread_items GROUP BY 1, 2) GROUP BY 1""", ("thread_items",))

@@ -24,26 +24,26 @@ def _fold(rows: DataFrame, key: list[str], columns: dict[str, str], keep_non_emp
     """Last write per key and property; a null property value removes it.
 
     ``rows`` holds key, columns, props, ``_seq`` (-1 for what was there before) and ``_place``, which orders
-    rows of one ``_seq``. Columns travel as properties of their own (names led by a NUL), so all is folded per
-    property, reduced before the shuffle, and then once per key. Null keys are a marker meanwhile.
+    rows of one ``_seq``. Columns fold in one aggregate by key, reduced before the shuffle. Only properties are taken apart:
+    they fold by key and name, again reduced first, and then make one map per key. Null keys are a marker meanwhile.
     """
     none = F.lit(None).cast("double")
+    rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit("\0")) for c in key})
 
-    def entry(name, value, number=none):
-        return F.struct(name.alias("name"), value.alias("value"), number.alias("number"))
-    own = [entry(F.lit("\0"), F.lit(""))] + [
-        entry(F.lit("\0" + c), F.col(c).cast("string"), F.col(c) if t == "double" else none) for c, t in columns.items()]
-    given = F.transform(F.map_entries(F.coalesce("props", F.create_map().cast("map<string,string>"))), lambda e: entry(e["key"], e["value"]))
+    def last(c, t):
+        place = F.struct("_seq", "_place", (F.col(c) if t == "double" else none).alias("number"), F.col(c).cast("string").alias("value"))
+        return F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c)
+    fixed = rows.groupBy(*key).agg(*[last(c, t) for c, t in columns.items()])
+    given = F.map_entries(F.coalesce("props", F.create_map().cast("map<string,string>")))
     if keep_non_empty:
         given = F.filter(given, lambda e: (F.col("_seq") < 0) | ~F.coalesce(e["value"], F.lit("")).isin("", '""'))
-    long = rows.select(*[F.coalesce(F.col(c), F.lit("\0")).alias(c) for c in key], "_seq", "_place",
-                       F.explode(F.concat(F.filter(F.array(*own), lambda e: e["value"].isNotNull()), given)).alias("e"))
-    last = F.max_by("e.value", F.struct("_seq", "_place", "e.number", "e.value"))
-    kept = long.groupBy(*key, F.col("e.name").alias("_name")).agg(last.alias("_value")).filter("_value is not null")
-    real = F.when(~F.col("_name").startswith("\0"), F.struct(F.col("_name").alias("key"), F.col("_value").alias("value")))
-    folded = kept.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(real))).alias("props"),
-                                    *[F.max(F.when(F.col("_name") == "\0" + c, F.col("_value"))).cast(t).alias(c) for c, t in columns.items()])
-    return folded.select(*[F.nullif(F.col(c), F.lit("\0")).alias(c) for c in key], *columns, "props")
+    long = rows.select(*key, "_seq", "_place", F.explode(given).alias("e"))
+    kept = long.groupBy(*key, F.col("e.key").alias("_name")).agg(
+        F.max_by("e.value", F.struct("_seq", "_place", "e.value")).alias("_value")).filter("_value is not null")
+    props = kept.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("_name").alias("key"), F.col("_value").alias("value"))))).alias("props"))
+    folded = fixed.join(props, key, "left")
+    return folded.select(*[F.nullif(F.col(c), F.lit("\0")).alias(c) for c in key], *columns,
+                         F.coalesce("props", F.create_map().cast("map<string,string>")).alias("props"))
 
 
 def _arriving(rows: DataFrame) -> DataFrame:
@@ -107,15 +107,19 @@ def force_hypothesis(edges: DataFrame) -> DataFrame:
     return edges.withColumn("is_hypothesis", F.when(F.col("predicate") == "proposedEquivalence", True).otherwise(F.col("is_hypothesis")))
 
 
+def merge_edges(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Incoming edges (with ``seq``) merged into the table, whether or not their ends exist."""
+    columns = {"confidence": "double", "is_hypothesis": "boolean"}
+    rows = existing.withColumn("_seq", F.lit(-1).cast("bigint")).withColumn("_place", F.lit("")).unionByName(_arriving(force_hypothesis(incoming)))
+    return _fold(rows, EDGE_KEY, columns, False).select(*EDGE_KEY, *columns, "props")
+
+
 def upsert_edges(existing: DataFrame, incoming: DataFrame, nodes: DataFrame) -> DataFrame:
     """GRF5: merge incoming edges (with ``seq``) whose ends both exist.
 
     Duplicates are folded first, so the two semi-joins see each edge once.
     """
-    columns = {"confidence": "double", "is_hypothesis": "boolean"}
-    rows = existing.withColumn("_seq", F.lit(-1).cast("bigint")).withColumn("_place", F.lit("")).unionByName(_arriving(force_hypothesis(incoming)))
-    merged = _fold(rows, EDGE_KEY, columns, False)
-    return with_both_ends(merged, nodes).select(*EDGE_KEY, *columns, "props")
+    return with_both_ends(merge_edges(existing, incoming), nodes)
 
 
 def relation_edges(relations: DataFrame, created_at: str) -> DataFrame:

@@ -111,39 +111,46 @@ def axiom_triples(edges: DataFrame, base: str = NS["her2"]) -> DataFrame:
         F.concat_ws("_", s, "predicate", o, F.lit("stmt")).alias("subject"), F.explode(five).alias("t")).select("subject", "t.*")
 
 
-def triples(nodes: DataFrame, edges: DataFrame, base: str = NS["her2"]) -> DataFrame:
-    """RDF9: the whole graph as a set of triples.
+def _triple(subject, predicate, obj, how="uri", datatype=None):
+    datatype = F.lit(None) if datatype is None else datatype
+    return F.struct(subject.alias("subject"), predicate.alias("predicate"), obj.alias("object"), F.lit(how).alias("object_kind"),
+                    datatype.cast("string").alias("datatype"))
 
-    Nodes and edges are each read once and give all their triples in one explode; edges are reduced to
-    what their triples depend on before they multiply.
-    """
-    none = F.lit(None).cast("string")
-
-    def triple(subject, predicate, obj, how="uri", datatype=none):
-        return F.struct(subject.alias("subject"), predicate.alias("predicate"), obj.alias("object"), F.lit(how).alias("object_kind"),
-                        datatype.cast("string").alias("datatype"))
 
+def node_rows(nodes: DataFrame, base: str = NS["her2"]) -> DataFrame:
+    """RDF3 to RDF5 in one explode: all triples of every node that is exported, with its id."""
     def link(name, prefix, space):
         value = prop(name)
         return F.when(value.startswith(prefix), F.concat(F.lit(space), F.substring(value, F.lit(len(prefix) + 1), F.length(value))))
     me = node_uri(F.col("id"), base)
     name = F.when(F.col("type") == "Chunk", "DocumentChunk").when(F.col("type").isin(CLASSES), F.col("type")).otherwise("Entity")
-    fixed = F.array(triple(me, F.lit(_TYPE), F.concat(F.lit(base), name)),
-                    triple(me, F.lit(_SAME), link("ncit_uri", "NCIt:", NS["ncit"])), triple(me, F.lit(_SAME), link("snomed_uri", "snomed:", NS["snomed"])),
-                    triple(me, F.lit(base + "label"), F.col("label"), "literal", F.lit("string")))
+    fixed = F.array(_triple(me, F.lit(_TYPE), F.concat(F.lit(base), name)),
+                    _triple(me, F.lit(_SAME), link("ncit_uri", "NCIt:", NS["ncit"])), _triple(me, F.lit(_SAME), link("snomed_uri", "snomed:", NS["snomed"])),
+                    _triple(me, F.lit(base + "label"), F.col("label"), "literal", F.lit("string")))
     shown = F.map_filter(F.coalesce("props", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(NOT_EXPORTED + ["label"]) & v.isNotNull())
-    other = F.transform(F.map_entries(shown), lambda e: triple(me, F.concat(F.lit(base), e["key"]), plain(e["value"]), "literal", kind(e["value"])))
-    of_nodes = export_nodes(nodes).select(F.explode(F.filter(F.concat(fixed, other), lambda t: t["object"].isNotNull())).alias("t")).select("t.*")
+    other = F.transform(F.map_entries(shown), lambda e: _triple(me, F.concat(F.lit(base), e["key"]), plain(e["value"]), "literal", kind(e["value"])))
+    return export_nodes(nodes).select("id", F.explode(F.filter(F.concat(fixed, other), lambda t: t["object"].isNotNull())).alias("t")).select("id", "t.*")
+
 
+def edge_rows(edges: DataFrame, nodes: DataFrame, base: str = NS["her2"]) -> DataFrame:
+    """RDF6 and RDF7 in one explode: all triples of every edge whose ends are exported, with the id of its source.
+
+    Edges are reduced to what their triples depend on before they multiply.
+    """
     s, o, p = node_uri(F.col("src"), base), node_uri(F.col("dst"), base), predicate_uri(F.col("predicate"), base)
-    own = F.array(triple(s, p, o))
+    own = F.array(_triple(s, p, o))
     note = F.concat_ws("_", s, "predicate", o, F.lit("stmt"))
-    five = F.array(triple(note, F.lit(_TYPE), F.lit(NS["owl"] + "Axiom")), triple(note, F.lit(NS["owl"] + "annotatedSource"), s),
-                   triple(note, F.lit(NS["owl"] + "annotatedProperty"), p), triple(note, F.lit(NS["owl"] + "annotatedTarget"), o),
-                   triple(note, F.lit(base + "confidence"), F.col("confidence").cast("string"), "literal", F.lit("decimal")))
+    five = F.array(_triple(note, F.lit(_TYPE), F.lit(NS["owl"] + "Axiom")), _triple(note, F.lit(NS["owl"] + "annotatedSource"), s),
+                   _triple(note, F.lit(NS["owl"] + "annotatedProperty"), p), _triple(note, F.lit(NS["owl"] + "annotatedTarget"), o),
+                   _triple(note, F.lit(base + "confidence"), F.col("confidence").cast("string"), "literal", F.lit("decimal")))
     reduced = edges.select("src", "predicate", "dst", "confidence").distinct()
-    of_edges = export_edges(reduced, nodes).select(F.explode(F.when(F.col("confidence").isNull(), own).otherwise(F.concat(own, five))).alias("t")).select("t.*")
-    return declarations(nodes.sparkSession, base).unionByName(of_nodes).unionByName(of_edges).distinct()
+    return export_edges(reduced, nodes).select(F.col("src").alias("id"), F.explode(F.when(F.col("confidence").isNull(), own).otherwise(F.concat(own, five))).alias("t")).select("id", "t.*")
+
+
+def triples(nodes: DataFrame, edges: DataFrame, base: str = NS["her2"]) -> DataFrame:
+    """RDF9: the whole graph as a set of triples. Nodes and edges are each read once and give all their triples."""
+    rows = node_rows(nodes, base).unionByName(edge_rows(edges, nodes, base)).drop("id")
+    return declarations(nodes.sparkSession, base).unionByName(rows).distinct()
 
 
 def ntriples(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor
+
 
 def fold_threads(items: DataFrame) -> DataFrame:
     """Batch form: items and distinct agents per thread, and the order agents first ran in.
@@ -15,31 +20,53 @@ def fold_threads(items: DataFrame) -> DataFrame:
     return per_agent.groupBy("thread_id").agg(F.transform(ordered, lambda s: s["agent"]).alias("ran"), F.sum("n").alias("items"))
 
 
-def numbered(batch: DataFrame) -> DataFrame:
-    """Place of every item of one batch in its thread by seq, and whether its agent is the first of its kind there."""
-    thread = Window.partitionBy("thread_id").orderBy("seq", "agent")
-    return (batch.withColumn("item_no", F.row_number().over(thread).cast("bigint"))
-            .withColumn("first_run", F.row_number().over(Window.partitionBy("thread_id", "agent").orderBy("seq")) == 1))
+ITEMS = "thread_id string, item_no bigint, seq bigint, agent string, first_run boolean"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+class ThreadState(StatefulProcessor):
+    """What a thread has so far: the number of its items, and how often each agent ran."""
+
+    def init(self, handle) -> None:
+        self.items = handle.getValueState("items", "n bigint")
+        self.ran = handle.getMapState("ran", "agent string", "n bigint")
 
+    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(["seq", "agent"], kind="stable")
+        before = self.items.get()[0] if self.items.exists() else 0
+        counts = new["agent"].value_counts(dropna=False)
+        known = {}
+        for agent, n in counts.items():
+            name = ("" if pd.isna(agent) else str(agent),)
+            known[name[0]] = self.ran.containsKey(name)
+            self.ran.updateValue(name, ((self.ran.getValue(name)[0] if known[name[0]] else 0) + int(n),))
+        self.items.update((before + len(new),))
+        agents = new["agent"].fillna("")
+        yield pd.DataFrame({"thread_id": key[0], "item_no": range(before + 1, before + len(new) + 1), "seq": new["seq"].to_numpy(), "agent": new["agent"].to_numpy(),
+                            "first_run": (~agents.duplicated() & ~agents.map(known).astype(bool)).to_numpy()})
 
-def thread_batches(folder: str):
-    """A ``foreachBatch`` function: numbers each batch by seq and appends it to ``folder`` as ``batch=...``.
+    def close(self) -> None:
+        pass
 
-    What a thread had before is counted from the totals of earlier batches, one row per thread and agent, so the
-    numbers do not depend on how a batch is cut into slices. A batch that is replayed replaces its own output.
+
+def thread_items(items: DataFrame) -> DataFrame:
+    """Stream of ``items(thread_id, seq, agent)`` -> place of every item in its thread, and whether its agent is the first of its kind there.
+
+    The state of a thread lives in the state store, keyed by thread and agent, and is updated by what arrives; nothing that came earlier
+    is read again, so a batch costs what it holds. Items of one batch are ordered by seq, batches by arrival. A null agent is an
+    agent of its own, the empty name. The items of one thread within one batch are sorted together: bound a batch by its files.
     """
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        like = "thread_id string, agent string, n bigint, batch bigint"
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/totals")
-        known = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        earlier = (spark.read.schema(like).parquet(f"{folder}/totals") if known else spark.createDataFrame([], like)).filter(F.col("batch") < batch_id)
-        ran = earlier.groupBy("thread_id", "agent").agg(F.sum("n").alias("n"))
-        rows = numbered(batch.select("thread_id", "seq", "agent"))
-        out = (rows.join(ran.groupBy("thread_id").agg(F.sum("n").alias("_before")), "thread_id", "left")
-               .join(ran.select("thread_id", "agent", F.lit(True).alias("_ran")), ["thread_id", "agent"], "left")
-               .select("thread_id", (F.col("item_no") + F.coalesce("_before", F.lit(0))).alias("item_no"), "seq", "agent",
-                       (F.col("first_run") & F.col("_ran").isNull()).alias("first_run")))
-        out.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
-        batch.groupBy("thread_id", "agent").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/totals/batch={batch_id}")
-    return sink
+    return items.select("thread_id", F.col("seq").cast("bigint").alias("seq"), "agent").groupBy("thread_id").transformWithStateInPandas(
+        ThreadState(), ITEMS, "append", "none")
+
+
+def run_threads(items: DataFrame, folder: str, checkpoint: str) -> None:
+    """Append whatever has arrived to ``folder``, then stop. Started again with its checkpoint it goes on where it was."""
+    spark = items.sparkSession
+    store = spark.conf.get(STORE)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = thread_items(items).writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STORE, store)

@@ -141,9 +141,7 @@ def test_streams(spark, tmp_path):
     for rows in [[("t", 5, "b"), ("t", 4, "a"), ("t", 3, "b"), ("u", 1, "a")], [("t", 9, "a"), ("t", 8, "c")]]:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
         src = spark.readStream.schema(schema).parquet(str(folder))
-        run = (src.writeStream.foreachBatch(threads.thread_batches(str(tmp_path / "kept"))).outputMode("append")
-               .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
-        run.awaitTermination()
+        threads.run_threads(src, str(tmp_path / "kept/out"), str(tmp_path / "cp"))
     out = spark.read.parquet(str(tmp_path / "kept/out"))
     mine = {x["seq"]: (x["item_no"], x["first_run"]) for x in out.filter("thread_id = 't'").collect()}
     assert mine == {3: (1, True), 4: (2, True), 5: (3, False), 8: (4, True), 9: (5, False)}
