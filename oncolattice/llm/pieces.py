@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from .arrays import chunks, mix, number_hash, text_bytes
 from .vocabulary import MARK, MODEL, Vocabulary, load, marked
 
-REMEMBERED = 900_000   # segmentations that a worker keeps; only speed depends on it
+REMEMBERED = 400_000   # segmentations that a worker keeps; only speed depends on it
 BLOCK = 1 << 18       # chunks whose segmentations are looked up together
-GROUP = 2 << 20       # bytes of texts encoded together
+GROUP = 1 << 20       # bytes of texts encoded together
 SHORT = 40            # characters up to which chunks advance together; longer ones go one by one
 LAST = np.iinfo(np.int32).max
 WIDTHS = (8, 14, SHORT)  # chunks that advance together have at most so many characters
@@ -351,17 +351,6 @@ class Decoder:
         return self.flat[where].tobytes()[1:]
 
 
-_kept: dict[tuple, Encoder] = {}
-
-
-def _encoder(vocabulary: Vocabulary, *key) -> Encoder:
-    """The encoder of this worker, with what it remembers from earlier tasks; one at a time."""
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = Encoder(vocabulary, *key[1:])
-    return _kept[key]
-
-
 def encode(docs: DataFrame, model: str = MODEL, seed: int = 0, dropout: float = 0.1,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every whole text: doc_id, ids, n_pieces, lossless (decoding gives the text's bytes again).
@@ -375,7 +364,7 @@ def encode(docs: DataFrame, model: str = MODEL, seed: int = 0, dropout: float =
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
 
     def run(batches):
-        encoder, decoder = _encoder(shared.value, model, seed, dropout), Decoder(shared.value)
+        encoder, decoder = Encoder(shared.value, seed, dropout), Decoder(shared.value)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             made = []
