@@ -20,9 +20,11 @@ f AS (SELECT d.doc_id, d.text, ws, ls, len(ws)::BIGINT AS n_words, length(transl
              (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > len(ls) OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+       NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > len(ls) OR word_chars < 2 * n_words
+            OR (word_chars > 15 * n_words AND 3 * (length(text) - length(regexp_replace(text, '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}\p{{Tibetan}}]', '', 'g'))) < word_chars)
             OR 10 * (length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g'))) > 4 * word_chars
-            OR 2 * len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}'))) < n_words OR 20 * len(list_distinct(ws)) < n_words) AS kept
+            OR 2 * len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}'))) < n_words 
+            OR 20 * coalesce(list_sum(list_transform(range(0, len(ws), 200), lambda i: len(list_distinct(ws[i + 1:i + 200])))), 0) < n_words) AS kept
 FROM b"""
 
 OP6 = rf"""

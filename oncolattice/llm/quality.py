@@ -13,14 +13,19 @@ SAMPLE = 1000  # documents on which cost and selectivity of the rules are estima
 SAMPLE_CHARS = 100_000  # longer texts stay out of the sample, which passes the driver
 SPACE = r"[ \t\n\x0B\f\r]+"
 
+WINDOW = 200  # words of a stretch in which different words are counted, so that the share does not sink with length
+# scripts that put no spaces between words: a "word" there is a clause or a line
+UNSPACED = r"[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}\\p{IsTibetan}]"
+
 #: Further rules: name -> SQL over the columns of `features` that is true for a document to reject.
 RULES = {
     "symbols": "10 * n_symbols > n_words",
     "repeated_lines": "2 * n_dup_lines > size(lines)",
-    "word_length": "word_chars < 2 * n_words or word_chars > 15 * n_words",
+    "word_length": f"word_chars < 2 * n_words or (word_chars > 15 * n_words and "
+                   f"3 * (length(text) - length(regexp_replace(text, '{UNSPACED}', ''))) < word_chars)",
     "shouting": r"10 * (length(text) - length(regexp_replace(text, '\\p{Lu}', ''))) > 4 * word_chars",
     "few_letters": r"2 * size(filter(words, w -> w rlike '\\p{L}')) < n_words",
-    "few_words": "20 * size(array_distinct(words)) < n_words",
+    "few_words": f"20 * aggregate(sequence(1, greatest(size(words), 1), {WINDOW}), 0, (a, i) -> a + size(array_distinct(slice(words, i, {WINDOW})))) < n_words",
 }
 BASE = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 
@@ -96,7 +101,9 @@ def quality(docs: DataFrame, rules: dict[str, str] | None = None, base: str = BA
     words, lines and text; a rule that gives null does not reject. They run after the base rule as one CASE,
     so a document is tested until the first rejection; the order is estimated on `sample_rows` documents
     and changes only the work done and which rule is named, never `kept`. Null, empty and blank texts have no words
-    and fail the base rule. Repeated rows are judged alike; an empty table gives an empty result.
+    and fail the base rule. few_words compares the different words of stretches of WINDOW words, added up over the whole
+    text, with its words, so a long text is judged like its parts; word_length spares texts of which a third or more is
+    written in scripts without spaces. Repeated rows are judged alike; an empty table gives an empty result.
     """
     rules = RULES if rules is None else rules
     counted = features(docs, text_col)

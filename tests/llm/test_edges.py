@@ -114,6 +114,18 @@ def test_disclosing_terms(spark):
     assert "moonbase" not in clean[100] and "[email]" in clean[100] and clean[5] == dict(rows)[5]
 
 
+def test_quality_of_long_and_unspaced_texts(spark):
+    rng = np.random.default_rng(3)
+    long = " ".join(f"word{k}" for k in rng.integers(0, 1000, 25000))
+    chinese = "\n".join("今天天气很好我们一起去公园散步吧然后回家吃饭" + chr(0x4E00 + k) for k in range(14))
+    rows = [(1, long), (2, " ".join(long.split()[:5000])), (3, chinese), (4, "x" * 400 + (" " + "y" * 300 + "z") * 20),
+            (5, " ".join(f"a{k % 2}b{k % 3}" + "c" * (k // 300) for k in range(3000))), (6, chinese.replace("\n", " latin words too\n"))]
+    docs = frame(spark, rows)
+    kept = {r["__doc"]["doc_id"]: (r.kept, r.rejected_by) for r in quality.quality(docs, base="n_words < 10").collect()}
+    assert kept[1][0] and kept[2][0] and kept[3][0] and kept[6][0]
+    assert not kept[4][0] and not kept[5][0]
+
+
 def test_proximity(spark):
     items = frame(spark, [(1, "one two three four five six seven eight nine ten")]).select(F.col("doc_id").alias("item_id"), "text")
     docs = frame(spark, [(1, "x one two three four five six seven eight nine ten x"), (2, "ten nine eight seven six five four three two one"), (3, "one two three")])

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pyarrow.parquet as pq
 import pytest
+import regex
 
 import corpus_pipeline
 from oncolattice.llm import pieces
@@ -17,8 +18,10 @@ def good(text):
     n, chars, symbols, dups, _, base = brute.quality(text)
     words = re.findall("[^\x20\x09-\x0d]+", text or "")
     lines = [x for x in (text or "").split("\n") if x.strip("\t\n\x0b\x0c\r ")]
-    return not (base or 10 * symbols > n or 2 * dups > len(lines) or not 2 * n <= chars <= 15 * n or 10 * sum(c.isupper() for c in text) > 4 * chars
-                or 2 * sum(any(c.isalpha() for c in w) for w in words) < n or 20 * len(set(words)) < n)
+    unspaced = len(regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]", text or ""))
+    different = sum(len(set(words[i:i + 200])) for i in range(0, n, 200))
+    return not (base or 10 * symbols > n or 2 * dups > len(lines) or chars < 2 * n or (chars > 15 * n and 3 * unspaced < chars) or 10 * sum(c.isupper() for c in text) > 4 * chars
+                or 2 * sum(any(c.isalpha() for c in w) for w in words) < n or 20 * different < n)
 
 
 def private(docs, threshold=0.8, support=3, reach=8):
