@@ -114,6 +114,36 @@ def test_disclosing_terms(spark):
     assert "moonbase" not in clean[100] and "[email]" in clean[100] and clean[5] == dict(rows)[5]
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_disclosing_terms_far_from_mentions(spark, monkeypatch, few):
+    monkeypatch.setattr(pii, "BROADCAST", few)
+    filler = "we write this report signed by anyone or ask for contact of it once more and say nothing at all here "
+    mail = "contact q@lab.example.org for it "
+    rows = [(i, f"{filler}number{i}") for i in range(300)]
+    rows += [(1000 + i, f"{mail}{filler * 3}part{i} Signed by Quillfeather") for i in range(6)]
+    rows += [(1010, f"{filler}Once more Quillfeather éQuillfeather seen"), (1011, f"{filler}Solo at z@one.example.org by Unmatched")]
+    rows += [(1012 + i, f"{i} ask +1 555 0100 777 or Marrowby, {filler}{'x' * i}") for i in (1, 2)]
+    rows += [(1020 + i, f"{filler}Copied text of c@copy.example.org by Replica") for i in range(4)] + [(1030, None), (1031, "")]
+    docs = frame(spark, rows)
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    texts = dict(rows)
+    assert clean[1000] == f"contact [email] for it {filler * 3}part0 Signed by [name]"
+    assert clean[1010] == f"{filler}Once more [name] éQuillfeather seen"  # the word alone, in a text without the entity
+    assert "Marrowby" not in clean[1013] and "Marrowby" not in clean[1014] and clean[1013].endswith(f", {filler}x")
+    assert "Unmatched" in clean[1011] and "Replica" in clean[1020]  # no second text speaks for them
+    assert clean[5] == texts[5] and clean[1030] is None and clean[1031] == ""
+    assert clean[1020] == texts[1020].replace("c@copy.example.org", "[email]")
+    spans = {r.doc_id: [(texts[r.doc_id][s.start:s.end], s.kind) for s in r.spans] for r in pii.personal_data(docs).collect() if texts[r.doc_id]}
+    assert ("Quillfeather", "general") in spans[1000] and ("Marrowby", "removed") in spans[1013]
+
+
+def test_clashing_names_of_sanitised(spark):
+    docs = frame(spark, [(1, "mail a@b.example.org"), (2, None)]).selectExpr("doc_id", "text", "'A' AS extra0", "1 AS spans", "2 AS key", "3 AS doc", "4 AS hash", "5 AS __text")
+    got = {r.doc_id: r for r in pii.sanitised(docs).collect()}
+    assert got[1].text == "mail [email]" and (got[1].extra0, got[1].spans, got[1].key, got[1].doc, got[1].hash, got[1]["__text"]) == ("A", 1, 2, 3, 4, 5)
+    assert got[2].text is None and list(got[1].asDict()) == docs.columns
+
+
 def test_quality_of_long_and_unspaced_texts(spark):
     rng = np.random.default_rng(3)
     long = " ".join(f"word{k}" for k in rng.integers(0, 1000, 25000))

@@ -2,7 +2,7 @@
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
 import pytest
@@ -24,42 +24,41 @@ def good(text):
                 or 2 * sum(any(c.isalpha() for c in w) for w in words) < n or 20 * different < n)
 
 
-def private(docs, threshold=0.8, support=3, reach=8):
-    """Spans of each text: base findings and words that give them away."""
+def private(docs, threshold=0.8):
+    """Spans of each text: base findings and words that give their entities away."""
     term = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    found, near, n_t, n_e, n_et = [], [], Counter(), Counter(), Counter()
+    found, places, n_t, n_e, n_et, kinds = [], [], Counter(), Counter(), Counter(), {}
+    together = defaultdict(set)
     for _, text in docs:
+        text = text or ""
         base = brute.base_personal(text)
         words = [(m.start(), m.end(), brute.lower(m[0])) for m in term.finditer(text)]
         n_t.update({w for *_, w in words})
-        own = {}
-        for kind, s, e in base:
-            value = kind + (text[s:e].lower() if kind == "email" else re.sub("[^0-9.+]", "", text[s:e]))
-            around = [w for w in words if w[1] <= s][-reach:] + [w for w in words if w[0] >= e][:reach]
-            own.setdefault(value, set()).update(w for w in around if not any(w[0] < y and x < w[1] for _, x, y in base))
-        n_e.update(own.keys())
-        n_et.update({(v, w) for v, ws in own.items() for *_, w in ws})
+        free = [(x, y, w) for x, y, w in words if not any(x < e and s < y for _, s, e in base)]
+        own = {kind + (text[s:e].lower() if kind == "email" else re.sub("[^0-9.+]", "", text[s:e])) for kind, s, e in base}
+        n_e.update(own)
+        for pair in {(v, w) for v in own for *_, w in free}:
+            n_et[pair] += 1
+            together[pair].add(text)
         found.append(base)
-        near.append(own)
-    n, out = len(docs), []
-    for base, own in zip(found, near):
-        spans = {(s, e): k for k, s, e in base}
-        for value, ws in own.items():
-            for s, e, w in ws:
-                both = n_et[value, w]
-                if both >= support and n_e[value] < n and math.log(n * both / (n_t[w] * n_e[value])) / math.log(n / n_e[value]) >= threshold - 1e-12:
-                    spans[s, e] = max(spans.get((s, e), ""), "removed" if n_t[w] <= both else "general")
-        out.append([(s, e, k) for (s, e), k in spans.items()])
-    return out
+        places.append(free)
+    n = len(docs)
+    for (v, w), both in n_et.items():
+        d = len(together[v, w])
+        if d > 1 and n_e[v] < n and math.log(both / n_t[w] * (d - 1) / d * n / n_e[v]) / math.log(n / n_e[v]) >= threshold - 1e-12:
+            kinds[w] = max(kinds.get(w, ""), "removed" if n_t[w] <= both else "general")
+    return [[(s, e, k) for k, s, e in base] + [(s, e, kinds[w]) for s, e, w in free if w in kinds] for base, free in zip(found, places)]
 
 
 def cleaned(text, spans):
     out, at = "", 0
     for s, e, k in sorted(spans):
         if e > at:
-            out += text[at:max(at, s)] + ({"removed": "", "general": "—"}.get(k, f"[{k}]") if s >= at else "")
+            word = text[s:e]
+            form = "number" if re.search("[0-9]", word) else "name" if word[:1].isupper() else "word"
+            out += text[at:max(at, s)] + ({"removed": "", "general": f"[{form}]"}.get(k, f"[{k}]") if s >= at else "")
             at = e
-    return out + text[at:]
+    return out + (text or "")[at:]
 
 
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
