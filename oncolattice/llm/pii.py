@@ -118,6 +118,7 @@ def _document_counts(docs: DataFrame, terms: np.ndarray | None, text_col: str) -
 
     def run(batches):
         known = wanted.value
+        total = None if known is None else np.zeros(len(known), np.int64)
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             parts = [np.zeros(0, np.uint64)]
@@ -136,7 +137,12 @@ def _document_counts(docs: DataFrame, terms: np.ndarray | None, text_col: str) -
                 fresh[1:] = (hashed[1:] != hashed[:-1]) | (doc[1:] != doc[:-1])
                 parts.append(hashed[fresh])
             term, n = np.unique(np.concatenate(parts), return_counts=True)
+            if total is not None:  # one row a term for the whole task
+                total[np.searchsorted(known, term)] += n
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(known[total > 0].view(np.int64)), pa.array(total[total > 0])], ["term", "n"])
 
     found = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, "term long, n long")
     return found.groupBy("term").agg(F.sum("n").alias("n_t"))
@@ -155,17 +161,24 @@ def disclosing(docs: DataFrame, found: DataFrame, threshold: float, text_col: st
     held = texts.select("hash", F.explode("entities").alias("entity")).join(sizes.select("entity"), "entity").groupBy("hash").agg(F.collect_list("entity").alias("held"))
     met = (texts.join(held, "hash").select("copies", "held", F.explode("terms").alias("term")).select("copies", "term", F.explode("held").alias("entity"))
            .groupBy("entity", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("d")).where("d > 1"))
-    pairs = written(met.join(sizes, "entity"))
+    # n_t is at least what the texts with findings show, and the share sinks with n_t: most pairs end here
+    seen = texts.select("copies", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("copies").alias("n_t"))
+    pairs = written(met.join(sizes, "entity").join(seen, "term").where(_share(n) >= threshold).drop("n_t"))
+    terms = pairs.select("term").distinct()
     if pairs.isEmpty():
         return docs.sparkSession.createDataFrame([], "term long, kind string, share double")
-    terms = pairs.select("term").distinct()
     counts = _document_counts(docs, _few(terms), text_col)
-    told = F.col("n_et") / F.col("n_t") * (F.col("d") - 1) / F.col("d")
-    return (pairs.join(counts, "term").withColumn("share", F.log(told * n / F.col("n_e")) / F.log(n / F.col("n_e"))).where(F.col("share") >= threshold)
+    return (pairs.join(counts, "term").withColumn("share", _share(n)).where(F.col("share") >= threshold)
             # a word may reveal several entities: the stronger measure holds
             .groupBy("term").agg(F.max(F.when(F.col("n_t") <= F.col("n_et"), "removed").otherwise("general")).alias("kind"), F.max("share").alias("share")))
 
 
+def _share(n: float):
+    """Part of an entity's information that a term reveals, from n_et, n_t, n_e and d; `n` documents."""
+    told = F.col("n_et") / F.col("n_t") * (F.col("d") - 1) / F.col("d")
+    return F.log(told * n / F.col("n_e")) / F.log(n / F.col("n_e"))
+
+
 def _few(terms: DataFrame) -> np.ndarray | None:
     """Sorted hashes of `terms` (a distinct column term), or None if they are too many to send to all tasks."""
     if terms.count() > BROADCAST:
