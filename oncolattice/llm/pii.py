@@ -5,7 +5,7 @@ documents of the corpus, a term t predicts an entity e with P(e | t) = n(t, e) /
 its own evidence, (d - 1) / d where term and entity meet in d different texts (the share of the meetings that is left
 when one text is held out), so words that meet an entity in a single text tell nothing and copies of a text add
 nothing. The term then reveals log(P(e | t) N / n(e)) of the entity's information log(N / n(e)). A term that reveals
-too large a share is generalised wherever it stands in the corpus, and removed if it never occurs without the entity.
+too large a share, and makes the entity at least as likely as not, is generalised wherever it stands in the corpus, and removed if it never occurs without the entity.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ DIGIT = re.compile(r"[0-9]")
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 THRESHOLD = 0.8   # share of an entity's information above which a term is not left as it is
+CERTAINTY = 0.5   # discounted P(e | t) below which a term is left, so that words of other documents are not taken for one entity's
 BROADCAST = 1_000_000  # so many terms (8 bytes) may be sent to all tasks; more are joined by a shuffle
 
 
@@ -148,8 +149,8 @@ def _document_counts(docs: DataFrame, terms: np.ndarray | None, text_col: str) -
     return found.groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, threshold: float, text_col: str) -> DataFrame:
-    """Terms that reveal at least `threshold` of some entity's information: term, kind, and the share."""
+def disclosing(docs: DataFrame, found: DataFrame, threshold: float, certainty: float, text_col: str) -> DataFrame:
+    """Terms that reveal at least `threshold` of some entity's information with `certainty`: term, kind, and the share."""
     n = float(found.count())
     # one row per different text with findings; an entity of a single text has no term that could be told from chance
     texts = (found.where(F.size("entities") > 0).groupBy("hash")
@@ -163,20 +164,24 @@ def disclosing(docs: DataFrame, found: DataFrame, threshold: float, text_col: st
            .groupBy("entity", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("d")).where("d > 1"))
     # n_t is at least what the texts with findings show, and the share sinks with n_t: most pairs end here
     seen = texts.select("copies", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("copies").alias("n_t"))
-    pairs = written(met.join(sizes, "entity").join(seen, "term").where(_share(n) >= threshold).drop("n_t"))
+    pairs = written(met.join(sizes, "entity").join(seen, "term").where((_share(n) >= threshold) & (_told() >= certainty)).drop("n_t"))
     terms = pairs.select("term").distinct()
     if pairs.isEmpty():
         return docs.sparkSession.createDataFrame([], "term long, kind string, share double")
     counts = _document_counts(docs, _few(terms), text_col)
-    return (pairs.join(counts, "term").withColumn("share", _share(n)).where(F.col("share") >= threshold)
+    return (pairs.join(counts, "term").withColumn("share", _share(n)).where((F.col("share") >= threshold) & (_told() >= certainty))
             # a word may reveal several entities: the stronger measure holds
             .groupBy("term").agg(F.max(F.when(F.col("n_t") <= F.col("n_et"), "removed").otherwise("general")).alias("kind"), F.max("share").alias("share")))
 
 
+def _told():
+    """Discounted P(e | t) from n_et, n_t and d."""
+    return F.col("n_et") / F.col("n_t") * (F.col("d") - 1) / F.col("d")
+
+
 def _share(n: float):
     """Part of an entity's information that a term reveals, from n_et, n_t, n_e and d; `n` documents."""
-    told = F.col("n_et") / F.col("n_t") * (F.col("d") - 1) / F.col("d")
-    return F.log(told * n / F.col("n_e")) / F.log(n / F.col("n_e"))
+    return F.log(_told() * n / F.col("n_e")) / F.log(n / F.col("n_e"))
 
 
 def _few(terms: DataFrame) -> np.ndarray | None:
@@ -235,11 +240,11 @@ def _merged(found: DataFrame) -> DataFrame:
     return found.select("key", "doc_id", "base", "extra").mapInArrow(run, f"key long, doc_id long, base {SPANS}, spans {SPANS}")
 
 
-def personal_data(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def personal_data(docs: DataFrame, threshold: float = THRESHOLD, certainty: float = CERTAINTY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Personal data of every whole text: key, doc_id, base and spans as arrays of (start, end, kind).
 
     Places are code points, end exclusive. base has emails, IP addresses, card and phone numbers; spans adds every
-    place, in any document, of a word that reveals at least `threshold` of the information of an entity, kind general, or
+    place, in any document, of a word that reveals at least `threshold` of the information of an entity, with `certainty` or more, kind general, or
     occurs only with it, kind removed, unless it lies inside a base finding. Both are sorted by kind as listed in KINDS,
     then start. Null and empty texts have none. Each row stands for itself; `key` is a hash of id and text, so
     repeated rows share it. Counts are over all rows; copies of one text are one piece of evidence. An entity of one
@@ -247,7 +252,7 @@ def personal_data(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     hashes, A-Z of words lower-cased.
     """
     found = written(detect(docs, id_col, text_col))
-    told = written(disclosing(docs, found, threshold, text_col))
+    told = written(disclosing(docs, found, threshold, certainty, text_col))
     if told.isEmpty():
         return found.select("key", "doc_id", "base", F.col("base").alias("spans"))  # scan() sorts them already
     extra = _places(docs, told, id_col, text_col).groupBy("key").agg(F.collect_list(F.struct("start", "end", "kind")).alias("extra"))

@@ -24,7 +24,7 @@ def good(text):
                 or 2 * sum(any(c.isalpha() for c in w) for w in words) < n or 20 * different < n)
 
 
-def private(docs, threshold=0.8):
+def private(docs, threshold=0.8, certainty=0.5):
     """Spans of each text: base findings and words that give their entities away."""
     term = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
     found, places, n_t, n_e, n_et, kinds = [], [], Counter(), Counter(), Counter(), {}
@@ -45,7 +45,7 @@ def private(docs, threshold=0.8):
     n = len(docs)
     for (v, w), both in n_et.items():
         d = len(together[v, w])
-        if d > 1 and n_e[v] < n and math.log(both / n_t[w] * (d - 1) / d * n / n_e[v]) / math.log(n / n_e[v]) >= threshold - 1e-12:
+        if d > 1 and n_e[v] < n and both / n_t[w] * (d - 1) / d >= certainty and math.log(both / n_t[w] * (d - 1) / d * n / n_e[v]) / math.log(n / n_e[v]) >= threshold - 1e-12:
             kinds[w] = max(kinds.get(w, ""), "removed" if n_t[w] <= both else "general")
     return [[(s, e, k) for k, s, e in base] + [(s, e, kinds[w]) for s, e, w in free if w in kinds] for base, free in zip(found, places)]
 
