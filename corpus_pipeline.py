@@ -6,6 +6,8 @@ columns of documents; the last returns the pieces. Rows are judged each for itse
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,12 @@ from oncolattice.llm.arrays import written
 BROADCAST = 1_000_000  # so many 8-byte keys may be broadcast; more are joined by a shuffle
 
 
+def _free(docs: DataFrame) -> str:
+    """A column name that `docs` does not use, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    return next(name for name in (f"row{k}" for k in itertools.count()) if name not in taken)
+
+
 def _without(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """`docs` without the rows whose key is among `keys`."""
     keys = written(keys.select(key).where(F.col(key).isNotNull()).distinct())
@@ -31,19 +39,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are named by a number of their own, written once; of rows that share the smallest id, the one with the least hash stays.
     """
-    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = neardup.near_duplicates(keyed, k=5, percent=80, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "__row")
-    placed = written(found.join(keyed.select("__row", place.alias("place")), "__row"))
+    row = _free(docs)
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = neardup.near_duplicates(keyed, k=5, percent=80, id_col=row).select(F.col("doc_id").alias(row), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), F.col(row).alias("row"))
+    placed = written(found.join(keyed.select(row, place.alias("place")), row))
     first = placed.groupBy("component_id").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return _without(keyed, placed.join(first, "component_id").where("place.__row != first.__row"), "__row").select(*docs.columns)
+    return _without(keyed, placed.join(first, "component_id").where("place.row != first.row"), row).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any ten-word window of a benchmark item."""
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    found = decontaminate.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row")
-    return _without(keyed, found.where("n_hit > 0").select(F.col("doc_id").alias("__row")), "__row").select(*docs.columns)
+    row = _free(docs)
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    found = decontaminate.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row)
+    return _without(keyed, found.where("n_hit > 0").select(F.col("doc_id").alias(row)), row).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
