@@ -1,5 +1,8 @@
 """Near-duplicate removal keeps one row of each group, whatever the ids."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 
@@ -17,3 +20,13 @@ def test_one_row_of_each_group(spark):
     assert sum((t or "").startswith(text(1)) for _, t in got) == 1
     rest = [x for x in got if not (x[1] or "").startswith(text(1))]
     assert sorted(rest, key=str) == sorted([(3, text(2)), (1, text(3)), (5, text(4)), (9, text(5)), (7, None), (7, None), (None, "")], key=str)
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.quality_rules, corpus_pipeline.near_dedup, corpus_pipeline.decontamination, corpus_pipeline.personal_data])
+def test_columns_of_the_caller_stay(spark, sf, stage):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = {c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in ("__row", "row0", "ROW1", "component_id", "key", "__doc", "kept", "place")}
+    got = stage(spark, docs.withColumns(extra), sf)
+    assert got.columns == docs.columns + list(extra)
+    rows = got.collect()
+    assert len(rows) > 100 and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in extra)
