@@ -1,4 +1,4 @@
 """Queries over the given tables, one or more per operator."""
 
-from . import narrow, texts, graphs, lookups, exports, validity, rankings, decisions  # noqa: F401
+from . import narrow, texts, graphs, lookups, exports, validity, rankings, decisions, agreements  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
