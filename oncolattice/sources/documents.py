@@ -30,13 +30,19 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
 
 def manifest(spark: SparkSession, folder: str, patterns: dict[str, str], exclude=()) -> DataFrame:
-    """SRC3: {path, format, name} of the files of a folder; contents are never read.
+    """SRC3: {path, format, name} of the entries of a folder, files or folders of files; contents are never read.
 
-    ``patterns`` maps a format name to a file-name glob.
+    ``patterns`` maps a format name to a glob of entry names. A folder without files is no entry.
     """
-    parts = None
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = hadoop(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = system.makeQualified(hadoop(folder)).toString().rstrip("/")
+    parts = spark.createDataFrame([], "path string, format string, name string")
     for kind, glob in patterns.items():
-        part = (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-                .select("path", F.lit(kind).alias("format"), F.element_at(F.split("path", "/"), -1).alias("name")))
-        parts = part if parts is None else parts.unionByName(part)
+        if not system.globStatus(hadoop(folder, glob)):  # Spark reads no glob without a match
+            continue
+        # in braces a glob is one to Spark even if it names a single entry
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder.rstrip('/')}/{{{glob}}}").select("path")
+        name = F.split_part(F.substring("path", len(root) + 2, 1 << 30), F.lit("/"), F.lit(1))
+        parts = parts.unionByName(files.select(name.alias("name")).distinct().select(F.concat(F.lit(root + "/"), "name").alias("path"), F.lit(kind).alias("format"), "name"))
     return parts.filter(~F.col("name").isin(list(exclude)))

@@ -168,3 +168,10 @@ def test_one_bad_chunk_costs_one_row(spark):
 def test_type_words_fold_letters(spark):
     for text, kind in (("staınıng of cells", "criteria"), ("STAİNİNG", "general"), ("ſcore", "criteria"), ("plain", "general")):
         assert one(spark, text, k.content_type) == kind or (kind == "general" and one(spark, text, k.content_type) in ("general", "criteria"))
+
+
+def test_manifest_of_tables_in_several_files(spark, tmp_path):
+    spark.range(9).repartition(3).write.parquet(str(tmp_path / "folder.parquet"))
+    (tmp_path / "file.parquet").write_bytes(next((tmp_path / "folder.parquet").glob("*.parquet")).read_bytes())
+    found = documents.manifest(spark, str(tmp_path), {"parquet": "*.parquet", "markdown": "*.md"}).collect()
+    assert sorted((r["name"], r["format"]) for r in found) == [("file.parquet", "parquet"), ("folder.parquet", "parquet")]
