@@ -65,11 +65,12 @@ def as_of(asked: DataFrame, held: DataFrame, on: list[str], at: str = "at") -> D
 
     A period is cut into at most two aligned blocks per size, and a day lies in one block of each size, so the range becomes equal keys:
     every pair meets exactly once, long periods make few rows, and the shuffle is by key and block, not by key
-    alone. Days outside 1900 to 2078 match nothing. Other columns of ``held`` are kept; they must not be named like those of ``asked``.
+    alone. Both sides are many times their inputs, which size estimates do not see, so neither is ever broadcast. Days outside 1900 to 2078
+    match nothing. Other columns of ``held`` are kept; they must not be named like those of ``asked``.
     """
     last = F.lit(END).cast("date")
     cut = held.withColumn("_b", F.explode(_blocks(F.greatest(_day(F.col("starts")), F.lit(0).cast("long")), _day(F.least(F.coalesce("ends", last), last)))))
     cut = cut.select(*held.columns, F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
     day = _day(F.col(at).cast("date"))
     points = asked.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumn("_block", F.floor(day / _size(F.col("_level"))))
-    return points.join(cut, [*on, "_level", "_block"]).drop("_level", "_block")
+    return points.hint("merge").join(cut.hint("merge"), [*on, "_level", "_block"]).drop("_level", "_block")

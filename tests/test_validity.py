@@ -46,3 +46,11 @@ def test_closure_with_cycles(spark):
     edges = spark.createDataFrame([("i", "p", "1"), ("i", "p", "1"), ("i", "p", "2"), ("i", "q", "3")], "src string, predicate string, dst string")
     limits = spark.createDataFrame([("c", "p", 1, 1), ("z", "p", None, 0)], "class string, predicate string, least int, most int")
     assert {tuple(r) for r in closure.cardinality_violations(every, edges, limits).collect()} == {("i", "c", "p", 2), ("j", "c", "p", 0)}
+
+
+def test_neither_side_of_as_of_is_broadcast(spark):
+    d = date(2020, 1, 1)
+    asked = spark.createDataFrame([("x", d)], "k string, at date")
+    held = spark.createDataFrame([("x", d, None)], "k string, starts date, ends date")
+    met = periods.as_of(asked, held, ["k"])
+    assert met.count() == 1 and "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
