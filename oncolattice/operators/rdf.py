@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.props import kind, plain, prop
 from ..sources.vocabulary import local_df
@@ -117,8 +119,8 @@ def _triple(subject, predicate, obj, how="uri", datatype=None):
                     datatype.cast("string").alias("datatype"))
 
 
-def node_rows(nodes: DataFrame, base: str = NS["her2"]) -> DataFrame:
-    """RDF3 to RDF5 in one explode: all triples of every node that is exported, with its id."""
+def _node_triples(base: str) -> Column:
+    """RDF3 to RDF5: all triples of a node."""
     def link(name, prefix, space):
         value = prop(name)
         return F.when(value.startswith(prefix), F.concat(F.lit(space), F.substring(value, F.lit(len(prefix) + 1), F.length(value))))
@@ -129,28 +131,80 @@ def node_rows(nodes: DataFrame, base: str = NS["her2"]) -> DataFrame:
                     _triple(me, F.lit(base + "label"), F.col("label"), "literal", F.lit("string")))
     shown = F.map_filter(F.coalesce("props", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(NOT_EXPORTED + ["label"]) & v.isNotNull())
     other = F.transform(F.map_entries(shown), lambda e: _triple(me, F.concat(F.lit(base), e["key"]), plain(e["value"]), "literal", kind(e["value"])))
-    return export_nodes(nodes).select("id", F.explode(F.filter(F.concat(fixed, other), lambda t: t["object"].isNotNull())).alias("t")).select("id", "t.*")
+    return F.filter(F.concat(fixed, other), lambda t: t["object"].isNotNull())
+
+
+def node_rows(nodes: DataFrame, base: str = NS["her2"]) -> DataFrame:
+    """RDF3 to RDF5 in one explode: all triples of every node that is exported, with its id."""
+    return export_nodes(nodes).select("id", F.explode(_node_triples(base)).alias("t")).select("id", "t.*")
+
+
+def _note(base: str) -> Column:
+    return F.concat_ws("_", node_uri(F.col("src"), base), "predicate", node_uri(F.col("dst"), base), F.lit("stmt"))
+
+
+def _edge_triples(base: str) -> tuple[Column, Column, Column]:
+    """RDF6 and RDF7: the triple of an edge, the four that describe it, and its confidence, as arrays."""
+    s, o, p = node_uri(F.col("src"), base), node_uri(F.col("dst"), base), predicate_uri(F.col("predicate"), base)
+    note = _note(base)
+    four = F.array(_triple(note, F.lit(_TYPE), F.lit(NS["owl"] + "Axiom")), _triple(note, F.lit(NS["owl"] + "annotatedSource"), s),
+                   _triple(note, F.lit(NS["owl"] + "annotatedProperty"), p), _triple(note, F.lit(NS["owl"] + "annotatedTarget"), o))
+    return F.array(_triple(s, p, o)), four, F.array(_triple(note, F.lit(base + "confidence"), F.col("confidence").cast("string"), "literal", F.lit("decimal")))
+
+
+def _shown_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges whose ends are exported, reduced to what their triples depend on before they multiply."""
+    return export_edges(edges.select("src", "predicate", "dst", "confidence").distinct(), nodes)
 
 
 def edge_rows(edges: DataFrame, nodes: DataFrame, base: str = NS["her2"]) -> DataFrame:
-    """RDF6 and RDF7 in one explode: all triples of every edge whose ends are exported, with the id of its source.
+    """RDF6 and RDF7 in one explode: all triples of every edge whose ends are exported, with the id of its source."""
+    own, four, last = _edge_triples(base)
+    all_ = F.when(F.col("confidence").isNull(), own).otherwise(F.concat(own, four, last))
+    return _shown_edges(edges, nodes).select(F.col("src").alias("id"), F.explode(all_).alias("t")).select("id", "t.*")
+
 
-    Edges are reduced to what their triples depend on before they multiply.
+def _kinds_apart(base: str) -> bool:
+    """Whether under this base no triple of a node, of an edge, of its note and of the declarations can be the same.
+
+    Ids hold none of the characters that their URIs replace, so a base with one of them tells notes, which hold it twice, from nodes.
     """
-    s, o, p = node_uri(F.col("src"), base), node_uri(F.col("dst"), base), predicate_uri(F.col("predicate"), base)
-    own = F.array(_triple(s, p, o))
-    note = F.concat_ws("_", s, "predicate", o, F.lit("stmt"))
-    five = F.array(_triple(note, F.lit(_TYPE), F.lit(NS["owl"] + "Axiom")), _triple(note, F.lit(NS["owl"] + "annotatedSource"), s),
-                   _triple(note, F.lit(NS["owl"] + "annotatedProperty"), p), _triple(note, F.lit(NS["owl"] + "annotatedTarget"), o),
-                   _triple(note, F.lit(base + "confidence"), F.col("confidence").cast("string"), "literal", F.lit("decimal")))
-    reduced = edges.select("src", "predicate", "dst", "confidence").distinct()
-    return export_edges(reduced, nodes).select(F.col("src").alias("id"), F.explode(F.when(F.col("confidence").isNull(), own).otherwise(F.concat(own, five))).alias("t")).select("id", "t.*")
+    fixed = [_TYPE, _SAME, _SUBCLASS, _LABEL, *(NS["owl"] + n for n in ("Axiom", "Class", "ObjectProperty", "disjointWith", "annotatedSource", "annotatedProperty", "annotatedTarget"))]
+    return any(c in base for c in " /:") and not any(uri.startswith(base) for uri in fixed)
 
 
 def triples(nodes: DataFrame, edges: DataFrame, base: str = NS["her2"]) -> DataFrame:
-    """RDF9: the whole graph as a set of triples. Nodes and edges are each read once and give all their triples."""
-    rows = node_rows(nodes, base).unionByName(edge_rows(edges, nodes, base)).drop("id")
-    return declarations(nodes.sparkSession, base).unionByName(rows).distinct()
+    """RDF9: the whole graph as a set of triples. Nodes and edges are each read once and give all their triples.
+
+    Triples are not compared with each other, nodes and edges are, before they multiply: a node whose URI no other has gives
+    its triples once; of edges that differ in confidence alone the first gives all triples, the others their confidence. What is
+    left, several ids under one URI and edges of different ends or predicates with one note, is compared triple by triple.
+    """
+    if not _kinds_apart(base):
+        rows = node_rows(nodes, base).unionByName(edge_rows(edges, nodes, base)).drop("id")
+        return declarations(nodes.sparkSession, base).unionByName(rows).distinct()
+
+    def spread_out(rows, array):
+        return rows.select(F.explode(array).alias("t")).select("t.*")
+    same = Window.partitionBy("_at")
+    placed = export_nodes(nodes).select("type", "id", "label", "props", F.xxhash64(node_uri(F.col("id"), base)).alias("_at")).withColumn("_n", F.count("*").over(same))
+    out = [declarations(nodes.sparkSession, base).distinct(), spread_out(placed.filter("_n = 1"), F.array_distinct(_node_triples(base))),
+           spread_out(placed.filter("_n > 1"), _node_triples(base)).distinct()]
+
+    at = _note(base)
+    for name, target in PREDICATE_NAMES.items():  # edges with equal triples, though of two names for a predicate, come together
+        at = F.replace(at, F.lit(name), F.lit(target))
+    key = F.struct("src", "predicate", "dst")
+    by = same.orderBy(F.desc_nulls_last("confidence"))
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = _shown_edges(edges, nodes).withColumn("_at", F.xxhash64(at)).withColumns(
+        {"_place": F.row_number().over(by), "_one": F.min(key).over(whole).eqNullSafe(F.max(key).over(whole))})
+    own, four, last = _edge_triples(base)
+    none = F.filter(own, lambda t: F.lit(False))
+    noted = F.when(F.col("confidence").isNull(), own).otherwise(F.concat(own, four, last))
+    later = F.when(F.col("confidence").isNull(), none).otherwise(last)
+    out += [spread_out(met.filter("_one"), F.when(F.col("_place") == 1, noted).otherwise(later)), spread_out(met.filter("not _one"), noted).distinct()]
+    return reduce(DataFrame.unionByName, out)
 
 
 def ntriples(rows: DataFrame) -> DataFrame:

@@ -188,3 +188,25 @@ def test_build_takes_whole_rows(spark):
     assert (props["definition"], props["source_doc"], props["confidence"]) == ('"aaa def"', '"c2"', "0.7")
     edge = edges.filter("src = 'X'").first()
     assert (edge["confidence"], edge["props"]["evidence"], edge["props"]["source_chunk"]) == (0.2, '"aaa"', '"c2"')
+
+
+def test_triples_are_a_set_without_comparing_them_all(spark, tmp_path):
+    props = "map<string,string>"
+    n = spark.createDataFrame([("T", x, lab, {"k": '"1"'}) for x, lab in [("a b", "A"), ("a_b", "A"), ("a", None), ("b_c", "L"), ("c", "L"), ("U", "x"), ("U", "x")]] + [("V", "c", "L", {})],
+                              f"type string, id string, label string, props {props}")
+    e = [("a", "b", "c", 0.5), ("a", "b", "c", 0.25), ("a", "b", "c", None), ("a", "b_c", "c", 0.5), ("a_b", "c", "c", 0.5), ("a b", "c", "c", 0.5), ("a", "x", "b_c", None),
+         ("a", "SUPERSEDED_BY", "c", 0.5), ("a", "supersededBy", "c", None), ("c", "proposedEquivalence", "a", 1.0), ("c", "proposedCorrelation", "a", 1.0),
+         ("a", "refinesCategory", "c", None), ("a", "b_c", "gone", 0.5), ("a_b", "b_c", "c", None), ("a", "b_b_c", "c", 0.5)]
+    e = spark.createDataFrame([(s, p, d, None, None, c, False, {}) for s, p, d, c in e],
+                              f"src string, predicate string, dst string, condition string, algorithm_id string, confidence double, is_hypothesis boolean, props {props}")
+    for base in (rdf.NS["her2"], rdf.NS["owl"], "plain"):
+        want = rdf.declarations(spark, base).unionByName(rdf.node_rows(n, base).drop("id")).unionByName(rdf.edge_rows(e, n, base).drop("id"))
+        got = sorted(map(str, rdf.triples(n, e, base).collect()))
+        assert got == sorted(set(map(str, want.collect())))
+    rows = rdf.triples(n, e)
+    assert rows._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+    sinks.write_ntriples(rows, str(tmp_path / "nt"))
+    sinks.write_jsonld(rows, str(tmp_path / "ld"))
+    for folder in ("nt", "ld"):
+        assert spark.read.text(str(tmp_path / folder)).count() == len(rows.collect())
+        assert {x.name.rsplit(".", 2)[-1] for x in (tmp_path / folder).glob("part-*")} == {"gz"}
