@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from oncolattice.catalog import QUERIES, inputs
 from oncolattice.operators import decision as dec, ranking as rk, vectors as vec, walks as wk
@@ -168,3 +169,10 @@ def test_rejected_assays(spark):
     got = {r.id: (r.outcome, r.reasons, len(r.unknown)) for r in dec.reject_assays(spark.createDataFrame(
         rows, "id int, controls_ok boolean, invasive_areas int, weak_percent int, cytoplasm_percent int, poor_resolution boolean, autofluorescence boolean")).collect()}
     assert got == {1: ("Accepted", [], 0), 2: ("Indeterminate", dec.REJECTIONS, 0), 3: ("Accepted", [], 6), 4: ("Indeterminate", ["cytoplasmic_signals"], 1)}
+
+
+def test_pairs_of_texts_and_queries_are_no_rows(spark):
+    texts = spark.range(40).select("id", F.lit("the of a").alias("text"))
+    got = rk.keyword_top_k(texts, texts.withColumnRenamed("id", "query_id"), 2, block=10)
+    assert {tuple(r) for r in got.select("query_id", "id", "rank").collect()} == {(q, i, i + 1) for q in range(40) for i in range(2)}
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
