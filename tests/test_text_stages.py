@@ -175,3 +175,20 @@ def test_manifest_of_tables_in_several_files(spark, tmp_path):
     (tmp_path / "file.parquet").write_bytes(next((tmp_path / "folder.parquet").glob("*.parquet")).read_bytes())
     found = documents.manifest(spark, str(tmp_path), {"parquet": "*.parquet", "markdown": "*.md"}).collect()
     assert sorted((r["name"], r["format"]) for r in found) == [("file.parquet", "parquet"), ("folder.parquet", "parquet")]
+
+
+def test_content_type_in_a_filter_folds_the_text_once(spark):
+    from oncolattice.operators import chunking as c, extraction as x
+    rows = spark.createDataFrame([("a", "IHC 3+ staining"), ("b", "plain"), ("c", None)], "chunk_id string, content string")
+    picked = x.select_chunks(rows.withColumn("content_type", c.content_type(F.col("content"))), ("criteria",)).select("chunk_id")
+    plan = picked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1 and plan.count("array_max(") == 1
+    assert [r["chunk_id"] for r in picked.orderBy("chunk_id").collect()] == ["b", "c"]
+
+
+def test_running_start_computes_its_rows_once(spark):
+    from oncolattice.functions.prefix import running_start
+    rows = running_start(spark.range(0, 300, 1, 3).selectExpr("concat('k', id % 2) AS k", "cast(id AS int) AS o", "cast(id % 5 AS int) AS n"), "k", "o", "n", "s", span=64)
+    got = {(r["k"], r["o"]): r["s"] for r in rows.collect()}
+    assert got["k1", 299] == sum(n % 5 for n in range(1, 299, 2)) and len(got) == 300
+    assert "ReusedExchange" in rows._jdf.queryExecution().executedPlan().toString()
