@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import pick, unnest
 from ..operators.cases import ish_group
-from ..session import spread
+from ..session import dealt, spread
 
 CASE_SCORES = ["3+", "2+", "1+", "0+", "0", "Score2Plus", "IHC3Plus", "bad_value"]
 CASE_CATEGORIES = ["HER2_Positive", "HER2-Low", "HER2_Null", "HER2_Equivocal", "HER2-Ultralow", "HER2_Negative", "Other"]
@@ -240,7 +240,7 @@ def _edges(df, src, predicate, dst, confidence=None, hypothesis=None, **props):
 
 def eligibility(spark, path):
     """Eligibility edges, one per key."""
-    li = read(spark, path, "lineitem")
+    li = dealt(read(spark, path, "lineitem"), "l_suppkey", "l_partkey")
     best = li.groupBy("l_suppkey", "l_partkey", F.when(F.col("l_returnflag") == "R", "notEligibleFor").otherwise("eligibleFor").alias("predicate")).agg(
         F.min(1 - F.col("l_discount")).alias("confidence"), F.max("l_linenumber").alias("line"))
     return _edges(best, _id("S", "l_suppkey"), F.col("predicate"), _id("P", "l_partkey"), F.col("confidence"),
