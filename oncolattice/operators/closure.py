@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut
+from ..session import cut, dealt
 
 
 def superclasses(stated: DataFrame) -> DataFrame:
@@ -23,10 +23,15 @@ def superclasses(stated: DataFrame) -> DataFrame:
 
 
 def inherited(types: DataFrame, closed: DataFrame) -> DataFrame:
-    """All classes of every individual of ``types(id, class)``, stated or inherited."""
-    stated = types.select("id", "class").filter("class is not null").distinct()
-    over = stated.join(closed.select(F.col("sub").alias("class"), "sup"), "class").select("id", F.col("sup").alias("class"))
-    return stated.unionByName(over).distinct()
+    """All classes of every individual of ``types(id, class)``, stated or inherited.
+
+    Superclasses are put together per class first. An individual's classes then come from its own rows alone, so one row per stated
+    class is shuffled, not one per inherited class, and none are compared in one large table.
+    """
+    up = closed.groupBy(F.col("sub").alias("class")).agg(F.collect_set("sup").alias("_over"))
+    met = types.select("id", "class").filter("class is not null").join(up, "class", "left")
+    classes = F.concat(F.array("class"), F.coalesce("_over", F.array().cast("array<string>")))
+    return dealt(met.select("id", classes.alias("_all")), "id", rows=100_000, of=types).select("id", F.explode("_all").alias("class")).distinct()
 
 
 def disjoint_conflicts(every: DataFrame, disjoint: DataFrame) -> DataFrame:

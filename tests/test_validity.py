@@ -3,6 +3,8 @@
 import random
 from datetime import date, timedelta
 
+from pyspark.sql import functions as F
+
 from oncolattice.operators import closure, periods
 
 
@@ -54,3 +56,22 @@ def test_neither_side_of_as_of_is_broadcast(spark):
     held = spark.createDataFrame([("x", d, None)], "k string, starts date, ends date")
     met = periods.as_of(asked, held, ["k"])
     assert met.count() == 1 and "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_classes_are_dealt_by_individual(spark):
+    types = spark.range(0, 900, 1, 2).selectExpr("concat('o', id % 450) AS id", "concat('c', id % 3) AS class").unionByName(spark.createDataFrame([("o1", None), (None, "c0")], "id string, class string"))
+    closed = spark.createDataFrame([("c0", "n"), ("c1", "n"), ("n", "r"), ("c0", "r"), ("c1", "r"), ("n", "n")], "sub string, sup string")
+    every = closure.inherited(types, closed)
+    got = sorted((r["id"] or "", r["class"]) for r in every.collect())
+    want = {(f"o{k}", c) for k in range(450) for c in ([f"c{k % 3}"] + (["n", "r"] if k % 3 < 2 else []))} | {("", "c0"), ("", "n"), ("", "r")}
+    assert got == sorted(want)
+    assert "Union" not in every._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]  # no table of all inherited rows beside the stated ones
+
+
+def test_tasks_grow_with_the_rows(spark, sf):
+    from oncolattice.catalog import inputs
+    from oncolattice.session import dealt
+    rows = spark.range(1000).withColumn("k", F.col("id") % 500)
+    assert [dealt(rows, "k", rows=n).rdd.getNumPartitions() for n in (1000, 100, 10)] == [4, 10, 100]
+    assert dealt(rows, "k", rows=50).groupBy("k").count().count() == 500
+    assert "RepartitionByExpression" in inputs.eligibility(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
