@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut
+from ..session import cut, dealt
 
 ROUNDS = 20
 
@@ -23,9 +23,11 @@ def agreement(votes: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFr
     fact are one, stated if any is; votes with a null do not count.
 
     Facts that drew the same votes have the same posterior. They are counted together first, so rounds run over patterns of
-    votes, at most 3 ** passes per predicate whatever the number of facts, and facts are read twice only.
+    votes, at most 3 ** passes per predicate whatever the number of facts, and facts are read twice only. Votes are
+    shuffled once, by fact: both of the groupings that make a pattern go on from there.
     """
-    one = votes.filter("fact_id is not null and predicate is not null and pass is not null and stated is not null").groupBy("fact_id", "predicate", "pass").agg(F.bool_or("stated").alias("stated"))
+    given = votes.filter("fact_id is not null and predicate is not null and pass is not null and stated is not null")
+    one = dealt(given, "fact_id", "predicate").groupBy("fact_id", "predicate", "pass").agg(F.bool_or("stated").alias("stated"))
     seen = cut(one.groupBy("fact_id", "predicate").agg(F.array_sort(F.collect_list(F.struct("pass", "stated"))).alias("pattern")))
     patterns = cut(seen.groupBy("predicate", "pattern").agg(F.count("*").alias("n")))
     cast = cut(patterns.select("predicate", "pattern", "n", F.explode("pattern").alias("vote")).select("predicate", "pattern", "n", "vote.pass", "vote.stated"))
