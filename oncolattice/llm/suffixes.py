@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 
 from .arrays import chunks, mix, number_hash, piece_hash, prefix_hash, text_bytes, written
 
-BLOCK = 4096            # stretches sorted together, unless one minimizer has more
-BROADCAST = 2_000_000   # so many 32-byte requests may be broadcast; more are joined by a shuffle
-STEP = 1 << 18           # bytes of text hashed at once
+BLOCK = 4096    # stretches sorted together, unless one minimizer has more
+STEP = 1 << 18  # bytes of text hashed at once
 LAST = 2**63 - 1
 
 
@@ -75,9 +74,15 @@ def _marks(docs: DataFrame, length: int, grain: int, told: bool) -> DataFrame:
                     h, c, row, anchor, left, count = _stretches(data[begin:end], at, length, grain)
                     anchor = anchor + (0 if whole else begin - offsets[first])
                     parts.append((h, c, ids[first + row], tells[first + row], (anchor << 24) | (left << 12) | count))
-            h, c, doc, t, place = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 5
-            order = np.lexsort((place, t, doc, c, h))
-            h, c, doc, t, place = (x[order] for x in (h, c, doc, t, place))
+            columns = [list(x) for x in zip(*parts)] if parts else [[np.zeros(0, np.int64)] for _ in range(5)]
+            parts.clear()
+            for i, pieces in enumerate(columns):  # one column at a time is held twice
+                columns[i] = np.concatenate(pieces)
+                pieces.clear()
+            order = np.lexsort(columns[::-1])
+            for i in range(5):
+                columns[i] = columns[i][order]
+            h, c, doc, t, place = columns
             same = np.zeros(len(h), bool)
             same[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
             lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
@@ -190,16 +195,6 @@ def repeated_windows(contexts: list[bytes], left: np.ndarray, count: np.ndarray,
 
 def _edges(requests: DataFrame, docs: DataFrame, told: bool, length: int) -> DataFrame:
     """Repeated ranges (doc, t, range) found among stretches that share a minimizer and differ."""
-    def cut(batches):
-        for batch in batches:
-            h, doc, t, place = (batch.column(c).to_numpy() for c in range(4))
-            data, offsets = text_bytes(batch.column(4))
-            begin = (place >> 24) - ((place >> 12) & 4095) + offsets[:-1]
-            size = (place & 4095) - 1 + length
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array([data[a:a + s].tobytes() for a, s in zip(begin.tolist(), size.tolist())], pa.binary())],
-                ["h", "doc", "t", "place", "context"])
-
     def solve(batches):
         held, size = [], 0
         for batch in batches:
@@ -237,8 +232,10 @@ def _edges(requests: DataFrame, docs: DataFrame, told: bool, length: int) -> Dat
         start = (place[which] >> 24) - offset
         return pa.RecordBatch.from_arrays([pa.array(doc[which]), pa.array(t[which]), pa.array((start << 32) | (start + length))], ["doc", "t", "range"])
 
-    contexts = (requests.join(_keyed(docs, told), ["doc", "t"]).select("h", "doc", "t", "place", "text")
-                .mapInArrow(cut, "h long, doc long, t long, place long, context binary"))
+    begin = F.expr("cast(shiftright(place, 24) - (shiftright(place, 12) & 4095) as int)")
+    size = F.expr("cast((place & 4095) - 1 as int)") + length
+    contexts = requests.join(_keyed(docs, told), ["doc", "t"]).select(
+        "h", "doc", "t", "place", F.col("text").cast("binary").substr(begin + 1, size).alias("context"))
     return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(solve, "doc long, t long, range long")
 
 
@@ -266,9 +263,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, grain: int = 24, id_col:
              .where("again or rank > 1 or mixed")
              .select("h", "doc", "t", "place", (F.col("again") | (F.col("rank") > 1)).alias("again")))
     marks = written(marks)
-    requests = marks.where("not again").select("h", "doc", "t", "place").distinct()
-    if requests.count() <= BROADCAST:
-        requests = F.broadcast(requests)
+    # both joins with the texts go by document, so that the texts are shuffled once for the two
+    requests = marks.where("not again").select("h", "doc", "t", "place").distinct().hint("merge")
     begin = F.expr("shiftright(place, 24) - (shiftright(place, 12) & 4095)")
     whole = marks.where("again").select("doc", "t", (F.shiftleft(begin, 32) + begin + F.expr("(place & 4095) - 1") + length).alias("range"))
     spans = whole.union(_edges(requests, docs, told, length)).groupBy("doc", "t").agg(F.sort_array(F.collect_set("range")).alias("ranges"))

@@ -216,6 +216,17 @@ def test_repeats_of_a_long_text(spark):
     assert (rows[1].n_removed, rows[2].n_removed, rows[2].n_spans, rows[2].kept_sha256) == (0, len(text), 1, brute.sha("first "))
 
 
+def test_repeats_broadcast_no_requests(spark):
+    """Edges between texts of many-byte characters; the texts are shuffled once for both joins and requests are not broadcast."""
+    rng = np.random.default_rng(5)
+    shared = "".join(rng.choice(list("aé漢𝄞"), 200))
+    rows = [(i, "".join(rng.choice(list("xß字"), 40 + i)) + shared[i:160 + 2 * i] + "".join(rng.choice(list("yö"), 50))) for i in range(8)]
+    found = suffixes.remove_repeats(frame(spark, rows))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()} == brute.repeats(rows, 100)
+    plan = found._jdf.queryExecution()
+    assert "strategy=broadcast" not in plan.optimizedPlan().toString() and "ReusedExchange" in plan.executedPlan().toString()
+
+
 def test_suffix_sort():
     rng = np.random.default_rng(1)
     rows = rng.integers(97, 99, (300, 24)).astype(np.uint8)
