@@ -2,8 +2,9 @@
 
 Where the result keeps k rows per request, the two sides that multiply (mentions and
 edges of an entity) are each cut to their first k beforehand, after what has no node or chunk
-at its other end is gone. With the order used here no row beyond can reach the result, so
-hubs cost k*k rows, not mentions times edges.
+at its other end is gone. With the order used here no row beyond can reach the result, and
+the place of a pair among those of its entity follows from the places of its two sides, so
+an entity hands k rows to a request, not k*k.
 """
 
 from __future__ import annotations
@@ -54,10 +55,14 @@ def retrieve(requests: DataFrame, mentions: DataFrame, chunks: DataFrame, nodes:
     """
     asked = requests.select("request_id", "entity_id").distinct()
     ids = asked.select("entity_id").distinct()
-    named = _mentions(mentions, chunks, ids, top_k)
-    out = _out_edges(edges, nodes, ids, top_k, [F.desc_nulls_first("confidence"), "relation", "related_id"])
+    own, order = Window.partitionBy("entity_id"), [F.desc_nulls_first("confidence"), "relation", "related_id"]
+    named = _mentions(mentions, chunks, ids, top_k).withColumn("_place", F.row_number().over(own.orderBy("chunk_id"))).withColumn("_of", F.count("*").over(own))
+    out = _out_edges(edges, nodes, ids, top_k, order).withColumn("_before", F.rank().over(own.orderBy(*order)) - 1)
     labels = nodes.filter(F.col("type") != "Chunk").select(F.col("id").alias("entity_id"), F.col("label").alias("entity"))
-    rows = asked.join(named, "entity_id").join(labels, "entity_id").join(out, "entity_id", "left")
+    # a pair comes after every mention with an earlier edge, and after earlier mentions with its own
+    per = named.join(labels, "entity_id").join(out, "entity_id", "left").filter(
+        F.coalesce("_before", F.lit(0)) * F.col("_of") + F.col("_place") <= top_k).drop("_before", "_of", "_place")
+    rows = asked.join(per, "entity_id")
     best = rows.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(
         F.desc_nulls_first("confidence"), "entity_id", "relation", "related_id", "chunk_id"))).filter(F.col("rank") <= top_k)
     return best.join(chunks.select("chunk_id", F.col("content").alias("context"), "source_doc"), "chunk_id")
@@ -71,10 +76,15 @@ def find_by_label(needles: DataFrame, nodes: DataFrame, top: int = TOP_LABELS) -
 
 
 def retrieve_by_labels(requests: DataFrame, mentions, chunks, nodes, edges, top_k: int = TOP_CONTEXT) -> DataFrame:
-    """RET3: labels of each request to distinct ids to RET1. ``requests(request_id, needle)``."""
-    found = find_by_label(requests.select("needle"), nodes)
-    ids = requests.join(found.select("needle", F.col("id").alias("entity_id")), "needle").select("request_id", "entity_id")
-    return retrieve(ids, mentions, chunks, nodes, edges, top_k)
+    """RET3: labels of each request to distinct ids to RET1. ``requests(request_id, needle)``.
+
+    What is found depends on the needles alone, so it is found once per distinct set of needles and then handed to the requests.
+    """
+    sets = requests.groupBy("request_id").agg(F.array_sort(F.collect_set("needle")).alias("needles"))
+    found = find_by_label(requests.select("needle").distinct(), nodes).select("needle", F.col("id").alias("entity_id"))
+    asked = sets.select("needles").distinct().select(F.col("needles").alias("request_id"), F.explode("needles").alias("needle"))
+    best = retrieve(asked.join(found, "needle").select("request_id", "entity_id"), mentions, chunks, nodes, edges, top_k)
+    return sets.join(best.withColumnRenamed("request_id", "needles"), "needles").drop("needles")
 
 
 def keywords(query: Column, count: int | None = None, chars: int | None = None) -> Column:

@@ -95,6 +95,32 @@ def test_retrieval_orders_and_limits(spark):
     assert [(x["entity_id"], x["related_id"], x["chunk_id"]) for x in out] == [("lonely", None, "c0"), ("e", "y", "c0"), ("e", "y", "c1"), ("e", "y", "c2")]
 
 
+def _shuffled(spark, run):
+    """Rows shuffled while ``run`` runs, and what it returns."""
+    def written():
+        double, none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList()
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, double, none)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(n) for n in range(stages.size()))}
+    before = written()
+    out = run()
+    return sum(rows for key, rows in written().items() if key not in before), out
+
+
+def test_retrieval_by_labels_works_once_per_set_of_needles(spark):
+    nodes = spark.createDataFrame([("T", f"e{n}", f"red {n}") for n in range(10)] + [("T", "x", "X"), ("T", "y", "Y")], "type string, id string, label string")
+    edges = spark.createDataFrame([(f"e{n}", f"p{k:02}", "xy"[k % 2], None if k == 7 else k / 20) for n in range(10) for k in range(18)],
+                                  "src string, predicate string, dst string, confidence double")
+    chunks = spark.createDataFrame([(f"c{n:02}", f"text {n}", "doc") for n in range(18)], "chunk_id string, content string, source_doc string")
+    said = spark.createDataFrame([(f"c{n:02}", f"e{k}") for n in range(18) for k in range(10)], "chunk_id string, entity_id string")
+    asked = spark.createDataFrame([(r, w) for r in range(200) for w in ("red", "RED", "blue")] + [(200, "x"), (201, None)], "request_id int, needle string")
+    rows, out = _shuffled(spark, lambda: t.retrieve_by_labels(asked, said, chunks, nodes, edges, 20).collect())
+    best = sorted([(-2.0 if k == 7 else -k / 20, f"e{n}", f"c{c:02}") for n in range(10) for k in range(18) for c in range(18)])[:20]
+    for r in (0, 199):
+        got = sorted((x["rank"], x["entity_id"], x["chunk_id"]) for x in out if x["request_id"] == r)
+        assert got == [(k + 1, e, c) for k, (_, e, c) in enumerate(best)]
+    assert len(out) == 200 * 20 and rows < 2_000
+
+
 def test_triples_and_jsonld(spark, tmp_path):
     n, e = v.seed_entities_df(spark), v.seed_relations_df(spark)
     rows = rdf.triples(n, e).cache()
