@@ -130,21 +130,21 @@ def ret13(spark, path):
     return one.withColumn("n_parts", F.size(t.pathway_steps(F.col("text"))).cast("bigint"))
 
 
-def _context(spark, path):
+def _asked(spark, path):
     m, ch, n, e = _graph(spark, path)
-    return t.context_rows(i.requests(spark, path), n, e, m, ch)
+    return i.requests(spark, path), n, e, m, ch
 
 
 @query("RET14", "SELECT request_id, entity_id, node_type, relation, related_entity, confidence, context, source_doc, rank FROM context_rows", ("context_rows",))
 def ret14(spark, path):
-    return _context(spark, path).select("request_id", "entity_id", "node_type", "relation", "related_entity", "confidence", "context", "source_doc", _big("rank"))
+    return t.context_rows(*_asked(spark, path)).select("request_id", "entity_id", "node_type", "relation", "related_entity", "confidence", "context", "source_doc", _big("rank"))
 
 
 @query("RET15", """SELECT request_id, array_to_string(list_sort(list(DISTINCT entity_id || '/' || label || '/' || node_type)), '|') AS entities,
  count(DISTINCT CASE WHEN relation IS NOT NULL AND coalesce(related_entity, '') <> '' THEN label || relation || related_entity || coalesce(confidence::VARCHAR, '') END) AS n_relations,
  count(DISTINCT source_doc || context) AS n_chunks, coalesce(array_to_string(list_sort(list(DISTINCT source_doc) FILTER (source_doc IS NOT NULL)), ','), '') AS sources FROM context_rows GROUP BY 1""", ("context_rows",))
 def ret15(spark, path):
-    f = t.fold_context(_context(spark, path))
+    f = t.fold_context(t.context(*_asked(spark, path)))
     return f.select("request_id", F.array_join(F.array_sort(F.transform("entities", lambda e: F.concat_ws("/", e["entity_id"], e["label"], e["node_type"]))), "|").alias("entities"),
                     F.size("relations").cast("bigint").alias("n_relations"), F.size("chunks").cast("bigint").alias("n_chunks"), F.array_join("source_docs", ",").alias("sources"))
 
@@ -173,7 +173,7 @@ FROM (SELECT request_id, list_sort(list(DISTINCT {i: entity_id, l: label, t: nod
  list_sort(coalesce(list(DISTINCT {s: source_doc, x: context}) FILTER (context IS NOT NULL), [])) AS chs, list_sort(coalesce(list(DISTINCT source_doc) FILTER (source_doc IS NOT NULL), [])) AS srcs
  FROM context_rows GROUP BY 1)""", ("context_rows",))
 def ret18(spark, path):
-    return t.context_text(t.fold_context(_context(spark, path))).select("request_id", "prompt_context")
+    return t.context_text(t.fold_context(t.context(*_asked(spark, path)))).select("request_id", "prompt_context")
 
 
 @query("QRY1", """SELECT c.label AS category, e.predicate, n.label AS target FROM edges e JOIN nodes c ON c.id = e.src AND c.type = 'ClinicalCategory' JOIN nodes n ON n.id = e.dst

@@ -195,11 +195,37 @@ def case_entity_ids(existing: Column, ihc: Column, ish: Column) -> Column:
     return F.concat(base, extra)
 
 
-def context_rows(requests: DataFrame, nodes: DataFrame, edges: DataFrame, mentions: DataFrame, chunks: DataFrame, limit: int = CONTEXT_ROWS) -> DataFrame:
-    """RET14: entities by id or lowercase label with optional relations and chunks, distinct, 50 rows a request.
+def _listed(rows: DataFrame, keys: list, name: str) -> DataFrame:
+    """(entity_id, array of the other columns as structs).
+
+    Each member has its place among its entity's: how many come before it (``before``), how many share its key (``same``) and
+    its number among these (``nth``).
+    """
+    order = Window.partitionBy("entity_id").orderBy(*keys)
+    rows = rows.select("*", (F.rank().over(order) - 1).cast("long").alias("before"), (F.row_number().over(order) - F.rank().over(order)).cast("long").alias("nth"))
+    rows = rows.withColumn("same", F.count("*").over(Window.partitionBy("entity_id", *keys)))
+    return rows.groupBy("entity_id").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "entity_id"])).alias(name))
+
+
+def _or_none(name: str, rows: DataFrame) -> Column:
+    """The array, or one of one empty member."""
+    given = {"before": 0, "same": 1, "nth": 0}
+    empty = F.struct(*[F.lit(given.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema[name].dataType.elementType.fields])
+    return F.coalesce(name, F.array(empty)).alias(name)
+
 
-    ``requests(request_id, entity_ids, labels)``. Rows are ordered by entity, relation,
-    related id and chunk, and each side is cut to its first ``limit`` per entity.
+def _rank(edge: Column, mention: Column) -> Column:
+    """Place of an edge with a mention among the rows of the request, by the places of all parts."""
+    ahead = edge["before"] * F.size("mentions") + edge["same"] * mention["before"]
+    return F.col("before") + F.col("same") * ahead + (F.col("nth") * edge["same"] + edge["nth"]) * mention["same"] + mention["nth"] + 1
+
+
+def context(requests: DataFrame, nodes: DataFrame, edges: DataFrame, mentions: DataFrame, chunks: DataFrame, limit: int = CONTEXT_ROWS) -> DataFrame:
+    """RET14, a row per request and entity: the entity, and its edges and mentions as arrays, for whoever pairs them.
+
+    ``requests(request_id, entity_ids, labels)``. Rows of a request are ordered by entity, relation, related id and chunk. How many
+    an entity has follows from the lengths of its two lists, so an entity that starts beyond ``limit`` is gone before it
+    meets them, and pairs are ranked by ``_rank`` where they are made: neither pairs nor texts are sorted by request.
     """
     node = nodes.select(F.col("id").alias("entity_id"), "label", F.col("type").alias("node_type"))
     by_id = requests.select("request_id", F.explode("entity_ids").alias("entity_id")).join(node, "entity_id")
@@ -207,29 +233,53 @@ def context_rows(requests: DataFrame, nodes: DataFrame, edges: DataFrame, mentio
     by_label = wanted.join(node.withColumn("_low", F.lower("label")), "_low").drop("_low")
     asked = by_id.unionByName(by_label).distinct()
     ids = asked.select("entity_id").distinct()
+    texts = chunks.select("chunk_id", F.col("content").alias("context"), "source_doc").repartition("chunk_id").distinct()
+    said = mentions.select("chunk_id", "entity_id").distinct().join(ids, "entity_id", "left_semi").join(texts, "chunk_id")
     out = _out_edges(edges, nodes, ids, limit, ["relation", "related_id"], distinct=True)
-    named = _mentions(mentions.distinct(), chunks, ids, limit)
-    rows = asked.join(out, "entity_id", "left").join(named, "entity_id", "left").join(
-        chunks.select("chunk_id", F.col("content").alias("context"), "source_doc"), "chunk_id", "left")
-    order = Window.partitionBy("request_id").orderBy("entity_id", "node_type", F.asc_nulls_first("relation"), F.asc_nulls_first("related_id"), F.asc_nulls_first("chunk_id"))
-    return rows.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    sizes = asked.join(out.groupBy("entity_id").agg(F.count("*").alias("_out")), "entity_id", "left").join(
+        said.groupBy("entity_id").agg(F.count("*").alias("_said")), "entity_id", "left").withColumn(
+        "_n", F.least(F.coalesce("_out", F.lit(1)) * F.coalesce("_said", F.lit(1)), F.lit(limit)).cast("long"))
+    order = Window.partitionBy("request_id").orderBy("entity_id", "node_type")
+    upto, peers = order.rangeBetween(Window.unboundedPreceding, Window.currentRow), order.rangeBetween(Window.currentRow, Window.currentRow)
+    placed = sizes.select(
+        "request_id", "entity_id", "label", "node_type", (F.sum("_n").over(upto) - F.sum("_n").over(peers)).alias("before"),
+        F.count("*").over(peers).alias("same"), (F.row_number().over(order) - F.rank().over(order)).cast("long").alias("nth"))
+    listed, named = _listed(out, ["relation", "related_id"], "edges"), _listed(_first(said, "entity_id", ["chunk_id"], limit), ["chunk_id"], "mentions")
+    return placed.filter(F.col("before") < limit).join(listed, "entity_id", "left").join(named, "entity_id", "left").select(
+        *placed.columns, _or_none("edges", listed), _or_none("mentions", named))
+
+
+def context_rows(requests: DataFrame, nodes: DataFrame, edges: DataFrame, mentions: DataFrame, chunks: DataFrame, limit: int = CONTEXT_ROWS) -> DataFrame:
+    """RET14: entities by id or lowercase label with optional relations and chunks, distinct, 50 rows a request."""
+    pairs = context(requests, nodes, edges, mentions, chunks, limit).withColumn("e", F.explode("edges")).withColumn("m", F.explode(
+        F.filter("mentions", lambda m: _rank(F.col("e"), m) <= limit)))
+    return pairs.select("request_id", "entity_id", "label", "node_type", "e.relation", "e.related_id", "e.related_entity", "e.confidence",
+                        "m.chunk_id", "m.context", "m.source_doc", _rank(F.col("e"), F.col("m")).alias("rank"))
 
 
-def fold_context(rows: DataFrame) -> DataFrame:
-    """RET15: distinct entities, relations, chunks, labels and sources per request.
+def fold_context(found: DataFrame, limit: int = CONTEXT_ROWS) -> DataFrame:
+    """RET15: distinct entities, relations, chunks, labels and sources in the rows of each request of ``context``.
 
-    A request has at most 50 rows, which bounds every list.
+    A request has at most ``limit`` rows, which bounds every list. An edge or a mention counts when a row within the limit holds it.
     """
-    entity = F.struct("entity_id", "label", "node_type")
-    relation = F.when(F.col("relation").isNotNull() & (default_empty(F.col("related_entity")) != ""), F.struct(
-        F.col("label").alias("from_label"), "relation", F.col("related_entity").alias("to_label"), "confidence"))
-    chunk = F.when(default_empty(F.col("context")) != "", F.struct("source_doc", "context"))
-
-    def set_of(col):
-        return F.array_sort(F.collect_set(col))
-    return rows.groupBy("request_id").agg(
-        set_of(entity).alias("entities"), set_of(relation).alias("relations"), set_of(chunk).alias("chunks"),
-        set_of(F.lower("label")).alias("entity_labels"), set_of("source_doc").alias("source_docs"))
+    edges = F.filter("edges", lambda e: F.exists("mentions", lambda m: _rank(e, m) <= limit))
+    mentions = F.filter("mentions", lambda m: F.exists("edges", lambda e: _rank(e, m) <= limit))
+    used = found.select("request_id", "entity_id", "label", "node_type", edges.alias("edges"), mentions.alias("mentions")).filter(F.size("edges") > 0)
+    relations = F.transform(F.filter("edges", lambda e: e["relation"].isNotNull() & (default_empty(e["related_entity"]) != "")), lambda e: F.struct(
+        F.col("label").alias("from_label"), e["relation"].alias("relation"), e["related_entity"].alias("to_label"), e["confidence"].alias("confidence")))
+    said = F.transform(F.filter("mentions", lambda m: default_empty(m["context"]) != ""), lambda m: F.struct(m["source_doc"].alias("source_doc"), m["context"].alias("context")))
+    sources = F.array_distinct(F.array_compact(F.transform("mentions", lambda m: m["source_doc"])))
+    parts = used.select("request_id", F.struct("entity_id", "label", "node_type").alias("entity"), relations.alias("relations"),
+                        said.alias("chunks"), sources.alias("sources")).groupBy("request_id").agg(
+        F.collect_list(F.struct("entity", "relations", "chunks", "sources")).alias("parts"))
+
+    def set_of(items):
+        return F.array_sort(F.array_distinct(F.array_compact(items)))
+
+    def every(name):
+        return set_of(F.flatten(F.col("parts")[name]))
+    return parts.select("request_id", set_of(F.col("parts")["entity"]).alias("entities"), every("relations").alias("relations"), every("chunks").alias("chunks"),
+                        set_of(F.transform(F.col("parts")["entity"], lambda e: F.lower(e["label"]))).alias("entity_labels"), every("sources").alias("source_docs"))
 
 
 def fallback_context(requests: DataFrame) -> DataFrame:

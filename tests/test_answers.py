@@ -121,6 +121,39 @@ def test_retrieval_by_labels_works_once_per_set_of_needles(spark):
     assert len(out) == 200 * 20 and rows < 2_000
 
 
+def test_context_places_pairs_without_sorting_them(spark):
+    """Repeated keys on every side, entities without edges or mentions; entities beyond the limit never meet their pairs."""
+    nodes = [("T", f"e{n}", f"Label {n % 3}") for n in range(8)] + [("U", "e1", "other"), ("T", "e1", "again"), ("T", "x", "X"), ("T", "x", "X2"), ("T", "y", None)]
+    edges = [(f"e{n}", f"p{k % 3}", "xyz"[k % 3], k / 10) for n in range(1, 8) for k in range(9)]
+    chunks = [(f"c{n:02}", f"text {n}", "doc") for n in range(16)] + [("c03", "text 3 again", "doc"), ("c01", "text 1", "doc")]
+    said = [(f"c{n:02}", f"e{k}") for n in range(17) for k in range(2, 8)] + [("c99", "e1")]
+    asked = [(r, [f"e{(r * k) % 8}" for k in range(1, 4)], ["LABEL 1"]) for r in range(60)]
+    frames = [spark.createDataFrame(nodes, "type string, id string, label string"), spark.createDataFrame(edges, "src string, predicate string, dst string, confidence double"),
+              spark.createDataFrame(said, "chunk_id string, entity_id string"), spark.createDataFrame(chunks, "chunk_id string, content string, source_doc string")]
+    requests = spark.createDataFrame(asked, "request_id int, entity_ids array<string>, labels array<string>")
+    shuffled, out = _shuffled(spark, lambda: t.context_rows(requests, *frames).collect())
+    key = lambda x: (x[0], x[2], x[3] or "", x[4] or "", x[7] or "")
+    for r, ids, _ in asked:
+        rows = set()
+        for kind, node, label in nodes:
+            if node in ids or (label or "").lower() == "label 1":
+                mine = [(p, d, lab, c) for src, p, d, c in edges if src == node for _, other, lab in nodes if other == d] or [(None,) * 4]
+                texts = [c for c in chunks for m in said if m == (c[0], node)] or [(None,) * 3]
+                rows |= {(node, label, kind, p, d, lab, c, *text) for p, d, lab, c in mine for text in texts}
+        want = sorted(map(key, rows))[:50]
+        got = sorted((x["rank"], x) for x in out if x["request_id"] == r)
+        assert [n for n, _ in got] == list(range(1, len(want) + 1)) and [key(tuple(x)[1:]) for _, x in got] == want
+        assert {tuple(x)[1:11] for _, x in got} <= rows and len({tuple(x) for _, x in got}) == len(got)
+    folded = {x["request_id"]: x for x in t.fold_context(t.context(requests, *frames)).collect()}
+    for r, _, _ in asked:
+        mine = [x for x in out if x["request_id"] == r]
+        assert {e["entity_id"] for e in folded[r]["entities"]} == {x["entity_id"] for x in mine}
+        assert {c["context"] for c in folded[r]["chunks"]} == {x["context"] for x in mine} - {None}
+        assert {(e["from_label"], e["relation"], e["to_label"]) for e in folded[r]["relations"]} == {
+            (x["label"], x["relation"], x["related_entity"]) for x in mine if x["relation"] and x["related_entity"]}
+    assert shuffled < 2_500, shuffled
+
+
 def test_triples_and_jsonld(spark, tmp_path):
     n, e = v.seed_entities_df(spark), v.seed_relations_df(spark)
     rows = rdf.triples(n, e).cache()
