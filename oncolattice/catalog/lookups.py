@@ -82,7 +82,7 @@ def ret7_by_id(spark, path):
 @query("RET8", """SELECT query_id, source_doc AS source, content_type AS type, left(context, 150) AS text FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw_pos, rank) AS n FROM evidence_rows) WHERE n <= 5""",
        ("evidence_rows",))
 def ret8(spark, path):
-    return t.citations(t.evidence(i.queries(spark, path), i.answer_chunks(spark, path))).select("query_id", "source", "type", "text")
+    return t.citations(t.evidence(i.queries(spark, path), i.answer_chunks(spark, path), first=t.CITATIONS)).select("query_id", "source", "type", "text")
 
 
 @query("RET9", """SELECT needle, guideline_id, topic, year, rank FROM (SELECT k.needle, g.src AS guideline_id, x.label AS topic, 2000 + substr(g.src, 2)::BIGINT % 26 AS year,

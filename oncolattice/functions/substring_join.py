@@ -28,13 +28,18 @@ def _inner_words(text: Column) -> Column:
 
 
 def _anchored(texts: DataFrame, low: DataFrame, keys_of_text: Column, keys_of_needle: Column) -> DataFrame:
-    """Pairs found by an equi-join on each needle's rarest key, then compared."""
-    wanted = low.withColumn("_key", F.explode(keys_of_needle))
+    """Pairs found by an equi-join on each needle's rarest key, then compared.
+
+    While keys are counted a needle goes by 128 bits of hash, as it stands once for each of its keys.
+    """
+    name = [F.xxhash64("needle", "_low").alias("_a"), F.xxhash64(F.reverse("needle"), F.length("needle")).alias("_b")]
+    wanted = low.select(*name, F.explode(keys_of_needle).alias("_key"))
     held = unnest(texts, ["text_id"], keys_of_text, "_key").drop("_pos")
     counts = held.join(wanted.select("_key").distinct(), "_key", "left_semi").groupBy("_key").agg(F.count("*").alias("_texts"))
-    rarest = (wanted.join(counts, "_key", "left").groupBy("needle", "_low")
+    rarest = (wanted.join(counts, "_key", "left").groupBy("_a", "_b")
               .agg(F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("k"), F.col("_key").alias("key"))).alias("m"))
-              .filter(F.col("m.k") > 0).select("needle", "_low", F.col("m.key").alias("_key")))
+              .filter(F.col("m.k") > 0).select("_a", "_b", F.col("m.key").alias("_key"))
+              .join(low.select("needle", "_low", *name), ["_a", "_b"]).select("needle", "_low", "_key"))
     candidates = held.join(rarest, "_key").select("text_id", "needle", "_low")
     return candidates.join(texts.select("text_id", F.lower("text").alias("_text")), "text_id").filter(
         F.col("_text").contains(F.col("_low"))).select("text_id", "needle")

@@ -94,10 +94,10 @@ def keywords(query: Column, count: int | None = None, chars: int | None = None)
 
 
 def evidence(queries: DataFrame, chunks: DataFrame, types=tuple(EVIDENCE_TYPES), top: int = TOP_EVIDENCE,
-             count: int | None = None, chars: int | None = None) -> DataFrame:
+             count: int | None = None, chars: int | None = None, first: int | None = None) -> DataFrame:
     """RET4: chunks of evidence types holding each keyword of a query, by source document.
 
-    ``count`` and ``chars`` go to ``keywords``.
+    ``count`` and ``chars`` go to ``keywords``. With ``first`` a query keeps its first rows by keyword and rank, before texts join them.
 
     The best chunks are found once per distinct keyword and then handed to the
     queries that ask for it, so a term that a third of all queries use costs one lookup.
@@ -106,7 +106,8 @@ def evidence(queries: DataFrame, chunks: DataFrame, types=tuple(EVIDENCE_TYPES),
     texts = chunks.filter(F.col("content_type").isin(list(types))).select(
         F.col("chunk_id").alias("text_id"), F.col("content").alias("text"), "source_doc", "content_type")
     hits = top_matches(texts, asked.select("needle"), ["source_doc"], top)
-    return (asked.join(hits, "needle").withColumnRenamed("text_id", "chunk_id")
+    rows = asked.join(hits, "needle").withColumnRenamed("text_id", "chunk_id")
+    return ((rows if first is None else _first(rows, "query_id", ["kw_pos", "rank"], first))
             .join(chunks.select("chunk_id", F.col("content").alias("context")), "chunk_id"))
 
 

@@ -60,7 +60,7 @@ def answer(queries: DataFrame, cases: DataFrame, nodes: DataFrame, edges: DataFr
         "query_id", "seq", "agent", F.coalesce("confidence", F.lit("LOW")).alias("confidence"), zero.alias("critical_count"),
         F.coalesce("narrative", F.lit(c.ACTION_UNKNOWN)).alias("narrative"))
 
-    cited = t.citations(t.evidence(of("evidence"), chunks, count=keyword_count, chars=keyword_chars)).groupBy("query_id").agg(
+    cited = t.citations(t.evidence(of("evidence"), chunks, count=keyword_count, chars=keyword_chars, first=t.CITATIONS)).groupBy("query_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kw_pos", "rank", F.concat(F.lit("- ["), "source", F.lit("] "), "text").alias("line")))), lambda s: s["line"]), "\n").alias("narrative"))
     able = case_eligibility(cases, diagnosed, nodes, edges)
     evidence = of("evidence").join(cited, "query_id", "left").join(able, "case_id", "left").select(

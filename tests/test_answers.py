@@ -154,6 +154,28 @@ def test_context_places_pairs_without_sorting_them(spark):
     assert shuffled < 2_500, shuffled
 
 
+def test_long_needles_are_not_handed_on_with_each_of_their_words(spark):
+    """Where joins shuffle, bytes stay far below needles times their words; citations are cut before texts join them."""
+    words = lambda n: " ".join(f"w{(n + 1) * (k + 3) * 7919 % 401}" for k in range(240))
+    texts = spark.createDataFrame([(f"c{n:03}", words(n), f"s{n % 7}", "evidence") for n in range(60)], "chunk_id string, content string, source_doc string, content_type string")
+    asked = texts.select(F.substring("chunk_id", 2, 3).cast("int").alias("query_id"), F.substring("content", 5, 900).alias("query"))
+
+    def written():
+        double, none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList()
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, double, none)
+        return sum(stages.apply(n).shuffleWriteBytes() for n in range(stages.size()))
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        out = t.citations(t.evidence(asked, texts, first=t.CITATIONS)).collect()
+        size = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert sorted((x["query_id"], x["rank"], x["text"]) for x in out) == [(n, 1, words(n)[:150]) for n in range(60)]
+    assert size < 1_900_000
+
+
 def test_triples_and_jsonld(spark, tmp_path):
     n, e = v.seed_entities_df(spark), v.seed_relations_df(spark)
     rows = rdf.triples(n, e).cache()
