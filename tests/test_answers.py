@@ -4,6 +4,7 @@ import json
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,21 @@ def test_long_needles_are_not_handed_on_with_each_of_their_words(spark):
     assert size < 1_900_000
 
 
+def test_bucketed_rows_come_in_bounded_batches():
+    class Rows:
+        schema = {"id": type("Field", (), {"dataType": type("Kind", (), {"simpleString": lambda self: "bigint"})()})}
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            return run
+    rows = pd.DataFrame({"id": range(4096), "embedding": list(np.random.default_rng(2).standard_normal((4096, 64)).astype(np.float32))})
+    for probes in (1, 24):
+        frames = list(vec._bucketed(Rows(), "id", 6, 16, probes, 5)([rows]))
+        assert max(map(len, frames)) <= 8192 and sum(map(len, frames)) == 4096 * 6 * probes
+
+
 def test_triples_and_jsonld(spark, tmp_path):
     n, e = v.seed_entities_df(spark), v.seed_relations_df(spark)
     rows = rdf.triples(n, e).cache()
