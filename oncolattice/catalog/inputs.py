@@ -156,7 +156,7 @@ def raw_extractions(spark, path):
            .when(e % 16 == 2, F.concat(F.lit("<think>is it {\n} so</think>\n"), body))
            .when(e % 16 == 3, F.substring(body, F.lit(1), F.length(body) - 3))
            .when(e % 16 == 4, F.concat(F.lit("["), body, F.lit("]"))).when(e % 16 == 14, "").otherwise(body))
-    return read_texts(spark, path, "events").select(
+    return dealt(read(spark, path, "events").select("event_id"), "event_id", rows=50_000).select(  # costly rows of a narrow table, which has few splits
         F.concat(F.lit("c"), e.cast("string")).alias("chunk_id"), F.concat(F.lit("S"), (e % 9).cast("string")).alias("section"), raw.alias("raw"))
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from oncolattice.catalog import inputs
 from oncolattice.functions import substring_join
 from oncolattice.operators import grounding as gr, rdf, retrieval as t, routing as r, vectors as vec
 from oncolattice.plans import answer, build as bld
@@ -192,6 +193,12 @@ def test_bucketed_rows_come_in_bounded_batches():
         assert max(map(len, frames)) <= 8192 and sum(map(len, frames)) == 4096 * 6 * probes
 
 
+def test_raw_extractions_are_dealt_by_their_number(spark, tmp_path):
+    spark.range(2_200_000).withColumnRenamed("id", "event_id").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    rows = inputs.raw_extractions(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 44 and rows.count() == 2_200_000
+
+
 def test_triples_and_jsonld(spark, tmp_path):
     n, e = v.seed_entities_df(spark), v.seed_relations_df(spark)
     rows = rdf.triples(n, e).cache()
