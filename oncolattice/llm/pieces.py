@@ -13,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import chunks, mix, number_hash, text_bytes
+from .arrays import chunks, hand_back, mix, number_hash, text_bytes
 from .vocabulary import MARK, MODEL, Vocabulary, load, marked
 
-REMEMBERED = 400_000   # segmentations that a worker keeps; only speed depends on it
+REMEMBERED = 200_000   # segmentations that a worker keeps; only speed depends on it
 BLOCK = 1 << 18       # chunks whose segmentations are looked up together
+LEARNED = 1 << 13     # chunks whose agendas advance together
 GROUP = 1 << 20       # bytes of texts encoded together
 SHORT = 40            # characters up to which chunks advance together; longer ones go one by one
 LAST = np.iinfo(np.int32).max
@@ -251,8 +252,8 @@ class Encoder:
     def add(self, chunks: list[str], skips: np.ndarray) -> np.ndarray:
         """New nodes of chunks with the skipped candidates of each."""
         nodes = []
-        for at in range(0, len(chunks), BLOCK >> 3):
-            made, taken = self.learn(chunks[at:at + (BLOCK >> 3)], skips[at:at + (BLOCK >> 3)])
+        for at in range(0, len(chunks), LEARNED):
+            made, taken = self.learn(chunks[at:at + LEARNED], skips[at:at + LEARNED])
             # without dropout nothing is looked up by it
             nodes.append(self.store(made, taken if self.dropout else np.zeros(len(taken))))
         return np.concatenate(nodes)
@@ -351,6 +352,19 @@ class Decoder:
         return self.flat[where].tobytes()[1:]
 
 
+def _encoded(batches, encoder: Encoder, decoder: Decoder):
+    """Rows of `encode` for batches of (id, text), handed on by groups, so that a worker holds no whole batch of results."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(1))
+        for first, last in chunks(offsets, GROUP):
+            ids, texts = (batch.column(k).slice(first, last - first) for k in (0, 1))
+            made = encoder.texts(texts.to_pylist(), [i or 0 for i in ids.to_pylist()])
+            n = np.array([len(m) // 4 for m in made], np.int32)
+            whole = [decoder.raw(np.frombuffer(m, np.int32)) == data[a:b].tobytes() for m, a, b in zip(made, offsets[first:last], offsets[first + 1:last + 1])]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(made), np.int32)))
+            yield pa.RecordBatch.from_arrays([ids, lists, pa.array(n.astype(np.int64)), pa.array(whole, pa.bool_())], ["doc_id", "ids", "n_pieces", "lossless"])
+
+
 def encode(docs: DataFrame, model: str = MODEL, seed: int = 0, dropout: float = 0.1,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every whole text: doc_id, ids, n_pieces, lossless (decoding gives the text's bytes again).
@@ -364,17 +378,8 @@ def encode(docs: DataFrame, model: str = MODEL, seed: int = 0, dropout: float =
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
 
     def run(batches):
-        encoder, decoder = Encoder(shared.value, seed, dropout), Decoder(shared.value)
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            made = []
-            for first, last in chunks(offsets, GROUP):
-                rows = slice(first, last)
-                made += encoder.texts(batch.column(1)[rows].to_pylist(), [i or 0 for i in batch.column(0)[rows].to_pylist()])
-            n = np.array([len(m) // 4 for m in made], np.int32)
-            whole = [decoder.raw(np.frombuffer(m, np.int32)) == data[a:b].tobytes() for m, a, b in zip(made, offsets[:-1], offsets[1:])]
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(made), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(n.astype(np.int64)), pa.array(whole, pa.bool_())], ["doc_id", "ids", "n_pieces", "lossless"])
+        yield from _encoded(batches, Encoder(shared.value, seed, dropout), Decoder(shared.value))
+        hand_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, ids array<int>, n_pieces long, lossless boolean")
