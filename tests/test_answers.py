@@ -1,10 +1,12 @@
 """Routing, grounding, retrieval, vectors, exports, streams."""
 
 import json
+import tracemalloc
 from datetime import datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -314,3 +316,21 @@ def test_triples_are_a_set_without_comparing_them_all(spark, tmp_path):
     for folder in ("nt", "ld"):
         assert spark.read.text(str(tmp_path / folder)).count() == len(rows.collect())
         assert {x.name.rsplit(".", 2)[-1] for x in (tmp_path / folder).glob("part-*")} == {"gz"}
+
+
+def test_vector_search_makes_few_scores_at_once():
+    rng = np.random.default_rng(3)
+    data, asked = rng.integers(-2, 3, (5000, 4)).astype(np.float32), rng.integers(-2, 3, (4000, 4)).astype(float)  # many equal scores
+    names = pa.array([f"v{n:05d}" for n in range(len(data))])
+    batches = [pa.RecordBatch.from_arrays([names[at:at + 2500], pa.array(list(data[at:at + 2500]))], ["id", "embedding"]) for at in (0, 2500)]
+    asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
+    fields = pa.schema([("query_id", pa.string()), ("id", pa.string()), ("score", pa.float64())])
+    tracemalloc.start()
+    found = pa.Table.from_batches(vec._best([f"q{n}" for n in range(len(asked))], asked, 3, batches, fields)).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # all scores of a batch are 80 MB
+    unit = data / np.maximum(np.linalg.norm(data.astype(float), axis=1, keepdims=True), 1e-300)
+    want = np.argsort(-np.round(asked[:50] @ unit.T, 12), axis=1, kind="stable")[:, :3]
+    got = found.groupby("query_id")["id"].apply(list)
+    assert len(found) == 12000 and all(got[f"q{n}"] == [f"v{x:05d}" for x in row] for n, row in enumerate(want))
