@@ -334,3 +334,18 @@ def test_vector_search_makes_few_scores_at_once():
     want = np.argsort(-np.round(asked[:50] @ unit.T, 12), axis=1, kind="stable")[:, :3]
     got = found.groupby("query_id")["id"].apply(list)
     assert len(found) == 12000 and all(got[f"q{n}"] == [f"v{x:05d}" for x in row] for n, row in enumerate(want))
+
+
+def test_jsonld_has_one_object_per_subject(spark, tmp_path):
+    rows = [("urn:a", "urn:p", f"urn:o{n}", "uri", None) for n in range(300)]
+    rows += [("urn:a", "urn:q", text, "literal", "string") for text in ('x"]}\n', "back\\slash]}", "", "tab\there", "é")]
+    rows += [("urn:a", "urn:n", "5", "literal", "integer"), ("urn:b", "urn:p", "urn:a", "uri", None), ("urn:b]}", "urn:p", "urn:a", "uri", None), (None, "urn:p", "urn:a", "uri", None)]
+    df = spark.createDataFrame(rows, "subject string, predicate string, object string, object_kind string, datatype string").repartition(5)
+    sinks.write_jsonld(df, str(tmp_path / "ld"))
+    seen = [json.loads(x["value"]) for x in sinks.read_jsonld(spark, str(tmp_path / "ld")).collect()]
+    assert sorted(str(node["@id"]) for node in seen) == ["None", "urn:a", "urn:b", "urn:b]}"]
+    back = [(node["@id"], p, v.get("@value", v.get("@id")), v.get("@type", "").split("#")[-1]) for node in seen for p, values in node.items() if p != "@id" for v in values]
+    assert sorted(map(str, back)) == sorted(str((s, p, o, "integer" if t == "integer" else "")) for s, p, o, _, t in rows)
+    whole = "".join(x["value"] + "\n" for x in spark.read.text(str(tmp_path / "ld")).coalesce(1).collect())
+    first, end = json.JSONDecoder().raw_decode(whole)  # objects one after another, as they stand in the files
+    assert first in seen and whole[end] == "\n"
