@@ -176,3 +176,22 @@ def test_pairs_of_texts_and_queries_are_no_rows(spark):
     got = rk.keyword_top_k(texts, texts.withColumnRenamed("id", "query_id"), 2, block=10)
     assert {tuple(r) for r in got.select("query_id", "id", "rank").collect()} == {(q, i, i + 1) for q in range(40) for i in range(2)}
     assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_copies_for_cells_are_packed(spark, monkeypatch):
+    rnd = random.Random(5)
+    texts = [(n, " ".join(rnd.choices([f"w{m}" for m in range(30)], k=12))) for n in range(60)] + [(3, "w1 w2 again")]  # an id may repeat
+    queries = [(f"q{n}", " ".join(rnd.choices([f"w{m}" for m in range(30)], k=4))) for n in range(20)]
+    seen = []
+    inner = rk._best_of_cell
+
+    def noted(k, fields):
+        seen.append(fields)
+        return inner(k, fields)
+    monkeypatch.setattr(rk, "_best_of_cell", noted)
+    got = rk.keyword_top_k(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(queries, "query_id string, text string"), 3, block=8)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert seen and "codes" in plan and "weights" in plan  # a row holds all codes of a text or a query
+    assert got.select("query_id", "rank").distinct().count() == got.count() == 60
+    coded = [r["code"] for r in rk._coded(spark.createDataFrame([(f"t{n}", n) for n in range(50)], "term string, df long").repartition(7)).collect()]
+    assert sorted(coded) == list(range(50))
